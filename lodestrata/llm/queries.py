@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import language, media, packing, quality, secrets, simhash
-from lodestrata.llm.common import table
+from lodestrata.llm import chat, embedding, language, media, mixing, packing, quality, secrets, simhash
+from lodestrata.llm.common import table, written
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +17,33 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), key=F.col("doc_id"), text=F.col("text"), owner=F.col("source"), repo=repo))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of the table is one whole message; conversation -7 holds control strings of other templates."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], rows.schema)
+    events = rows.unionByName(own).withColumns({"seq": F.col("turn"), "kind": F.lit("message")})
+    return chat.digest(chat.parse(chat.render(chat.fold(events))))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near(table(spark, sf_dir, "documents"), key=F.col("doc_id"), text=F.col("text"))
     return found.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding.near(table(spark, sf_dir, "embeddings"), key=F.col("vec_id"), vector=F.col("embedding"))
+    return found.select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("key").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of every document in the mixture, with the least budget that passes over each source once."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), mixing.words(F.col("text")).alias("tokens"), F.monotonically_increasing_id().alias("row"))
+    held = written(rows, "mixing-rows")
+    made = mixing.copies(held.select("row", "source", "tokens"))
+    return made.join(held.select("row", "doc_id"), "row").select("doc_id", "source", F.col("tokens").alias("n_tokens"), "weight", "block", "pass_no", "place")
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"), key=F.col("doc_id"), text=F.col("text"))
 
