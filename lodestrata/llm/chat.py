@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 START, STOP = "<|im_start|>", "<|im_end|>"
 #: Beginnings of control strings: of this template's and of other common ones. Fixed values.
-CONTROL = r"(?i)<(?=\||/?s>|</?sys>>)|\[(?=/?inst\])|<(?=/?SYS>>)"
+CONTROL = r"(?i)<(?=\||/?s>|</?sys>>)|\[(?=/?inst\])"
 ASSISTANT = "assistant"
 MESSAGES = "array<struct<role:string,text:string>>"
 
