@@ -147,7 +147,7 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
             made = [features(t) for t in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([m[0].astype(np.int32) for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float32()))], ["rank", "label", "idx", "val"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([m[0].astype("<i4").tobytes() for m in made], pa.binary()), pa.array([m[1].astype("<f4").tobytes() for m in made], pa.binary())], ["rank", "label", "idx", "val"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, held: int = 0, max_rows: int = MAX_ROWS) -> Machine:
@@ -162,13 +162,12 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text"))
         .join(F.broadcast(known), "k")  # at most max_rows rows of three numbers
         .select("rank", "label", "text")
-        .mapInArrow(_features_of, "rank long, label int, idx array<int>, val array<float>")
-        .toPandas()
+        .mapInArrow(_features_of, "rank long, label int, idx binary, val binary")
+        .collect()
     )
-    if len(rows):
-        rows = rows.assign(size=[len(i) for i in rows["idx"]], sum=[float(v.sum()) for v in rows["val"]]).sort_values(["rank", "size", "sum"])
-    pairs = list(zip(rows["idx"], rows["val"], strict=True))
-    return fit(pairs, rows["label"].to_numpy(np.float32))
+    rows = sorted((r.rank, bytes(r.idx), bytes(r.val), r.label) for r in rows)
+    pairs = [(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4")) for _, i, v, _ in rows]
+    return fit(pairs, np.array([r[3] for r in rows], np.float32))
 
 
 def score(docs: DataFrame, machine: Machine, *, key: Column, text: Column) -> DataFrame:
