@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, embedding, language, media, mixing, packing, quality, secrets, simhash
+from lodestrata.llm import chat, embedding, language, media, mixing, packing, quality, secrets, simhash, suffix
 from lodestrata.llm.common import table, written
 
 
@@ -36,6 +36,11 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("key").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.dedup(table(spark, sf_dir, "documents"), key=F.col("doc_id"), text=F.col("text"))
+    return found.withColumnRenamed("key", "doc_id")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of every document in the mixture, with the least budget that passes over each source once."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), mixing.words(F.col("text")).alias("tokens"), F.monotonically_increasing_id().alias("row"))
