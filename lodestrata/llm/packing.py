@@ -15,11 +15,12 @@ their order alone, so a task that runs again gives the same sequences."""
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,7 @@ END = 2
 #: Sequences of one worker are numbered from its partition's number times this.
 STRIDE = 1 << 32
 #: Entries of the tables of known chunks and pieces before they are emptied (about 100 bytes each).
-KNOWN = 600_000
+KNOWN = 1_000_000
 
 #: The tokenizer's own split rule for lower-cased Latin-1 letters, digits and ASCII punctuation.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
@@ -39,6 +40,9 @@ PLAIN = re.compile(r"[0-9A-Za-zÀ-ÖØ-öø-ÿ!-/:-@\[-`{-~]+").fullmatch
 SEPARATORS = re.compile("[\x1c-\x1f]").search
 
 
+assert sys.byteorder == "little" and array("I").itemsize == 4
+
+
 class Ids:
     """Token ids as little-endian unsigned 32-bit bytes."""
 
@@ -48,50 +52,29 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.merges: dict[tuple[int, int], tuple[int, int]] | None = None
+        self.byte_level: dict[int, str] | None = None
         self._load(path)
 
     def _load(self, path: str) -> None:
-        """Merge table by ids, if the file is a byte-level BPE with word ends; else every chunk goes to the library."""
+        """If the file is a byte-level BPE with word ends, the characters that its model takes for bytes; else every chunk goes through the whole tokenizer."""
         import json
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        if model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>":
-            return
-        vocab = model["vocab"]
-        shown = list(range(33, 127)) + list(range(161, 173)) + list(range(174, 256))  # bytes that stand for themselves; the others follow from 256 on
-        name = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-        self.inner = [vocab[name[b]] for b in range(256)]
-        self.last = [vocab[name[b] + "</w>"] for b in range(256)]
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        if model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>":
+            shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+            hidden = [b for b in range(256) if b not in set(shown)]
+            self.byte_level = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def _piece(self, piece: str) -> bytes:
-        raw = piece.encode()
-        ids = [self.inner[b] for b in raw[:-1]]
-        ids.append(self.last[raw[-1]])
-        get = self.merges.get
-        while len(ids) > 1:
-            best = min((r for r in map(get, zip(ids, ids[1:], strict=False)) if r), default=None)
-            if best is None:
-                break
-            rank, out, i = best[0], [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and (m := get((ids[i], ids[i + 1]))) and m[0] == rank:
-                    out.append(m[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return np.array(ids, "<u4").tobytes()
+        shown = piece.encode().decode("latin-1").translate(self.byte_level)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if self.merges is None or "<|" in chunk or len(chunk) > 200 or not PLAIN(chunk):
+        if self.byte_level is None or "<|" in chunk or len(chunk) > 200 or not PLAIN(chunk):
             return self._whole(chunk)
         out = []
         for piece in PIECES.findall(chunk.lower()):
@@ -180,7 +163,7 @@ def pack(docs: DataFrame, *, key: Column, text: Column, tokenizer: str | Callabl
     """One row for each piece; ``with_ids`` adds the piece's token ids as bytes.
 
     ``tokenizer``: path of the tokenizer file, or a function that gives it on the worker."""
-    tail = np.array([end], "<u4").tobytes()
+    tail = array("I", [end]).tobytes()
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def rows(out: list[tuple]) -> pa.RecordBatch:
