@@ -216,6 +216,9 @@ def line_diff(path: Column, old: Column, new: Column) -> Column:
 
         out = []
         for p, a, b in zip(paths, olds, news, strict=True):
+            if p is None or a is None or b is None:
+                out.append(None)
+                continue
             body = "\n".join(differ(a.splitlines(), b.splitlines(), fromfile=f"a/{p}", tofile=f"b/{p}", lineterm=""))
             out.append(f"diff --git a/{p} b/{p}\n" + (body if not body or body.endswith("\n") else body + "\n"))
         return pd.Series(out)

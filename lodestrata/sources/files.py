@@ -53,9 +53,10 @@ def included(path: Column) -> Column:
 
 
 def read_text_tree(spark: SparkSession, path: str, *, most: int = 20, chars: int = 4000, marker: str = "\n...[TRUNCATED]...") -> DataFrame:
-    """First ``most`` text files in order of path parts: path below the root, text cut to ``chars``."""
+    """First ``most`` text files in order of path parts: path below the root, text cut to ``chars``. Spark has no row for an empty file or a name that starts with ``_``."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/")
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_path"), rf"^.*?\Q{root}\E/", "").alias("path"), F.col("value").alias("text"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = files.select(F.regexp_replace("path", rf"^.*?\Q{root}\E/", "").alias("path"), F.decode("content", "UTF-8").alias("text"))
     return files.filter(included(F.col("path"))).orderBy(F.split("path", "/")).limit(most).select("path", text.truncated(F.col("text"), chars, marker).alias("text"))
 
 
