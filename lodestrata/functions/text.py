@@ -5,7 +5,7 @@ Everything runs in the JVM but the two functions that need Python's difflib. Whi
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -86,49 +86,47 @@ def diff_error(diff: Column) -> Column:
     )
 
 
-def diff_block(text: Column) -> Column:
-    """struct<block, notes>: the first diff block's lines up to a fence or other line, without blank ones."""
-    lines = F.split(text, r"\R")
-    begin = F.array_position(F.transform(lines, lambda l: l.startswith(DIFF_START)), True)
-    block = F.slice(lines, F.greatest(begin, F.lit(1)).cast("int"), F.size(lines))
-    block = F.when(F.element_at(block, -1) == "", F.slice(block, 1, F.size(block) - 1)).otherwise(block)
-    kind = F.transform(block, lambda l: F.when(strip(l).startswith("```"), "F").when(strip(l) == "", "B").when(l.rlike(DIFF_LINE), "D").otherwise("S"))
-    stop = F.coalesce(F.array_min(F.filter(F.transform(kind, lambda k, j: F.when(k.isin("F", "S"), j)), lambda j: j.isNotNull())), F.size(kind))
-    kept = F.filter(block, lambda l, j: (j < stop) & (F.get(kind, j) == "D"))
-    notes = F.filter(
-        F.transform(
-            kind,
-            lambda k, j: F.when(j > stop, None).when(k == "F", "stopped_at_markdown_fence").when(k == "B", "dropped_blank_line")
-            .when(k == "S", F.concat(F.lit("stopped_at_non_diff_line:"), F.left(strip(F.get(block, j)), F.lit(80)))),
-        ),
-        lambda n: n.isNotNull(),
-    )
-    joined = rstrip(F.array_join(kept, "\n"))
-    whole = F.when(joined == "", "").otherwise(F.concat(joined, F.lit("\n")))
-    return F.struct(
-        F.when(begin > 0, whole).otherwise("").alias("block"),
-        F.when(begin > 0, notes).otherwise(F.array(F.lit("missing_diff_header"))).alias("notes"),
+def diff_blocks(rows: DataFrame, column: str) -> DataFrame:
+    """Adds block (the first diff block's lines up to a fence or other line, without blank ones) and notes.
+
+    Each step is a column of its own, so that no step is computed again in the ones that use it."""
+    lines = F.split(column, r"\R")
+    steps = rows.withColumn("_lines", lines).withColumn("_begin", F.array_position(F.transform("_lines", lambda l: l.startswith(DIFF_START)), True).cast("int"))
+    tail_ = F.slice("_lines", F.greatest("_begin", F.lit(1)), F.size("_lines"))
+    steps = steps.withColumn("_tail", F.when(F.col("_begin") > 0, tail_).otherwise(F.array().cast("array<string>")))
+    steps = steps.withColumn("_tail", F.when(F.try_element_at("_tail", F.lit(-1)) == "", F.slice("_tail", F.lit(1), F.size("_tail") - 1)).otherwise(F.col("_tail")))
+    kind = lambda l: F.when(strip(l).startswith("```"), "F").when(strip(l) == "", "B").when(l.rlike(DIFF_LINE), "D").otherwise("S")
+    steps = steps.withColumn("_kind", F.transform("_tail", kind))
+    first = lambda k: F.coalesce(F.nullif(F.array_position("_kind", k), F.lit(0)) - 1, F.size("_kind"))
+    steps = steps.withColumn("_stop", F.least(first("F"), first("S")).cast("int"))
+    kept = F.filter("_tail", lambda l, j: (j < F.col("_stop")) & (F.get("_kind", j) == "D"))
+    steps = steps.withColumn("_joined", rstrip(F.array_join(kept, "\n")))
+    note = lambda k, j: (
+        F.when(k == "F", "stopped_at_markdown_fence").when(k == "B", "dropped_blank_line").when(k == "S", F.concat(F.lit("stopped_at_non_diff_line:"), F.left(strip(F.get("_tail", j)), F.lit(80))))
     )
+    notes = F.array_compact(F.transform(F.slice("_kind", F.lit(1), F.col("_stop") + 1), note))
+    found = {"block": F.when(F.col("_joined") == "", "").otherwise(F.concat("_joined", F.lit("\n"))), "notes": F.when(F.col("_begin") > 0, notes).otherwise(F.array(F.lit("missing_diff_header")))}
+    return steps.withColumns(found).drop("_lines", "_begin", "_tail", "_kind", "_stop", "_joined")
 
 
-def hygiene(text: Column, found: Column) -> dict[str, Column]:
-    """Flags, counts and status of a text whose :func:`diff_block` is ``found``."""
-    block, notes = found["block"], found["notes"]
-    lines = F.filter(F.split(block, "\n"), lambda l: l != "")
-    count = lambda sign: F.size(F.filter(lines, lambda l: l.startswith(sign) & ~l.startswith(sign * 3))).cast("long")
-    fence, header = text.contains("```"), text.contains(DIFF_START)
+def hygiene(rows: DataFrame, column: str) -> DataFrame:
+    """Adds flags, counts and a status to texts."""
+    rows = diff_blocks(rows, column).withColumn("_added", F.filter(F.split("block", "\n"), lambda l: l != ""))
+    text = F.col(column)
+    count = lambda sign: F.size(F.filter("_added", lambda l: l.startswith(sign) & ~l.startswith(sign * 3))).cast("long")
     prose = F.lit(False)
     for marker in CONTAMINATION:
         prose = prose | text.contains(marker)
-    changes = (count("+") > 0) | (count("-") > 0)
+    rows = rows.withColumns({
+        "has_diff_header": text.contains(DIFF_START), "contains_markdown_fence": text.contains("```"), "contains_prose_after_diff": prose,
+        "sanitized_line_count": F.size("_added").cast("long"), "added_line_count": count("+"), "removed_line_count": count("-"),
+    })
+    rows = rows.withColumn("has_change_lines", (F.col("added_line_count") > 0) | (F.col("removed_line_count") > 0))
     status = (
-        F.when(~header, "missing_diff").when(strip(block) == "", "empty_after_sanitization").when(~changes, "non_actionable_no_change_lines")
-        .when(fence | prose, "sanitized_actionable_with_contamination").otherwise("actionable_diff_like")
+        F.when(~F.col("has_diff_header"), "missing_diff").when(F.col("block") == "", "empty_after_sanitization").when(~F.col("has_change_lines"), "non_actionable_no_change_lines")
+        .when(F.col("contains_markdown_fence") | F.col("contains_prose_after_diff"), "sanitized_actionable_with_contamination").otherwise("actionable_diff_like")
     )
-    return {
-        "has_diff_header": header, "contains_markdown_fence": fence, "contains_prose_after_diff": prose, "sanitized_line_count": F.size(lines).cast("long"),
-        "has_change_lines": changes, "added_line_count": count("+"), "removed_line_count": count("-"), "status": status, "notes": F.array_join(notes, "|"),
-    }
+    return rows.withColumn("status", status).drop("_added")
 
 
 def json_object(text: Column) -> Column:

@@ -145,8 +145,8 @@ def parse_failures(spark, sf_dir):
 
 
 def _hygiene(spark, sf_dir):
-    rows = views.responses(spark, sf_dir).withColumn("found", text.diff_block(F.col("raw")))
-    return rows.select("task_id", F.col("found.block").alias("sanitized_diff"), *[c.alias(n) for n, c in text.hygiene(F.col("raw"), F.col("found")).items()])
+    rows = text.hygiene(views.responses(spark, sf_dir), "raw")
+    return rows.drop("raw").withColumnRenamed("block", "sanitized_diff").withColumn("notes", F.array_join("notes", "|"))
 
 
 @query

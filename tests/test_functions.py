@@ -122,9 +122,8 @@ def test_diff_blocks_equal_a_line_model(spark):
     rng = random.Random(3)
     lines = ["diff --git a b", "--- a", "+++ b", "@@ -1 +1 @@", "-x", "+y", " z", "", "  ", "```", "prose here", "index 1", "\\ No newline at end of file", "+", "--"]
     rows = [("\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 9))) + rng.choice(["", "\n"]),) for _ in range(300)]
-    df = spark.createDataFrame(rows, "t string").withColumn("f", text.diff_block(F.col("t")))
-    for r in df.collect():
-        assert (r.f.block, list(r.f.notes)) == model_block(r.t), r.t
+    for r in text.diff_blocks(spark.createDataFrame(rows, "t string"), "t").collect():
+        assert (r.block, list(r.notes)) == model_block(r.t), r.t
 
 
 def test_difflib_functions(spark):
