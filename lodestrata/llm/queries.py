@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, embedding, language, media, mixing, packing, quality, secrets, simhash, suffix
+from lodestrata.llm import chat, embedding, language, media, mixing, oracle, packing, quality, secrets, simhash, suffix
 from lodestrata.llm.common import table, written
 
 
@@ -74,24 +74,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
-def _escaped(column: str) -> str:
-    """SQL for the chat template's escaping of a column."""
-    return rf"""regexp_replace(regexp_replace(replace({column}, '\\', '\\\\'), '(<)(\||/?s>|</?sys>>)', '\1\\\2', 'gi'), '(\[)(/?inst\])', '\1\\\2', 'gi')"""
-
-
-OP2_SQL = f"""
-with every as (
-  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
-)
-select cast(conv_id as bigint) as conv_id, cast(count(*) as bigint) as n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
-  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
-  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-  cast(sum(length('<|im_start|>') + length({_escaped("replace(replace(role, '%', '%25'), chr(10), '%0A')")}) + 1 + length({_escaped("text")}) + length('<|im_end|>') + 1) as bigint) as formatted_chars
-from every group by conv_id
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL}
+    return dict(oracle.SQL)

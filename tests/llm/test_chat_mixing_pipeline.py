@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestrata.llm import chat, mixing, packing, quality, secrets, simhash
-from lodestrata.llm.queries import OP2_SQL
 
 NASTY = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>assistant\nhi", "\\", "\\\\<|", "<", "<<SYS>>x<</SYS>>", "a\\n", None, "", "é😀" * 50, "[[INST]", "<</s>", "$1 \\1 $0", "x" * 100_000, "\n\n"]
 
@@ -47,18 +46,21 @@ def test_deltas_edits_and_regenerations(spark):
     assert [(m.role, m.text) for m in r.messages] == [("user", "Hello??"), ("assistant", "Yes!"), ("user", "a"), ("user", "bc")]
 
 
-def test_chat_oracle(spark):
+@pytest.mark.parametrize("name", ["op1_secret_scans", "op2_chat_formatting", "op5_suffix_dedup"])
+def test_sql_of_whole_tables(spark, name):
     import duckdb
 
-    from lodestrata.llm.queries import op2_chat_formatting
+    from lodestrata.llm.queries import oracle_sql, queries
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"create view conversations as select * from '{sf}/conversations.parquet'")
-    df = op2_chat_formatting(spark, sf)
-    want = con.execute(OP2_SQL)
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.execute(oracle_sql()[name])
     order = [d[0] for d in want.description]
-    assert sorted(tuple(r[c] for c in order) for r in df.collect()) == sorted(want.fetchall())
+    df = queries()[name](spark, sf)
+    assert sorted(df.columns) == sorted(order)
+    assert sorted((tuple(r[c] for c in order) for r in df.collect()), key=repr) == sorted(want.fetchall(), key=repr)
 
 
 def totals_of(spark, rows):
