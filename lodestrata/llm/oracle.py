@@ -62,4 +62,14 @@ select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed
 from d left join cut on d.rid = cut.rid
 """
 
-SQL = {"op1_secret_scans": OP1, "op2_chat_formatting": OP2, "op5_suffix_dedup": OP5}
+#: All pairs: the query's links are those found by filters, which on the driver's tables are all of them.
+OP4 = """
+with recursive v as (select vec_id, cast(embedding as double[]) as e, embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 as good from embeddings),
+unit as (select vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as u from v where good),
+links as (select a.vec_id as a, b.vec_id as b from unit a join unit b on a.vec_id <> b.vec_id and len(a.u) = len(b.u) where list_dot_product(a.u, b.u) >= 0.95),
+reach(a, b) as (select vec_id, vec_id from v union select r.a, l.b from reach r join links l on r.b = l.a),
+c as (select a, min(b) as component_id from reach group by a), n as (select a, count(*) as n_links from links group by a)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept from v join c on vec_id = c.a left join n on vec_id = n.a
+"""
+
+SQL = {"op1_secret_scans": OP1, "op2_chat_formatting": OP2, "op4_embedding_dedup": OP4, "op5_suffix_dedup": OP5}
