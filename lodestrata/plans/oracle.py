@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.operators import datasets
+from lodestrata.operators import datasets, prompts
 from lodestrata.plans import views
 from lodestrata.plans.queries import HELD_OUT, LIMIT, MOST
 
@@ -167,3 +167,18 @@ SQL: dict[str, str] = {
     "task_validation": "select c_custkey, coalesce(array_to_string(list_filter([case when c_custkey % 5 = 0 then 'schema_version:missing' end, case when c_custkey % 3 = 0 then 'repo_dir:missing' end, case when c_custkey % 5 <> 0 and c_custkey % 7 = 0 then 'schema_version:unsupported' end, case when floor(c_acctbal) <= 0 then 'timeout_seconds:must_be_positive' end], lambda x: x is not null), ','), '') as issues from customer",
     "launch_plan": f"with {H}, {TOKEN_ROWS}, {STATS}, {PARAMETERS}, {RECORDS}, {SFT_SUMMARY} select stats.row_count, max_tokens, trainable_percent, sft_summary.row_count as dataset_rows, cast(greatest(128, max_tokens + 64) as bigint) as sequence_length from stats, parameters, sft_summary",
 }
+
+
+_FENCE = lambda body: f"'```text' || {NL} || {body} || {NL} || '```'"
+_CUT = f"case when length(text) > 4000 then left(text, 4000) || {NL} || '...[TRUNCATED]...' else text end"
+SQL |= {
+    "response_ids": f"with {H}, e as (select task_id, unnest(m) as m, unnest(range(0, len(m))) as pos from (select task_id, list_filter(messages, lambda m: m.role = 'assistant') as m from chats)) select task_id, cast(pos as integer) as pos, task_id || '_resp_' || pos as response_id, task_id || '_resp_' || pos || '_candidate_' || pos as candidate_id, 'scripted:model' as source from e",
+    "resolved_specs": "select p_partkey, case when p_partkey % 3 = 0 then '/abs/' || p_brand else 'specs/' || p_brand end as path from part",
+    "patch_prompts": f"""select doc_id, 'Task ID: ' || doc_id || {NL} || {NL} || 'Repository tree:' || {NL} || case when doc_id % 10 = 0 then '(no files included)' else '- app/a.py' || {NL} || '- README.md' end || {NL} || {NL} || 'Relevant file context:' || {NL}
+      || case when doc_id % 10 = 0 then '' else '### File: app/a.py' || {NL} || {_FENCE(_CUT)} || {NL} || {NL} || '### File: README.md' || {NL} || {_FENCE('source')} end || {NL} || {NL} || 'Current test failure:' || {NL} || {_FENCE('right(text, 3000)')} || {NL} || {NL}
+      || 'Previous failed attempt feedback:' || {NL} || {_FENCE('lang')} || {NL} || {NL} || 'Output contract:' || {NL} || 'Return only a unified diff patch beginning with diff --git.' || {NL} as prompt from documents""",
+    "static_registry": f"select cast(pos as bigint) as pos, stage, kind, 's3://artifacts/' || key as artifact, '0000000' as git_commit from (values {_values([(i, *r) for i, r in enumerate(prompts.RUNS)])}) t(pos, stage, kind, key)",
+    "command_records": "select s_suppkey, 'run ' || s_name || ' ' || s_nationkey as command, s_nationkey % 4 <> 0 and s_nationkey % 3 = 0 as passed from supplier",
+    "curriculum_violations": f"with {CURRICULUM} select count(*) - 192 as rows_off, count(*) filter (split = 'eval') - 32 as eval_rows_off, count(*) - count(distinct task_id) as repeated_ids, cast(0 as bigint) as unknown_splits, cast(0 as bigint) as unknown_categories, count(*) filter (operations = '') as without_operations, (select count(*) from (select category from curriculum group by category having count(*) <> 16)) as uneven_categories, count(distinct category) - 12 as categories_off from curriculum",
+}
+SQL["check_parts"] = f"select task_id, string_split(first_check, '::')[1] as file_part, string_split(first_check, '::')[-1] as test_part from ({SQL['curriculum_v0']})"

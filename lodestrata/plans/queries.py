@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import rules, scoring, text
-from lodestrata.operators import datasets, summaries, trajectory
+from lodestrata.operators import datasets, prompts, summaries, trajectory
 from lodestrata.plans import views
 from lodestrata.sources.files import table
 
@@ -399,3 +399,45 @@ def launch_plan(spark, sf_dir):
     one = lambda df: df.withColumn("one", F.lit(1))
     joined = one(token_stats(spark, sf_dir)).join(one(parameter_counts(spark, sf_dir)), "one").join(one(sft_dataset_summary(spark, sf_dir).select(F.col("row_count").alias("dataset_rows"))), "one")
     return joined.select("row_count", "max_tokens", "trainable_percent", "dataset_rows", F.greatest(F.lit(128), F.col("max_tokens") + 64).cast("long").alias("sequence_length"))
+
+
+# --- prompts, identifiers, records ---
+@query
+def response_ids(spark, sf_dir):
+    return prompts.response_ids(views.chats(spark, sf_dir), "scripted")
+
+
+@query
+def resolved_specs(spark, sf_dir):
+    k = F.col("p_partkey")
+    path = F.when(k % 3 == 0, F.concat(F.lit("/abs/"), F.col("p_brand"))).otherwise(F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", prompts.resolved(path, "specs/").alias("path"))
+
+
+@query
+def patch_prompts(spark, sf_dir):
+    file = lambda path, body: F.struct(F.lit(path).alias("path"), body.alias("text"))
+    files = F.when(F.col("doc_id") % 10 == 0, F.array().cast("array<struct<path:string,text:string>>")).otherwise(F.array(file("app/a.py", F.col("text")), file("README.md", F.col("source"))))
+    return table(spark, sf_dir, "documents").select("doc_id", prompts.patch_prompt(F.col("doc_id").cast("string"), files, F.col("text"), F.col("lang")).alias("prompt"))
+
+
+@query
+def static_registry(spark, sf_dir):
+    return prompts.static_registry(spark, "artifacts", "0000000")
+
+
+@query
+def command_records(spark, sf_dir):
+    record = prompts.command_record(F.array(F.lit("run"), F.col("s_name"), F.col("s_nationkey").cast("string")), F.when(F.col("s_nationkey") % 4 != 0, F.col("s_nationkey") % 3))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", *[c.alias(n) for n, c in record.items()])
+
+
+@query
+def curriculum_violations(spark, sf_dir):
+    return prompts.violations(datasets.curriculum(spark), 192, 32, 12)
+
+
+@query
+def check_parts(spark, sf_dir):
+    whole = F.split("first_check", "::")
+    return datasets.first_curriculum(spark).select("task_id", F.element_at(whole, 1).alias("file_part"), F.element_at(whole, -1).alias("test_part"))
