@@ -2,12 +2,15 @@
 
 A suffix array of every byte would move each byte ``SIZE`` times, so suffixes are sorted from anchors only. The anchor
 of a window of SIZE bytes is its gram (GRAM bytes) of least hash, the leftmost of equals: equal windows have their
-anchors at equal offsets, and one anchor serves a run of window starts. Anchors whose gram occurs at one place only
-have no equal window and go. Of the others the run's bytes are range-partitioned by their leading tokens (the
-anchor's gram, by sampled splitters), sorted in their bucket, and neighbours that are equal to the depth of SIZE
-bytes are marked. A gram's suffixes never straddle two buckets; grams with very many suffixes are split by the
-windows' offsets from the anchor, which equal windows share. In a bucket suffixes are sorted by gram, offset and a
-62-bit key of their SIZE bytes (two modular polynomials), since equality to that depth is all that is asked.
+anchors at equal offsets, and one anchor serves a run of window starts. Windows that a text itself repeats are settled
+within it, and one of each stays. Anchors whose gram occurs at one place only have no equal window and go. Of the
+others the run's bytes are range-partitioned by their leading token (the anchor's gram, by sampled splitters), sorted
+in their bucket, and neighbours that are equal to the depth of SIZE bytes are marked. A gram's suffixes never
+straddle two buckets, so no comparison across boundaries is left. In a bucket suffixes are sorted by a 62-bit key of
+their SIZE bytes (two modular polynomials), gram and offset, since equality to that depth is all that is asked.
+
+Grams with over MANY suffixes don't go to one bucket: each task settles what it holds twice, and of what is left one
+row for each window is counted by (gram, key), wherever it is.
 
 Equal texts are one entry: they are removed whole if they have SIZE bytes. What is removed depends on a text alone, so
 texts stand under a 128-bit key and results are joined back by it.
@@ -31,11 +34,11 @@ SIZE = 400
 GRAM = 48
 #: Gram starts in a window of SIZE bytes.
 SPAN = SIZE - GRAM + 1
-#: Suffixes of one gram beyond which they are split by offset, and offsets in a split.
+#: Suffixes of one gram beyond which its windows are counted by key.
 MANY = 256
-SLICE = 16
-#: Bytes that are hashed at a time.
+#: Bytes that are hashed at a time, and those whose windows are sorted at a time (a group is never split).
 CHUNK = 1 << 20
+LOT = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _PRIMES = ((2147483629, 1000003), (2147483587, 69069069))
@@ -136,49 +139,145 @@ def _cut(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]
         yield who, where, parts
 
 
+def _stretches(group: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run of equal group and rising place."""
+    edge = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (at[1:] != at[:-1] + 1)])) if len(at) else np.zeros(0, np.int64)
+    return edge, np.concatenate([edge[1:], [len(at)]]) - 1 if len(edge) else edge
+
+
+def _settle(parts: list[bytes], owner: np.ndarray, h: np.ndarray, anchor: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[tuple, tuple]:
+    """Runs whose windows differ within their part; and stretches (owner, start, stop) that parts repeat themselves."""
+    order = np.lexsort((h, owner))
+    twin = (owner[order][1:] == owner[order][:-1]) & (h[order][1:] == h[order][:-1])
+    again = np.unique(owner[order][1:][twin])
+    runs, spans = [], []
+    rest = ~np.isin(owner, again)
+    runs.append((owner[rest], h[rest], anchor[rest], first[rest], last[rest]))
+    for o in again.tolist():
+        mine = np.flatnonzero(owner == o)
+        n = last[mine] - first[mine] + 1
+        at = np.arange(n.sum()) + np.repeat(first[mine] - (np.cumsum(n) - n), n)
+        run = np.repeat(mine, n)
+        key = _text_keys(parts[o])[at]
+        rank = np.lexsort((at, key))
+        same = key[rank][1:] == key[rank][:-1]
+        twice = np.zeros(len(at), bool)
+        twice[rank] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        kept = np.ones(len(at), bool)
+        kept[rank[1:][same]] = False
+        a, b = _stretches(np.zeros(twice.sum(), np.int64), at[twice])
+        spans.append((np.full(len(a), o), at[twice][a], at[twice][b] + SIZE))
+        a, b = _stretches(run[kept], at[kept])
+        who = run[kept][a]
+        runs.append((owner[who], h[who], anchor[who], at[kept][a], at[kept][b]))
+    whole = tuple(np.concatenate(c) for c in zip(*runs, strict=True))
+    return whole, tuple(np.concatenate(c) for c in zip(*spans, strict=True)) if spans else tuple(np.zeros(0, np.int64) for _ in range(3))
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs (own false) and stretches that a text itself repeats (own true, first to last exclusive)."""
     for batch in batches:
         seen: dict[tuple, bytes] = {}
         for a, b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             seen.setdefault((a, b), t)
         keys, texts = np.array(list(seen), np.int64).reshape(-1, 2), list(seen.values())
         for who, where, parts in _cut(texts):
-            owner, h, anchor, first, last = anchors(parts)
-            text, shift = np.array(who)[owner], np.array(where, np.int64)[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, keys[text, 0], keys[text, 1], anchor + shift, first + shift, last + shift)], ["gram", "k1", "k2", "anchor", "first", "last"])
+            (owner, h, anchor, first, last), (whose, start, stop) = _settle(parts, *anchors(parts))
+            for own, o, g, columns in ((False, owner, h, (anchor, first, last)), (True, whose, np.zeros(len(whose), np.int64), (start, start, stop))):
+                if len(o):
+                    text, shift = np.array(who)[o], np.array(where, np.int64)[o]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), own)), pa.array(g), pa.array(keys[text, 0]), pa.array(keys[text, 1]), *[pa.array(c + shift) for c in columns]], ["own", "gram", "k1", "k2", "anchor", "first", "last"])
 
 
 def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From texts with their repeated anchors: the bytes of each run of windows, split by offset where grams are many."""
-    names = ["gram", "slice", "k1", "k2", "first", "offset", "bytes"]
+    """From texts with their repeated anchors: the bytes of each run of windows, but for grams that are many."""
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["gram", "k1", "k2", "first", "offset", "bytes"])
 
     rows: list[tuple] = []
     for batch in batches:
         for i in range(batch.num_rows):
             k1, k2, text, runs = (batch.column(c)[i].as_py() for c in range(4))
-            for r in runs:
-                if not r["many"]:
-                    rows.append((r["gram"], -1, k1, k2, r["first"], r["anchor"] - r["first"], text[r["first"] : r["last"] + SIZE]))
-                    continue
-                s = r["first"]
-                while s <= r["last"]:
-                    part = (r["anchor"] - s) // SLICE
-                    e = min(r["last"], r["anchor"] - part * SLICE)
-                    rows.append((r["gram"], part, k1, k2, s, r["anchor"] - s, text[s : e + SIZE]))
-                    s = e + 1
-            if len(rows) > 4000:
+            rows += [(r["gram"], k1, k2, r["first"], r["anchor"] - r["first"], text[r["first"] : r["last"] + SIZE]) for r in runs if not r["many"]]
+            if len(rows) > 2000:
                 yield out(rows)
                 rows = []
     if rows:
         yield out(rows)
 
 
-def _keys(data: np.ndarray) -> np.ndarray:
-    """62-bit key of each SIZE bytes."""
+def _many_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of grams that are many: kind 0 a window seen once here, 1 a settled stretch, 2 a key seen more than once here."""
+
+    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        gram, k1, k2, first = (np.array([r[c] for r in rows], np.int64) for c in range(4))
+        parts = [r[4] for r in rows]
+        n = np.array([len(p) for p in parts], np.int64) - SIZE + 1
+        row = np.repeat(np.arange(len(rows)), n)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
+        key = _keys(parts).view(np.int64)
+        order = np.lexsort((gram[row], key))
+        same = (key[order][1:] == key[order][:-1]) & (gram[row][order][1:] == gram[row][order][:-1])
+        twice = np.zeros(len(row), bool)
+        twice[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        lead = order[np.concatenate([[True], ~same])]
+        lead = lead[twice[lead]]
+        a, b = _stretches(row[twice], at[twice])
+        who = row[twice][a]
+        zero = lambda x: np.zeros(len(x), np.int64)
+        for kind, columns in (
+            (0, (gram[row[~twice]], key[~twice], k1[row[~twice]], k2[row[~twice]], at[~twice], at[~twice] + SIZE)),
+            (1, (zero(a), zero(a), k1[who], k2[who], at[twice][a], at[twice][b] + SIZE)),
+            (2, (gram[row[lead]], key[lead], *[zero(lead)] * 4)),
+        ):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *[pa.array(c) for c in columns]], ["kind", "gram", "key", "k1", "k2", "start", "stop"])
+
+    rows, size = [], 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            k1, k2, text, runs = (batch.column(c)[i].as_py() for c in range(4))
+            for r in runs:
+                if r["many"]:
+                    part = text[r["first"] : r["last"] + SIZE]
+                    rows.append((r["gram"], k1, k2, r["first"], part))
+                    size += len(part)
+            if size >= 2 * CHUNK:
+                yield from settle(rows)
+                rows, size = [], 0
+    if rows:
+        yield from settle(rows)
+
+
+def _text_keys(text: bytes) -> np.ndarray:
+    """Keys of all windows of one text, in lots that overlap."""
+    return _keys([text[i : i + LOT + SIZE - 1] for i in range(0, len(text) - SIZE + 1, LOT)])
+
+
+def _keys(parts: list[bytes]) -> np.ndarray:
+    """62-bit key of each SIZE bytes of each part, one part after the other; parts are hashed in lots."""
+    out, lot, size = [], [], 0
+    for p in parts:
+        lot.append(p)
+        size += len(p)
+        if size >= LOT:
+            out.append(_lot_keys(lot))
+            lot, size = [], 0
+    if lot:
+        out.append(_lot_keys(lot))
+    return np.concatenate(out)
+
+
+def _lot_keys(parts: list[bytes]) -> np.ndarray:
+    sizes = np.array([len(p) for p in parts], np.int64)
+    n = sizes - SIZE + 1
+    starts = np.cumsum(sizes) - sizes
+    at = np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
+    return _window_keys(np.frombuffer(b"".join(parts), np.uint8))[at]
+
+
+def _window_keys(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data) - SIZE + 1, np.uint64)
     for prime, base in _PRIMES:
         up, down = _Tables.get(base, len(data), prime)
@@ -191,13 +290,10 @@ def _keys(data: np.ndarray) -> np.ndarray:
 
 def repeated(groups: np.ndarray, offsets: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Part and window of each window that another part or place of the same group equals; groups are numbers."""
-    sizes = np.array([len(p) for p in parts], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    keys = _keys(np.frombuffer(b"".join(parts), np.uint8))
-    n = sizes - SIZE + 1
+    n = np.array([len(p) for p in parts], np.int64) - SIZE + 1
     part = np.repeat(np.arange(len(parts)), n)
     window = np.arange(len(part)) - np.repeat(np.cumsum(n) - n, n)
-    key = keys[starts[part] + window]
+    key = _keys(parts)
     tag = groups[part] * np.int64(SIZE) + offsets[part] - window
     order = np.argsort(key, kind="stable")
     key, tag = key[order], tag[order]
@@ -208,13 +304,12 @@ def repeated(groups: np.ndarray, offsets: np.ndarray, parts: list[bytes]) -> tup
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by gram and slice; gives covered stretches (k1, k2, start, stop)."""
+    """Rows sorted by gram; gives covered stretches (k1, k2, start, stop)."""
 
     def spans(table: pa.Table) -> pa.RecordBatch:
-        gram, slice_, k1, k2, first, offset = (table.column(i).to_numpy() for i in range(6))
-        data = table.column(6).to_pylist()
-        change = np.concatenate([[0], (gram[1:] != gram[:-1]) | (slice_[1:] != slice_[:-1])])
-        group = np.cumsum(change)
+        gram, k1, k2, first, offset = (table.column(i).to_numpy() for i in range(5))
+        data = table.column(5).to_pylist()
+        group = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]]))
         # rows of equal bytes at equal offsets in a group: one is compared for all
         rep: dict[tuple, int] = {}
         which, own = np.zeros(len(data), np.int64), []
@@ -256,11 +351,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         held.append(batch)
-        if sum(b.nbytes for b in held) < 4 * CHUNK:
+        if sum(b.nbytes for b in held) < CHUNK:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
-        gram, slice_ = table.column(0).to_numpy(), table.column(1).to_numpy()
-        other = np.flatnonzero((gram != gram[-1]) | (slice_ != slice_[-1]))
+        gram = table.column(0).to_numpy()
+        other = np.flatnonzero(gram != gram[-1])
         cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on in the next batch
         if cut:
             yield spans(table.slice(0, cut))
@@ -300,16 +395,23 @@ def dedup(docs: DataFrame, *, key: Column, text: Column) -> DataFrame:
     """key, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     body = F.coalesce(text.cast("string"), F.lit("")).cast("binary")
     k1, k2 = F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body, F.lit(2)).alias("k2")
-    found = written(docs.select(k1, k2, body.alias("text")).filter(F.length("text") >= SIZE).mapInArrow(_anchor_rows, "gram long, k1 long, k2 long, anchor long, first long, last long"), "anchors")
+    found = written(docs.select(k1, k2, body.alias("text")).filter(F.length("text") >= SIZE).mapInArrow(_anchor_rows, "own boolean, gram long, k1 long, k2 long, anchor long, first long, last long"), "anchors")
     place = F.xxhash64("k1", "k2", "anchor", "first")
-    grams = written(found.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).filter("a != b").select("gram", (F.col("n") > MANY).alias("many")), "grams")
-    runs = found.join(grams, "gram").groupBy("k1", "k2").agg(F.collect_set(F.struct("gram", "anchor", "first", "last", "many")).alias("runs"))
-    runs = written(runs, "runs")
+    grams = found.filter("not own").groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).filter("a != b")
+    grams = written(grams.select("gram", (F.col("n") > MANY).alias("many")), "grams")
+    run = F.struct("gram", "anchor", "first", "last", "many")
+    shared = found.filter("not own").join(grams, "gram").select("k1", "k2", run.alias("run"))
+    none = found.filter("own").select("k1", "k2", F.lit(None).cast(shared.schema["run"].dataType).alias("run"))
+    runs = written(shared.unionByName(none).groupBy("k1", "k2").agg(F.collect_set("run").alias("runs")), "runs")
     once = docs.select(k1, k2, body.alias("text")).filter(F.length("text") >= SIZE).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     suspects = written(once.join(runs, ["k1", "k2"]).select("k1", "k2", "text", "runs", "copies"), "suspects")
-    suffixes = suspects.select("k1", "k2", "text", "runs").mapInArrow(_suffix_rows, "gram long, slice int, k1 long, k2 long, first long, offset int, bytes binary")
-    buckets = suffixes.repartitionByRange("gram", "slice").sortWithinPartitions("gram", "slice")
-    spans = buckets.mapInArrow(_compare, "k1 long, k2 long, start long, stop long")
+    texts = suspects.select("k1", "k2", "text", "runs")
+    few = texts.filter(F.exists("runs", lambda r: ~r["many"])).mapInArrow(_suffix_rows, "gram long, k1 long, k2 long, first long, offset int, bytes binary")
+    few = few.repartitionByRange("gram").sortWithinPartitions("gram").mapInArrow(_compare, "k1 long, k2 long, start long, stop long")
+    many = written(texts.filter(F.exists("runs", lambda r: r["many"])).mapInArrow(_many_rows, "kind int, gram long, key long, k1 long, k2 long, start long, stop long"), "many")
+    counted = many.filter("kind != 1").groupBy("gram", "key").agg(F.count("*").alias("n"), F.max("kind").alias("kind")).filter("n > 1 or kind = 2").select("gram", "key")
+    again = many.filter("kind = 0").join(written(counted, "repeated"), ["gram", "key"]).select("k1", "k2", "start", "stop")
+    spans = few.unionByName(again).unionByName(many.filter("kind = 1").select("k1", "k2", "start", "stop")).unionByName(found.filter("own").select("k1", "k2", F.col("first").alias("start"), F.col("last").alias("stop")))
     spans = written(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
     singles = suspects.filter("copies = 1").select("k1", "k2", "text").join(spans, ["k1", "k2"]).mapInArrow(_digests, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string")
     several = docs.select(k1, k2, F.length(body).cast("long").alias("n")).filter(F.col("n") >= SIZE).groupBy("k1", "k2").agg(F.max("n").alias("n"), F.count("*").alias("copies")).filter("copies > 1")

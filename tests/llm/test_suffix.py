@@ -39,6 +39,7 @@ def texts(seed=4):
         out += [prose(30) + s + prose(50), s + prose(9), prose(80) + s, prose(5) + s[7:] + prose(3)]
     out += [out[10]] * 3 + [prose(40) + shared[0] + prose(10) + shared[0] + shared[1]]
     out += ["q" + exact + "r", "s" + exact + "t", "u" + exact + "r"]
+    out += [("Und die " * 90) + prose(20), prose(30) + "Und die " * 200 + prose(9) + "Und die " * 70, "Und die " * 51, "z" * 2500, prose(8) + "z" * 700 + prose(9)]
     base = prose(300)
     for _ in range(6):
         at = rng.randrange(len(base))
@@ -68,7 +69,10 @@ def test_every_window_has_its_least_gram_as_anchor(monkeypatch):
         for owner, h, anchor, first, last in zip(*suffix.anchors(parts)):
             for s in range(first, last + 1):
                 seen[who[owner]][where[owner] + s] = (where[owner] + anchor, h)
+    monkeypatch.setattr(suffix, "LOT", 700)
     for i, t in enumerate(data):
+        if len(t) >= 400:
+            assert (suffix._text_keys(t) == suffix._window_keys(np.frombuffer(t, np.uint8))).all()
         assert sorted(seen[i]) == list(range(max(0, len(t) - 399)))
         if len(t) >= 400:
             grams = suffix._grams(np.frombuffer(t, np.uint8))
