@@ -183,4 +183,5 @@ def first_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     component = labelled(prints)
     order = F.struct(F.col("key").isNull().alias("none"), "key", "row")
     firsts = written(prints.join(component, "fp").withColumn("group", F.coalesce(F.col("component").cast("string"), F.col("fp").cast("string"))).groupBy("group", F.col("component").isNull()).agg(F.min(order)["row"].alias("row")).select("row"), "firsts")
-    return unpacked(held.join(firsts, "row", "left_semi"), "doc", columns)
+    # the same join at every size: the rows to keep grow with the documents, so they are never broadcast
+    return unpacked(held.join(firsts.hint("merge"), "row", "left_semi"), "doc", columns)
