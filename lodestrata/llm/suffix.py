@@ -9,8 +9,8 @@ in their bucket, and neighbours that are equal to the depth of SIZE bytes are ma
 straddle two buckets, so no comparison across boundaries is left. In a bucket suffixes are sorted by a 62-bit key of
 their SIZE bytes (two modular polynomials), gram and offset, since equality to that depth is all that is asked.
 
-Grams with over MANY suffixes don't go to one bucket: each task settles what it holds twice, and of what is left one
-row for each window is counted by (gram, key), wherever it is.
+Grams with over MANY suffixes don't go to one bucket: each task settles what it holds twice, and sends what is left,
+with one of each that it settled, to as many buckets as the gram's suffixes ask for, dealt by the windows' keys.
 
 Equal texts are one entry: they are removed whole if they have SIZE bytes. What is removed depends on a text alone, so
 texts stand under a 128-bit key and results are joined back by it.
@@ -34,8 +34,9 @@ SIZE = 400
 GRAM = 48
 #: Gram starts in a window of SIZE bytes.
 SPAN = SIZE - GRAM + 1
-#: Suffixes of one gram beyond which its windows are counted by key.
+#: Suffixes of one gram beyond which its windows are dealt by key, and suffixes for each bucket of them.
 MANY = 256
+SHARE = 64
 #: Bytes that are hashed at a time, and those whose windows are sorted at a time (a group is never split).
 CHUNK = 1 << 20
 LOT = 1 << 19
@@ -200,7 +201,7 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             k1, k2, text, runs = (batch.column(c)[i].as_py() for c in range(4))
-            rows += [(r["gram"], k1, k2, r["first"], r["anchor"] - r["first"], text[r["first"] : r["last"] + SIZE]) for r in runs if not r["many"]]
+            rows += [(r["gram"], k1, k2, r["first"], r["anchor"] - r["first"], text[r["first"] : r["last"] + SIZE]) for r in runs if not r["buckets"]]
             if len(rows) > 2000:
                 yield out(rows)
                 rows = []
@@ -209,45 +210,90 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _many_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of grams that are many: kind 0 a window seen once here, 1 a settled stretch, 2 a key seen more than once here."""
+    """Of grams that are many: settled stretches (lists of k1, k2, place, stop), and for each bucket lists of keys, k1, k2, place.
+
+    Place -1 stands for a key that is settled here."""
+    names, lists = ["gram", "bucket", "keys", "k1", "k2", "place", "stop"], pa.list_(pa.int64())
+
+    def out(gram: np.ndarray, bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+        """Rows of lists: values in order of gram and bucket."""
+        edge = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (bucket[1:] != bucket[:-1])]))
+        ends = pa.array(np.concatenate([edge, [len(gram)]]).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(gram[edge]), pa.array(bucket[edge]), *[pa.ListArray.from_arrays(ends, pa.array(c)).cast(lists) for c in columns]], names)
 
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        gram, k1, k2, first = (np.array([r[c] for r in rows], np.int64) for c in range(4))
-        parts = [r[4] for r in rows]
+        gram, share, k1, k2, first = (np.array([r[c] for r in rows], np.int64) for c in range(5))
+        parts = [r[5] for r in rows]
         n = np.array([len(p) for p in parts], np.int64) - SIZE + 1
         row = np.repeat(np.arange(len(rows)), n)
         at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
         key = _keys(parts).view(np.int64)
-        order = np.lexsort((gram[row], key))
+        order = np.lexsort((key, gram[row]))
         same = (key[order][1:] == key[order][:-1]) & (gram[row][order][1:] == gram[row][order][:-1])
         twice = np.zeros(len(row), bool)
         twice[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        lead = order[np.concatenate([[True], ~same])]
-        lead = lead[twice[lead]]
+        lead = order[np.concatenate([[True], ~same])]  # one window of each key
+        bucket = key[lead] % share[row[lead]]
+        lead = lead[np.lexsort((bucket, gram[row[lead]]))]
+        bucket, settled = key[lead] % share[row[lead]], twice[lead]
+        yield out(gram[row[lead]], bucket, [key[lead], k1[row[lead]], k2[row[lead]], np.where(settled, -1, at[lead]), at[lead] + SIZE])
         a, b = _stretches(row[twice], at[twice])
         who = row[twice][a]
-        zero = lambda x: np.zeros(len(x), np.int64)
-        for kind, columns in (
-            (0, (gram[row[~twice]], key[~twice], k1[row[~twice]], k2[row[~twice]], at[~twice], at[~twice] + SIZE)),
-            (1, (zero(a), zero(a), k1[who], k2[who], at[twice][a], at[twice][b] + SIZE)),
-            (2, (gram[row[lead]], key[lead], *[zero(lead)] * 4)),
-        ):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *[pa.array(c) for c in columns]], ["kind", "gram", "key", "k1", "k2", "start", "stop"])
-
-    rows, size = [], 0
+        if len(a):
+            yield out(np.zeros(len(a), np.int64), np.full(len(a), -1), [np.zeros(len(a), np.int64), k1[who], k2[who], at[twice][a], at[twice][b] + SIZE])
+
     for batch in batches:
+        found = []
         for i in range(batch.num_rows):
             k1, k2, text, runs = (batch.column(c)[i].as_py() for c in range(4))
-            for r in runs:
-                if r["many"]:
-                    part = text[r["first"] : r["last"] + SIZE]
-                    rows.append((r["gram"], k1, k2, r["first"], part))
-                    size += len(part)
-            if size >= 2 * CHUNK:
+            found += [(r["gram"], r["buckets"], k1, k2, r["first"], text[r["first"] : r["last"] + SIZE]) for r in runs if r["buckets"]]
+        found.sort(key=lambda r: r[0])  # so that a lot holds whole grams, but for the largest
+        rows, size = [], 0
+        for r in found:
+            if size >= 2 * CHUNK or size >= CHUNK and r[0] != rows[-1][0]:
                 yield from settle(rows)
                 rows, size = [], 0
-    if rows:
-        yield from settle(rows)
+            rows.append(r)
+            size += len(r[5])
+        if rows:
+            yield from settle(rows)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by gram and bucket; gives the windows whose key another row of the bucket has."""
+    held: list[pa.RecordBatch] = []
+
+    def met(table: pa.Table) -> pa.RecordBatch:
+        lengths = np.diff(np.asarray(table.column(2).combine_chunks().offsets))
+        group = np.repeat(np.cumsum(np.concatenate([[0], (np.diff(table.column(0).to_numpy()) != 0) | (np.diff(table.column(1).to_numpy()) != 0)])), lengths)
+        key, k1, k2, place = (np.asarray(table.column(i).combine_chunks().flatten()) for i in range(2, 6))
+        order = np.lexsort((key, group))
+        same = (key[order][1:] == key[order][:-1]) & (group[order][1:] == group[order][:-1])
+        twice = np.zeros(len(key), bool)
+        twice[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        # windows of one text in a row, as one stretch
+        found = np.flatnonzero(twice & (place >= 0))
+        found = found[np.lexsort((place[found], k2[found], k1[found]))]
+        new = np.concatenate([[True], (k1[found][1:] != k1[found][:-1]) | (k2[found][1:] != k2[found][:-1]) | (place[found][1:] > place[found][:-1] + SIZE)]) if len(found) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        last = np.concatenate([first[1:], [len(found)]]) - 1 if len(first) else first
+        return pa.RecordBatch.from_arrays([pa.array(k1[found][first]), pa.array(k2[found][first]), pa.array(place[found][first]), pa.array(place[found][last] + SIZE)], ["k1", "k2", "start", "stop"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.nbytes for b in held) < 4 * CHUNK:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        gram, bucket = table.column(0).to_numpy(), table.column(1).to_numpy()
+        other = np.flatnonzero((gram != gram[-1]) | (bucket != bucket[-1]))
+        cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on in the next batch
+        if cut:
+            yield met(table.slice(0, cut).combine_chunks())
+            held = table.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield met(pa.Table.from_batches(held).combine_chunks())
 
 
 def _text_keys(text: bytes) -> np.ndarray:
@@ -398,20 +444,22 @@ def dedup(docs: DataFrame, *, key: Column, text: Column) -> DataFrame:
     found = written(docs.select(k1, k2, body.alias("text")).filter(F.length("text") >= SIZE).mapInArrow(_anchor_rows, "own boolean, gram long, k1 long, k2 long, anchor long, first long, last long"), "anchors")
     place = F.xxhash64("k1", "k2", "anchor", "first")
     grams = found.filter("not own").groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).filter("a != b")
-    grams = written(grams.select("gram", (F.col("n") > MANY).alias("many")), "grams")
-    run = F.struct("gram", "anchor", "first", "last", "many")
+    grams = written(grams.select("gram", F.when(F.col("n") > MANY, F.ceil(F.col("n") / SHARE)).otherwise(0).cast("long").alias("buckets")), "grams")
+    run = F.struct("gram", "anchor", "first", "last", "buckets")
     shared = found.filter("not own").join(grams, "gram").select("k1", "k2", run.alias("run"))
     none = found.filter("own").select("k1", "k2", F.lit(None).cast(shared.schema["run"].dataType).alias("run"))
     runs = written(shared.unionByName(none).groupBy("k1", "k2").agg(F.collect_set("run").alias("runs")), "runs")
     once = docs.select(k1, k2, body.alias("text")).filter(F.length("text") >= SIZE).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     suspects = written(once.join(runs, ["k1", "k2"]).select("k1", "k2", "text", "runs", "copies"), "suspects")
     texts = suspects.select("k1", "k2", "text", "runs")
-    few = texts.filter(F.exists("runs", lambda r: ~r["many"])).mapInArrow(_suffix_rows, "gram long, k1 long, k2 long, first long, offset int, bytes binary")
+    few = texts.filter(F.exists("runs", lambda r: r["buckets"] == 0)).mapInArrow(_suffix_rows, "gram long, k1 long, k2 long, first long, offset int, bytes binary")
     few = few.repartitionByRange("gram").sortWithinPartitions("gram").mapInArrow(_compare, "k1 long, k2 long, start long, stop long")
-    many = written(texts.filter(F.exists("runs", lambda r: r["many"])).mapInArrow(_many_rows, "kind int, gram long, key long, k1 long, k2 long, start long, stop long"), "many")
-    counted = many.filter("kind != 1").groupBy("gram", "key").agg(F.count("*").alias("n"), F.max("kind").alias("kind")).filter("n > 1 or kind = 2").select("gram", "key")
-    again = many.filter("kind = 0").join(written(counted, "repeated"), ["gram", "key"]).select("k1", "k2", "start", "stop")
-    spans = few.unionByName(again).unionByName(many.filter("kind = 1").select("k1", "k2", "start", "stop")).unionByName(found.filter("own").select("k1", "k2", F.col("first").alias("start"), F.col("last").alias("stop")))
+    dealt = "gram long, bucket long, keys array<long>, k1 array<long>, k2 array<long>, place array<long>, stop array<long>"
+    many = written(texts.filter(F.exists("runs", lambda r: r["buckets"] > 0)).mapInArrow(_many_rows, dealt), "many")
+    again = many.filter("bucket >= 0").repartition("gram", "bucket").sortWithinPartitions("gram", "bucket").mapInArrow(_meet, "k1 long, k2 long, start long, stop long")
+    settled = many.filter("bucket < 0").select(F.explode(F.arrays_zip("k1", "k2", F.col("place").alias("start"), "stop")).alias("s")).select("s.k1", "s.k2", "s.start", "s.stop")
+    own = found.filter("own").select("k1", "k2", F.col("first").alias("start"), F.col("last").alias("stop"))
+    spans = few.unionByName(again).unionByName(settled).unionByName(own)
     spans = written(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
     singles = suspects.filter("copies = 1").select("k1", "k2", "text").join(spans, ["k1", "k2"]).mapInArrow(_digests, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string")
     several = docs.select(k1, k2, F.length(body).cast("long").alias("n")).filter(F.col("n") >= SIZE).groupBy("k1", "k2").agg(F.max("n").alias("n"), F.count("*").alias("copies")).filter("copies > 1")
