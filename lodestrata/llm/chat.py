@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.common import offsets
+
 START, STOP = "<|im_start|>", "<|im_end|>"
 #: Beginnings of control strings: of this template's and of other common ones. Fixed values.
 CONTROL = r"(?i)<(?=\||/?s>|</?sys>>)|\[(?=/?inst\])"
@@ -69,14 +71,14 @@ def render(folded: DataFrame) -> DataFrame:
     """conversation, formatted text and loss: code-point spans of the assistants' texts in it."""
     parts = folded.select("conversation", F.transform("messages", lambda m: F.struct(m["role"].alias("role"), escape_role(m["role"]).alias("head"), escape(m["text"]).alias("body"))).alias("parts"))
 
-    def step(state: Column, part: Column) -> Column:
-        first = state["at"] + F.length(part["head"]) + len(START) + 1
-        last = first + F.length(part["body"])
-        span = F.struct(first.alias("start"), last.alias("stop"))
-        return F.struct((last + len(STOP) + 1).alias("at"), F.when(part["role"] == ASSISTANT, F.array_append(state["loss"], span)).otherwise(state["loss"]).alias("loss"))
+    size = lambda p: F.length(p["head"]) + F.length(p["body"]) + len(START) + len(STOP) + 2
+
+    def span(at: Column, part: Column) -> Column:
+        first = at + F.length(part["head"]) + len(START) + 1
+        return F.when(part["role"] == ASSISTANT, F.struct(first.alias("start"), (first + F.length(part["body"])).alias("stop")))
 
+    spans = F.array_compact(F.zip_with(offsets(F.transform("parts", size)), "parts", span))
     whole = F.array_join(F.transform("parts", lambda p: F.concat(F.lit(START), p["head"], F.lit("\n"), p["body"], F.lit(STOP + "\n"))), "")
-    spans = F.aggregate("parts", F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,stop:int>>)").alias("loss")), step)["loss"]
     return parts.select("conversation", whole.alias("formatted"), spans.alias("loss"))
 
 
@@ -84,10 +86,8 @@ def parse(rendered: DataFrame) -> DataFrame:
     """conversation, the messages read back from the formatted text, and the unescaped texts under the loss mask."""
     pieces = F.slice(F.split("formatted", r"<\|im_end\|>\n", -1), 1, 1 << 30)
     split = rendered.select("conversation", "formatted", "loss", F.slice(pieces, 1, F.size(pieces) - 1).alias("pieces"))
-    ends = F.aggregate(
-        "pieces", F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<at:int,piece:string>>)").alias("all")),
-        lambda s, p: F.struct((s["at"] + F.length(p) + len(STOP) + 1).alias("at"), F.array_append(s["all"], F.struct(s["at"].alias("at"), p.alias("piece"))).alias("all")),
-    )["all"]
+    starts = offsets(F.transform("pieces", lambda p: F.length(p) + len(STOP) + 1))
+    ends = F.zip_with(starts, "pieces", lambda at, p: F.struct(at.alias("at"), p.alias("piece")))
     head = lambda p: F.substring_index(F.substring(p, len(START) + 1, 2147483647), "\n", 1)
     placed = split.withColumn("placed", ends).withColumn(
         "messages", F.transform("pieces", lambda p: F.struct(unescape_role(head(p)).alias("role"), unescape(F.substring(p, F.length(head(p)) + len(START) + 2, 2147483647)).alias("text")))

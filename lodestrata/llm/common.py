@@ -55,3 +55,23 @@ def unpacked(df: DataFrame, field: str, columns: list[str]) -> DataFrame:
 def text_key(text: Column) -> Column:
     """128 bits that stand for a text: rows with equal texts get equal decisions."""
     return F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32)
+
+
+#: Elements that are summed in one go by :func:`offsets`.
+STRETCH = 512
+
+
+def offsets(lengths: Column) -> Column:
+    """Where each of consecutive pieces starts: exclusive running sums of an array of whole numbers.
+
+    Spark has no running fold over an array, and appending to one copies it; so stretches are summed by
+    themselves, and then their totals, which keeps the work far from the square of the pieces."""
+
+    def run(values: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("all"))
+        return F.aggregate(values, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["all"], s["at"]).alias("all")))
+
+    count = F.floor((F.size(lengths) + F.lit(STRETCH - 1)) / STRETCH).cast("int")
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: run(F.slice(lengths, (i - 1) * STRETCH + 1, F.lit(STRETCH))))
+    bases = run(F.transform(cut, lambda c: c["at"]))["all"]
+    return F.flatten(F.zip_with(cut, bases, lambda c, b: F.transform(c["all"], lambda x: x + b)))

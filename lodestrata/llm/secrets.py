@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import packed, text_key, written
+from lodestrata.llm.common import offsets, packed, text_key, written
 
 #: Kind, pattern, group that holds the value, least length of that value. Fixed values.
 BASE = (
@@ -50,19 +50,19 @@ def _spans(text: Column, code: int) -> Column:
     name, pattern, group, least = KINDS[code]
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))
+    gaps = F.split(text, pattern, -1)  # one more than there are matches
+    starts = offsets(F.zip_with(gaps, whole, lambda g, w: F.length(g) + F.coalesce(F.length(w), F.lit(0))))
+    parts = F.filter(F.arrays_zip(starts.alias("at"), gaps.alias("gap"), whole.alias("whole"), value.alias("value")), lambda p: F.length(p["value"]) >= least)
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.length(part["gap"])
+    def span(part: Column) -> Column:
+        start = part["at"] + F.length(part["gap"])
         stop = start + F.length(part["whole"])
-        span = F.struct(
+        return F.struct(
             start.alias("start"), F.lit(code).alias("kind"), stop.alias("stop"), (stop - F.length(part["value"])).alias("at"),
             F.sha2(part["value"], 256).alias("value"), _looks_live(part["value"]).alias("looks"),
         )
-        keep = F.length(part["value"]) >= least
-        return F.struct(F.coalesce(stop, start).alias("at"), F.when(keep, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("spans")), step)["spans"]
+    found = F.transform(parts, span)
     return F.when(text.rlike(PRESENT.get(name, pattern)), found).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 

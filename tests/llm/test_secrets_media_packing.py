@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm import media, packing, secrets
+from lodestrata.llm import common, media, packing, secrets
 
 HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
 TEXTS = [
@@ -50,6 +50,21 @@ def test_base_spans_equal_brute_force(spark):
     assert {k: sorted(v) for k, v in want.items()} == {k: sorted(v) for k, v in got.items()}
 
 
+def test_offsets(spark, monkeypatch):
+    for stretch in (3, 512):
+        monkeypatch.setattr(common, "STRETCH", stretch)
+        for n in (0, 1, 2, 3, 4, 9, 10, 40):
+            row = spark.createDataFrame([([i % 7 for i in range(n)],)], "a array<int>").select(common.offsets(F.col("a")).alias("o")).first()
+            assert row.o == [sum(i % 7 for i in range(j)) for j in range(n)]
+
+
+def test_a_text_of_very_many_spans(spark):
+    text = " ".join(f"{i:025x}" for i in range(20_000))
+    got = scan(spark.createDataFrame([(1, text, "a", "en")], "doc_id long, text string, source string, lang string")).first()
+    assert got.n_hex == 20_000
+    assert got.base_sha256 == hashlib.sha256(",".join(f"hex:{26 * i}:{26 * i + 25}" for i in range(20_000)).encode()).hexdigest()
+
+
 def test_widely_copied_values_are_examples(spark):
     rows = [(i, f"token={HEX}", f"s{i}") for i in range(6)] + [(10 + i, f"token={HEX[::-1]}", "one") for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
