@@ -105,8 +105,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -40, 40)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.02, decay: float = 1e-4) -> Machine:
-    """Logistic loss by Adam over seeded batches."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 600, batch: int = 128, rate: float = 0.02, decay: float = 1e-4) -> Machine:
+    """Logistic loss by Adam over seeded batches: ``steps`` of them at least, in whole passes over the rows."""
     rng = np.random.default_rng(11)
     zero = np.zeros
     if not len(labels) or labels.min() == labels.max():
@@ -114,7 +114,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     w, v, w0 = zero(SIZE, np.float32), (rng.standard_normal((SIZE, RANK)) * 0.01).astype(np.float32), float(np.log(labels.mean() / (1 - labels.mean())))
     state = [zero(SIZE, np.float32), zero(SIZE, np.float32), zero((SIZE, RANK), np.float32), zero((SIZE, RANK), np.float32)]
     machine, step = Machine(w0, w, v), 0
-    for _ in range(epochs):
+    for _ in range(-(-steps // -(-len(rows) // batch))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
             chosen = order[at : at + batch]

@@ -67,7 +67,7 @@ def test_code_lengths_are_exact_and_probabilities_sum_to_one():
         for i in range(3, len(padded)):
             c = tuple(int(s) for s in t.lut[list(padded[i - 3 : i])])
             row = next(t.contexts.index(c[j:]) for j in range(4) if c[j:] in t.contexts)
-            want += t.table[row * a + t.lut[padded[i]]]
+            want += t.table[row * a + int(t.lut[padded[i]])]
         assert np.allclose(bits, want, rtol=1e-5)
     once = t.lengths([b"abab " * 1000])[0]
     assert np.allclose((got[3] - once) / (300_000 - 1000), (once - t.lengths([b"abab " * 500])[0]) / 500, rtol=1e-3)
