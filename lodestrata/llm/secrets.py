@@ -37,15 +37,19 @@ PLACEHOLDER = r"(?i)example|changeme|dummy|placeholder|your[_-]?|xxxx|0000000|12
 SPAN = "array<struct<start:int,kind:int,stop:int,at:int,value:string,looks:boolean>>"
 
 
-def _looks_live(value: Column) -> Column:
-    """Long enough, letters and digits, many distinct characters, no placeholder word."""
+def _looks_live(value: Column, name: str, by_owner: bool) -> Column:
+    """Long enough, letters and digits, many distinct characters, no placeholder word.
+
+    ``by_owner``: of the kinds that say what they are (all but hex), every value without a placeholder word, so that ownership decides."""
+    if by_owner and name != "hex":
+        return ~value.rlike(PLACEHOLDER)
     return (
         (F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDER)
         & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
     )
 
 
-def _spans(text: Column, code: int) -> Column:
+def _spans(text: Column, code: int, by_owner: bool) -> Column:
     """Spans of one kind: the pieces between matches and the matches add up to positions."""
     name, pattern, group, least = KINDS[code]
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -59,17 +63,17 @@ def _spans(text: Column, code: int) -> Column:
         stop = start + F.length(part["whole"])
         return F.struct(
             start.alias("start"), F.lit(code).alias("kind"), stop.alias("stop"), (stop - F.length(part["value"])).alias("at"),
-            F.sha2(part["value"], 256).alias("value"), _looks_live(part["value"]).alias("looks"),
+            F.sha2(part["value"], 256).alias("value"), _looks_live(part["value"], name, by_owner).alias("looks"),
         )
 
     found = F.transform(parts, span)
     return F.when(text.rlike(PRESENT.get(name, pattern)), found).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
-def candidates(text: Column) -> Column:
+def candidates(text: Column, by_owner: bool = False) -> Column:
     """All candidate spans of a text, by start, kind, stop."""
     text = F.coalesce(text, F.lit(""))
-    return F.array_sort(F.concat(*[_spans(text, i) for i in range(len(KINDS))]))
+    return F.array_sort(F.concat(*[_spans(text, i, by_owner) for i in range(len(KINDS))]))
 
 
 def ownership(found: DataFrame, widely: int) -> DataFrame:
@@ -83,13 +87,13 @@ def ownership(found: DataFrame, widely: int) -> DataFrame:
     return whole.withColumn("live", F.col("looks") & (F.col("n_owners") < widely))
 
 
-def scan(docs: DataFrame, *, key: Column, text: Column, owner: Column, repo: Column, widely: int = 5) -> DataFrame:
+def scan(docs: DataFrame, *, key: Column, text: Column, owner: Column, repo: Column, widely: int = 5, by_owner: bool = False) -> DataFrame:
     """One row for each row of ``docs``: key, row, spans (candidates), live (spans of live-looking values), n_example.
 
-    ``widely``: so many distinct owners make a value a widely copied example."""
+    ``widely``: so many distinct owners make a value a widely copied example. ``by_owner``: see :func:`_looks_live`."""
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     found = written(
-        docs.select(key.alias("key"), F.monotonically_increasing_id().alias("row"), name(owner).alias("owner"), name(repo).alias("repo"), candidates(text).alias("spans")),
+        docs.select(key.alias("key"), F.monotonically_increasing_id().alias("row"), name(owner).alias("owner"), name(repo).alias("repo"), candidates(text, by_owner).alias("spans")),
         "secret-spans",
     )
     verdicts = written(ownership(found, widely), "secret-owners").select("value", "live", "n_owners")
@@ -129,6 +133,8 @@ def digest(scanned: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, *, text: str = "text", owner: Column, repo: Column, widely: int = 5, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each live-looking value replaced by ``mark``; texts without one stay as they are.
 
+    Ownership comes first: an assigned value of any length and alphabet that few owners have is taken for live.
+
     A document's verdicts depend on its text alone, so they are joined back by the text's digest, and only
     documents with a candidate are shuffled."""
     columns, body = docs.columns, F.col(f"`{text}`")
@@ -136,7 +142,7 @@ def redact(docs: DataFrame, *, text: str = "text", owner: Column, repo: Column,
     for k in KINDS:
         any_kind = any_kind | F.coalesce(body, F.lit("")).rlike(PRESENT.get(k[0], k[1]))
     suspects = docs.filter(any_kind)
-    live = scan(suspects, key=text_key(body), text=body, owner=owner, repo=repo, widely=widely)
+    live = scan(suspects, key=text_key(body), text=body, owner=owner, repo=repo, widely=widely, by_owner=True)
     live = written(live.filter(F.size("live") > 0).groupBy("key").agg(F.first("live").alias("live")), "secret-live")
     held = suspects.select(packed(docs).alias("doc"), text_key(body).alias("key")).join(live, "key", "left")
     whole = F.col("doc").getField(text)

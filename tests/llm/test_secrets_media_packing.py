@@ -84,6 +84,17 @@ def test_empty_table_and_redaction_keeps_columns(spark):
     assert out.filter("n_chars != length(coalesce(text, ''))").count() == 0
 
 
+def test_redaction_judges_by_ownership_first(spark):
+    own = ["Sup3rS3cret", "hunter", "correcthorsebattery", "83615204", "ZQWPLMKA"]
+    texts = [(i, f"password={v} end", "s0") for i, v in enumerate(own)]
+    texts += [(10 + i, "password=Shared12", f"s{i}") for i in range(5)] + [(20, "password=changeme", "s0"), (21, "a" * 40, "s0"), (22, "AKIA" + "QWERTYUIOPASDFGH", "s0")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, owner=F.col("source"), repo=F.col("source")).collect()}
+    assert all(clean[i] == "password=[SECRET] end" for i in range(len(own)))
+    assert all(clean[10 + i] == "password=Shared12" for i in range(5))
+    assert clean[20] == "password=changeme" and clean[21] == "a" * 40 and clean[22] == "[SECRET]"
+
+
 def test_media_rows_round_trip(spark):
     docs = docs_of(spark, [t for t in TEXTS] + ["y" * 64, "z" * 63])
     texts = [r.text for r in docs.collect()]
