@@ -7,9 +7,10 @@ kept if the best of the other half can still lift them to ``alpha``. Vectors mee
 verified by cosine in double precision, so no link below the threshold is reported. ``alpha`` is calibrated on drawn
 pairs at exactly the threshold, the hardest ones, to the wanted recall (0.99; closer pairs are found more surely).
 
-Equal vectors are one entry with a count. A pair is counted only in the first filter that both have, so degrees
-need no list of pairs; a worker gives sums for each vector and a spanning forest of its links. Filters with over
-``block`` vectors are split into blocks, and pairs of blocks are compared by different workers.
+Equal vectors are one entry with a count. Very close ones form balls (a centre, a radius of at most half the
+threshold's angle): all members of a ball link, and two balls whose angle and radii are together within the
+threshold's angle link whole, so a large group of near copies costs its members, not its pairs. A ball stands in the
+filters of all its members. Only where two balls link in part are their members compared, in blocks of ``block``.
 
 Defined results: null or empty vectors, zero vectors and such with null or non-finite components have no links,
 are their own component and kept; vectors of different lengths never link; null ids are ignored when a smallest
@@ -27,13 +28,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import written
-from lodestrata.llm.graph import Forest, components
+from lodestrata.llm.graph import components
 
 CODEWORDS = 1024
 TURNS = 8
 RECALL = 0.99
 BLOCK = 512
 SEED = 17
+#: Directions by which vectors of a lot are dealt before balls are looked for, and vectors in a lot.
+HOMES = 64
+LOT = 8192
+#: Members that make a ball worth merging with those of other lots.
+MANY = 8
+#: Angles (radians) nearer than this to a limit are decided by comparing members.
+MARGIN = 1e-6
 
 
 class Code:
@@ -80,13 +88,28 @@ class Code:
             return np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(self.filters(x, alpha), self.filters(y, alpha), strict=True)]) >= recall
 
         low = high = 0.96
-        while low > 0.06 and not enough(low):  # from above: lists are short there
-            low, high = low - 0.06, low
+        while low > -1 and not enough(low):  # from above: lists are short there; at -1 every filter is listed
+            low, high = max(low - 0.06, -1.0), low
         for _ in range(4):
             middle = (low + high) / 2
             low, high = (middle, high) if enough(middle) else (low, middle)
         return low
 
+    def homes(self, unit: np.ndarray) -> np.ndarray:
+        """A coarse place of each unit vector, the same for most vectors that are very close."""
+        return (unit @ self._directions().T).argmax(1)
+
+    def _directions(self) -> np.ndarray:
+        return np.random.default_rng([SEED, self.size, HOMES]).standard_normal((HOMES, self.size))
+
+    def best(self, unit: np.ndarray) -> np.ndarray:
+        """The first rotation's filter that each unit vector is nearest to."""
+        wide = np.zeros((len(unit), self.width))
+        wide[:, : self.size] = unit
+        turned, middle = wide @ self.turns[0], self.width // 2
+        p, q = (turned[:, :middle] @ self.half[0, 0].T).argmax(1), (turned[:, middle:] @ self.half[0, 1].T).argmax(1)
+        return p * self.codewords + q + (self.size << 40)
+
 
 @lru_cache(maxsize=8)
 def code(size: int, codewords: int, turns: int) -> Code:
@@ -105,76 +128,137 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _pairs(filter_: int, own: np.ndarray, units: np.ndarray, lists: list[np.ndarray], cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows of one filter (or pair of its blocks) link, and which of those links are counted here."""
-    near = units @ units.T >= cosine
-    np.fill_diagonal(near, False)
-    counted = near.copy()
-    if own[0] != own[-1]:
-        counted &= own[:, None] != own[None, :]
-    if counted.any():
-        before = [f[f < filter_] for f in lists]
-        names, where = np.unique(np.concatenate(before), return_inverse=True)
-        if len(names):
-            held = np.zeros((len(lists), len(names)), np.float32)
-            held[np.repeat(np.arange(len(lists)), [len(f) for f in before]), where] = 1
-            counted &= held @ held.T == 0
-    return near, counted
-
-
-def _stars(near: np.ndarray) -> np.ndarray:
-    """Each row's least reachable row."""
-    label = np.arange(len(near))
-    while True:
-        low = np.minimum(label, np.where(near, label[None, :], len(near)).min(1))
-        low = np.minimum(low, low[low])
-        if (low == label).all():
-            return label
-        label = low
-
-
-def _linker(cosine: float):
+def _angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ y.T, -1, 1))
+
+
+def balls(units: np.ndarray, homes: np.ndarray, half: float) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Members, centre and radius of each ball: greedily around the first vector that is in none yet."""
+    out, wide = [], np.cos(half)
+    order = np.argsort(homes, kind="stable")
+    for left in np.split(order, np.flatnonzero(np.diff(homes[order])) + 1):
+        while len(left):
+            near = units[left] @ units[left[0]] >= wide
+            near[0] = True
+            mine, left = left[near], left[~near]
+            centre, radius = units[mine[0]], 0.0
+            if len(mine) > 1:
+                middle = units[mine].mean(0)
+                middle /= np.linalg.norm(middle)
+                radius = float(_angles(units[mine], middle[None, :]).max())
+                if radius <= half - MARGIN:
+                    centre = middle
+                else:
+                    radius = float(_angles(units[mine], centre[None, :]).max())
+            out.append((mine, centre, radius))
+    return out
+
+
+def met(centres: np.ndarray, radii: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which balls link whole, and which perhaps in part; single vectors by their cosine alone."""
+    limit = np.arccos(cosine)
+    near = centres @ centres.T
+    angle, reach = np.arccos(np.clip(near, -1, 1)), radii[:, None] + radii[None, :]
+    single = reach == 0
+    whole = np.where(single, near >= cosine, angle + reach <= limit - MARGIN)
+    part = ~single & ~whole & (angle - reach <= limit + MARGIN)
+    return whole, part
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by their first ``keys`` columns, in batches that hold whole groups."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        key = np.stack([np.asarray(batch.column(i)) for i in range(keys)], 1)
+        other = np.flatnonzero(np.any(key != key[-1], axis=1))
+        cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on in the next batch
+        if cut:
+            yield batch.slice(0, cut)
+        held = batch.slice(cut)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _edges(batch: pa.RecordBatch, keys: int) -> list[tuple[int, int]]:
+    key = np.stack([np.asarray(batch.column(i)) for i in range(keys)], 1)
+    at = np.concatenate([[0], np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1, [len(key)]]).tolist()
+    return list(zip(at[:-1], at[1:], strict=True))
+
+
+def _matrix(column: pa.Array, start: int, stop: int) -> np.ndarray:
+    return np.asarray(column.slice(start, stop - start).flatten(), np.float64).reshape(stop - start, -1)
+
+
+def _merger(half: float):
+    """From balls sorted by home: which ball each is part of, if it lies whole within half the threshold's angle of it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, degree, held = Forest(), {}, None
+        home, tops = None, []
+        for batch in batches:
+            rows = []
+            for h, ball, centre, radius in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if h != home:
+                    home, tops = h, []
+                centre = np.array(centre)
+                for top in tops:
+                    reach = float(_angles(centre[None, :], top[1][None, :])[0, 0]) + radius
+                    if reach <= half - MARGIN:
+                        rows.append((ball, top[0], reach))
+                        break
+                else:
+                    tops.append((ball, centre))
+            if rows:
+                a, b, c = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["ball", "top", "reach"])
+
+    return run
+
 
-        def take(rows: pa.RecordBatch, key: np.ndarray) -> None:
-            edge = np.concatenate([[0], np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1, [len(key)]])
-            for s, e in zip(edge[:-1], edge[1:], strict=True):
+def _meeter(cosine: float):
+    """Rows (filter, part, own, ball, radius, centre) by filter and part: pairs of balls that link, and whether only in part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches, 2):
+            found: set[tuple[int, int, int]] = set()
+            for s, e in _edges(batch, 2):
                 if e - s < 2:
                     continue
-                own, node, n, vectors, lists = (rows.column(i).slice(s, e - s) for i in range(2, 7))
-                vectors = np.asarray(vectors.flatten(), np.float64).reshape(e - s, -1)
-                lists = np.split(np.asarray(lists.flatten()), np.asarray(lists.offsets)[1:-1] - lists.offsets[0].as_py())
-                own, node, n = (np.asarray(x) for x in (own, node, n))
-                near, counted = _pairs(int(key[s, 0]), own, _units(vectors), lists, cosine)
-                if near.any():
-                    for i, more in zip(node.tolist(), (counted @ n).tolist(), strict=True):
-                        if more:
-                            degree[i] = degree.get(i, 0) + more
-                    forest.add(zip(node.tolist(), node[_stars(near)].tolist(), strict=True))
+                ball, radii = (np.asarray(batch.column(i).slice(s, e - s)) for i in (3, 4))
+                for kind, linked in enumerate(met(_matrix(batch.column(5), s, e), radii, cosine)):
+                    i, j = np.nonzero(np.triu(linked, 1))
+                    found.update(zip(np.minimum(ball[i], ball[j]).tolist(), np.maximum(ball[i], ball[j]).tolist(), [kind] * len(i), strict=True))
+            if found:
+                a, b, kind = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(kind, pa.int64())], ["a", "b", "kind"])
 
-        for batch in batches:
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            if not batch.num_rows:
-                continue
-            key = np.stack([np.asarray(batch.column(i)) for i in (0, 1)], 1)
-            other = np.flatnonzero(np.any(key != key[-1], axis=1))
-            cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on in the next batch
-            if cut:
-                take(batch.slice(0, cut), key[:cut])
-            held = batch.slice(cut)
-        if held is not None and held.num_rows:
-            take(held, np.stack([np.asarray(held.column(i)) for i in (0, 1)], 1))
-        a, b = forest.star()
-        yield pa.RecordBatch.from_arrays([pa.array(list(degree), pa.int64()), pa.array([None] * len(degree), pa.int64()), pa.array(degree.values(), pa.int64())], ["a", "b", "links"])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([None] * len(a), pa.int64())], ["a", "b", "links"])
+    return run
+
+
+def _comparer(cosine: float):
+    """Rows (a, b, part, side, node, n, vector) by a, b and part: links of each member with the other ball, and the balls that have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches, 3):
+            for s, e in _edges(batch, 3):
+                a, b, _, side, node, n = (np.asarray(batch.column(i).slice(s, e - s)) for i in range(6))
+                units = _units(_matrix(batch.column(6), s, e))
+                x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+                near = units[x] @ units[y].T >= cosine
+                if near.any():
+                    links = np.concatenate([near @ n[y], near.T @ n[x], [0]])
+                    nodes = np.concatenate([node[x], node[y], [0]])
+                    yield pa.RecordBatch.from_arrays([pa.array([a[0]] * len(nodes), pa.int64()), pa.array([b[0]] * len(nodes), pa.int64()), pa.array(nodes, pa.int64()), pa.array(links, pa.int64())], ["a", "b", "node", "links"])
 
     return run
 
 
 def near(rows: DataFrame, *, key: Column, vector: Column, cosine: float = 0.95, codewords: int = CODEWORDS, turns: int = TURNS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """key, n_links and component of every row."""
+    half = float(np.arccos(cosine)) / 2
     every = rows.select(key.alias("key"), vector.alias("vector"))
     good = every.filter(usable(F.col("vector")))
     classes = written(good.groupBy("vector").agg(F.min("key").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "vectors")
@@ -182,36 +266,71 @@ def near(rows: DataFrame, *, key: Column, vector: Column, cosine: float = 0.95,
     alphas = {size: code(size, codewords, turns).calibrate(cosine, recall) for size in sizes}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Filters and ball of each vector; the row that names a ball has its centre, radius, members and home."""
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                column = part.column(2)
+            for at in range(0, batch.num_rows, LOT):
+                part = batch.slice(at, LOT)
+                column = part.column(1)
                 lengths = np.diff(np.asarray(column.offsets))
                 for size in np.unique(lengths).tolist():
                     chosen = part.take(pa.array(np.flatnonzero(lengths == size)))
-                    units = _units(np.asarray(chosen.column(2).flatten(), np.float64).reshape(-1, size))
-                    lists = code(size, codewords, turns).filters(units, alphas[size])
-                    yield pa.RecordBatch.from_arrays([*[chosen.column(i) for i in range(3)], pa.array(lists, pa.list_(pa.int64()))], ["node", "n", "vector", "filters"])
-
-    kind = classes.schema["vector"].dataType.simpleString()
-    decoded = written(classes.select("node", "n", "vector").mapInArrow(decode, f"node long, n long, vector {kind}, filters array<long>"), "filters")
-    postings = decoded.select(F.explode("filters").alias("filter"), "node")
-    # a filter of one vector has no pairs: vectors go only where there are more
+                    units, made = _units(np.asarray(chosen.column(1).flatten(), np.float64).reshape(-1, size)), code(size, codewords, turns)
+                    lists = [x for i in range(0, len(units), 512) for x in made.filters(units[i : i + 512], alphas[size])]
+                    node = np.asarray(chosen.column(0))
+                    ball, centres, radii, members, homes = node.copy(), [None] * len(node), [None] * len(node), [None] * len(node), [None] * len(node)
+                    for mine, centre, radius in balls(units, made.homes(units), half - 2 * MARGIN):
+                        i = int(mine[0])
+                        ball[mine] = node[i]
+                        centres[i], radii[i], members[i] = centre.tolist(), radius, len(mine)
+                        homes[i] = int(made.best(centre[None, :])[0]) if len(mine) >= MANY else None
+                    arrays = [pa.array(lists, pa.list_(pa.int64())), pa.array(ball), pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64()), pa.array(members, pa.int64()), pa.array(homes, pa.int64())]
+                    yield pa.RecordBatch.from_arrays([chosen.column(0), *arrays], ["node", "filters", "ball", "centre", "radius", "members", "home"])
+
+    decoded = written(classes.select("node", "vector").mapInArrow(decode, "node long, filters array<long>, ball long, centre array<double>, radius double, members long, home long"), "filters")
+    named = decoded.filter("centre is not null").select("ball", "centre", "radius", "home")
+    # balls of one large group that different lots found are one ball
+    merged = written(named.filter("home is not null").select("home", "ball", "centre", "radius").repartition("home").sortWithinPartitions("home", "ball").mapInArrow(_merger(half), "ball long, top long, reach double"), "merged-balls")
+    tops = merged.groupBy(F.col("top").alias("ball")).agg(F.max("reach").alias("reach"))
+    centres = written(named.join(merged.select("ball"), "ball", "left_anti").join(tops, "ball", "left").select("ball", F.greatest("radius", "reach").alias("radius"), "centre"), "balls")
+    held = decoded.select("node", "ball", "filters").join(merged.select("ball", "top"), "ball", "left").select("node", F.coalesce("top", "ball").alias("ball"), "filters")
+    postings = written(held.select(F.explode("filters").alias("filter"), "ball").distinct(), "postings")
+    member = written(held.select("node", "ball").join(classes.select("node", "least", "n", "vector"), "node"), "members")
+    # a filter of one ball has no pairs: centres go only where there are more
     shared = written(postings.groupBy("filter").count().filter("count > 1").select("filter", F.ceil(F.col("count") / block).cast("long").alias("blocks")), "shared-filters")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    met = written(postings.join(shared, "filter").select("filter", "node", "blocks"), "met")
+    pair = lambda a, b: F.shiftleft(F.least(a, b), 32) + F.greatest(a, b)
     dealt = (
-        met.join(decoded, "node")
-        .select("*", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"), other.alias("other"))
-        .select("filter", (F.shiftleft(F.least("own", "other"), 32) + F.greatest("own", "other")).alias("part"), "own", "node", "n", "vector", "filters")
+        postings.join(shared, "filter")
+        .select("filter", "ball", F.pmod(F.xxhash64("ball"), F.col("blocks")).alias("own"), other.alias("other"))
+        .select("filter", pair("own", "other").alias("part"), "own", "ball")
+        .join(centres, "ball")
+        .select("filter", "part", "own", "ball", "radius", "centre")
     )
-    found = written(dealt.repartition("filter", "part").sortWithinPartitions("filter", "part", "own").mapInArrow(_linker(cosine), "a long, b long, links long"), "links")
-    degree = written(found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")), "degrees")
-    roots = components(found.filter("b is not null").select("a", "b"))
-    named = classes.select("node", "least", "n").join(degree, "node", "left").join(roots, "node", "left")
-    rooted = written(named.select("node", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), "rooted")
+    met_balls = dealt.repartition("filter", "part").sortWithinPartitions("filter", "part").mapInArrow(_meeter(cosine), "a long, b long, kind long")
+    pairs = written(met_balls.groupBy("a", "b").agg(F.min("kind").alias("kind")), "ball-pairs")
+    weights = written(member.groupBy("ball").agg(F.sum("n").alias("weight"), F.count("*").alias("members"), F.min("least").alias("least")), "weights")
+    weight = lambda name: weights.select(F.col("ball").alias(name), F.col("weight").alias(f"w{name}"), F.ceil(F.col("members") / block).cast("long").alias(f"n{name}"))
+    sized = pairs.join(weight("a"), "a").join(weight("b"), "b")
+    whole = sized.filter("kind = 0")
+    more = whole.select(F.col("a").alias("ball"), F.col("wb").alias("links")).unionAll(whole.select(F.col("b").alias("ball"), F.col("wa").alias("links")))
+    by_ball = written(more.groupBy("ball").agg(F.sum("links").alias("links")), "ball-links")
+
+    def side(i: int) -> DataFrame:
+        """Members of one side of the pairs that link in part, once for each block of the other side."""
+        own, blocks, others = ("a", "na", "nb") if i == 0 else ("b", "nb", "na")
+        each = sized.filter("kind = 1").select("a", "b", F.col(own).alias("ball"), blocks, F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1)).alias("other"))
+        mine = F.pmod(F.xxhash64("node"), F.col(blocks))
+        part = F.shiftleft(mine, 32) + F.col("other") if i == 0 else F.shiftleft(F.col("other"), 32) + mine
+        return each.join(member, "ball").select("a", "b", part.alias("part"), F.lit(i).cast("long").alias("side"), "node", "n", "vector")
+
+    compared = side(0).unionAll(side(1)).repartition("a", "b", "part").sortWithinPartitions("a", "b", "part").mapInArrow(_comparer(cosine), "a long, b long, node long, links long")
+    compared = written(compared, "compared")
+    by_node = compared.filter("links > 0").groupBy("node").agg(F.sum("links").alias("part_links"))
+    roots = components(pairs.filter("kind = 0").select("a", "b").unionAll(compared.select("a", "b")))
+    rooted = written(weights.join(by_ball, "ball", "left").join(roots.withColumnRenamed("node", "ball"), "ball", "left").select("ball", "weight", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "ball").alias("root")), "rooted")
     least = written(rooted.groupBy("root").agg(F.min("least").alias("component")), "least")
-    whole = written(rooted.join(least, "root").select("node", "n_links", "component").join(classes.select("node", "vector"), "node"), "vector-components")
-    joined = every.join(whole.select("vector", "n_links", "component"), "vector", "left")
+    summed = rooted.join(least, "root").select("ball", "component", (F.col("weight") - 1 + F.col("links")).alias("links"))
+    found = written(member.join(summed, "ball").join(by_node, "node", "left").select("vector", "component", (F.col("links") + F.coalesce("part_links", F.lit(0))).alias("n_links")), "vector-components")
+    joined = every.join(found, "vector", "left")
     bad = F.col("n_links").isNull()
     return joined.select("key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(bad, F.col("key")).otherwise(F.col("component")).alias("component"))

@@ -37,7 +37,7 @@ def brute(rows, cosine=0.95):
     return link, sorted((ids[i], int(link[i].sum()), min(ids[j] for j in range(n) if label[j] == label[i])) for i in range(n))
 
 
-@pytest.mark.parametrize("block", [4, 512])
+@pytest.mark.parametrize("block", [2, 3, 4, 512])
 def test_links_degrees_and_components(spark, block):
     vectors = clusters(3, 64, 40) + clusters(4, 5, 12)
     vectors += [vectors[0]] * 9 + [[-0.0] * 8, [0.0] * 8, [], None, [1.0, None], [float("nan"), 1.0], [float("inf"), 1.0], [1e-30, 0.0], [1e30, 0.0], [2.0, 0.0]]
@@ -70,3 +70,49 @@ def test_recall_on_pairs_at_the_threshold():
             p, q = np.nonzero((turned[:32] @ made.half[t, 0].T)[:, None] + (turned[32:] @ made.half[t, 1].T)[None, :] >= alpha)
             want += ((t * made.codewords + p) * made.codewords + q + (64 << 40)).tolist()
         assert a[i].tolist() == sorted(want)
+
+
+def groups(seed, size, sizes, spread):
+    rng, out = np.random.default_rng(seed), []
+    for n in sizes:
+        base = rng.standard_normal(size)
+        base /= np.linalg.norm(base)
+        for _ in range(n):
+            noise = rng.standard_normal(size)
+            out.append(base + rng.uniform(0, spread) * noise / np.linalg.norm(noise))
+    return [list(map(float, v)) for v in out]
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_degrees_of_large_groups(spark, monkeypatch, block):
+    """Thousands of links: tight groups are balls, wide ones link in part; every degree is that of all pairs."""
+    monkeypatch.setattr(embedding, "MANY", 2)
+    vectors = groups(5, 24, [70, 1, 40], 0.1) + groups(6, 24, [60, 50], 0.33)
+    rows = [(i, v) for i, v in enumerate(vectors + vectors[:3])] + [(None, vectors[0])]
+    link, want = brute([(-1 if i is None else i, v) for i, v in rows])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = embedding.near(df, key=F.col("vec_id"), vector=F.col("embedding"), block=block, codewords=4, turns=2, recall=1.0).collect()
+    assert link.sum() > 10_000 and len(got) == len(rows)
+    degrees = {i: n for i, n, _ in want}
+    assert sorted((-1 if r.key is None else r.key, r.n_links) for r in got) == sorted(degrees.items())
+    first = {}
+    for r, c in sorted(((-1 if r.key is None else r.key), r.component) for r in got):
+        assert first.setdefault(c, r) in (c, -1)
+
+
+def test_balls_hold_only_what_links():
+    rng = np.random.default_rng(2)
+    units = np.array(groups(8, 16, [200, 3, 1], 0.3))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    half = float(np.arccos(0.95)) / 2
+    found = embedding.balls(units, rng.integers(0, 3, len(units)), half)
+    assert sorted(i for m, _, _ in found for i in m.tolist()) == list(range(len(units)))
+    for mine, centre, radius in found:
+        assert (units[mine] @ units[mine].T >= 0.95 - 1e-9).all() and radius <= half + 1e-9
+        assert (np.arccos(np.clip(units[mine] @ centre, -1, 1)) <= radius + 1e-7).all()
+    whole, part = embedding.met(np.array([c for _, c, _ in found]), np.array([r for _, _, r in found]), 0.95)
+    for i, (a, _, _) in enumerate(found):
+        for j, (b, _, _) in enumerate(found):
+            if i != j:
+                links = units[a] @ units[b].T >= 0.95
+                assert links.all() if whole[i, j] else part[i, j] or not links.any()
