@@ -3,17 +3,21 @@
 A suffix array of every byte would move each byte ``SIZE`` times, so suffixes are sorted from anchors only. The anchor
 of a window of SIZE bytes is its gram (GRAM bytes) of least hash, the leftmost of equals: equal windows have their
 anchors at equal offsets, and one anchor serves a run of window starts. Windows that a text itself repeats are settled
-within it, and one of each stays. Anchors whose gram occurs at one place only have no equal window and go. Of the
-others the run's bytes are range-partitioned by their leading token (the anchor's gram, by sampled splitters), sorted
-in their bucket, and neighbours that are equal to the depth of SIZE bytes are marked. A gram's suffixes never
-straddle two buckets, so no comparison across boundaries is left. In a bucket suffixes are sorted by a 62-bit key of
-their SIZE bytes (two modular polynomials), gram and offset, since equality to that depth is all that is asked.
+within it, and one of each stays. Anchors whose gram occurs at one place only have no equal window and go.
 
-Grams with over MANY suffixes don't go to one bucket: each task settles what it holds twice, and sends what is left,
-with one of each that it settled, to as many buckets as the gram's suffixes ask for, dealt by the windows' keys.
+The others' suffixes (the bytes from the anchor on, with those before it) are range-partitioned by their bytes with
+sampled splitters; equal suffixes are told apart by their place, so one suffix of any number of documents is spread
+over as many buckets as its rows ask for. A bucket is read in order, in lots of MANY suffixes. In a lot a multikey quicksort
+orders the suffixes to the right of the anchors and those to the left, and gives the bytes that neighbours share:
+a window is repeated where another one of the same offset lies in the same class of both orders, at the depths that
+the window has to the right and to the left. No hash takes part in that.
+
+Then lots are compared across their boundaries. Suffixes are in order, so a window can have an equal one in another
+lot only if it shares its whole right side with its lot's first or last suffix. Of those windows each lot sends one of a
+kind, which are met by a 128-bit BLAKE2 digest of their bytes.
 
 Equal texts are one entry: they are removed whole if they have SIZE bytes. What is removed depends on a text alone, so
-texts stand under a 128-bit key and results are joined back by it.
+texts stand under half their SHA-256 and results are joined back by it.
 
 Defined results: null text is empty; matches never cross documents; repeated rows are copies of each other; null ids
 are kept; an empty table gives an empty result; other columns are ignored."""
@@ -34,10 +38,9 @@ SIZE = 400
 GRAM = 48
 #: Gram starts in a window of SIZE bytes.
 SPAN = SIZE - GRAM + 1
-#: Suffixes of one gram beyond which its windows are dealt by key, and suffixes for each bucket of them.
-MANY = 256
-SHARE = 64
-#: Bytes that are hashed at a time, and those whose windows are sorted at a time (a group is never split).
+#: Suffixes that are sorted at a time (752 bytes each at most).
+MANY = 1 << 13
+#: Bytes whose anchors are found at a time, and those whose windows are hashed at a time within one text.
 CHUNK = 1 << 20
 LOT = 1 << 19
 
@@ -159,7 +162,7 @@ def _settle(parts: list[bytes], owner: np.ndarray, h: np.ndarray, anchor: np.nda
         n = last[mine] - first[mine] + 1
         at = np.arange(n.sum()) + np.repeat(first[mine] - (np.cumsum(n) - n), n)
         run = np.repeat(mine, n)
-        key = _text_keys(parts[o])[at]
+        key = _confirmed(parts[o], at, _text_keys(parts[o])[at])
         rank = np.lexsort((at, key))
         same = key[rank][1:] == key[rank][:-1]
         twice = np.zeros(len(at), bool)
@@ -175,125 +178,210 @@ def _settle(parts: list[bytes], owner: np.ndarray, h: np.ndarray, anchor: np.nda
     return whole, tuple(np.concatenate(c) for c in zip(*spans, strict=True)) if spans else tuple(np.zeros(0, np.int64) for _ in range(3))
 
 
+def _confirmed(text: bytes, at: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Keys of windows, put right where windows of one key differ in their bytes."""
+    rank = np.lexsort((at, key))
+    same = np.flatnonzero(key[rank][1:] == key[rank][:-1])
+    a, b = at[rank[same]], at[rank[same + 1]]
+    words = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))
+    differ = np.zeros(len(a), bool)
+    for depth in range(0, SIZE, 8):
+        differ |= words[a + depth] != words[b + depth]
+    if differ.any():
+        names: dict[bytes, int] = {}
+        wrong = np.flatnonzero(np.isin(key, key[rank[same[differ]]]))
+        new = key.max() + np.uint64(1)
+        key = key.copy()
+        for i in wrong.tolist():
+            key[i] = new + np.uint64(names.setdefault(text[at[i] : at[i] + SIZE], len(names)))
+    return key
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs (own false) and stretches that a text itself repeats (own true, first to last exclusive)."""
     for batch in batches:
-        seen: dict[tuple, bytes] = {}
-        for a, b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            seen.setdefault((a, b), t)
-        keys, texts = np.array(list(seen), np.int64).reshape(-1, 2), list(seen.values())
+        seen = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        names, texts = list(seen), list(seen.values())
         for who, where, parts in _cut(texts):
             (owner, h, anchor, first, last), (whose, start, stop) = _settle(parts, *anchors(parts))
             for own, o, g, columns in ((False, owner, h, (anchor, first, last)), (True, whose, np.zeros(len(whose), np.int64), (start, start, stop))):
                 if len(o):
-                    text, shift = np.array(who)[o], np.array(where, np.int64)[o]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), own)), pa.array(g), pa.array(keys[text, 0]), pa.array(keys[text, 1]), *[pa.array(c + shift) for c in columns]], ["own", "gram", "k1", "k2", "anchor", "first", "last"])
+                    shift = np.array(where, np.int64)[o]
+                    name = pa.array([names[who[i]] for i in o.tolist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(o), own)), pa.array(g), name, *[pa.array(c + shift) for c in columns]], ["own", "gram", "k", "anchor", "first", "last"])
 
 
 def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From texts with their repeated anchors: the bytes of each run of windows, but for grams that are many."""
+    """From texts with their repeated anchors: the bytes before and after the anchor of each run of windows."""
+    names, kinds = ["k", "first", "left", "right"], (pa.binary(), pa.int64(), pa.binary(), pa.binary())
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["gram", "k1", "k2", "first", "offset", "bytes"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     rows: list[tuple] = []
     for batch in batches:
         for i in range(batch.num_rows):
-            k1, k2, text, runs = (batch.column(c)[i].as_py() for c in range(4))
-            rows += [(r["gram"], k1, k2, r["first"], r["anchor"] - r["first"], text[r["first"] : r["last"] + SIZE]) for r in runs if not r["buckets"]]
-            if len(rows) > 2000:
-                yield out(rows)
-                rows = []
+            k, text, runs = (batch.column(c)[i].as_py() for c in range(3))
+            for r in runs:
+                rows.append((k, r["first"], text[r["first"] : r["anchor"]], text[r["anchor"] : r["last"] + SIZE]))
+                if len(rows) > 2000:
+                    yield out(rows)
+                    rows = []
     if rows:
         yield out(rows)
 
 
-def _many_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of grams that are many: settled stretches (lists of k1, k2, place, stop), and for each bucket lists of keys, k1, k2, place.
-
-    Place -1 stands for a key that is settled here."""
-    names, lists = ["gram", "bucket", "keys", "k1", "k2", "place", "stop"], pa.list_(pa.int64())
-
-    def out(gram: np.ndarray, bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-        """Rows of lists: values in order of gram and bucket."""
-        edge = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (bucket[1:] != bucket[:-1])]))
-        ends = pa.array(np.concatenate([edge, [len(gram)]]).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(gram[edge]), pa.array(bucket[edge]), *[pa.ListArray.from_arrays(ends, pa.array(c)).cast(lists) for c in columns]], names)
-
-    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        gram, share, k1, k2, first = (np.array([r[c] for r in rows], np.int64) for c in range(5))
-        parts = [r[5] for r in rows]
-        n = np.array([len(p) for p in parts], np.int64) - SIZE + 1
-        row = np.repeat(np.arange(len(rows)), n)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
-        key = _keys(parts).view(np.int64)
-        order = np.lexsort((key, gram[row]))
-        same = (key[order][1:] == key[order][:-1]) & (gram[row][order][1:] == gram[row][order][:-1])
-        twice = np.zeros(len(row), bool)
-        twice[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        lead = order[np.concatenate([[True], ~same])]  # one window of each key
-        bucket = key[lead] % share[row[lead]]
-        lead = lead[np.lexsort((bucket, gram[row[lead]]))]
-        bucket, settled = key[lead] % share[row[lead]], twice[lead]
-        yield out(gram[row[lead]], bucket, [key[lead], k1[row[lead]], k2[row[lead]], np.where(settled, -1, at[lead]), at[lead] + SIZE])
-        a, b = _stretches(row[twice], at[twice])
-        who = row[twice][a]
-        if len(a):
-            yield out(np.zeros(len(a), np.int64), np.full(len(a), -1), [np.zeros(len(a), np.int64), k1[who], k2[who], at[twice][a], at[twice][b] + SIZE])
+def padded(strings: list[bytes], width: int) -> np.ndarray:
+    """Rows of big-endian 64-bit words, filled with zeros."""
+    return np.frombuffer(b"".join([x.ljust(width, b"\0") for x in strings]), ">u8").reshape(len(strings), width // 8).astype(np.uint64)
+
+
+def multikey(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows of words, and the bytes that each shares with the one before it (0 for the first).
+
+    A multikey quicksort whose characters are 8 bytes: all groups that are equal so far are split by their next word
+    at once, and those whose rows are all equal there, most of them, go on without a sort."""
+    n, depth = words.shape
+    order, shared = np.arange(n), np.zeros(n, np.int64)
+    if n < 2:
+        return order, shared
+    group = np.zeros(n, np.int64)  # of each place in the order: where its group starts
+    live = np.arange(n)  # places whose group has more than one row
+    for d in range(depth):
+        word = words[order[live], d]
+        differs = word[1:] != word[:-1]
+        split = np.zeros(n, bool)
+        split[group[live[1:][differs & (group[live][1:] == group[live][:-1])]]] = True
+        todo = split[group[live]]
+        if todo.any():
+            at, value = live[todo], word[todo]
+            rank = np.lexsort((value, group[at]))
+            order[at], value = order[at[rank]], value[rank]
+            new = np.flatnonzero((group[at][1:] == group[at][:-1]) & (value[1:] != value[:-1])) + 1
+            first = value[new] ^ value[new - 1]
+            shared[at[new]] = 8 * d + _leading(first)
+            starts = np.where(np.concatenate([[True], (group[at][1:] != group[at][:-1])]), group[at], 0)
+            starts[new] = at[new]
+            group[at] = np.maximum.accumulate(starts)
+        size = np.bincount(group[live], minlength=n)
+        live = live[size[group[live]] > 1]
+        if not len(live):
+            return order, shared
+    rest = live[group[live] != live]
+    shared[rest] = 8 * depth
+    return order, shared
+
+
+def _leading(x: np.ndarray) -> np.ndarray:
+    """Leading zero bytes of 64-bit words that aren't zero."""
+    out = np.zeros(len(x), np.int64)
+    for i in range(1, 8):
+        out += x < np.uint64(1 << 8 * (8 - i))
+    return out
 
-    for batch in batches:
-        found = []
-        for i in range(batch.num_rows):
-            k1, k2, text, runs = (batch.column(c)[i].as_py() for c in range(4))
-            found += [(r["gram"], r["buckets"], k1, k2, r["first"], text[r["first"] : r["last"] + SIZE]) for r in runs if r["buckets"]]
-        found.sort(key=lambda r: r[0])  # so that a lot holds whole grams, but for the largest
-        rows, size = [], 0
-        for r in found:
-            if size >= 2 * CHUNK or size >= CHUNK and r[0] != rows[-1][0]:
-                yield from settle(rows)
-                rows, size = [], 0
-            rows.append(r)
-            size += len(r[5])
-        if rows:
-            yield from settle(rows)
 
+class Lot:
+    """Suffixes of one lot, sorted to the right and to the left of their anchors."""
+
+    def __init__(self, left: list[bytes], right: list[bytes]) -> None:
+        self.left, self.right, self.n = left, right, len(left)
+        self.most = np.array([len(x) for x in left], np.int64)  # window offsets (bytes before the anchor): from least to most
+        self.least = SIZE - np.array([len(x) for x in right], np.int64)
+        self.order_r, self.shared_r = multikey(padded(right, SIZE))
+        self.order_l, self.shared_l = multikey(padded([x[::-1] for x in left], -(-SPAN // 8) * 8))
+
+    def _class(self, order: np.ndarray, shared: np.ndarray, depth: int) -> np.ndarray:
+        """Of each row: the number of its class of rows that share ``depth`` bytes."""
+        out = np.empty(self.n, np.int64)
+        out[order] = np.cumsum(shared < depth)
+        return out
+
+    @staticmethod
+    def _reach(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        """Of each row: the most bytes that it shares with any other."""
+        after = np.concatenate([shared[1:], [0]])
+        out = np.empty(len(order), np.int64)
+        out[order] = np.maximum(shared, after)
+        return out
+
+    def edge(self) -> np.ndarray:
+        """Of each row: the bytes to the right that it shares with the lot's first or last suffix."""
+        out = np.empty(self.n, np.int64)
+        ahead, behind = self.shared_r.copy(), np.concatenate([self.shared_r[1:], [0]])
+        if self.n:
+            ahead[0] = behind[-1] = SIZE
+        out[self.order_r] = np.maximum(np.minimum.accumulate(ahead), np.minimum.accumulate(behind[::-1])[::-1])
+        return out
+
+    def windows(self) -> tuple[np.ndarray, ...]:
+        """row and offset of each repeated window; row, offset and whether it is repeated here of those to be compared across boundaries."""
+        reach_r, reach_l = self._reach(self.order_r, self.shared_r), self._reach(self.order_l, self.shared_l)
+        low, high = np.maximum(self.least, SIZE - reach_r), np.minimum(self.most, reach_l)
+        edge = self.edge()
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        sent: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for o in range(SPAN):
+            mine = (self.least <= o) & (o <= self.most)
+            near = mine & (low <= o) & (o <= high)
+            open_ = mine & (edge >= SIZE - o)
+            at = np.flatnonzero(near | open_)
+            if not len(at):
+                continue
+            name = self._class(self.order_r, self.shared_r, SIZE - o)[at] * (self.n + 1) + self._class(self.order_l, self.shared_l, o)[at]
+            rank = np.argsort(name, kind="stable")
+            same = name[rank][1:] == name[rank][:-1]
+            twice = np.zeros(len(at), bool)
+            twice[rank] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            if twice.any():
+                found.append((at[twice], np.full(twice.sum(), o)))
+            lead = np.ones(len(at), bool)
+            lead[rank[1:][same]] = False  # one window of each kind
+            lead &= open_[at]
+            if lead.any():
+                sent.append((at[lead], np.full(lead.sum(), o), twice[lead]))
+        none = np.zeros(0, np.int64)
+        rows, offsets = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (none, none)
+        who, where, settled = (np.concatenate(c) for c in zip(*sent, strict=True)) if sent else (none, none, none.astype(bool))
+        return rows, offsets, who, where, settled
+
+    def digest(self, row: int, offset: int) -> bytes:
+        left, right = self.left[row], self.right[row]
+        return hashlib.blake2b(left[len(left) - offset :] + right[: SIZE - offset], digest_size=16).digest()
+
+
+def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes in order; gives covered stretches (digest null) and the windows that other lots may hold too.
+
+    A window that its lot has settled has no place: it only tells the others."""
+    names = ["k", "start", "stop", "digest"]
+
+    def out(lot: Lot, name: list[bytes], first: np.ndarray, rows: np.ndarray, offsets: np.ndarray, who: np.ndarray, where: np.ndarray, settled: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = first[rows] + lot.most[rows] - offsets
+        rank = np.lexsort((start, rows))
+        a, b = _stretches(rows[rank], start[rank])
+        if len(a):
+            held = [name[i] for i in rows[rank][a].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(start[rank][a]), pa.array(start[rank][b] + SIZE), pa.nulls(len(a), pa.binary())], names)
+        for i in range(0, len(who), 10_000):
+            some, offset, done = who[i : i + 10_000], where[i : i + 10_000], settled[i : i + 10_000]
+            digests = [lot.digest(r, o) for r, o in zip(some.tolist(), offset.tolist(), strict=True)]
+            place = first[some] + lot.most[some] - offset
+            held = [None if d else name[r] for r, d in zip(some.tolist(), done.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(place, mask=done), pa.array(place + SIZE, mask=done), pa.array(digests, pa.binary())], names)
+
+    def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        lot = Lot(table.column(2).to_pylist(), table.column(3).to_pylist())
+        yield from out(lot, table.column(0).to_pylist(), table.column(1).to_numpy(), *lot.windows())
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by gram and bucket; gives the windows whose key another row of the bucket has."""
     held: list[pa.RecordBatch] = []
-
-    def met(table: pa.Table) -> pa.RecordBatch:
-        lengths = np.diff(np.asarray(table.column(2).combine_chunks().offsets))
-        group = np.repeat(np.cumsum(np.concatenate([[0], (np.diff(table.column(0).to_numpy()) != 0) | (np.diff(table.column(1).to_numpy()) != 0)])), lengths)
-        key, k1, k2, place = (np.asarray(table.column(i).combine_chunks().flatten()) for i in range(2, 6))
-        order = np.lexsort((key, group))
-        same = (key[order][1:] == key[order][:-1]) & (group[order][1:] == group[order][:-1])
-        twice = np.zeros(len(key), bool)
-        twice[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        # windows of one text in a row, as one stretch
-        found = np.flatnonzero(twice & (place >= 0))
-        found = found[np.lexsort((place[found], k2[found], k1[found]))]
-        new = np.concatenate([[True], (k1[found][1:] != k1[found][:-1]) | (k2[found][1:] != k2[found][:-1]) | (place[found][1:] > place[found][:-1] + SIZE)]) if len(found) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        last = np.concatenate([first[1:], [len(found)]]) - 1 if len(first) else first
-        return pa.RecordBatch.from_arrays([pa.array(k1[found][first]), pa.array(k2[found][first]), pa.array(place[found][first]), pa.array(place[found][last] + SIZE)], ["k1", "k2", "start", "stop"])
-
     for batch in batches:
-        if not batch.num_rows:
-            continue
         held.append(batch)
-        if sum(b.nbytes for b in held) < 4 * CHUNK:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        gram, bucket = table.column(0).to_numpy(), table.column(1).to_numpy()
-        other = np.flatnonzero((gram != gram[-1]) | (bucket != bucket[-1]))
-        cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on in the next batch
-        if cut:
-            yield met(table.slice(0, cut).combine_chunks())
-            held = table.slice(cut).combine_chunks().to_batches()
-    if held:
-        yield met(pa.Table.from_batches(held).combine_chunks())
+        while sum(b.num_rows for b in held) >= MANY:
+            table = pa.Table.from_batches(held)
+            yield from settle(table.slice(0, MANY))
+            held = table.slice(MANY).to_batches()
+    if any(b.num_rows for b in held):
+        yield from settle(pa.Table.from_batches(held))
 
 
 def _text_keys(text: bytes) -> np.ndarray:
@@ -334,82 +422,6 @@ def _window_keys(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(groups: np.ndarray, offsets: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Part and window of each window that another part or place of the same group equals; groups are numbers."""
-    n = np.array([len(p) for p in parts], np.int64) - SIZE + 1
-    part = np.repeat(np.arange(len(parts)), n)
-    window = np.arange(len(part)) - np.repeat(np.cumsum(n) - n, n)
-    key = _keys(parts)
-    tag = groups[part] * np.int64(SIZE) + offsets[part] - window
-    order = np.argsort(key, kind="stable")
-    key, tag = key[order], tag[order]
-    same = (key[1:] == key[:-1]) & (tag[1:] == tag[:-1])
-    found = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    order = np.sort(order[found])
-    return part[order], window[order]
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by gram; gives covered stretches (k1, k2, start, stop)."""
-
-    def spans(table: pa.Table) -> pa.RecordBatch:
-        gram, k1, k2, first, offset = (table.column(i).to_numpy() for i in range(5))
-        data = table.column(5).to_pylist()
-        group = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]]))
-        # rows of equal bytes at equal offsets in a group: one is compared for all
-        rep: dict[tuple, int] = {}
-        which, own = np.zeros(len(data), np.int64), []
-        copies: list[int] = []
-        for i, (g, o, d) in enumerate(zip(group.tolist(), offset.tolist(), data, strict=True)):
-            j = rep.setdefault((g, o, d), len(own))
-            if j == len(own):
-                own.append(i)
-                copies.append(0)
-            copies[j] += 1
-            which[i] = j
-        own, many = np.array(own), np.array(copies) > 1
-        sizes = np.bincount(group[own])
-        alone = (sizes[group[own]] == 1)
-        starts, stops = [[] for _ in own], [[] for _ in own]
-        for j in np.flatnonzero(many):
-            starts[j], stops[j] = [0], [len(data[own[j]])]
-        todo = np.flatnonzero(~many & ~alone)
-        if len(todo):
-            # copies stay to be compared with, once
-            todo = np.flatnonzero(~alone)
-            part, window = repeated(group[own[todo]].astype(np.int64), offset[own[todo]].astype(np.int64), [data[own[j]] for j in todo])
-            if len(part):
-                edge = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (window[1:] != window[:-1] + 1)]))
-                ends = np.concatenate([edge[1:], [len(part)]]) - 1
-                for p, a, b in zip(part[edge].tolist(), window[edge].tolist(), window[ends].tolist(), strict=True):
-                    j = todo[p]
-                    if not many[j]:
-                        starts[j].append(a)
-                        stops[j].append(b + SIZE)
-        counts = np.array([len(starts[j]) for j in which])
-        row = np.repeat(np.arange(len(which)), counts)
-        low = np.array([x for j in which for x in starts[j]], np.int64)
-        high = np.array([x for j in which for x in stops[j]], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(k1[row]), pa.array(k2[row]), pa.array(first[row] + low), pa.array(first[row] + high)], ["k1", "k2", "start", "stop"])
-
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        if sum(b.nbytes for b in held) < CHUNK:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        gram = table.column(0).to_numpy()
-        other = np.flatnonzero(gram != gram[-1])
-        cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on in the next batch
-        if cut:
-            yield spans(table.slice(0, cut))
-            held = table.slice(cut).combine_chunks().to_batches()
-    if held:
-        yield spans(pa.Table.from_batches(held).combine_chunks())
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal covered runs."""
     out: list[list[int]] = []
@@ -422,49 +434,50 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string())
     for batch in batches:
         rows = []
         for i in range(batch.num_rows):
-            k1, k2, text, spans = (batch.column(c)[i].as_py() for c in range(4))
+            k, text, spans = (batch.column(c)[i].as_py() for c in range(3))
             runs, kept, at = merged([(s["start"], s["stop"]) for s in spans]), hashlib.sha256(), 0
             for a, b in runs:
                 kept.update(text[at:a])
                 at = b
             kept.update(text[at:])
-            rows.append((k1, k2, sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
+            rows.append((k, sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
         if rows:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["k1", "k2", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["k", "n_removed", "n_spans", "kept_sha256"])
 
 
 def dedup(docs: DataFrame, *, key: Column, text: Column) -> DataFrame:
     """key, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     body = F.coalesce(text.cast("string"), F.lit("")).cast("binary")
-    k1, k2 = F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body, F.lit(2)).alias("k2")
-    found = written(docs.select(k1, k2, body.alias("text")).filter(F.length("text") >= SIZE).mapInArrow(_anchor_rows, "own boolean, gram long, k1 long, k2 long, anchor long, first long, last long"), "anchors")
-    place = F.xxhash64("k1", "k2", "anchor", "first")
-    grams = found.filter("not own").groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).filter("a != b")
-    grams = written(grams.select("gram", F.when(F.col("n") > MANY, F.ceil(F.col("n") / SHARE)).otherwise(0).cast("long").alias("buckets")), "grams")
-    run = F.struct("gram", "anchor", "first", "last", "buckets")
-    shared = found.filter("not own").join(grams, "gram").select("k1", "k2", run.alias("run"))
-    none = found.filter("own").select("k1", "k2", F.lit(None).cast(shared.schema["run"].dataType).alias("run"))
-    runs = written(shared.unionByName(none).groupBy("k1", "k2").agg(F.collect_set("run").alias("runs")), "runs")
-    once = docs.select(k1, k2, body.alias("text")).filter(F.length("text") >= SIZE).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    suspects = written(once.join(runs, ["k1", "k2"]).select("k1", "k2", "text", "runs", "copies"), "suspects")
-    texts = suspects.select("k1", "k2", "text", "runs")
-    few = texts.filter(F.exists("runs", lambda r: r["buckets"] == 0)).mapInArrow(_suffix_rows, "gram long, k1 long, k2 long, first long, offset int, bytes binary")
-    few = few.repartitionByRange("gram").sortWithinPartitions("gram").mapInArrow(_compare, "k1 long, k2 long, start long, stop long")
-    dealt = "gram long, bucket long, keys array<long>, k1 array<long>, k2 array<long>, place array<long>, stop array<long>"
-    many = written(texts.filter(F.exists("runs", lambda r: r["buckets"] > 0)).mapInArrow(_many_rows, dealt), "many")
-    again = many.filter("bucket >= 0").repartition("gram", "bucket").sortWithinPartitions("gram", "bucket").mapInArrow(_meet, "k1 long, k2 long, start long, stop long")
-    settled = many.filter("bucket < 0").select(F.explode(F.arrays_zip("k1", "k2", F.col("place").alias("start"), "stop")).alias("s")).select("s.k1", "s.k2", "s.start", "s.stop")
-    own = found.filter("own").select("k1", "k2", F.col("first").alias("start"), F.col("last").alias("stop"))
-    spans = few.unionByName(again).unionByName(settled).unionByName(own)
-    spans = written(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
-    singles = suspects.filter("copies = 1").select("k1", "k2", "text").join(spans, ["k1", "k2"]).mapInArrow(_digests, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string")
-    several = docs.select(k1, k2, F.length(body).cast("long").alias("n")).filter(F.col("n") >= SIZE).groupBy("k1", "k2").agg(F.max("n").alias("n"), F.count("*").alias("copies")).filter("copies > 1")
-    several = several.select("k1", "k2", F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"))
+    whole = F.sha2(body, 256)
+    k = F.substring(F.unhex(whole), 1, 16).alias("k")
+    long = docs.select(body.alias("text")).filter(F.length("text") >= SIZE).select(F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("k"), "text")
+    found = written(long.mapInArrow(_anchor_rows, "own boolean, gram long, k binary, anchor long, first long, last long"), "anchors")
+    place = F.xxhash64("k", "anchor", "first")
+    grams = written(found.filter("not own").groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("gram"), "grams")
+    run = F.struct("anchor", "first", "last")
+    shared = found.filter("not own").join(grams, "gram").select("k", run.alias("run"))
+    none = found.filter("own").select("k", F.lit(None).cast(shared.schema["run"].dataType).alias("run"))
+    runs = written(shared.unionByName(none).groupBy("k").agg(F.collect_set("run").alias("runs")), "runs")
+    once = long.groupBy("k").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    suspects = written(once.join(runs, "k").select("k", "text", "runs", "copies"), "suspects")
+    rows = suspects.filter(F.size("runs") > 0).select("k", "text", "runs").mapInArrow(_suffix_rows, "k binary, first long, left binary, right binary")
+    buckets = rows.repartitionByRange("right", F.xxhash64("k", "first")).sortWithinPartitions("right")
+    sorted_ = written(buckets.mapInArrow(_bucket, "k binary, start long, stop long, digest binary"), "sorted")
+    # across boundaries: digests that more than one lot sent
+    sent = sorted_.filter("digest is not null")
+    again = sent.groupBy("digest").count().filter("count > 1").select("digest")
+    across = sent.filter("k is not null").join(again, "digest", "left_semi").select("k", "start", "stop")
+    own = found.filter("own").select("k", F.col("first").alias("start"), F.col("last").alias("stop"))
+    spans = sorted_.filter("digest is null").select("k", "start", "stop").unionByName(across).unionByName(own)
+    spans = written(spans.groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+    singles = suspects.filter("copies = 1").select("k", "text").join(spans, "k").mapInArrow(_digests, "k binary, n_removed long, n_spans long, kept_sha256 string")
+    several = docs.select(k, F.length(body).cast("long").alias("n")).filter(F.col("n") >= SIZE).groupBy("k").agg(F.max("n").alias("n"), F.count("*").alias("copies")).filter("copies > 1")
+    several = several.select("k", F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"))
     decided = written(singles.unionByName(several), "removed")
-    rows = docs.select(key.alias("key"), k1, k2, F.length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("whole"))
+    every = docs.select(key.alias("key"), k, F.length(body).cast("long").alias("n_bytes"), whole.alias("whole"))
     zero = F.lit(0).cast("long")
-    return rows.join(decided, ["k1", "k2"], "left").select("key", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    return every.join(decided, "k", "left").select("key", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))

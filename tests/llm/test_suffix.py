@@ -78,3 +78,24 @@ def test_every_window_has_its_least_gram_as_anchor(monkeypatch):
             grams = suffix._grams(np.frombuffer(t, np.uint8))
             for s, (p, h) in seen[i].items():
                 assert 0 <= p - s < suffix.SPAN and np.int64(h) == grams[p].view(np.int64)
+
+
+def test_multikey_orders_and_counts_shared_bytes():
+    rng = random.Random(3)
+    strings = [bytes(rng.choice(b"\0ab") for _ in range(rng.randint(0, 24))) for _ in range(400)] + [b"a" * 24] * 5 + [b""] * 3
+    order, shared = suffix.multikey(suffix.padded(strings, 24))
+    rows = [strings[i].ljust(24, b"\0") for i in order.tolist()]
+    assert sorted(order.tolist()) == list(range(len(strings))) and rows == sorted(rows)
+    for i, n in enumerate(shared.tolist()):
+        want = 0 if i == 0 else next((j for j in range(24) if rows[i][j] != rows[i - 1][j]), 24)
+        assert n == want
+
+
+def test_windows_of_one_key_are_told_apart_by_their_bytes():
+    text = ("ab" * 300 + "x" + "ab" * 300).encode()
+    at = np.arange(len(text) - 399)
+    key = suffix._confirmed(text, at, np.zeros(len(at), np.uint64))
+    byname = defaultdict(set)
+    for i, k in zip(at.tolist(), key.tolist()):
+        byname[k].add(text[i : i + 400])
+    assert all(len(x) == 1 for x in byname.values()) and len(byname) == len({text[i : i + 400] for i in at.tolist()})
