@@ -184,12 +184,15 @@ def _confirmed(text: bytes, at: np.ndarray, key: np.ndarray) -> np.ndarray:
     same = np.flatnonzero(key[rank][1:] == key[rank][:-1])
     a, b = at[rank[same]], at[rank[same + 1]]
     words = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))
-    differ = np.zeros(len(a), bool)
-    for depth in range(0, SIZE, 8):
-        differ |= words[a + depth] != words[b + depth]
-    if differ.any():
+    # a pair of windows right behind an equal pair needs only its last bytes compared
+    line = np.lexsort((a, b - a))
+    a, b = a[line], b[line]
+    behind = np.concatenate([[False], (b[1:] - a[1:] == b[:-1] - a[:-1]) & (a[1:] == a[:-1] + 1)]) if len(a) else np.zeros(0, bool)
+    whole_a, whole_b = a[~behind], b[~behind]
+    differs = bool((words[a + SIZE - 8] != words[b + SIZE - 8]).any()) or any((words[whole_a + d] != words[whole_b + d]).any() for d in range(0, SIZE - 8, 8))
+    if differs:
         names: dict[bytes, int] = {}
-        wrong = np.flatnonzero(np.isin(key, key[rank[same[differ]]]))
+        wrong = np.flatnonzero(np.isin(key, key[rank[same]]))
         new = key.max() + np.uint64(1)
         key = key.copy()
         for i in wrong.tolist():
