@@ -87,3 +87,68 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([got[d].lang_pred == l for d, l in truth.items() if got[d].held_out]) > 0.97
     empty = table(spark, SF, "documents").limit(0)
     assert language.predict(empty, language.train(empty), key=F.col("doc_id"), text=F.col("text")).count() == 0
+
+
+SCRIPTS = ["abcdefghij", "klmnopqrst", "абвгдежзий", "клмнопрсту", "αβγδεζηθικ", "אבגדהוזחטי", "一二三四五六七八九十", "人大小中国上下天地", "あいうえおかきくけこ", "กขคงจฉชซฌญ", "abcdeghiéè", "ابتثجحخدذر"]
+
+
+def language_texts(seed, n=1):
+    """Words of each of twelve languages in eight scripts."""
+    rng = np.random.default_rng(seed)
+    return {f"l{i:02}": [" ".join("".join(rng.choice(list(s), rng.integers(1, 6))) for _ in range(60)) for _ in range(n)] for i, s in enumerate(SCRIPTS)}
+
+
+def brute_bits(texts, text):
+    """One language's PPM with counts, escapes and exclusions over all 256 bytes, computed anew for each byte."""
+    counts = [{} for _ in range(4)]
+    for t in texts:
+        padded = b"\0\0\0" + t.encode()
+        for i in range(3, len(padded)):
+            for k in range(4):
+                own = counts[k].setdefault(padded[i - k : i], {})
+                own[padded[i]] = own.get(padded[i], 0) + 1
+
+    def p(context):
+        """Probabilities of all bytes after a context."""
+        below = p(context[1:]) if context else [1 / 256] * 256
+        own = counts[len(context)].get(context)
+        if not own:
+            return below
+        total, rest = sum(own.values()), sum(b for x, b in enumerate(below) if x not in own)
+        return [own[x] / (total + len(own)) if x in own else len(own) / (total + len(own)) * below[x] / rest for x in range(256)]
+
+    padded = b"\0\0\0" + text.encode()
+    return sum(-np.log2(p(padded[i - 3 : i])[padded[i]]) for i in range(3, len(padded)))
+
+
+def test_trees_equal_brute_force_in_many_scripts(spark):
+    known, new = language_texts(1), language_texts(2)
+    rows = [(i, t, l) for i, (l, t) in enumerate((l, t) for l, ts in known.items() for t in ts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    made = language.train(docs, folds=1, held=1)
+    assert made.languages == sorted(known)
+    texts = [t for ts in new.values() for t in ts][::3] + ["abc κλ", "人 大q"]
+    got = made.lengths([t.encode() for t in texts])
+    for text, bits in list(zip(texts, got))[:3] + list(zip(texts, got))[-2:]:
+        assert np.allclose(bits, [brute_bits(known[l], text) for l in made.languages], rtol=1e-4)
+    many = language.train(spark.createDataFrame([(i, t, l) for i, (l, t) in enumerate((l, t) for l, ts in language_texts(3, 20).items() for t in ts)], "doc_id long, text string, lang string"), folds=1, held=1)
+    names, _ = many.predict([t for ts in new.values() for t in ts])
+    assert names == sorted(known)
+
+
+def test_awkward_rows_of_languages(spark):
+    rows = [(1, "abc abc", "aa", 1), (1, "abc abc", "aa", 1), (2, "xyz", "zz", 1), (3, None, "aa", 1), (4, "", "zz", 1), (5, "abc", None, 1), (None, "xyz " * 50_000, "zz", 1), (7, "1 2", "aa", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    made = language.train(docs, folds=1, held=1)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.lang_pred) for r in language.predict(docs, made, key=F.col("doc_id"), text=F.col("text")).collect())
+    assert got == [(False, 1, "aa"), (False, 1, "aa"), (False, 2, "zz"), (False, 3, "und"), (False, 4, "und"), (False, 5, "aa"), (False, 7, "und"), (True, 0, "zz")]
+    short = language.train(docs, folds=1, held=1, max_text=3)
+    assert short.languages == ["aa", "zz"] and language.train(docs.limit(0)).languages == []
+
+
+def test_index_finds_every_code():
+    rng = np.random.default_rng(1)
+    codes = np.unique(rng.integers(0, 1 << 36, 5000))
+    index = language.Index(codes)
+    assert (index.find(codes) == np.arange(len(codes))).all()
+    assert (index.find(np.setdiff1d(rng.integers(0, 1 << 36, 5000), codes)) == -1).all() and (language.Index(codes[:0]).find(codes) == -1).all()
