@@ -8,9 +8,10 @@ more than the pieces of its open ones; at its end the pieces of unfinished bins
 Tokens come from a public tokenizer file. Tokenization never crosses white space, so the ids of white-space
 separated chunks are kept in a bounded table and looked up; ids equal the tokenizer's own on the whole text.
 
-Defined results: null text is empty and has only the end token; every row is packed by itself, repeated rows
-too; an empty table gives an empty result; other columns are ignored. A worker's bins depend on its rows and
-their order alone, so a task that runs again gives the same sequences."""
+Defined results: null text is empty and has only the end token; null ids are kept; every row is packed by itself,
+repeated rows and equal ids too; bins take pieces of equal length in the order of the rows; an empty table gives an
+empty result; other columns are ignored; ids must be whole numbers or texts of such. A worker's bins depend on its rows
+and their order alone, so a task that runs again gives the same sequences."""
 
 from __future__ import annotations
 
@@ -30,8 +31,10 @@ CAPACITY = 4096
 END = 2
 #: Sequences of one worker are numbered from its partition's number times this.
 STRIDE = 1 << 32
-#: Entries of the tables of known chunks and pieces before they are emptied (about 100 bytes each).
-KNOWN = 1_000_000
+#: Bytes of the table of known chunks, and of that of pieces, before they are emptied; an entry's own cost; the longest chunk kept.
+KNOWN_BYTES = 64 << 20
+ENTRY = 200
+LONGEST = 64
 
 #: The tokenizer's own split rule for lower-cased Latin-1 letters, digits and ASCII punctuation.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
@@ -52,6 +55,7 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.known_bytes = self.piece_bytes = 0
         self.byte_level: dict[int, str] | None = None
         self._load(path)
 
@@ -80,9 +84,13 @@ class Ids:
         for piece in PIECES.findall(chunk.lower()):
             got = self.pieces.get(piece)
             if got is None:
-                if len(self.pieces) > KNOWN:
-                    self.pieces.clear()
-                got = self.pieces[piece] = self._piece(piece)
+                got = self._piece(piece)
+                if len(piece) <= LONGEST:
+                    if self.piece_bytes > KNOWN_BYTES:
+                        self.pieces.clear()
+                        self.piece_bytes = 0
+                    self.pieces[piece] = got
+                    self.piece_bytes += ENTRY + 2 * len(piece) + len(got)
             out.append(got)
         return b"".join(out)
 
@@ -93,13 +101,19 @@ class Ids:
         try:
             return b"".join([known[c] for c in chunks])
         except KeyError:
+            out = []
             for c in chunks:
-                if c not in known:
-                    known[c] = self._chunk(c)
-            out = b"".join([known[c] for c in chunks])
-            if len(known) > KNOWN:
-                known.clear()
-            return out
+                got = known.get(c)
+                if got is None:
+                    got = self._chunk(c)
+                    if len(c) <= LONGEST:  # longer ones hardly come again
+                        known[c] = got
+                        self.known_bytes += ENTRY + 4 * len(c) + len(got)
+                out.append(got)
+                if self.known_bytes > KNOWN_BYTES:
+                    known.clear()
+                    self.known_bytes = 0
+            return b"".join(out)
 
 
 @lru_cache(maxsize=2)
