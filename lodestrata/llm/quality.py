@@ -3,12 +3,14 @@
 ``logit = w0 + sum(w_i x_i) + 1/2 sum_f((sum(v_if x_i))^2 - sum(v_if^2 x_i^2))``: all pairwise interactions at a
 cost linear in a document's features.
 
-The model is fitted on at most ``max_rows`` labelled rows (those with the smallest hashes of their ids, whatever
-the size of the input); every document is scored over its whole text. Features come from the text alone.
+The model is fitted on at most ``max_rows`` labelled ids and ``max_bytes`` bytes of text (those with the smallest hashes of
+their ids, whatever the size of the input); every document is scored over its whole text. Features come from the text
+and, if named, from ``metadata`` columns, hashed like words; the query names none, since its contract forbids all that
+the table has.
 
 Defined results: null text is empty and gets a score; null ids count as the empty text when folds are dealt;
 repeated rows are kept and equal texts get equal scores; repeated labels of an id count once with the lowest
-quality; without labels of both kinds every score is the share of label 1 (1.0 if there is none at all); an empty
+quality, repeated rows of an id teach once with the least text; ids must be whole numbers or texts of such; without labels of both kinds every score is the share of label 1 (1.0 if there is none at all); an empty
 table gives an empty result."""
 
 from __future__ import annotations
@@ -22,14 +24,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.common import discard, written
+
 BITS = 15
 WORDS = 1 << BITS
 STATS = 24
 SIZE = WORDS + STATS
 RANK = 8
 THRESHOLD = 0.3
-#: Most labelled rows that the model is fitted on.
+#: Most labelled rows that the model is fitted on, and most bytes of their texts.
 MAX_ROWS = 8000
+MAX_BYTES = 64 << 20
 #: Entries of a worker's table of word buckets before it is emptied.
 KNOWN = 500_000
 
@@ -56,8 +61,8 @@ def _bucket(word: str) -> int:
     return got
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers and values of a text: hashed words with unit length together, then the statistics."""
+def features(text: str | None, metadata: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers and values of a text: hashed words with unit length together, statistics, then metadata (name=value)."""
     text = text or ""
     raw = text.encode()
     n = max(1, len(raw))
@@ -80,7 +85,8 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         len(set(full)) / max(1, len(full)), min(1.0, len(lines) / n_words), sum(x[-1] in ".!?" for x in full) / max(1, len(full)),
         np.log1p(len(raw)) / 15, np.log1p(n_words) / 12, float(not raw), min(1.0, text.count("|") / n_words), min(1.0, text.count("@") / n_words * 10), 1.0,
     ])
-    return np.concatenate([index, WORDS + np.arange(STATS)]), np.concatenate([value, stats]).astype(np.float32)
+    extra = np.array([_bucket(f"\0{m}") for m in metadata], np.int64)
+    return np.concatenate([index, WORDS + np.arange(STATS), extra]), np.concatenate([value, stats, np.ones(len(extra))]).astype(np.float32)
 
 
 class Machine:
@@ -96,10 +102,21 @@ class Machine:
         squares = np.add.reduceat((vx * vx).sum(1), starts)
         return self.w0 + np.add.reduceat(self.w[index] * value, starts) + 0.5 * ((sums * sums).sum(1) - squares), sums
 
-    def scores(self, texts: list) -> np.ndarray:
+    def gradients(self, index: np.ndarray, value: np.ndarray, starts: np.ndarray, labels: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the mean logistic loss: by w0; the features that occur; by their weights and their factors."""
+        lengths = np.diff(np.append(starts, len(index)))
+        z, sums = self.logits(index, value, starts)
+        slope = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels).astype(np.float32) / len(labels)
+        each = np.repeat(slope, lengths) * value
+        used, where = np.unique(index, return_inverse=True)
+        full = each[:, None] * (np.repeat(sums, lengths, axis=0) - self.v[index] * value[:, None])
+        by_factor = np.stack([np.bincount(where, full[:, f], len(used)) for f in range(self.v.shape[1])], 1).astype(np.float32)
+        return float(slope.sum()), used, np.bincount(where, each, len(used)).astype(np.float32), by_factor
+
+    def scores(self, texts: list, metadata: list[tuple[str, ...]] | None = None) -> np.ndarray:
         if self.constant is not None or not texts:
             return np.full(len(texts), self.constant or 0.0)
-        rows = [features(t) for t in texts]
+        rows = [features(t, m) for t, m in zip(texts, metadata or [()] * len(texts), strict=True)]
         starts = np.concatenate([[0], np.cumsum([len(i) for i, _ in rows])[:-1]])
         z, _ = self.logits(np.concatenate([i for i, _ in rows]), np.concatenate([x for _, x in rows]), starts)
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -40, 40)))
@@ -118,19 +135,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: in
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
             chosen = order[at : at + batch]
-            lengths = np.array([len(rows[i][0]) for i in chosen])
+            starts = np.concatenate([[0], np.cumsum([len(rows[i][0]) for i in chosen])[:-1]])
             index, value = np.concatenate([rows[i][0] for i in chosen]), np.concatenate([rows[i][1] for i in chosen])
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            z, sums = machine.logits(index, value, starts)
-            slope = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[chosen]).astype(np.float32) / len(chosen)
-            each = np.repeat(slope, lengths) * value
-            used, where = np.unique(index, return_inverse=True)
-            gw = np.bincount(where, each, len(used)).astype(np.float32) + decay * w[used]
-            full = each[:, None] * (np.repeat(sums, lengths, axis=0) - v[index] * value[:, None])
-            gv = np.stack([np.bincount(where, full[:, f], len(used)) for f in range(RANK)], 1).astype(np.float32) + decay * v[used]
+            g0, used, gw, gv = machine.gradients(index, value, starts, labels[chosen])
             step += 1
-            machine.w0 -= rate * float(slope.sum())
-            for x, g, m, s in ((w, gw, state[0], state[1]), (v, gv, state[2], state[3])):
+            machine.w0 -= rate * g0
+            for x, g, m, s in ((w, gw + decay * w[used], state[0], state[1]), (v, gv + decay * v[used], state[2], state[3])):
                 m[used] = 0.9 * m[used] + 0.1 * g
                 s[used] = 0.999 * s[used] + 0.001 * g * g
                 x[used] -= rate * (m[used] / (1 - 0.9**step)) / (np.sqrt(s[used] / (1 - 0.999**step)) + 1e-6)
@@ -142,35 +152,48 @@ def fold(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def _named(docs: DataFrame, metadata: tuple[str, ...]) -> Column:
+    """Metadata of a row as an array of name=value; nulls have none."""
+    return F.array_compact(F.array(*[F.concat(F.lit(f"{m}="), F.col(f"`{m}`").cast("string")) for m in metadata])) if metadata else F.expr("cast(array() as array<string>)")
+
+
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
-            made = [features(t) for t in part.column(2).to_pylist()]
+            made = [features(t, tuple(m)) for t, m in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([m[0].astype("<i4").tobytes() for m in made], pa.binary()), pa.array([m[1].astype("<f4").tobytes() for m in made], pa.binary())], ["rank", "label", "idx", "val"])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, held: int = 0, max_rows: int = MAX_ROWS) -> Machine:
-    """Fit on at most ``max_rows`` labelled rows outside the held-out fold."""
+def train(
+    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, held: int = 0,
+    max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, metadata: tuple[str, ...] = (),
+) -> Machine:
+    """Fit on at most ``max_rows`` labelled ids outside the held-out fold, in order of rank while their texts have ``max_bytes`` bytes."""
     known = (
         labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").alias("label"))
         .filter(F.col("k").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("k"), folds) != held))
         .groupBy("k").agg(F.min("label").cast("int").alias("label"))
         .withColumn("rank", F.xxhash64("k")).orderBy("rank", "k").limit(max_rows)
     )
-    rows = (
-        docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text"))
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    chosen = (
+        docs.select(F.col(f"`{key}`").alias("k"), body.alias("text"), _named(docs, metadata).alias("metadata"))
         .join(F.broadcast(known), "k")  # at most max_rows rows of three numbers
-        .select("rank", "label", "text")
-        .mapInArrow(_features_of, "rank long, label int, idx binary, val binary")
-        .collect()
+        .filter(F.octet_length("text") <= max_bytes)
     )
+    chosen = written(chosen.groupBy("k", "rank", "label").agg(F.min(F.struct("text", "metadata")).alias("s")).select("k", "rank", "label", "s.*"), "quality-sample")
+    sizes = sorted((r.rank, r.k, r.n) for r in chosen.select("rank", "k", F.octet_length("text").alias("n")).collect())  # max_rows at most
+    total = np.cumsum([n for _, _, n in sizes])
+    fit_on = chosen if not len(total) or total[-1] <= max_bytes else chosen.filter(F.col("rank") <= sizes[int(np.searchsorted(total, max_bytes, "right")) - 1][0])
+    rows = fit_on.select("rank", "label", "text", "metadata").mapInArrow(_features_of, "rank long, label int, idx binary, val binary").collect()
+    discard(chosen)
     rows = sorted((r.rank, bytes(r.idx), bytes(r.val), r.label) for r in rows)
     pairs = [(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4")) for _, i, v, _ in rows]
     return fit(pairs, np.array([r[3] for r in rows], np.float32))
 
 
-def score(docs: DataFrame, machine: Machine, *, key: Column, text: Column) -> DataFrame:
+def score(docs: DataFrame, machine: Machine, *, key: Column, text: Column, metadata: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and score of every row."""
     held = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size: SIZE * (RANK + 1) numbers
 
@@ -178,9 +201,11 @@ def score(docs: DataFrame, machine: Machine, *, key: Column, text: Column) -> Da
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held.value.scores(part.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+                found = held.value.scores(part.column(1).to_pylist(), [tuple(m) for m in part.column(2).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(key.cast("long").alias("doc_id"), text.cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    chosen = docs.select(key.cast("long").alias("doc_id"), text.cast("string").alias("text"), _named(docs, metadata).alias("metadata"))
+    return chosen.mapInArrow(run, "doc_id long, score double")
 
 
 def keep(docs: DataFrame, machine: Machine, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
