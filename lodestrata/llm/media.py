@@ -1,12 +1,12 @@
 """Media columns: Netpbm and BMP decoded to numpy arrays, area-resized by integral images, NPY tiles, difference hashes.
 
 Decoders take whole byte strings and give ``(height, width)`` or ``(height, width, 3)`` arrays of 8-bit samples.
-:func:`media_features` stores a payload losslessly as a binary graymap, reads the stored bytes back and computes
-features from what was read.
+:func:`media_row` stores a payload losslessly as a binary graymap or a BMP, reads the stored bytes back and computes
+features from what was read. :func:`write_tiles` writes one NPY tile for each distinct payload into a shared folder.
 
 Defined results: null or empty payloads become one block of 64 zero bytes; equal payloads give equal values;
-repeated rows are kept; an empty table gives an empty result. Undecodable media give a null array (``decode``
-raises ``ValueError``; ``media_table`` catches only that and sets ``error``)."""
+repeated rows are kept; null ids are kept; ids must be whole numbers or texts of such; an empty table gives an empty
+result. ``decode`` raises ``ValueError`` for what it can't read."""
 
 from __future__ import annotations
 
@@ -145,9 +145,12 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 
 def media_row(text: str | None) -> tuple[int, bytes, bytes, str, bytes]:
-    """Unpadded length, stored media, payload read back, feature, NPY tile."""
+    """Unpadded length, stored media, payload read back, feature, NPY tile.
+
+    The stored form follows from the payload: a graymap, or a BMP if the payload's CRC is odd."""
     n, payload = payload_of(text)
-    media = encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH))
+    encode = encode_bmp if zlib.crc32(payload) & 1 else encode_pgm
+    media = encode(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH))
     image = decode(media)
     tile = npy_tile(area_resize(image, 16, 16))
     return n, media, image.tobytes(), f"{difference_hash(image)}:{hashlib.sha256(tile).hexdigest()[:16]}", tile
@@ -159,14 +162,14 @@ def _batches(column: pa.Array, rows: int) -> Iterator[tuple[int, list]]:
 
 
 def media_table(docs: DataFrame, *, key: Column, text: Column, with_media: bool = True) -> DataFrame:
-    """key, n_bytes, media (stored graymap), tile (NPY bytes), feature for each row."""
+    """key, n_bytes, media (stored form; null without ``with_media``), tile (NPY bytes), feature for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, texts in _batches(batch.column(1), 256):
                 made = [media_row(t) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, len(texts)), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary()), pa.array([m[4] for m in made], pa.binary()), pa.array([m[3] for m in made], pa.string())],
+                    [batch.column(0).slice(i, len(texts)), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] if with_media else None for m in made], pa.binary()), pa.array([m[4] for m in made], pa.binary()), pa.array([m[3] for m in made], pa.string())],
                     ["key", "n_bytes", "media", "tile", "feature"],
                 )
 
@@ -189,3 +192,10 @@ def media_digest(docs: DataFrame, *, key: Column, text: Column) -> DataFrame:
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return docs.select(key.cast("long").alias("key"), text.cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def write_tiles(docs: DataFrame, path: str, *, text: Column) -> DataFrame:
+    """Write the tiles as a Parquet table of NPY bytes, one row for each distinct payload: feature, tile; gives it read back."""
+    made = media_table(docs, key=F.lit(None), text=text, with_media=False).groupBy("feature").agg(F.min("tile").alias("tile"))
+    made.write.parquet(path)
+    return docs.sparkSession.read.schema(made.schema).parquet(path)
