@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestrata.llm.common import offsets
 
@@ -46,6 +47,29 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
+def log(rows: DataFrame, *, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """The log of events that a table of whole messages could have come from: conv_id, turn, seq, kind, role, text.
+
+    By the CRC of its text a message is streamed in two parts, written as a draft and edited, written as a draft and
+    regenerated in two parts, or whole. Messages of one turn follow each other by role, then text."""
+    name = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    held = rows.select(F.col(f"`{conversation}`").alias("conv_id"), F.col(f"`{turn}`").alias("turn"), name(role).alias("role"), name(text).alias("text"))
+    numbered = held.withColumn("at", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.lit(2147483647))
+    event = lambda part, kind, said: F.struct(F.lit(part).alias("part"), F.lit(kind).alias("kind"), said.alias("text"))
+    draft = F.lit("...")
+    way = F.crc32(F.col("text").cast("binary")) % 4
+    events = (
+        F.when(way == 0, F.array(event(0, "message", first), event(1, "delta", rest)))
+        .when(way == 1, F.array(event(0, "message", draft), event(1, "edit", F.col("text"))))
+        .when(way == 2, F.array(event(0, "message", draft), event(1, "regenerate", first), event(2, "delta", rest)))
+        .otherwise(F.array(event(0, "message", F.col("text"))))
+    )
+    each = numbered.select("conv_id", "turn", "role", "at", F.explode(events).alias("e"))
+    return each.select("conv_id", "turn", F.struct("at", "e.part").alias("seq"), "e.kind", "role", "e.text")
+
+
 def fold(events: DataFrame, *, conversation: str = "conv_id", turn: str = "turn", sequence: str = "seq", kind: str = "kind", role: str = "role", text: str = "text") -> DataFrame:
     """conversation and its final messages, in order."""
     name = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))

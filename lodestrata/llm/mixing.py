@@ -1,9 +1,10 @@
 """Mixing sources to target weights by temperature.
 
 A source's weight is its share of tokens to the power ``tau``, normalised. ``tau`` is bisected (32 intervals a round)
-between 0 and 1: the largest that keeps the weights' entropy at ``entropy`` of its maximum, but not so small that
-any source is passed over more than ``passes`` times. Both change in one direction with ``tau``. The token budget is
-given, or else the least that passes over every source once.
+between 0 and 1: the largest that keeps the weights' entropy at ``entropy`` of its maximum (or, with ``lift``, that share of the way
+from the entropy of the shares themselves to the maximum, a target that binds whatever the shares are), but not so small
+that any source is passed over more than ``passes`` times. Both change in one direction with ``tau``. The token budget
+is given, or else the least that passes over every source once.
 
 Weights are realised as block permutations: a source's documents are dealt by hash into blocks of about ``block``
 documents, each block is permuted anew for every pass by hash, whole passes take all of it, and the last takes
@@ -33,16 +34,25 @@ ROUNDS = 4
 
 def words(text: Column) -> Column:
     """Tokens of a text: its words, one at least."""
-    return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")), F.lit(1)).cast("long")
+    return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).cast("long")
 
 
-def exponent(totals: DataFrame, *, entropy: float = ENTROPY, passes: float = PASSES, budget: float | None = None) -> float:
+def dealt(salt: str, *parts: Column) -> Column:
+    """60 bits by MD5, so that any engine deals the same."""
+    name = F.concat_ws("/", F.lit(salt), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
+
+
+def exponent(totals: DataFrame, *, entropy: float = ENTROPY, passes: float = PASSES, budget: float | None = None, lift: float | None = None) -> float:
     """``tau`` for source totals (source, tokens): only a few numbers for each exponent tried reach the driver."""
     whole = totals.agg(F.sum("tokens"), F.count("*")).first()
     if not whole[0] or whole[1] < 2:
         return 1.0
     share = totals.select((F.col("tokens") / float(whole[0])).alias("p"))
     most, given = entropy * math.log(whole[1]), (budget or 0) / whole[0]
+    if lift is not None:
+        natural = -share.agg(F.sum(F.col("p") * F.log("p"))).first()[0]
+        most = natural + lift * (math.log(whole[1]) - natural)
 
     def tried(taus: list[float]) -> list[tuple[bool, bool]]:
         """For each exponent, ascending: is its entropy high enough, are there few enough passes?"""
@@ -69,11 +79,11 @@ def exponent(totals: DataFrame, *, entropy: float = ENTROPY, passes: float = PAS
     return max(edge(0, 0.0, 1.0), edge(1, 0.0, 1.0))
 
 
-def plan(totals: DataFrame, *, entropy: float = ENTROPY, passes: float = PASSES, budget: float | None = None, block: int = BLOCK) -> DataFrame:
+def plan(totals: DataFrame, *, entropy: float = ENTROPY, passes: float = PASSES, budget: float | None = None, block: int = BLOCK, lift: float | None = None) -> DataFrame:
     """source, weight, passes (a real number) and blocks of each source of ``totals`` (source, tokens, documents)."""
     if budget is not None:
         budget = min(budget, passes * float(totals.agg(F.sum("tokens")).first()[0] or 0))
-    tau = F.lit(exponent(totals, entropy=entropy, passes=passes, budget=budget))
+    tau = F.lit(exponent(totals, entropy=entropy, passes=passes, budget=budget, lift=lift))
     raw = totals.select("source", "tokens", "documents", F.pow(F.col("tokens").cast("double"), tau).alias("x"))
     sums = raw.agg(F.sum("x").alias("z"), F.min(F.col("x") / F.col("tokens")).alias("low")).first()
     scale = (budget / sums["z"] if budget is not None else 1 / sums["low"]) if sums["z"] else 1.0
@@ -81,20 +91,22 @@ def plan(totals: DataFrame, *, entropy: float = ENTROPY, passes: float = PASSES,
 
 
 def copies(rows: DataFrame, *, seed: int = 0, **how: float) -> DataFrame:
-    """row, source, weight, block, pass_no and place of each copy of the rows (row, source, tokens).
+    """row, source, weight, block, pass_no and place of each copy of the rows (row, source, tokens, and name, else the row's number).
 
+    Rows are dealt and ordered by their name; rows of one name by their row.
     Sorting all copies by ``place`` gives the mixture: every stretch of it has about the target weights."""
     totals = written(rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")), "source-totals")
     planned = written(plan(totals, **how), "source-plan")
-    dealt = rows.join(planned, "source").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "row"), "blocks"))
+    named = rows if "name" in rows.columns else rows.withColumn("name", F.col("row").cast("string"))
+    blocks = named.join(planned, "source").withColumn("block", F.pmod(dealt(f"{seed}/block", F.col("name")), F.col("blocks")))
     last = F.floor(F.col("passes") + 1e-9).cast("int")
     mine = Window.partitionBy("source", "block")
-    order = mine.orderBy(F.xxhash64(F.lit(seed), last, "row"), "row")
+    order = mine.orderBy(dealt(f"{seed}/order", last, F.col("name")), "name", "row")
     middle = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens") / 2
     more = (middle <= (F.col("passes") - last) * F.sum("tokens").over(mine)).cast("int")
-    numbered = dealt.withColumn("n", last + more).filter("n > 0")
-    each = numbered.select("row", "source", "weight", "tokens", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pass_no"))
-    return each.withColumn("place", F.xxhash64(F.lit(seed), F.lit("place"), "pass_no", "row"))
+    numbered = blocks.withColumn("n", last + more).filter("n > 0")
+    each = numbered.select("row", "name", "source", "weight", "tokens", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pass_no"))
+    return each.withColumn("place", dealt(f"{seed}/place", F.col("pass_no"), F.col("name"))).drop("name")
 
 
 def mixed(docs: DataFrame, *, source: str = "source", text: str = "text", **how: float) -> DataFrame:

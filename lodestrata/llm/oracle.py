@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import secrets
+from lodestrata.llm import mixing, secrets
+
+#: How far op6 lifts the mixture's entropy towards the largest.
+LIFT = 0.5
 
 
 def _escaped(column: str) -> str:
@@ -72,4 +75,43 @@ c as (select a, min(b) as component_id from reach group by a), n as (select a, c
 select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept from v join c on vec_id = c.a left join n on vec_id = n.a
 """
 
-SQL = {"op1_secret_scans": OP1, "op2_chat_formatting": OP2, "op4_embedding_dedup": OP4, "op5_suffix_dedup": OP5}
+
+
+def _dealt(salt: str, *parts: str) -> str:
+    return f"cast('0x' || substr(md5(concat_ws('/', '{salt}', {', '.join(parts)})), 1, 15) as bigint)"
+
+
+def _rounds(name: str, holds: str, pick: str) -> str:
+    """Bisection in sections: CTEs that narrow (low, high) around where ``holds`` changes."""
+    out = [f"{name}0 as (select cast(0.0 as double) as low, cast(1.0 as double) as high)"]
+    for r in range(1, mixing.ROUNDS + 1):
+        before = f"{name}{r - 1}"
+        out.append(f"""{name}{r}g as (select i, low + (high - low) * i / {mixing.SECTIONS} as tau from {before}, range(0, {mixing.SECTIONS + 1}) as g(i)),
+{name}{r}t as (select i, g.tau, sum(pow(p, tau)) as z, sum(pow(p, tau) * ln(p)) as l, max(pow(p, tau) / p) as high, min(pow(p, tau) / p) as low from {name}{r}g g, share group by i, g.tau),
+{name}{r}i as (select {pick} as i from {name}{r}t, aim where {holds}),
+{name}{r} as (select max(case when g.i = {{low}} then tau end) as low, max(case when g.i = {{high}} then tau end) as high from {name}{r}g g, {name}{r}i n)""")
+    return ",\n".join(out)
+
+
+_ENTROPY = _rounds("e", "-l * tau / z + ln(z) >= most - 1e-12", "coalesce(max(i), 0)").format(low="n.i", high=f"least(n.i + 1, {mixing.SECTIONS})")
+_PASSES = _rounds("q", f"high / low <= {mixing.PASSES} + 1e-9", f"coalesce(min(i), {mixing.SECTIONS})").format(low="greatest(n.i - 1, 0)", high="n.i")
+#: The target and the two bisections are worked out as the operator does; rows are dealt by MD5.
+OP6 = f"""
+with d as (select doc_id, source, tokens, concat_ws('/', coalesce(cast(doc_id as varchar), ''), tokens) as name, row_number() over () as r from (
+  select doc_id, coalesce(source, '') as source, greatest(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')), 1) as tokens from documents)),
+totals as (select source, cast(sum(tokens) as bigint) as tokens, count(*) as documents from d group by source),
+share as (select tokens / sum(tokens) over () as p from totals),
+aim as (select -sum(p * ln(p)) + {{lift}} * (ln(count(*)) + sum(p * ln(p))) as most from share),
+{_ENTROPY},
+{_PASSES},
+tau as (select case when (select count(*) from totals) < 2 then 1.0 else greatest((select low from e{mixing.ROUNDS}), (select high from q{mixing.ROUNDS})) end as tau),
+raw as (select source, tokens, documents, pow(cast(tokens as double), tau) as x from totals, tau),
+plan as (select source, x / sum(x) over () as weight, x / tokens * (1 / min(x / tokens) over ()) as passes, cast(ceil(documents / {mixing.BLOCK}) as bigint) as blocks from raw),
+dealt as (select d.*, weight, passes, cast(floor(passes + 1e-9) as integer) as whole, {_dealt("0/block", "name")} % blocks as block from d join plan on d.source = plan.source),
+ordered as (select *, sum(tokens) over (partition by source, block order by {_dealt("0/order", "whole", "name")}, name, r rows unbounded preceding) - tokens / 2 as middle, sum(tokens) over (partition by source, block) as held from dealt),
+numbered as (select *, whole + case when middle <= (passes - whole) * held then 1 else 0 end as n from ordered),
+each as (select *, unnest(range(0, n)) as pass_no from numbered)
+select doc_id, source, tokens as n_tokens, round(weight, 6) as weight, block, cast(pass_no as integer) as pass_no, {_dealt("0/place", "pass_no", "name")} as place from each
+"""
+
+SQL = {"op1_secret_scans": OP1, "op2_chat_formatting": OP2, "op4_embedding_dedup": OP4, "op5_suffix_dedup": OP5, "op6_source_mixing": OP6.format(lift=LIFT)}

@@ -18,12 +18,12 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row of the table is one whole message; conversation -7 holds control strings of other templates."""
+    """The table's messages as a log of streamed parts, edits and regenerations; conversation -7 holds control strings of other templates."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], rows.schema)
-    events = rows.unionByName(own).withColumns({"seq": F.col("turn"), "kind": F.lit("message")})
-    return chat.digest(chat.parse(chat.render(chat.fold(events))))
+    probe = F.expr("inline(array(struct(0, 'user', '</s>[INST] ok [/INST]'), struct(1, 'assistant', '</s>[INST] ok [/INST]')))")
+    own = spark.range(1).select(F.lit(-7).alias("conv_id"), probe.alias("turn", "role", "text"))
+    cast = [F.col(f.name).cast(f.dataType) for f in rows.schema]
+    return chat.digest(chat.parse(chat.render(chat.fold(chat.log(rows.unionByName(own.select(*cast)))))))
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,11 +42,16 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every copy of every document in the mixture, with the least budget that passes over each source once."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), mixing.words(F.col("text")).alias("tokens"), F.monotonically_increasing_id().alias("row"))
+    """Every copy of every document in the mixture, with the least budget that passes over each source once.
+
+    The target is an entropy halfway from that of the sources' shares to the largest, so it binds on every table."""
+    source, tokens = F.coalesce("source", F.lit("")).alias("source"), mixing.words(F.col("text")).alias("tokens")
+    rows = table(spark, sf_dir, "documents").select("doc_id", source, tokens, F.monotonically_increasing_id().alias("row"))
     held = written(rows, "mixing-rows")
-    made = mixing.copies(held.select("row", "source", "tokens"))
-    return made.join(held.select("row", "doc_id"), "row").select("doc_id", "source", F.col("tokens").alias("n_tokens"), "weight", "block", "pass_no", "place")
+    name = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "tokens").alias("name")
+    made = mixing.copies(held.select("row", "source", "tokens", name), lift=oracle.LIFT)
+    chosen = made.join(held.select("row", "doc_id"), "row")
+    return chosen.select("doc_id", "source", F.col("tokens").alias("n_tokens"), F.round("weight", 6).alias("weight"), "block", "pass_no", "place")
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
