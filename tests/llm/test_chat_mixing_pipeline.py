@@ -135,3 +135,56 @@ def test_pipeline_stages(spark):
     ids = packing.Ids(packing.public_tokenizer())
     want = sum(len(ids.of(r.text or "")) // 4 + 1 for r in before.collect())
     assert sum(r.length for r in corpus_pipeline.run(spark, sf).collect()) == want
+
+
+def test_log_of_whole_messages_folds_back(spark):
+    rows = [(1, t, role, NASTY[t % len(NASTY)]) for t, role in enumerate(["user", "assistant", None] * 20)] + [(2, 0, "user", "b")] * 2 + [(2, 0, "user", "a"), (2, None, "assistant", "long text"), (None, 1, "user", None)]
+    rows += [(3, i, "assistant", f"text number {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.log(df)
+    assert {"message", "delta", "edit", "regenerate"} == {r.kind for r in log.select("kind").distinct().collect()}
+    want = defaultdict(list)
+    for c, t, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        want[c].append((role or "", text or ""))
+    assert {r.conversation: [(m.role, m.text) for m in r.messages] for r in chat.fold(log).collect()} == want
+    assert chat.fold(chat.log(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op6_source_mixing"])
+def test_sql_of_mixing_on_whole_and_awkward_tables(spark, tmp_path, name):
+    import duckdb
+
+    from lodestrata.llm.queries import oracle_sql, queries
+
+    rows = [(i % 50, None if i % 11 == 0 else "w " * (i % 90), [None, "a", "b", "b", "b", "c"][i % 6] if i > 5 else "c", "x") for i in range(700)] + [(None, "q", "b", "y"), (3, "w " * 200_000, "a", "y")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, `name` string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(rows[:0], "doc_id long, text string, source string, `name` string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    for sf in ("/root/testdata/sf0.001", str(tmp_path)):
+        con = duckdb.connect()
+        con.execute(f"create view documents as select * from '{sf}/documents.parquet{'' if sf.startswith('/root') else '/*.parquet'}'")
+        want = con.execute(oracle_sql()[name])
+        order = [d[0] for d in want.description]
+        df = queries()[name](spark, sf)
+        assert sorted(df.columns) == sorted(order)
+        got = sorted((tuple(r[c] for c in order) for r in df.collect()), key=repr)
+        assert got == sorted(want.fetchall(), key=repr) and len(got) > con.execute("select count(*) from documents").fetchone()[0]
+    assert queries()[name](spark, f"{tmp_path}/none").count() == 0
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    """Null ids and texts, empty and very long texts, repeated rows, clashing columns, an empty table."""
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa. "
+    rows = [(i, text * (1 + i % 7) + f"number {i} of the rows", "en", "abc"[i % 3], 10, "k", 1.0) for i in range(60)]
+    rows += [(None, text + "no id", "en", "a", 3, "k", 1.0), (100, None, None, None, None, None, None), (101, "", "en", "b", 0, "k", 1.0), (102, text * 20_000, "en", "b", 9, "k", 1.0), (5, rows[5][1], "en", "c", 10, "k", 1.0)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, `key` string, fp double"
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(60)], "doc_id long, quality int")
+    for name, held in (("some", rows), ("none", [])):
+        spark.createDataFrame(held, kinds).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.written(stage(spark, docs, f"{tmp_path}/{name}"), "test")
+            assert docs.columns == [c.split()[0].strip("`") for c in kinds.split(", ")]
+        packed = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert bool(packed) == bool(held)
+        assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}

@@ -116,3 +116,18 @@ def test_balls_hold_only_what_links():
             if i != j:
                 links = units[a] @ units[b].T >= 0.95
                 assert links.all() if whole[i, j] else part[i, j] or not links.any()
+
+
+def test_sql_of_a_table_with_links(spark, tmp_path):
+    import duckdb
+
+    from lodestrata.llm.queries import oracle_sql, queries
+
+    rows = list(enumerate(groups(7, 32, [9, 1, 14, 6], 0.12) + [None, [0.0] * 32]))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(oracle_sql()["op4_embedding_dedup"])
+    order = [d[0] for d in want.description]
+    got = [tuple(r[c] for c in order) for r in queries()["op4_embedding_dedup"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want.fetchall()) and sum(r[1] for r in got) > 200

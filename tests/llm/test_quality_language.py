@@ -152,3 +152,49 @@ def test_index_finds_every_code():
     index = language.Index(codes)
     assert (index.find(codes) == np.arange(len(codes))).all()
     assert (index.find(np.setdiff1d(rng.integers(0, 1 << 36, 5000), codes)) == -1).all() and (language.Index(codes[:0]).find(codes) == -1).all()
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(4)
+    m = quality.Machine(0.1, (rng.standard_normal(quality.SIZE) * 0.3).astype(np.float64), (rng.standard_normal((quality.SIZE, 3)) * 0.3).astype(np.float64))
+    rows = [quality.features(t, d) for t, d in (("a b c a", ("x=1",)), (None, ()), ("some MORE a", ("x=2", "y=1")))]
+    index, value = np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows]).astype(np.float64)
+    starts, labels = np.cumsum([0] + [len(i) for i, _ in rows])[:-1], np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        z, _ = m.logits(index, value, starts)
+        return float(np.mean(np.log1p(np.exp(-z)) * labels + np.log1p(np.exp(z)) * (1 - labels)))
+
+    g0, used, gw, gv = m.gradients(index, value, starts, labels)
+
+    def by(change):
+        change(1e-5)
+        up = loss()
+        change(-2e-5)
+        down = loss()
+        change(1e-5)
+        return (up - down) / 2e-5
+
+    assert g0 == pytest.approx(by(lambda d: setattr(m, "w0", m.w0 + d)), abs=1e-4)
+    for j in rng.choice(len(used), 12, replace=False).tolist():
+        assert gw[j] == pytest.approx(by(lambda d: m.w.__setitem__(used[j], m.w[used[j]] + d)), abs=1e-4)
+        for f in range(3):
+            assert gv[j, f] == pytest.approx(by(lambda d: m.v.__setitem__((used[j], f), m.v[used[j], f] + d)), abs=1e-4)
+
+
+def test_learning_sample_is_bounded_and_metadata_counts(spark):
+    rows = [(i, "word " * 50, "good" if i % 2 else "bad") for i in range(60)] + [(0, "word " * 50, "bad")] * 30 + [(99, "long " * 10_000, "bad")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `site` string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    sizes = []
+    fit = quality.fit
+    quality.fit = lambda pairs, marks, **how: sizes.append(len(pairs)) or fit(pairs, marks, **how)
+    try:
+        quality.train(docs, labels, folds=1, held=1, max_rows=40)
+        quality.train(docs, labels, folds=1, held=1, max_bytes=2600)
+        machine = quality.train(docs, labels, folds=1, held=1, metadata=("site",))
+    finally:
+        quality.fit = fit
+    assert sizes[0] <= 40 and sizes[1] == 10 and sizes[2] == 61
+    scored = quality.score(docs, machine, key=F.col("doc_id"), text=F.col("text"), metadata=("site",)).collect()
+    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in scored if r.doc_id < 60)
