@@ -13,8 +13,9 @@ a window is repeated where another one of the same offset lies in the same class
 the window has to the right and to the left. No hash takes part in that.
 
 Then lots are compared across their boundaries. Suffixes are in order, so a window can have an equal one in another
-lot only if it shares its whole right side with its lot's first or last suffix. Of those windows each lot sends one of a
-kind, which are met by a 128-bit BLAKE2 digest of their bytes.
+lot only if it shares its whole right side with its lot's first or last suffix. One of a kind of those windows goes
+through the same steps in the order of the bytes to the left of the anchors, and what shares its whole left side too
+with a lot's first or last row there (whole windows that fill lots) is met by a 128-bit BLAKE2 digest of its bytes.
 
 Equal texts are one entry: they are removed whole if they have SIZE bytes. What is removed depends on a text alone, so
 texts stand under half their SHA-256 and results are joined back by it.
@@ -215,8 +216,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From texts with their repeated anchors: the bytes before and after the anchor of each run of windows."""
-    names, kinds = ["k", "first", "left", "right"], (pa.binary(), pa.int64(), pa.binary(), pa.binary())
+    """From texts with their repeated anchors: the bytes before (backwards) and after the anchor of each run of windows."""
+    names, kinds = ["k", "first", "back", "right"], (pa.binary(), pa.int64(), pa.binary(), pa.binary())
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -226,7 +227,7 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             k, text, runs = (batch.column(c)[i].as_py() for c in range(3))
             for r in runs:
-                rows.append((k, r["first"], text[r["first"] : r["anchor"]], text[r["anchor"] : r["last"] + SIZE]))
+                rows.append((k, r["first"], text[r["first"] : r["anchor"]][::-1], text[r["anchor"] : r["last"] + SIZE]))
                 if len(rows) > 2000:
                     yield out(rows)
                     rows = []
@@ -284,14 +285,14 @@ def _leading(x: np.ndarray) -> np.ndarray:
 
 
 class Lot:
-    """Suffixes of one lot, sorted to the right and to the left of their anchors."""
+    """Suffixes of one lot, sorted to the right and to the left of their anchors (``back``: the bytes to the left, backwards)."""
 
-    def __init__(self, left: list[bytes], right: list[bytes]) -> None:
-        self.left, self.right, self.n = left, right, len(left)
-        self.most = np.array([len(x) for x in left], np.int64)  # window offsets (bytes before the anchor): from least to most
+    def __init__(self, back: list[bytes], right: list[bytes]) -> None:
+        self.back, self.right, self.n = back, right, len(back)
+        self.most = np.array([len(x) for x in back], np.int64)  # window offsets (bytes before the anchor): from least to most
         self.least = SIZE - np.array([len(x) for x in right], np.int64)
         self.order_r, self.shared_r = multikey(padded(right, SIZE))
-        self.order_l, self.shared_l = multikey(padded([x[::-1] for x in left], -(-SPAN // 8) * 8))
+        self.order_l, self.shared_l = multikey(padded(back, -(-SPAN // 8) * 8))
 
     def _class(self, order: np.ndarray, shared: np.ndarray, depth: int) -> np.ndarray:
         """Of each row: the number of its class of rows that share ``depth`` bytes."""
@@ -307,26 +308,27 @@ class Lot:
         out[order] = np.maximum(shared, after)
         return out
 
-    def edge(self) -> np.ndarray:
-        """Of each row: the bytes to the right that it shares with the lot's first or last suffix."""
+    def _edge(self, order: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        """Of each row: the bytes that it shares with the first or last of the order."""
         out = np.empty(self.n, np.int64)
-        ahead, behind = self.shared_r.copy(), np.concatenate([self.shared_r[1:], [0]])
-        if self.n:
-            ahead[0] = behind[-1] = SIZE
-        out[self.order_r] = np.maximum(np.minimum.accumulate(ahead), np.minimum.accumulate(behind[::-1])[::-1])
+        ahead, behind = shared.copy(), np.concatenate([shared[1:], [0]])
+        ahead[0] = behind[-1] = SIZE
+        out[order] = np.maximum(np.minimum.accumulate(ahead), np.minimum.accumulate(behind[::-1])[::-1])
         return out
 
-    def windows(self) -> tuple[np.ndarray, ...]:
-        """row and offset of each repeated window; row, offset and whether it is repeated here of those to be compared across boundaries."""
+    def windows(self, right: bool) -> tuple[np.ndarray, ...]:
+        """row and offset of each repeated window; row, offset and whether it is repeated here of those, one of a kind, that other lots may hold.
+
+        ``right``: the lots are in order of the bytes to the right of the anchors, else of those to the left."""
+        edge = self._edge(self.order_r, self.shared_r) if right else self._edge(self.order_l, self.shared_l)
         reach_r, reach_l = self._reach(self.order_r, self.shared_r), self._reach(self.order_l, self.shared_l)
         low, high = np.maximum(self.least, SIZE - reach_r), np.minimum(self.most, reach_l)
-        edge = self.edge()
         found: list[tuple[np.ndarray, np.ndarray]] = []
         sent: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for o in range(SPAN):
             mine = (self.least <= o) & (o <= self.most)
             near = mine & (low <= o) & (o <= high)
-            open_ = mine & (edge >= SIZE - o)
+            open_ = mine & (edge >= (SIZE - o if right else o))
             at = np.flatnonzero(near | open_)
             if not len(at):
                 continue
@@ -348,43 +350,67 @@ class Lot:
         return rows, offsets, who, where, settled
 
     def digest(self, row: int, offset: int) -> bytes:
-        left, right = self.left[row], self.right[row]
-        return hashlib.blake2b(left[len(left) - offset :] + right[: SIZE - offset], digest_size=16).digest()
+        return hashlib.blake2b(self.back[row][:offset][::-1] + self.right[row][: SIZE - offset], digest_size=16).digest()
+
+
+SORTED = "k binary, start long, stop long, back binary, right binary, digest binary"
 
 
-def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes in order; gives covered stretches (digest null) and the windows that other lots may hold too.
+def _sorter(right: bool):
+    """Suffixes in order of their bytes to the right (or left); gives covered stretches and the windows that other lots may hold too.
 
-    A window that its lot has settled has no place: it only tells the others."""
-    names = ["k", "start", "stop", "digest"]
+    Those are rows as they came, cut to such windows, or, from the left, digests. What its lot has settled has no k: it only tells the others."""
+    names = [c.split()[0] for c in SORTED.split(", ")]
 
-    def out(lot: Lot, name: list[bytes], first: np.ndarray, rows: np.ndarray, offsets: np.ndarray, who: np.ndarray, where: np.ndarray, settled: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def spans(lot: Lot, name: list, first: np.ndarray, rows: np.ndarray, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
+        told = np.array([x is not None for x in name])
+        rows, offsets = rows[told[rows]], offsets[told[rows]]
         start = first[rows] + lot.most[rows] - offsets
         rank = np.lexsort((start, rows))
         a, b = _stretches(rows[rank], start[rank])
         if len(a):
+            none = pa.nulls(len(a), pa.binary())
             held = [name[i] for i in rows[rank][a].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(start[rank][a]), pa.array(start[rank][b] + SIZE), pa.nulls(len(a), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(start[rank][a]), pa.array(start[rank][b] + SIZE), none, none, none], names)
+
+    def cut(lot: Lot, name: list, first: np.ndarray, who: np.ndarray, where: np.ndarray, settled: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rank = np.lexsort((where, who))
+        who, where, settled = who[rank], where[rank], settled[rank]
+        a, b = _stretches(2 * who + settled, where)
+        rows = who[a]
+        back = [lot.back[r][:o] for r, o in zip(rows.tolist(), where[b].tolist(), strict=True)]
+        rest = [lot.right[r][: SIZE - o] for r, o in zip(rows.tolist(), where[a].tolist(), strict=True)]
+        held = [None if d else name[r] for r, d in zip(rows.tolist(), settled[a].tolist(), strict=True)]
+        none = pa.nulls(len(a), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(first[rows] + lot.most[rows] - where[b]), pa.nulls(len(a), pa.int64()), pa.array(back, pa.binary()), pa.array(rest, pa.binary()), none], names)
+
+    def digests(lot: Lot, name: list, first: np.ndarray, who: np.ndarray, where: np.ndarray, settled: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(who), 10_000):
             some, offset, done = who[i : i + 10_000], where[i : i + 10_000], settled[i : i + 10_000]
-            digests = [lot.digest(r, o) for r, o in zip(some.tolist(), offset.tolist(), strict=True)]
-            place = first[some] + lot.most[some] - offset
+            made = [lot.digest(r, o) for r, o in zip(some.tolist(), offset.tolist(), strict=True)]
+            start, none = first[some] + lot.most[some] - offset, pa.nulls(len(some), pa.binary())
             held = [None if d else name[r] for r, d in zip(some.tolist(), done.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(place, mask=done), pa.array(place + SIZE, mask=done), pa.array(digests, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array(start), pa.array(start + SIZE), none, none, pa.array(made, pa.binary())], names)
 
     def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        lot = Lot(table.column(2).to_pylist(), table.column(3).to_pylist())
-        yield from out(lot, table.column(0).to_pylist(), table.column(1).to_numpy(), *lot.windows())
-
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        while sum(b.num_rows for b in held) >= MANY:
-            table = pa.Table.from_batches(held)
-            yield from settle(table.slice(0, MANY))
-            held = table.slice(MANY).to_batches()
-    if any(b.num_rows for b in held):
-        yield from settle(pa.Table.from_batches(held))
+        name, first, lot = table.column(0).to_pylist(), table.column(1).to_numpy(), Lot(table.column(2).to_pylist(), table.column(3).to_pylist())
+        rows, offsets, *sent = lot.windows(right)
+        yield from spans(lot, name, first, rows, offsets)
+        if len(sent[0]):
+            yield from (cut if right else digests)(lot, name, first, *sent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            while sum(b.num_rows for b in held) >= MANY:
+                table = pa.Table.from_batches(held)
+                yield from settle(table.slice(0, MANY))
+                held = table.slice(MANY).to_batches()
+        if any(b.num_rows for b in held):
+            yield from settle(pa.Table.from_batches(held))
+
+    return run
 
 
 def _text_keys(text: bytes) -> np.ndarray:
@@ -467,15 +493,20 @@ def dedup(docs: DataFrame, *, key: Column, text: Column) -> DataFrame:
     runs = written(shared.unionByName(none).groupBy("k").agg(F.collect_set("run").alias("runs")), "runs")
     once = long.groupBy("k").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     suspects = written(once.join(runs, "k").select("k", "text", "runs", "copies"), "suspects")
-    rows = suspects.filter(F.size("runs") > 0).select("k", "text", "runs").mapInArrow(_suffix_rows, "k binary, first long, left binary, right binary")
-    buckets = rows.repartitionByRange("right", F.xxhash64("k", "first")).sortWithinPartitions("right")
-    sorted_ = written(buckets.mapInArrow(_bucket, "k binary, start long, stop long, digest binary"), "sorted")
-    # across boundaries: digests that more than one lot sent
-    sent = sorted_.filter("digest is not null")
+    rows = suspects.filter(F.size("runs") > 0).select("k", "text", "runs").mapInArrow(_suffix_rows, "k binary, first long, back binary, right binary")
+    place = F.xxhash64("k", "first")
+    buckets = rows.repartitionByRange("right", place).sortWithinPartitions("right")
+    by_right = written(buckets.mapInArrow(_sorter(True), SORTED), "sorted")
+    # across boundaries: in order of the bytes to the left, then by digests that more than one lot sent
+    rows = by_right.filter("back is not null").select("k", F.col("start").alias("first"), "back", "right")
+    buckets = rows.repartitionByRange("back", place).sortWithinPartitions("back")
+    by_left = written(buckets.mapInArrow(_sorter(False), SORTED), "sorted-left")
+    sent = by_left.filter("digest is not null")
     again = sent.groupBy("digest").count().filter("count > 1").select("digest")
     across = sent.filter("k is not null").join(again, "digest", "left_semi").select("k", "start", "stop")
+    local = by_right.unionAll(by_left).filter("back is null and digest is null").select("k", "start", "stop")
     own = found.filter("own").select("k", F.col("first").alias("start"), F.col("last").alias("stop"))
-    spans = sorted_.filter("digest is null").select("k", "start", "stop").unionByName(across).unionByName(own)
+    spans = local.unionByName(across).unionByName(own)
     spans = written(spans.groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
     singles = suspects.filter("copies = 1").select("k", "text").join(spans, "k").mapInArrow(_digests, "k binary, n_removed long, n_spans long, kept_sha256 string")
     several = docs.select(k, F.length(body).cast("long").alias("n")).filter(F.col("n") >= SIZE).groupBy("k").agg(F.max("n").alias("n"), F.count("*").alias("copies")).filter("copies > 1")
