@@ -30,6 +30,14 @@ def chat_issues(messages: Column) -> Column:
     return F.concat(issues(issue(F.size(messages) == 0, "messages", "messages_must_not_be_empty")), F.coalesce(each, F.array().cast("array<struct<field:string,message:string>>")))
 
 
+def _absent(parsed: Column, name: str) -> Column:
+    """A field that isn't there, or is null, empty, zero or false."""
+    value = F.try_variant_get(parsed, f"$.{name}", "variant")
+    said = F.coalesce(F.try_variant_get(parsed, f"$.{name}", "string"), F.to_json(value), F.lit(""))
+    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    return (kind == "VOID") | (said == "") | ((kind != "STRING") & said.rlike(r"^(-?0(\.0+)?|false|\[\]|\{\})$"))
+
+
 def sft_issues(version: Column, messages: Column, target: Column, expected_version: str, expected_path: str) -> Column:
     """Of a supervised row, in order; a target that is empty or no JSON object ends the list."""
     empty = F.coalesce(F.size(messages), F.lit(0)) <= 0
@@ -48,7 +56,7 @@ def sft_issues(version: Column, messages: Column, target: Column, expected_versi
     parsed = F.try_parse_json(target)
     field = lambda name: F.get_json_object(target, f"$.{name}")
     rest = F.concat(
-        issues(*[issue(F.coalesce(field(n), F.lit("")) == "", f"target.{n}", "required_target_field_missing_or_empty") for n in TARGET_FIELDS]),
+        issues(*[issue(_absent(parsed, n), f"target.{n}", "required_target_field_missing_or_empty") for n in TARGET_FIELDS]),
         issues(issue(~field("file_path").eqNullSafe(expected_path), "target.file_path", "unexpected_file_path")),
         F.when(empty, none).otherwise(issues(issue(last["content"] != target, "messages[-1].content", "assistant_message_must_equal_target"))),
     )
@@ -83,7 +91,9 @@ def task_issues(c: dict[str, Column], expected_version: str) -> Column:
 
 
 def intent_error(escapes: Column, exists: Column, edits_tests: Column, count: Column, replacement: Column) -> Column:
-    """First rule of an edit intent that fails; null if it is valid."""
+    """First rule of an edit intent that fails; null if it is valid. What is unknown (null path or text) isn't there."""
+    escapes, exists, edits_tests = (F.coalesce(c, F.lit(False)) for c in (escapes, exists, edits_tests))
+    count = F.coalesce(count, F.lit(0))
     return (
         F.when(escapes, "file_path_escapes_repo").when(~exists, "file_missing").when(edits_tests, "test_file_edit_forbidden")
         .when(count == 0, "find_text_not_found").when(count > 1, "find_text_not_unique").when(F.coalesce(replacement, F.lit("")) == "", "empty_replace_text")

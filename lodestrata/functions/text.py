@@ -129,10 +129,16 @@ def hygiene(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("status", status).drop("_added")
 
 
+def unfenced(text: Column) -> Column:
+    """Stripped text without its opening fence line, and without the closing one if there was an opening one."""
+    whole = strip(text)
+    inner = F.regexp_replace(F.regexp_replace(whole, r"^```[^\n]*(\n|$)", ""), r"(^|\n)[^\S\n]*```[^\n]*$", "")
+    return F.when(whole.startswith("```"), strip(inner)).otherwise(whole)
+
+
 def json_object(text: Column) -> Column:
     """First ``{`` to last ``}`` after fence lines at both ends are dropped; null if there is none."""
-    body = F.regexp_replace(F.regexp_replace(strip(text), r"^```[^\n]*\n", ""), r"\n\s*```[^\n]*$", "")
-    found = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
+    found = F.regexp_extract(unfenced(text), r"(?s)(\{.*\})", 1)
     return F.when(found != "", found)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text
@@ -42,15 +42,6 @@ def patch_prompt(task: Column, files: Column, failure: Column, previous: Column)
     )
 
 
-#: stage, kind, key below the bucket. Literal entries of a registry.
-RUNS = [("single_patch_eval", "eval", "runs/single"), ("batch_benchmark", "eval", "runs/batch"), ("self_repair", "agent", "runs/repair"), ("trajectory_export", "dataset", "datasets/trajectory"), ("verifier", "agent", "runs/verifier"), ("experiment", "eval", "runs/experiment")]
-
-
-def static_registry(spark: SparkSession, bucket: str, commit: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(RUNS)], "pos long, stage string, kind string, key string")
-    return rows.select("pos", "stage", "kind", F.concat(F.lit(f"s3://{bucket}/"), F.col("key")).alias("artifact"), F.lit(commit).alias("git_commit"))
-
-
 def command_record(argv: Column, exit_code: Column) -> dict[str, Column]:
     return {"command": F.array_join(argv, " "), "passed": F.coalesce(exit_code == 0, F.lit(False))}
 
@@ -64,3 +55,96 @@ def violations(rows: DataFrame, n_rows: int, n_eval: int, n_categories: int) ->
     )
     uneven = by.agg(F.count_if(F.col("n") != n_rows // n_categories).alias("uneven_categories"), (F.count("*") - n_categories).alias("categories_off"))
     return whole.withColumn("one", F.lit(1)).join(uneven.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+# The system messages of the two patch prompts, the strict one's reminders and its description.
+PATCH_SYSTEM = (
+    "You are an expert fullstack software engineering agent. You edit repositories by producing minimal unified diff patches. "
+    "Return only a valid unified diff patch. Do not include prose."
+)
+STRICT_SYSTEM = """You are a repository patching engine.
+
+You must output exactly one unified diff patch.
+
+Hard output rules:
+- Output only a unified diff.
+- Do not use Markdown fences.
+- Do not include prose.
+- Do not explain.
+- Do not invent files.
+- Do not edit files outside the allowed file list.
+- Use existing repository paths exactly.
+- Each hunk must target existing lines from the provided file content.
+- Prefer the smallest possible patch.
+- A valid patch must be applicable with `git apply`.
+
+Unified diff shape:
+diff --git a/<path> b/<path>
+--- a/<path>
++++ b/<path>
+@@
+-<old existing line>
++<new replacement line>
+"""
+STRICT_END = """
+Return one minimal unified diff patch that fixes the failing tests.
+Remember:
+- Edit only the allowed file paths.
+- Do not edit app/__init__.py unless it appears in the allowed file list.
+- Do not create new classes, example apps, or unrelated code.
+- Do not add imports unless required.
+- The patch must change the buggy implementation, not the tests.
+"""
+CONTRACT = [
+    ("name", "strict_unified_diff_patch_contract_v1"), ("output", "unified_diff_only"), ("markdown_allowed", False), ("prose_allowed", False),
+    ("wrong_file_edits_allowed", False), ("new_files_allowed_by_default", False), ("primary_metric", "patch_apply_success_count"),
+]
+
+
+def _titled(parts: list[tuple[str, Column]]) -> Column:
+    """Titles, each with what stands below it."""
+    return F.concat(*[x for title, body in parts for x in (F.lit(title), body)])
+
+
+def _messages(system: str, user: Column) -> Column:
+    return F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("system", F.lit(system)), ("user", user))])
+
+
+def patch_messages(files: Column, failure: Column, previous: Column) -> Column:
+    """Messages that ask for a patch, from rows of task_id, title, task_type, description, test_command."""
+    block = lambda c: F.concat(F.lit("```text\n"), c, F.lit("\n```"))
+    return _messages(PATCH_SYSTEM, _titled([
+        ("Task ID: ", F.col("task_id")), ("\nTitle: ", F.col("title")), ("\nTask type: ", F.col("task_type")), ("\n\nDescription:\n", F.col("description")),
+        ("\n\nTest command:\n", F.col("test_command")), ("\n\nRepository tree:\n", tree(files)), ("\n\nRelevant file context:\n", file_context(files)),
+        ("\n\nCurrent test failure:\n", block(failure)), ("\n\nPrevious failed attempt feedback:\n", block(previous)),
+        ("\n\nOutput contract:\nReturn only a unified diff patch beginning with diff --git.\n", F.lit("")),
+    ]))
+
+
+def strict_messages(files: Column, failure: Column, chars: int = 4000) -> Column:
+    """Messages under the strict contract: only the files given may be edited, 3,000 characters of failure."""
+    paths = F.when(F.size(files) == 0, "- <none>").otherwise(tree(files))
+    each = F.transform(files, lambda f: F.concat(F.lit("### FILE: "), f["path"], F.lit("\n```python\n"), F.left(f["text"], F.lit(chars)), F.lit("\n```")))
+    return _messages(STRICT_SYSTEM, _titled([
+        ("Task id: ", F.col("task_id")), ("\nTitle: ", F.col("title")), ("\nDescription: ", F.col("description")), ("\n\nTest command:\n", F.col("test_command")),
+        ("\n\nFailing test stderr:\n", text.tail(failure, 3000)), ("\n\nAllowed files to edit:\n", paths),
+        ("\n\nRepository files:\n", F.array_join(each, "\n")), ("\n" + STRICT_END, F.lit("")),
+    ]))
+
+
+def contract() -> Column:
+    """What the strict contract asks, as one struct for each row."""
+    return F.struct(*[F.lit(v).alias(k) for k, v in CONTRACT])
+
+
+def compact_command(run: Column, stderr: int = 1600, stdout: int = 800) -> Column:
+    """A command's record with the ends of its outputs; a command that was not run has a null record."""
+    ends = [text.tail(run["stderr"], stderr).alias("stderr_tail"), text.tail(run["stdout"], stdout).alias("stdout_tail")]
+    passed = F.coalesce(run["exit_code"] == 0, F.lit(False)).alias("passed")
+    return F.when(run.isNotNull(), F.struct(run["command"].alias("command"), run["exit_code"].alias("exit_code"), passed, *ends))
+
+
+def skipped(reason: str) -> Column:
+    """The result of a command whose precondition failed: no exit code, the reason in stderr."""
+    none = F.lit(None).cast("string")
+    return F.struct(none.alias("command"), F.lit(None).cast("int").alias("exit_code"), F.lit(reason).alias("stderr"), F.lit("").alias("stdout"))

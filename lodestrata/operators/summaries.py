@@ -69,3 +69,12 @@ def parameters(modules: DataFrame) -> DataFrame:
     """From rows of size and trainable."""
     total, some = zero(F.sum("size")), zero(F.sum(F.when(F.col("trainable"), F.col("size"))))
     return modules.agg(total.alias("total_parameters"), some.alias("trainable_parameters"), F.round(F.coalesce(F.try_divide(some.cast("double"), total.cast("double")), F.lit(0.0)) * 100, 6).alias("trainable_percent"))
+
+
+def length_report(rows: DataFrame, key: str, tokens: str, chars: str, most: int) -> DataFrame:
+    """:func:`token_report` for all rows and each key, with the lengths in characters."""
+    level = F.explode(F.array(F.col(key), F.lit("all")))
+    lengths = rows.select(level.alias(key), F.col(chars).alias("chars")).groupBy(key).agg(
+        F.min("chars").alias("min_chars"), F.max("chars").alias("max_chars"), F.round(F.avg("chars"), 3).alias("mean_chars"),
+    )
+    return token_report(rows, [key], tokens, most).join(lengths, key)

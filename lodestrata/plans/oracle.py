@@ -116,7 +116,6 @@ SQL: dict[str, str] = {
     "self_repair_loop": f"with {A}, {TRIED} select task_id, bool_or(post_tests_passed) as solved, count(*) as iterations_used, cast({MOST} as integer) as max_iterations, max(reward) as best_reward, {FIRST} as best_patch_id from tried where place <= {MOST} group by task_id",
     "best_so_far": f"with {A} select task_id, iteration, reward, max(reward) over w as best_reward, first_value(patch_id order by reward desc, iteration) over w as best_patch_id from attempts window w as (partition by task_id order by iteration rows between unbounded preceding and current row)",
     "loop_state_check": f"with {A} select task_id, iteration, iteration = row_number() over w - 1 as is_contiguous, bool_or(reward > 0.9) over w as solved, not bool_or(reward > 0.9) over w and row_number() over w < {MOST} as should_continue from attempts window w as (partition by task_id order by iteration)",
-    "compact_commands": f"with {A} select patch_id, case when patch_applied then right(coalesce(stderr, ''), 5) else 'patch did not apply' end as stderr_tail, cast(case when patch_applied then 0 end as integer) as exit_code, patch_applied as passed from attempts",
     "verifier_ranking": f"with {C} select task_id, part, supp, line, reward, cast(row_number() over ({ORDER}) as integer) as place from candidates",
     "verifier_selected": f"with {C}, {SELECTED} select task_id, part, supp, line, reward, post_tests_passed as solved, candidate_count from selected",
     "experiment_task_results": f"with {C}, {SELECTED}, {RESULTS} select * from results",
@@ -162,7 +161,6 @@ SQL: dict[str, str] = {
     "sft_dataset_summary": f"with {RECORDS}, {SFT_SUMMARY} select * from sft_summary",
     "set_ops": "select 'train_and_eval' as kind, count(*) as n from documents union all select 'without_label', count(*) from documents where doc_id not in (select doc_id from labels) union all select 'repeated_texts', count(*) from (select text from documents group by text having count(*) > 1) union all select 'lang_source', count(*) from (select distinct lang, source from documents)",
     "parameter_counts": f"with {PARAMETERS} select * from parameters",
-    "suffix_targets": "select distinct suffix, p_type from part, (values ('TIN'), ('BRASS'), ('STEEL'), ('GOLD')) s(suffix) where ends_with(upper(p_type), suffix)",
     "generation_config_validation": "select coalesce(array_to_string(list_filter([case when l_linenumber - 2 <= 0 then 'max_new_tokens' end, case when l_discount - cast(0.05 as double) < 0 then 'temperature' end, case when not (l_quantity / 25 > 0 and l_quantity / 25 <= 1) then 'top_p' end, case when l_returnflag = 'N' then 'top_k' end, case when l_linenumber - 1 <= 0 then 'num_return_sequences' end, case when l_returnflag = 'R' and l_tax <= 0 then 'repetition_penalty' end], lambda x: x is not null), ','), '') as fields, count(*) as n from lineitem group by 1",
     "task_validation": "select c_custkey, coalesce(array_to_string(list_filter([case when c_custkey % 5 = 0 then 'schema_version:missing' end, case when c_custkey % 3 = 0 then 'repo_dir:missing' end, case when c_custkey % 5 <> 0 and c_custkey % 7 = 0 then 'schema_version:unsupported' end, case when floor(c_acctbal) <= 0 then 'timeout_seconds:must_be_positive' end], lambda x: x is not null), ','), '') as issues from customer",
     "launch_plan": f"with {H}, {TOKEN_ROWS}, {STATS}, {PARAMETERS}, {RECORDS}, {SFT_SUMMARY} select stats.row_count, max_tokens, trainable_percent, sft_summary.row_count as dataset_rows, cast(greatest(128, max_tokens + 64) as bigint) as sequence_length from stats, parameters, sft_summary",
@@ -177,8 +175,14 @@ SQL |= {
     "patch_prompts": f"""select doc_id, 'Task ID: ' || doc_id || {NL} || {NL} || 'Repository tree:' || {NL} || case when doc_id % 10 = 0 then '(no files included)' else '- app/a.py' || {NL} || '- README.md' end || {NL} || {NL} || 'Relevant file context:' || {NL}
       || case when doc_id % 10 = 0 then '' else '### File: app/a.py' || {NL} || {_FENCE(_CUT)} || {NL} || {NL} || '### File: README.md' || {NL} || {_FENCE('source')} end || {NL} || {NL} || 'Current test failure:' || {NL} || {_FENCE('right(text, 3000)')} || {NL} || {NL}
       || 'Previous failed attempt feedback:' || {NL} || {_FENCE('lang')} || {NL} || {NL} || 'Output contract:' || {NL} || 'Return only a unified diff patch beginning with diff --git.' || {NL} as prompt from documents""",
-    "static_registry": f"select cast(pos as bigint) as pos, stage, kind, 's3://artifacts/' || key as artifact, '0000000' as git_commit from (values {_values([(i, *r) for i, r in enumerate(prompts.RUNS)])}) t(pos, stage, kind, key)",
     "command_records": "select s_suppkey, 'run ' || s_name || ' ' || s_nationkey as command, s_nationkey % 4 <> 0 and s_nationkey % 3 = 0 as passed from supplier",
     "curriculum_violations": f"with {CURRICULUM} select count(*) - 192 as rows_off, count(*) filter (split = 'eval') - 32 as eval_rows_off, count(*) - count(distinct task_id) as repeated_ids, cast(0 as bigint) as unknown_splits, cast(0 as bigint) as unknown_categories, count(*) filter (operations = '') as without_operations, (select count(*) from (select category from curriculum group by category having count(*) <> 16)) as uneven_categories, count(distinct category) - 12 as categories_off from curriculum",
 }
 SQL["check_parts"] = f"select task_id, string_split(first_check, '::')[1] as file_part, string_split(first_check, '::')[-1] as test_part from ({SQL['curriculum_v0']})"
+
+from lodestrata.plans import run_oracle as _run_oracle  # noqa: E402
+
+SQL |= _run_oracle.SQL
+_ROWS = SQL["failure_histogram"].replace(" select case when error", " select task_id, case when error", 1)
+SQL["failure_classification"] = _ROWS.replace(", count(*) as n from checked group by all", " from checked")
+SQL["registry_overview"] = f"select count(*) as entry_count, string_agg(display_step, ',' order by sort_key, stage) as steps from ({SQL['run_registry']})"

@@ -76,13 +76,6 @@ def loop_state_check(spark, sf_dir):
     return trajectory.loop_state(views.attempts(spark, sf_dir), MOST).select("task_id", "iteration", "is_contiguous", "solved", "should_continue")
 
 
-@query
-def compact_commands(spark, sf_dir):
-    ok = F.col("patch_applied")
-    record = F.when(ok, F.struct(text.tail(F.col("stderr"), 5).alias("stderr_tail"), F.lit(0).alias("exit_code"))).otherwise(F.struct(F.lit("patch did not apply").alias("stderr_tail"), F.lit(None).cast("int").alias("exit_code")))
-    return views.attempts(spark, sf_dir).select("patch_id", record.alias("r")).select("patch_id", "r.stderr_tail", "r.exit_code", (F.col("r.exit_code").eqNullSafe(0)).alias("passed"))
-
-
 # --- candidates ---
 def _selected(spark, sf_dir):
     return trajectory.selected(views.candidates(spark, sf_dir), views.TIES)
@@ -206,14 +199,7 @@ def canonical_patch(spark, sf_dir):
     return datasets.canonical_patches(datasets.validated(views.intents(spark, sf_dir), views.FILES))
 
 
-@query
-def failure_classification(spark, sf_dir):
-    rows = datasets.validated(views.intents(spark, sf_dir), views.FILES).withColumn("similarity", text.similarity(F.col("file_text"), F.col("find_text")))
-    return rows.select("task_id", rules.intent_failure(F.col("error"), F.col("valid"), F.col("find_text"), F.col("similarity"), F.lit(True)).alias("category"), "error", "similarity")
-
-
-@query
-def failure_histogram(spark, sf_dir):
+def _classified(spark, sf_dir):
     """Python is called only for texts whose lengths allow a ratio of 0.9."""
     rows = datasets.validated(views.intents(spark, sf_dir), views.FILES)
     short, both = F.least(F.length("file_text"), F.length("find_text")), F.length("file_text") + F.length("find_text")
@@ -221,7 +207,17 @@ def failure_histogram(spark, sf_dir):
     near = F.when(F.coalesce(may, F.lit(False)), F.col("find_text"))
     rows = rows.withColumn("similarity", text.similarity(F.when(near.isNotNull(), F.col("file_text")), near))
     category = rules.intent_failure(F.col("error"), F.col("valid"), F.col("find_text"), F.col("similarity"), F.lit(True))
-    return rows.groupBy(category.alias("category"), F.coalesce("error", F.lit("None")).alias("error")).agg(F.count("*").alias("n"))
+    return rows.select("task_id", category.alias("category"), F.coalesce("error", F.lit("None")).alias("error"))
+
+
+@query
+def failure_classification(spark, sf_dir):
+    return _classified(spark, sf_dir)
+
+
+@query
+def failure_histogram(spark, sf_dir):
+    return _classified(spark, sf_dir).groupBy("category", "error").agg(F.count("*").alias("n"))
 
 
 # --- chats ---
@@ -370,14 +366,6 @@ def parameter_counts(spark, sf_dir):
     return summaries.parameters(table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("size"), (F.col("p_size") > 25).alias("trainable")))
 
 
-@query
-def suffix_targets(spark, sf_dir):
-    ends = ["TIN", "BRASS", "STEEL", "GOLD"]
-    name = F.upper("p_type")
-    hit = F.explode(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: F.endswith(name, e)))
-    return table(spark, sf_dir, "part").select(hit.alias("suffix"), "p_type").distinct()
-
-
 @query
 def generation_config_validation(spark, sf_dir):
     c = {"max_new_tokens": F.col("l_linenumber") - 2, "temperature": F.col("l_discount") - 0.05, "top_p": F.col("l_quantity") / 25, "top_k": F.when(F.col("l_returnflag") == "N", F.lit(-1)), "num_return_sequences": F.col("l_linenumber") - 1, "repetition_penalty": F.when(F.col("l_returnflag") == "R", F.col("l_tax"))}
@@ -421,11 +409,6 @@ def patch_prompts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", prompts.patch_prompt(F.col("doc_id").cast("string"), files, F.col("text"), F.col("lang")).alias("prompt"))
 
 
-@query
-def static_registry(spark, sf_dir):
-    return prompts.static_registry(spark, "artifacts", "0000000")
-
-
 @query
 def command_records(spark, sf_dir):
     record = prompts.command_record(F.array(F.lit("run"), F.col("s_name"), F.col("s_nationkey").cast("string")), F.when(F.col("s_nationkey") % 4 != 0, F.col("s_nationkey") % 3))
@@ -441,3 +424,6 @@ def curriculum_violations(spark, sf_dir):
 def check_parts(spark, sf_dir):
     whole = F.split("first_check", "::")
     return datasets.first_curriculum(spark).select("task_id", F.element_at(whole, 1).alias("file_part"), F.element_at(whole, -1).alias("test_part"))
+
+
+from lodestrata.plans import run_queries as _run_queries  # noqa: E402, F401  (registers its queries)

@@ -47,18 +47,18 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 RESPONSES_SQL = """responses as (
   select doc_id as task_id, case doc_id % 5
     when 0 then text when 1 then 'Here is the patch:' || chr(10) || '```diff' || chr(10) || diff || '```' || chr(10) || 'This change fixes it.'
-    when 2 then diff when 3 then 'diff --git a/x.py b/x.py' || chr(10) else 'Patch: ' || left(text, 80) || chr(10) || chr(10) || diff || chr(10) || left(text, 200) end as raw
-  from (select doc_id, text, 'diff --git a/app/f.py b/app/f.py' || chr(10) || '--- a/app/f.py' || chr(10) || '+++ b/app/f.py' || chr(10) || '@@ -1 +1 @@' || chr(10) || '-' || split_part(text, chr(10), 1) || chr(10) || '+' || source || chr(10) as diff from documents))"""
+    when 2 then diff when 3 then 'diff --git a/x.py b/x.py' || chr(10) || text else 'Patch: ' || text || chr(10) || chr(10) || diff || chr(10) || text end as raw
+  from (select doc_id, text, 'diff --git a/app/f.py b/app/f.py' || chr(10) || '--- a/app/f.py' || chr(10) || '+++ b/app/f.py' || chr(10) || '@@ -1 +1 @@' || chr(10) || '-' || replace(text, chr(10), chr(10) || '-') || chr(10) || '+' || source || chr(10) as diff from documents))"""
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model texts built from documents: prose, fenced diff, bare diff, header only, diff with prose after it."""
+    """Model texts built from whole documents: prose, fenced diff, bare diff, header with prose, diff between prose."""
     t = F.col("text")
-    diff = F.concat(F.lit("diff --git a/app/f.py b/app/f.py\n--- a/app/f.py\n+++ b/app/f.py\n@@ -1 +1 @@\n-"), F.split_part(t, F.lit("\n"), F.lit(1)), F.lit("\n+"), F.col("source"), F.lit("\n"))
+    diff = F.concat(F.lit("diff --git a/app/f.py b/app/f.py\n--- a/app/f.py\n+++ b/app/f.py\n@@ -1 +1 @@\n-"), F.replace(t, F.lit("\n"), F.lit("\n-")), F.lit("\n+"), F.col("source"), F.lit("\n"))
     kind = F.col("doc_id") % 5
     raw = (
         F.when(kind == 0, t).when(kind == 1, F.concat(F.lit("Here is the patch:\n```diff\n"), diff, F.lit("```\nThis change fixes it."))).when(kind == 2, diff)
-        .when(kind == 3, "diff --git a/x.py b/x.py\n").otherwise(F.concat(F.lit("Patch: "), F.left(t, F.lit(80)), F.lit("\n\n"), diff, F.lit("\n"), F.left(t, F.lit(200))))
+        .when(kind == 3, F.concat(F.lit("diff --git a/x.py b/x.py\n"), t)).otherwise(F.concat(F.lit("Patch: "), t, F.lit("\n\n"), diff, F.lit("\n"), t))
     )
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("task_id"), raw.alias("raw"))
 

@@ -153,3 +153,32 @@ def test_generation_rules(spark):
     good = {"max_new_tokens": F.lit(1), "temperature": F.lit(0.0), "top_p": F.lit(1.0), "top_k": F.lit(None).cast("int"), "num_return_sequences": F.lit(1), "repetition_penalty": F.lit(None).cast("double")}
     assert one(spark, F.size(rules.generation_issues(good))) == 0
     assert one(spark, F.size(rules.generation_issues(good | {"top_p": F.lit(0.0), "top_k": F.lit(-1)}))) == 2
+
+
+def test_unknown_paths_and_texts_of_intents(spark):
+    from lodestrata.operators import datasets
+
+    rows = [(1, "app/utils.py", "abc", None, "x"), (2, None, "abc", "a", "x"), (3, "app/utils.py", None, "a", "x"), (4, "app/utils.py", "abc", "a", None), (5, "app/utils.py", "abc", "a", "y")]
+    df = spark.createDataFrame(rows, "task_id long, file_path string, file_text string, find_text string, replace_text string")
+    got = {r.task_id: (r.error, r.valid) for r in datasets.validated(df, ["app/utils.py"]).collect()}
+    assert got == {1: ("find_text_not_found", False), 2: ("file_missing", False), 3: ("find_text_not_found", False), 4: ("empty_replace_text", False), 5: (None, True)}
+
+
+def test_empty_json_values_count_as_missing(spark):
+    for value, missing in (("0", True), ("false", True), ("[]", True), ("{}", True), ('""', True), ("null", True), ('"0"', False), ("1", False), ("[1]", False), ('"x"', False)):
+        target = '{"intent_id":%s,"task_id":"t","file_path":"app/utils.py","find_text":"a","replace_text":"b"}' % value
+        messages = F.array(F.struct(F.lit("assistant").alias("role"), F.lit(target).alias("content")))
+        found = one(spark, F.transform(rules.sft_issues(F.lit("v"), messages, F.lit(target), "v", "app/utils.py"), lambda i: i["field"]))
+        assert (found == ["target.intent_id"]) == missing and (found == []) != missing, value
+
+
+def test_fences_around_json(spark):
+    for raw, want in (("```json\n{\"a\": 1}\n```", '{"a": 1}'), ('{"a": 1}\n``` }', '{"a": 1}\n``` }'), ("```\n{}\n", "{}"), ("none", None), ("```", None)):
+        assert one(spark, text.json_object(F.lit(raw))) == want
+
+
+def test_markdown_of_a_registry(spark):
+    from lodestrata.operators import runs
+
+    out = runs.registry_markdown(runs.entries(spark, "b", "c"), "demo", "v0", "c", "b")
+    assert out.startswith("# demo Run Registry\n\n- Project: `demo`") and "| 9 | `agentic_eval_harness` | `evaluation_core` | `ok` | no | toy_patch_eval=ok, reward=1.25 |" in out and out.count("\n| ") == 13

@@ -1,6 +1,9 @@
 """Files written and read again."""
 
 import json
+import re
+
+import pytest
 
 from lodestrata.sources import files
 
@@ -45,3 +48,53 @@ def test_text_tree(spark, tmp_path):
 def test_markdown(spark):
     out = files.markdown(spark.createDataFrame([(2, None), (1, "a")], "k long, v string"), "T", ["k"])
     assert out == "# T\n\n| k | v |\n| --- | --- |\n| 1 | a |\n| 2 |  |\n"
+
+
+def test_patches_specs_and_writers(spark, tmp_path):
+    good = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n+b\n"
+    rows = spark.createDataFrame([("t1", good), ("t2", "no diff"), ("t3", None)], "task_id string, patch string")
+    bad = files.write_patches(rows, str(tmp_path / "patches"))
+    assert sorted(r.task_id for r in bad.collect()) == ["t2", "t3"]
+    for name, body in {"tasks/b/2.patch": good, "tasks/a/1.patch": "x\n\ny", "tasks/a/n.txt": "n"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    assert [(r.task_id, r.patch_id, r.text) for r in files.read_patches(spark, str(tmp_path / "tasks")).collect()] == [("a", "1.patch", "x\n\ny"), ("b", "2.patch", good)]
+    spec = {"benchmark_name": "b", "tasks": [{"task_json": "t.json", "patch_file": "/abs/p.patch"}, {"task_json": "u/t.json", "patch_file": "p.patch"}]}
+    (tmp_path / "spec.json").write_text(json.dumps(spec, indent=1))
+    got = [(r.pos, r.task_json, r.patch_file) for r in files.read_task_specs(spark, str(tmp_path / "spec.json")).orderBy("pos").collect()]
+    assert got == [(0, f"{tmp_path}/t.json", "/abs/p.patch"), (1, f"{tmp_path}/u/t.json", f"{tmp_path}/p.patch")]
+    files.write_text(spark, str(tmp_path / "deep" / "er" / "n.txt"), "é\n")
+    assert (tmp_path / "deep" / "er" / "n.txt").read_text() == "é\n"
+    one = spark.createDataFrame([(1, None, ["a"])], "z long, y string, x array<string>")
+    files.write_document(one, str(tmp_path / "doc.json"))
+    assert json.loads((tmp_path / "doc.json").read_text()) == {"z": 1, "y": None, "x": ["a"]} and "\n" in (tmp_path / "doc.json").read_text().strip()
+    with pytest.raises(ValueError):
+        files.write_document(one.limit(0), str(tmp_path / "none.json"))
+    files.write_jsonl(one, str(tmp_path / "sorted"), sort_keys=True)
+    line = "".join(p.read_text() for p in (tmp_path / "sorted").glob("*.json"))
+    assert list(json.loads(line)) == ["x", "y", "z"]
+    chat = spark.createDataFrame([("t", [("user", "a\nb")])], "task_id string, messages array<struct<role:string,content:string>>")
+    files.write_messages(chat, str(tmp_path / "chats"))
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "chats" / "task_id=t").glob("*.txt"))) == [{"role": "user", "content": "a\nb"}]
+
+
+def test_manifest_yaml_and_timer(spark, tmp_path):
+    (r,) = files.manifest(spark, project="p", stage="s", extra={"engine": "own", "more": "x"}).collect()
+    assert (r.project, r.stage, r.engine, r.more, r.revision) == ("p", "s", "own", "x", None)
+    assert re.fullmatch(r"s-[0-9a-f]{8}", r.run_id) and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}\+00:00", r.created_at_utc) and r.created_ms > 1.6e12
+    (tmp_path / "c.yaml").write_text("a:\n  - 1\n")
+    try:
+        import yaml  # noqa: F401
+
+        assert files.read_yaml(spark, str(tmp_path / "c.yaml")) == {"a": [1]}
+    except ImportError:
+        with pytest.raises(RuntimeError):
+            files.read_yaml(spark, str(tmp_path / "c.yaml"))
+    out, seconds = files.timed(sum, [1, 2])
+    assert out == 3 and 0 <= seconds < 5
+
+
+def test_tree_of_a_folder_without_texts(spark, tmp_path):
+    (tmp_path / "a.bin").write_text("x")
+    (tmp_path / "e.py").write_text("")
+    assert files.read_text_tree(spark, str(tmp_path)).count() == 0
