@@ -46,6 +46,22 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """Written tables of one operator, deleted when nothing will read them again."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(written(df, name))
+        return self.made[-1]
+
+    def drop(self, *kept: DataFrame) -> None:
+        for table in self.made:
+            if not any(table is k for k in kept):
+                discard(table)
+
+
 def packed(docs: DataFrame) -> Column:
     """All columns of ``docs`` as one struct, so that internal names can't clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns])

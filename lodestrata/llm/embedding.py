@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import written
+from lodestrata.llm.common import Scratch, discard
 from lodestrata.llm.graph import components
 
 CODEWORDS = 1024
@@ -258,10 +258,11 @@ def _comparer(cosine: float):
 
 def near(rows: DataFrame, *, key: Column, vector: Column, cosine: float = 0.95, codewords: int = CODEWORDS, turns: int = TURNS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """key, n_links and component of every row."""
+    scratch = Scratch()
     half = float(np.arccos(cosine)) / 2
     every = rows.select(key.alias("key"), vector.alias("vector"))
     good = every.filter(usable(F.col("vector")))
-    classes = written(good.groupBy("vector").agg(F.min("key").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "vectors")
+    classes = scratch.written(good.groupBy("vector").agg(F.min("key").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "vectors")
     sizes = sorted(r[0] for r in classes.select(F.size("vector")).distinct().collect())  # lengths, not vectors
     alphas = {size: code(size, codewords, turns).calibrate(cosine, recall) for size in sizes}
 
@@ -286,17 +287,17 @@ def near(rows: DataFrame, *, key: Column, vector: Column, cosine: float = 0.95,
                     arrays = [pa.array(lists, pa.list_(pa.int64())), pa.array(ball), pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64()), pa.array(members, pa.int64()), pa.array(homes, pa.int64())]
                     yield pa.RecordBatch.from_arrays([chosen.column(0), *arrays], ["node", "filters", "ball", "centre", "radius", "members", "home"])
 
-    decoded = written(classes.select("node", "vector").mapInArrow(decode, "node long, filters array<long>, ball long, centre array<double>, radius double, members long, home long"), "filters")
+    decoded = scratch.written(classes.select("node", "vector").mapInArrow(decode, "node long, filters array<long>, ball long, centre array<double>, radius double, members long, home long"), "filters")
     named = decoded.filter("centre is not null").select("ball", "centre", "radius", "home")
     # balls of one large group that different lots found are one ball
-    merged = written(named.filter("home is not null").select("home", "ball", "centre", "radius").repartition("home").sortWithinPartitions("home", "ball").mapInArrow(_merger(half), "ball long, top long, reach double"), "merged-balls")
+    merged = scratch.written(named.filter("home is not null").select("home", "ball", "centre", "radius").repartition("home").sortWithinPartitions("home", "ball").mapInArrow(_merger(half), "ball long, top long, reach double"), "merged-balls")
     tops = merged.groupBy(F.col("top").alias("ball")).agg(F.max("reach").alias("reach"))
-    centres = written(named.join(merged.select("ball"), "ball", "left_anti").join(tops, "ball", "left").select("ball", F.greatest("radius", "reach").alias("radius"), "centre"), "balls")
+    centres = scratch.written(named.join(merged.select("ball"), "ball", "left_anti").join(tops, "ball", "left").select("ball", F.greatest("radius", "reach").alias("radius"), "centre"), "balls")
     held = decoded.select("node", "ball", "filters").join(merged.select("ball", "top"), "ball", "left").select("node", F.coalesce("top", "ball").alias("ball"), "filters")
-    postings = written(held.select(F.explode("filters").alias("filter"), "ball").distinct(), "postings")
-    member = written(held.select("node", "ball").join(classes.select("node", "least", "n", "vector"), "node"), "members")
+    postings = scratch.written(held.select(F.explode("filters").alias("filter"), "ball").distinct(), "postings")
+    member = scratch.written(held.select("node", "ball").join(classes.select("node", "least", "n", "vector"), "node"), "members")
     # a filter of one ball has no pairs: centres go only where there are more
-    shared = written(postings.groupBy("filter").count().filter("count > 1").select("filter", F.ceil(F.col("count") / block).cast("long").alias("blocks")), "shared-filters")
+    shared = scratch.written(postings.groupBy("filter").count().filter("count > 1").select("filter", F.ceil(F.col("count") / block).cast("long").alias("blocks")), "shared-filters")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     pair = lambda a, b: F.shiftleft(F.least(a, b), 32) + F.greatest(a, b)
     dealt = (
@@ -307,13 +308,13 @@ def near(rows: DataFrame, *, key: Column, vector: Column, cosine: float = 0.95,
         .select("filter", "part", "own", "ball", "radius", "centre")
     )
     met_balls = dealt.repartition("filter", "part").sortWithinPartitions("filter", "part").mapInArrow(_meeter(cosine), "a long, b long, kind long")
-    pairs = written(met_balls.groupBy("a", "b").agg(F.min("kind").alias("kind")), "ball-pairs")
-    weights = written(member.groupBy("ball").agg(F.sum("n").alias("weight"), F.count("*").alias("members"), F.min("least").alias("least")), "weights")
+    pairs = scratch.written(met_balls.groupBy("a", "b").agg(F.min("kind").alias("kind")), "ball-pairs")
+    weights = scratch.written(member.groupBy("ball").agg(F.sum("n").alias("weight"), F.count("*").alias("members"), F.min("least").alias("least")), "weights")
     weight = lambda name: weights.select(F.col("ball").alias(name), F.col("weight").alias(f"w{name}"), F.ceil(F.col("members") / block).cast("long").alias(f"n{name}"))
     sized = pairs.join(weight("a"), "a").join(weight("b"), "b")
     whole = sized.filter("kind = 0")
     more = whole.select(F.col("a").alias("ball"), F.col("wb").alias("links")).unionAll(whole.select(F.col("b").alias("ball"), F.col("wa").alias("links")))
-    by_ball = written(more.groupBy("ball").agg(F.sum("links").alias("links")), "ball-links")
+    by_ball = scratch.written(more.groupBy("ball").agg(F.sum("links").alias("links")), "ball-links")
 
     def side(i: int) -> DataFrame:
         """Members of one side of the pairs that link in part, once for each block of the other side."""
@@ -324,13 +325,15 @@ def near(rows: DataFrame, *, key: Column, vector: Column, cosine: float = 0.95,
         return each.join(member, "ball").select("a", "b", part.alias("part"), F.lit(i).cast("long").alias("side"), "node", "n", "vector")
 
     compared = side(0).unionAll(side(1)).repartition("a", "b", "part").sortWithinPartitions("a", "b", "part").mapInArrow(_comparer(cosine), "a long, b long, node long, links long")
-    compared = written(compared, "compared")
+    compared = scratch.written(compared, "compared")
     by_node = compared.filter("links > 0").groupBy("node").agg(F.sum("links").alias("part_links"))
     roots = components(pairs.filter("kind = 0").select("a", "b").unionAll(compared.select("a", "b")))
-    rooted = written(weights.join(by_ball, "ball", "left").join(roots.withColumnRenamed("node", "ball"), "ball", "left").select("ball", "weight", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "ball").alias("root")), "rooted")
-    least = written(rooted.groupBy("root").agg(F.min("least").alias("component")), "least")
+    rooted = scratch.written(weights.join(by_ball, "ball", "left").join(roots.withColumnRenamed("node", "ball"), "ball", "left").select("ball", "weight", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "ball").alias("root")), "rooted")
+    least = scratch.written(rooted.groupBy("root").agg(F.min("least").alias("component")), "least")
     summed = rooted.join(least, "root").select("ball", "component", (F.col("weight") - 1 + F.col("links")).alias("links"))
-    found = written(member.join(summed, "ball").join(by_node, "node", "left").select("vector", "component", (F.col("links") + F.coalesce("part_links", F.lit(0))).alias("n_links")), "vector-components")
+    found = scratch.written(member.join(summed, "ball").join(by_node, "node", "left").select("vector", "component", (F.col("links") + F.coalesce("part_links", F.lit(0))).alias("n_links")), "vector-components")
+    scratch.drop(found)
+    discard(roots)
     joined = every.join(found, "vector", "left")
     bad = F.col("n_links").isNull()
     return joined.select("key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(bad, F.col("key")).otherwise(F.col("component")).alias("component"))

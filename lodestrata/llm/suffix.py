@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import written
+from lodestrata.llm.common import Scratch
 
 SIZE = 400
 GRAM = 48
@@ -480,38 +480,40 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup(docs: DataFrame, *, key: Column, text: Column) -> DataFrame:
     """key, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
+    scratch = Scratch()
     body = F.coalesce(text.cast("string"), F.lit("")).cast("binary")
     whole = F.sha2(body, 256)
     k = F.substring(F.unhex(whole), 1, 16).alias("k")
     long = docs.select(body.alias("text")).filter(F.length("text") >= SIZE).select(F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("k"), "text")
-    found = written(long.mapInArrow(_anchor_rows, "own boolean, gram long, k binary, anchor long, first long, last long"), "anchors")
+    found = scratch.written(long.mapInArrow(_anchor_rows, "own boolean, gram long, k binary, anchor long, first long, last long"), "anchors")
     place = F.xxhash64("k", "anchor", "first")
-    grams = written(found.filter("not own").groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("gram"), "grams")
+    grams = scratch.written(found.filter("not own").groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a != b").select("gram"), "grams")
     run = F.struct("anchor", "first", "last")
     shared = found.filter("not own").join(grams, "gram").select("k", run.alias("run"))
     none = found.filter("own").select("k", F.lit(None).cast(shared.schema["run"].dataType).alias("run"))
-    runs = written(shared.unionByName(none).groupBy("k").agg(F.collect_set("run").alias("runs")), "runs")
+    runs = scratch.written(shared.unionByName(none).groupBy("k").agg(F.collect_set("run").alias("runs")), "runs")
     once = long.groupBy("k").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    suspects = written(once.join(runs, "k").select("k", "text", "runs", "copies"), "suspects")
+    suspects = scratch.written(once.join(runs, "k").select("k", "text", "runs", "copies"), "suspects")
     rows = suspects.filter(F.size("runs") > 0).select("k", "text", "runs").mapInArrow(_suffix_rows, "k binary, first long, back binary, right binary")
     place = F.xxhash64("k", "first")
     buckets = rows.repartitionByRange("right", place).sortWithinPartitions("right")
-    by_right = written(buckets.mapInArrow(_sorter(True), SORTED), "sorted")
+    by_right = scratch.written(buckets.mapInArrow(_sorter(True), SORTED), "sorted")
     # across boundaries: in order of the bytes to the left, then by digests that more than one lot sent
     rows = by_right.filter("back is not null").select("k", F.col("start").alias("first"), "back", "right")
     buckets = rows.repartitionByRange("back", place).sortWithinPartitions("back")
-    by_left = written(buckets.mapInArrow(_sorter(False), SORTED), "sorted-left")
+    by_left = scratch.written(buckets.mapInArrow(_sorter(False), SORTED), "sorted-left")
     sent = by_left.filter("digest is not null")
     again = sent.groupBy("digest").count().filter("count > 1").select("digest")
     across = sent.filter("k is not null").join(again, "digest", "left_semi").select("k", "start", "stop")
     local = by_right.unionAll(by_left).filter("back is null and digest is null").select("k", "start", "stop")
     own = found.filter("own").select("k", F.col("first").alias("start"), F.col("last").alias("stop"))
     spans = local.unionByName(across).unionByName(own)
-    spans = written(spans.groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+    spans = scratch.written(spans.groupBy("k").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
     singles = suspects.filter("copies = 1").select("k", "text").join(spans, "k").mapInArrow(_digests, "k binary, n_removed long, n_spans long, kept_sha256 string")
     several = docs.select(k, F.length(body).cast("long").alias("n")).filter(F.col("n") >= SIZE).groupBy("k").agg(F.max("n").alias("n"), F.count("*").alias("copies")).filter("copies > 1")
     several = several.select("k", F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"))
-    decided = written(singles.unionByName(several), "removed")
+    decided = scratch.written(singles.unionByName(several), "removed")
+    scratch.drop(decided)
     every = docs.select(key.alias("key"), k, F.length(body).cast("long").alias("n_bytes"), whole.alias("whole"))
     zero = F.lit(0).cast("long")
     return every.join(decided, "k", "left").select("key", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
