@@ -126,7 +126,7 @@ def markdown(df: DataFrame, title: str, order: list[str]) -> str:
 
 def read_patches(spark: SparkSession, path: str) -> DataFrame:
     """``*.patch`` files below a folder for each task: task_id (the folder's name), patch_id, text, sorted by path."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.patch").option("wholetext", True).text(path)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.patch").text(path, wholetext=True)
     parts = F.split(F.col("_metadata.file_path"), "/")
     named = rows.select(parts.alias("parts"), F.element_at(parts, -2).alias("task_id"), F.element_at(parts, -1).alias("patch_id"), F.col("value").alias("text"))
     return named.orderBy("parts").drop("parts")
@@ -149,7 +149,7 @@ def read_yaml(spark: SparkSession, path: str) -> dict:
         import yaml
     except ImportError as e:
         raise RuntimeError("reading YAML needs the package yaml") from e
-    body = "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
+    body = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
     return yaml.safe_load(body) or {}
 
 
