@@ -184,3 +184,29 @@ def test_little_padding():
     assert sum(p[2] for p in out) == used
     n_sequences = len({p[3] for p in out})
     assert n_sequences * 4096 < 1.02 * used
+
+
+def test_known_chunks_are_bounded_by_bytes(monkeypatch):
+    ids = packing.Ids(packing.public_tokenizer())
+    texts = ["日本語" * 700 + str(i) for i in range(40)] + ["word" + str(i) for i in range(300)]
+    want = [ids._whole(t) for t in texts]
+    assert [ids.of(t) for t in texts] == want and all(len(c) <= packing.LONGEST for c in [*ids.known, *ids.pieces])
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 5000)
+    assert [ids.of(t) for t in texts] == want
+    assert ids.known_bytes <= 5000 + packing.ENTRY + 1000 and sum(len(c) + len(v) for c, v in ids.known.items()) <= ids.known_bytes
+
+
+def test_stored_forms_follow_from_the_payload(spark, tmp_path):
+    forms = {media.media_row(f"text {i}")[1][:2] for i in range(20)}
+    assert forms == {b"P5", b"BM"}
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (3, None)], "doc_id long, text string")
+    rows = media.media_digest(docs, key=F.col("doc_id"), text=F.col("text")).collect()
+    assert sorted(str(r.doc_id) for r in rows) == ["1", "1", "3", "None"]
+    tiles = media.write_tiles(docs, str(tmp_path / "tiles"), text=F.col("text"))
+    assert {r.feature for r in tiles.collect()} == {r.feature for r in rows}
+
+
+def test_packing_of_null_and_equal_ids(spark):
+    docs = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (2, None)], "doc_id long, text string")
+    got = packing.pack(docs, key=F.col("doc_id"), text=F.col("text"), tokenizer=packing.public_tokenizer).collect()
+    assert sorted((str(r.doc_id), r.length) for r in got) == [("1", 3), ("1", 3), ("2", 1), ("None", 3)]
