@@ -28,10 +28,22 @@ def carry_failure(attempts: DataFrame) -> DataFrame:
 
 
 def until_success(attempts: DataFrame, most: int) -> DataFrame:
-    """Attempts up to the first success, ``most`` at most."""
+    """Attempts up to the first success, ``most`` at most; what lies beyond ``most`` is dropped before the shuffle."""
+    early = attempts.withColumn("_place", F.row_number().over(_task())).filter(F.col("_place") <= most).drop("_place")
     done = F.coalesce(F.max("post_tests_passed").over(_before()), F.lit(False))
-    place = F.row_number().over(_task())
-    return attempts.withColumns({"_done": done, "_place": place}).filter(~F.col("_done") & (F.col("_place") <= most)).drop("_done", "_place")
+    return early.withColumn("_done", done).filter(~F.col("_done")).drop("_done")
+
+
+def up_to_success(attempts: DataFrame, order: list[str], salts: int = 16) -> DataFrame:
+    """Attempts up to the first success in a total order, without a window: no task's attempts are sorted.
+
+    A task's first success is an aggregate; it is joined back by task and salt, so that a hot task is spread."""
+    place = F.struct(*order)
+    first = attempts.filter("post_tests_passed").groupBy(F.col("task_id").alias("_task")).agg(F.min(place).alias("_first"))
+    first = first.withColumn("_spread", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    salt = F.pmod(F.xxhash64(*order), F.lit(salts))
+    tried = attempts.withColumn("_salt", salt).join(first, F.col("task_id").eqNullSafe(F.col("_task")) & (F.col("_salt") == F.col("_spread")), "left")
+    return tried.filter(F.col("_first").isNull() | (place <= F.col("_first"))).drop("_task", "_first", "_spread", "_salt")
 
 
 def best_so_far(attempts: DataFrame) -> DataFrame:
@@ -47,9 +59,9 @@ def loop_state(attempts: DataFrame, most: int, threshold: float = 0.9) -> DataFr
     return attempts.withColumns({"is_contiguous": F.col("iteration") == place - 1, "solved": solved, "should_continue": ~solved & (place < most)})
 
 
-def summarize(attempts: DataFrame) -> DataFrame:
-    """A row for each task: attempts by label and the best of them."""
-    best = F.max(F.struct("reward", (-F.col("iteration")).alias("order"), "patch_id"))
+def summarize(attempts: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """A row for each task: attempts by label and the best of them, the earliest in ``order`` of equal ones."""
+    best = F.min_by(F.struct("reward", "patch_id"), F.struct(F.col("reward").isNull().alias("none"), (-F.col("reward")).alias("low"), *(order or ["iteration"])))
     return (
         attempts.groupBy("task_id")
         .agg(F.count("*").alias("total_attempts"), F.count_if("post_tests_passed").alias("positive_attempts"), best.alias("best"))

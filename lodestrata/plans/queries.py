@@ -58,12 +58,12 @@ def sft_positive(spark, sf_dir):
 
 @query
 def trajectory_summary(spark, sf_dir):
-    return trajectory.summarize(trajectory.until_success(views.attempts(spark, sf_dir), 1 << 30))
+    return trajectory.summarize(trajectory.up_to_success(views.events(spark, sf_dir), views.ATTEMPT_ORDER), views.ATTEMPT_ORDER)
 
 
 @query
 def self_repair_loop(spark, sf_dir):
-    return trajectory.repair_result(views.attempts(spark, sf_dir), MOST)
+    return trajectory.repair_result(views.attempts(spark, sf_dir, MOST), MOST)
 
 
 @query

@@ -17,17 +17,28 @@ ATTEMPTS_SQL = """attempts as (
       event_type <> 'error' as patch_applied, event_type = 'purchase' as post_tests_passed, event_type = 'signup' as pre_tests_passed, value as elapsed_seconds, props as stderr from events))"""
 
 
-def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """task: user; iteration: order of events; applied, passed: by type."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+#: The order of a task's attempts, from which their iteration follows.
+ATTEMPT_ORDER = ["ts", "patch_id"]
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts with the time that orders them instead of an iteration. task: user; applied, passed: by type."""
     kind = F.col("event_type")
     rows = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("task_id"), (F.row_number().over(order) - 1).alias("iteration"), F.col("event_id").alias("patch_id"), (kind != "error").alias("patch_applied"),
+        F.col("user_id").alias("task_id"), "ts", F.col("event_id").alias("patch_id"), (kind != "error").alias("patch_applied"),
         (kind == "purchase").alias("post_tests_passed"), (kind == "signup").alias("pre_tests_passed"), F.col("value").alias("elapsed_seconds"), F.col("props").alias("stderr"),
     )
     return rows.withColumn("reward", scoring.patch_reward(F.col("patch_applied"), F.col("post_tests_passed"), F.col("pre_tests_passed")))
 
 
+def attempts(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """Attempts by iteration, the place of an event among its user's. ``most``: only so many of each task."""
+    place = F.row_number().over(Window.partitionBy("task_id").orderBy(*ATTEMPT_ORDER))
+    rows = events(spark, sf_dir).withColumn("place", place)
+    rows = rows.filter(F.col("place") <= most) if most else rows
+    return rows.withColumn("iteration", F.col("place") - 1).drop("place", "ts")
+
+
 CANDIDATES_SQL = """candidates as (
   select *, (case when patch_applied then cast(0.25 as double) else -1.0 end) + (case when post_tests_passed then cast(1.0 as double) else -0.5 end) as reward from (
     select l_orderkey as task_id, l_linestatus = 'F' as patch_applied, l_returnflag = 'N' and l_linestatus = 'F' as post_tests_passed, l_extendedprice as elapsed_seconds, l_partkey as part, l_suppkey as supp, l_linenumber as line from lineitem))"""

@@ -25,6 +25,20 @@ def attempts(spark, rows):
     return df.withColumn("reward", scoring.patch_reward(F.col("patch_applied"), F.col("post_tests_passed"), F.lit(False)))
 
 
+@pytest.mark.parametrize("salts", [1, 3, 16])
+def test_up_to_success_equals_the_ordered_form(spark, salts):
+    rows = [(t, i, f"{t}-{i}", None if i % 7 == 0 else t is not None and i == t * 3, [None, 1.0, -0.5][i % 3]) for t in (None, 0, 1, 2, 3) for i in range(40)]
+    rows += [(None, 40, "late", True, 9.0), (None, 41, "later", True, 9.0), (9, 0, "none", None, None)]
+    df = spark.createDataFrame(rows, "task_id long, iteration long, patch_id string, post_tests_passed boolean, reward double").repartition(5)
+    short = trajectory.up_to_success(df, ["iteration"], salts)
+    assert short.columns == df.columns
+    assert sorted(map(str, short.collect())) == sorted(map(str, trajectory.until_success(df, 99).collect()))
+    assert sorted(map(str, trajectory.summarize(short).collect())) == sorted(map(str, trajectory.summarize(trajectory.until_success(df, 99)).collect()))
+    best = {r.task_id: (r.best_reward, r.best_patch_id) for r in trajectory.summarize(short).collect()}
+    assert best[None] == (9.0, "late") and best[3] == (1.0, "3-1") and best[9] == (None, "none")
+    assert trajectory.up_to_success(df.limit(0), ["iteration"]).count() == 0
+
+
 def test_repair_of_two_attempts(spark):
     """Fails, then passes: 2 iterations, best the second; 2 rows, 1 of each label."""
     df = attempts(spark, [(1, 0, "a", True, False, "boom"), (1, 1, "b", True, True, ""), (1, 2, "c", True, True, "")])
