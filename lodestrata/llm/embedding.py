@@ -38,6 +38,8 @@ SEED = 17
 #: Directions by which vectors of a lot are dealt before balls are looked for, and vectors in a lot.
 HOMES = 64
 LOT = 8192
+#: Groups of up to so many balls are compared together, larger ones by a matrix each; the links are the same.
+SMALL = 32
 #: Members that make a ball worth merging with those of other lots.
 MANY = 8
 #: Angles (radians) nearer than this to a limit are decided by comparing members.
@@ -154,17 +156,31 @@ def balls(units: np.ndarray, homes: np.ndarray, half: float) -> list[tuple[np.nd
     return out
 
 
-def met(centres: np.ndarray, radii: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which balls link whole, and which perhaps in part; single vectors by their cosine alone."""
+def verdicts(near: np.ndarray, reach: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which balls link whole, and which perhaps in part, by their centres' cosine and the sum of their radii; single
+    vectors by their cosine alone."""
     limit = np.arccos(cosine)
-    near = centres @ centres.T
-    angle, reach = np.arccos(np.clip(near, -1, 1)), radii[:, None] + radii[None, :]
+    angle = np.arccos(np.clip(near, -1, 1))
     single = reach == 0
     whole = np.where(single, near >= cosine, angle + reach <= limit - MARGIN)
     part = ~single & ~whole & (angle - reach <= limit + MARGIN)
     return whole, part
 
 
+def met(centres: np.ndarray, radii: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """The verdicts on all pairs of balls."""
+    return verdicts(centres @ centres.T, radii[:, None] + radii[None, :], cosine)
+
+
+def within(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of each group of rows ``start`` to ``stop``."""
+    sizes = stops - starts
+    first = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    after = np.repeat(stops, sizes) - first - 1
+    i = np.repeat(first, after)
+    return i, i + 1 + np.arange(after.sum()) - np.repeat(np.cumsum(after) - after, after)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by their first ``keys`` columns, in batches that hold whole groups."""
     held = None
@@ -218,22 +234,37 @@ def _merger(half: float):
     return run
 
 
+def _meet(batch: pa.RecordBatch, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Linked balls (a, b, kind) of whole groups, all centres of one length."""
+    ball, radii, centres = np.asarray(batch.column(3)), np.asarray(batch.column(4)), _matrix(batch.column(5), 0, batch.num_rows)
+    starts, stops = np.array(_edges(batch, 2)).T
+    small = stops - starts <= SMALL
+    i, j = within(starts[small], stops[small])
+    # two balls often meet on several filters: once is enough
+    names, place = np.unique(ball, return_inverse=True)
+    _, once = np.unique(np.minimum(place[i], place[j]) * len(names) + np.maximum(place[i], place[j]), return_index=True)
+    i, j = i[once], j[once]
+    for at in range(0, len(i), LOT):
+        x, y = i[at : at + LOT], j[at : at + LOT]
+        for kind, linked in enumerate(verdicts(np.einsum("ij,ij->i", centres[x], centres[y]), radii[x] + radii[y], cosine)):
+            yield ball[x[linked]], ball[y[linked]], kind
+    for s, e in zip(starts[~small].tolist(), stops[~small].tolist(), strict=True):
+        for kind, linked in enumerate(met(centres[s:e], radii[s:e], cosine)):
+            x, y = np.nonzero(np.triu(linked, 1))
+            yield ball[s + x], ball[s + y], kind
+
+
 def _meeter(cosine: float):
     """Rows (filter, part, own, ball, radius, centre) by filter and part: pairs of balls that link, and whether only in part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches, 2):
-            found: set[tuple[int, int, int]] = set()
-            for s, e in _edges(batch, 2):
-                if e - s < 2:
-                    continue
-                ball, radii = (np.asarray(batch.column(i).slice(s, e - s)) for i in (3, 4))
-                for kind, linked in enumerate(met(_matrix(batch.column(5), s, e), radii, cosine)):
-                    i, j = np.nonzero(np.triu(linked, 1))
-                    found.update(zip(np.minimum(ball[i], ball[j]).tolist(), np.maximum(ball[i], ball[j]).tolist(), [kind] * len(i), strict=True))
-            if found:
-                a, b, kind = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(kind, pa.int64())], ["a", "b", "kind"])
+            lengths = np.diff(np.asarray(batch.column(5).offsets))
+            for size in np.unique(lengths).tolist():  # a group has centres of one length
+                for a, b, kind in _meet(batch.take(pa.array(np.flatnonzero(lengths == size))), cosine):
+                    if len(a):
+                        kinds = np.full(len(a), kind, np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(kinds)], ["a", "b", "kind"])
 
     return run
 

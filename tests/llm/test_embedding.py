@@ -131,3 +131,30 @@ def test_sql_of_a_table_with_links(spark, tmp_path):
     order = [d[0] for d in want.description]
     got = [tuple(r[c] for c in order) for r in queries()["op4_embedding_dedup"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want.fetchall()) and sum(r[1] for r in got) > 200
+
+
+@pytest.mark.parametrize("sizes", [[], [1], [1, 4, 2, 1, 7], [40, 3, 33, 1, 200]])
+def test_balls_meet_once_within_their_groups(sizes):
+    """Against all pairs of each group, for groups on both sides of ``SMALL`` and centres of two lengths."""
+    rng, rows, want = np.random.default_rng(len(sizes)), [], set()
+    for group, size in enumerate(sizes):
+        length = 3 if group % 2 else 4
+        for ball in rng.choice(300, size, replace=False).tolist():
+            centre = np.random.default_rng([ball, length]).standard_normal(length)
+            rows.append((group, 0, 0, ball + 1000 * length, 0.1 * (ball % 3), (centre / np.linalg.norm(centre)).tolist()))
+    for x in rows:
+        for y in rows:
+            if x[0] == y[0] and x[3] < y[3]:
+                near, reach, limit = float(np.dot(x[5], y[5])), x[4] + y[4], np.arccos(0.95)
+                angle = np.arccos(np.clip(near, -1, 1))
+                if near >= 0.95 if reach == 0 else angle + reach <= limit - embedding.MARGIN:
+                    want.add((x[3], y[3], 0))
+                elif reach and angle - reach <= limit + embedding.MARGIN:
+                    want.add((x[3], y[3], 1))
+    types = [embedding.pa.int64()] * 4 + [embedding.pa.float64(), embedding.pa.list_(embedding.pa.float64())]
+    arrays = [embedding.pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+    whole = embedding.pa.RecordBatch.from_arrays(arrays, ["filter", "part", "own", "ball", "radius", "centre"])
+    cuts = [whole.slice(at, 5) for at in range(0, len(rows), 5)]
+    got = [tuple(r.values()) for b in embedding._meeter(0.95)(iter(cuts)) for r in b.to_pylist()]
+    assert set(got) == want and all(a < b for a, b, _ in got)
+    assert not sizes or sizes[-1] < 7 or want
