@@ -3,7 +3,8 @@
 Filter directions form random product codes: in each of several random rotations, a direction joins one codeword for
 the first half of the components with one for the second half, so ``K * K`` directions need ``2 * K`` codewords. A unit
 vector is list-decoded to all directions whose inner product with it reaches ``alpha``: codewords of one half are
-kept if the best of the other half can still lift them to ``alpha``. Vectors meet on common filters and pairs are
+kept if the best of the other half can still lift them to ``alpha``. ``K`` grows with the root of the number of
+vectors, so a filter's share of unrelated vectors doesn't. Vectors meet on common filters and pairs are
 verified by cosine in double precision, so no link below the threshold is reported. ``alpha`` is calibrated on drawn
 pairs at exactly the threshold, the hardest ones, to the wanted recall (0.99; closer pairs are found more surely).
 
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import Scratch, discard
 from lodestrata.llm.graph import components
 
+#: Codewords of a half, at least; more are drawn for many vectors, see ``codewords_for``.
 CODEWORDS = 1024
 TURNS = 8
 RECALL = 0.99
@@ -119,6 +121,16 @@ def code(size: int, codewords: int, turns: int) -> Code:
     return Code(size, codewords, turns)
 
 
+def codewords_for(vectors: int, least: int, turns: int) -> int:
+    """A power of two that gives as many directions as vectors at least, so that a filter's unrelated vectors stay few
+    however many there are; a constant number would meet them in proportion to their square. A length has 2**40 filter
+    numbers, which is enough for 5 * 10**11 vectors in 8 turns; beyond that lists grow, and links are the same."""
+    found = least
+    while turns * found * found < vectors and 4 * turns * found * found <= 1 << 40:
+        found *= 2
+    return found
+
+
 def usable(vector: Column) -> Column:
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     return F.coalesce(F.forall(vector, fine) & F.exists(vector, lambda x: x != 0), F.lit(False))
@@ -294,8 +306,9 @@ def near(rows: DataFrame, *, key: Column, vector: Column, cosine: float = 0.95,
     every = rows.select(key.alias("key"), vector.alias("vector"))
     good = every.filter(usable(F.col("vector")))
     classes = scratch.written(good.groupBy("vector").agg(F.min("key").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "vectors")
-    sizes = sorted(r[0] for r in classes.select(F.size("vector")).distinct().collect())  # lengths, not vectors
-    alphas = {size: code(size, codewords, turns).calibrate(cosine, recall) for size in sizes}
+    counts = classes.groupBy(F.size("vector")).count().collect()  # a number for each length
+    grain = {size: codewords_for(count, codewords, turns) for size, count in counts}
+    alphas = {size: code(size, grain[size], turns).calibrate(cosine, recall) for size in sorted(grain)}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Filters and ball of each vector; the row that names a ball has its centre, radius, members and home."""
@@ -306,7 +319,7 @@ def near(rows: DataFrame, *, key: Column, vector: Column, cosine: float = 0.95,
                 lengths = np.diff(np.asarray(column.offsets))
                 for size in np.unique(lengths).tolist():
                     chosen = part.take(pa.array(np.flatnonzero(lengths == size)))
-                    units, made = _units(np.asarray(chosen.column(1).flatten(), np.float64).reshape(-1, size)), code(size, codewords, turns)
+                    units, made = _units(np.asarray(chosen.column(1).flatten(), np.float64).reshape(-1, size)), code(size, grain[size], turns)
                     lists = [x for i in range(0, len(units), 512) for x in made.filters(units[i : i + 512], alphas[size])]
                     node = np.asarray(chosen.column(0))
                     ball, centres, radii, members, homes = node.copy(), [None] * len(node), [None] * len(node), [None] * len(node), [None] * len(node)

@@ -158,3 +158,17 @@ def test_balls_meet_once_within_their_groups(sizes):
     got = [tuple(r.values()) for b in embedding._meeter(0.95)(iter(cuts)) for r in b.to_pylist()]
     assert set(got) == want and all(a < b for a, b, _ in got)
     assert not sizes or sizes[-1] < 7 or want
+
+
+def test_directions_grow_with_the_vectors(spark):
+    """No fewer directions than vectors, and filter numbers stay apart from those of other lengths; links are whole with any number."""
+    assert [embedding.codewords_for(n, 1024, 8) for n in (0, 1, 8 << 20, (8 << 20) + 1, 10**9)] == [1024, 1024, 1024, 2048, 16384]
+    for n in (10**6, 10**9, 5 * 10**11):
+        words = embedding.codewords_for(n, 1024, 8)
+        assert n <= 8 * words * words <= 1 << 40
+    assert 8 * embedding.codewords_for(10**15, 1024, 8) ** 2 <= 1 << 40
+    vectors = clusters(5, 16, 30)
+    want = brute(list(enumerate(vectors)))[1]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
+    got = embedding.near(df, key=F.col("vec_id"), vector=F.col("embedding"), codewords=1, turns=2, recall=1.0).collect()
+    assert {(r.key, r.n_links) for r in got} == {(i, n) for i, n, _ in want}
