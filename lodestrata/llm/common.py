@@ -62,6 +62,20 @@ class Scratch:
                 discard(table)
 
 
+#: Rows of one value from which on its label is broadcast instead of shuffled to.
+HOT = 1_000_000
+
+
+def labelled_by(rows: DataFrame, labels: DataFrame, on: str, count: str, hot: int = HOT) -> DataFrame:
+    """Inner join of ``rows`` with ``labels``, which has one row for each value of ``on`` and how many ``rows`` have it.
+
+    Rows of a value that more than ``hot`` rows have stay where they are and take its label from a broadcast, so they don't
+    meet in one task; there are fewer than rows / hot such values. All others are joined by shuffling; the result is the same."""
+    often = F.col(count) > hot
+    few, rest = F.broadcast(labels.filter(often).drop(count)), labels.filter(~often).drop(count)
+    return rows.join(few, on).unionByName(rows.join(few.select(on), on, "left_anti").join(rest, on))
+
+
 def packed(docs: DataFrame) -> Column:
     """All columns of ``docs`` as one struct, so that internal names can't clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import packed, unpacked, written
+from lodestrata.llm.common import HOT, labelled_by, packed, unpacked, written
 from lodestrata.llm.graph import Forest, components
 
 WORDS = 3
@@ -149,18 +149,18 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def labelled(prints: DataFrame) -> DataFrame:
-    """(fp, component) for the fingerprints of ``prints`` (key, fp): the smallest key reachable."""
-    each = written(prints.groupBy("fp").agg(F.min("key").alias("least")), "fingerprints")
+    """(fp, component, n) for the fingerprints of ``prints`` (key, fp): the smallest key reachable, and how many rows have it."""
+    each = written(prints.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")), "fingerprints")
     roots = components(links(each))
-    rooted = written(each.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = written(each.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "rooted")
     least = written(rooted.groupBy("root").agg(F.min("least").alias("component")), "least")
-    return written(rooted.join(least, "root").select("fp", "component"), "components")
+    return written(rooted.join(least, "root").select("fp", "component", "n"), "components")
 
 
-def near(docs: DataFrame, *, key: Column, text: Column) -> DataFrame:
+def near(docs: DataFrame, *, key: Column, text: Column, hot: int = HOT) -> DataFrame:
     """key, fp (signed) and component of every row."""
     prints = written(fingerprints(docs, key=key, text=text), "simhash")
-    return prints.join(labelled(prints), "fp").select("key", "fp", "component")
+    return labelled_by(prints, labelled(prints), "fp", "n", hot).select("key", "fp", "component")
 
 
 def first_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,6 +182,6 @@ def first_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     prints = held.select("key", "fp", "row")
     component = labelled(prints)
     order = F.struct(F.col("key").isNull().alias("none"), "key", "row")
-    firsts = written(prints.join(component, "fp").withColumn("group", F.coalesce(F.col("component").cast("string"), F.col("fp").cast("string"))).groupBy("group", F.col("component").isNull()).agg(F.min(order)["row"].alias("row")).select("row"), "firsts")
+    firsts = written(labelled_by(prints, component, "fp", "n").withColumn("group", F.coalesce(F.col("component").cast("string"), F.col("fp").cast("string"))).groupBy("group", F.col("component").isNull()).agg(F.min(order)["row"].alias("row")).select("row"), "firsts")
     # the same join at every size: the rows to keep grow with the documents, so they are never broadcast
     return unpacked(held.join(firsts.hint("merge"), "row", "left_semi"), "doc", columns)

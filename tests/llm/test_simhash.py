@@ -102,3 +102,14 @@ def test_null_ids(spark):
     docs = spark.createDataFrame([(None, "x y z"), (None, "x y z"), (4, "q r s"), (None, "q r s")], "doc_id long, text string")
     assert sorted((r.key or 0, r.component or 0) for r in simhash.near(docs, key=F.col("doc_id"), text=F.col("text")).collect()) == [(0, 0), (0, 0), (0, 4), (4, 4)]
     assert sorted(r.text for r in simhash.first_of_each(docs).collect()) == ["q r s", "x y z"]
+
+
+@pytest.mark.parametrize("hot", [0, 2, 10**6])
+def test_frequent_fingerprints_are_labelled_like_others(spark, hot):
+    """The same rows whichever fingerprints count as frequent; empty tables too."""
+    texts = ["one text that a third of all rows hold"] * 20 + [f"text {i % 7} of its own {i % 7 * 31}" for i in range(25)] + ["", None] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = sorted(tuple(r) for r in simhash.near(docs, key=F.col("doc_id"), text=F.col("text"), hot=hot).collect())
+    want = sorted(tuple(r) for r in simhash.near(docs, key=F.col("doc_id"), text=F.col("text")).collect())
+    assert got == want and len(got) == len(texts)
+    assert simhash.near(docs.limit(0), key=F.col("doc_id"), text=F.col("text"), hot=hot).count() == 0
