@@ -78,7 +78,7 @@ def labelled_by(rows: DataFrame, labels: DataFrame, on: str, count: str, hot: in
 
 def packed(docs: DataFrame) -> Column:
     """All columns of ``docs`` as one struct, so that internal names can't clash with them."""
-    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
 
 
 def unpacked(df: DataFrame, field: str, columns: list[str]) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import discard, written
+from lodestrata.llm.common import discard, packed, unpacked, written
 
 BITS = 15
 WORDS = 1 << BITS
@@ -209,13 +209,14 @@ def score(docs: DataFrame, machine: Machine, *, key: Column, text: Column, metad
 
 
 def keep(docs: DataFrame, machine: Machine, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the machine predicts to be of label 1, with all their columns."""
-    held, at = docs.sparkSession.sparkContext.broadcast(machine), docs.columns.index(text)
+    """The rows of ``docs`` that the machine predicts to be of label 1, with all their columns, whatever their names."""
+    held = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                yield part.filter(pa.array(held.value.scores(part.column(at).to_pylist()) >= threshold))
+                yield part.filter(pa.array(held.value.scores(part.column(1).to_pylist()) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(packed(docs).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    return unpacked(rows.mapInArrow(run, rows.schema), "row", docs.columns)

@@ -198,3 +198,10 @@ def test_learning_sample_is_bounded_and_metadata_counts(spark):
     assert sizes[0] <= 40 and sizes[1] == 10 and sizes[2] == 61
     scored = quality.score(docs, machine, key=F.col("doc_id"), text=F.col("text"), metadata=("site",)).collect()
     assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in scored if r.doc_id < 60)
+
+
+def test_keep_takes_any_column_names(spark):
+    docs = spark.createDataFrame([(1, "A plain text.", 5), (2, None, None)], "doc_id long, text string, `a.b` int").withColumn("row", F.lit(0)).withColumn("c`d", F.lit(1))
+    made = quality.keep(docs, quality.Machine(0.0, None, None, 1.0))
+    assert made.columns == docs.columns and sorted(made.collect(), key=str) == sorted(docs.collect(), key=str)
+    assert quality.keep(docs.limit(0), quality.Machine(0.0, None, None, 1.0)).count() == 0
