@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, embedding, language, media, mixing, oracle, packing, quality, secrets, simhash, suffix
+from lodestrata.llm import chat, embedding, language, media, mixing, oracle, packing, quality, secrets, simhash, suffix, toxicity
 from lodestrata.llm.common import table, written
 
 
@@ -75,6 +75,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), key=F.col("doc_id"), text=F.col("text"), tokenizer=packing.public_tokenizer)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    detector = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, detector, key=F.col("doc_id"), text=F.col("text"))
+    return scored.select("doc_id", (quality.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
