@@ -114,4 +114,42 @@ each as (select *, unnest(range(0, n)) as pass_no from numbered)
 select doc_id, source, tokens as n_tokens, round(weight, 6) as weight, block, cast(pass_no as integer) as pass_no, {_dealt("0/place", "pass_no", "name")} as place from each
 """
 
-SQL = {"op1_secret_scans": OP1, "op2_chat_formatting": OP2, "op4_embedding_dedup": OP4, "op5_suffix_dedup": OP5, "op6_source_mixing": OP6.format(lift=LIFT)}
+#: Every anchor against every row. Rows of equal ids and scores give equal results, so their order is free.
+OP11 = """
+with rows as (
+    select row_number() over () as r, vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+    from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  scored as (
+    select a.r as a, a.id as anchor_id, b.r as b, b.id as id, a.label = b.label as same, cast(list_sum(list_transform(range(1, 1 + greatest(len(a.q), len(b.q))), lambda i: coalesce(a.q[i], 0) * coalesce(b.q[i], 0))) as bigint) as score
+    from rows a join rows b on a.id % 100 = 0 and a.r <> b.r),
+  positives as (select * from (select *, row_number() over (partition by a order by score desc, id nulls last, b) as p from scored where same) where p <= 5),
+  ranked as (
+    select p.a, p.p, p.anchor_id, p.id as positive_id, n.id as negative_id, p.score as positive_score, n.score as negative_score, row_number() over (partition by p.a, p.p order by n.score desc, n.id nulls last, n.b) as rank
+    from positives p join scored n on n.a = p.a and not n.same and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score)
+  select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from ranked where rank <= 10
+"""
+
+#: Prefixes are strings of their turns' digests; CRC-32 is worked out bit by bit.
+OP13 = """
+with own as (
+    select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as pos
+    from conversations where conv_id is not null),
+  crc as (select c, list_reduce(list_transform(range(length(c::varchar) + 1), lambda i: case when i = 0 then 4294967295 else ascii(substr(c::varchar, i, 1)) end),
+      lambda s, b: list_reduce(list_transform(range(9), lambda i: case when i = 0 then xor(s::bigint, b::bigint) else 0 end), lambda x, y: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)) as r
+    from (select distinct c from own)),
+  heads as (select c, xor(r::bigint, 4294967295) % 6 as h from crc),
+  n_base as (select h.c, h.h, (select count(*) from own o where o.c = h.c - h.c % 100 and o.pos <= h.h) as m from heads h),
+  turns as (
+    select n.c, o.pos as d, o.role, o.text from n_base n join own o on o.c = n.c - n.c % 100 and o.pos <= n.h
+    union all select n.c, n.m + o.pos - n.h, o.role, o.text from n_base n join own o on o.c = n.c and o.pos > n.h),
+  steps as (select c, d, length(text) as n, string_agg(md5(length(role) || ':' || role || text), '') over (partition by c order by d) as path from turns union all select c, 0, 0, '' from heads),
+  ends as (select path, sha256(string_agg(c::varchar, ',' order by c)) as sha from (select c, path from (select c, path, row_number() over (partition by c order by d desc) as k from steps) where k = 1) group by path),
+  nodes as (select d, path, min(c) as conv_id, count(*) as n, any_value(n) as size, left(path, 32 * (d - 1)::integer) as up from steps group by d, path),
+  kids as (select up, count(*) as n from nodes where d > 0 group by up),
+  below as (select left(path, 32 * i::integer) as path, sum((n - 1) * size) as saved, sum(leaf) as leaves from (
+    select v.path, v.n, v.size, case when k.n is null then 1 else 0 end as leaf, unnest(range(v.d + 1)) as i from nodes v left join kids k on k.up = v.path) group by 1)
+  select v.conv_id, v.d as depth, p.conv_id as parent_conv_id, v.n as n_convs, coalesce(k.n, 0) as n_children, cast(b.leaves as bigint) as n_leaves, cast(b.saved as bigint) as saved_tokens, coalesce(e.sha, sha256('')) as ends_sha256
+  from nodes v join below b on b.path = v.path left join nodes p on v.d > 0 and p.path = v.up left join kids k on k.up = v.path left join ends e on e.path = v.path
+"""
+
+SQL = {"op1_secret_scans": OP1, "op2_chat_formatting": OP2, "op4_embedding_dedup": OP4, "op5_suffix_dedup": OP5, "op6_source_mixing": OP6.format(lift=LIFT), "op11_hard_negatives": OP11, "op13_prefix_trie": OP13}

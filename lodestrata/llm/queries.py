@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chat, embedding, language, media, mixing, oracle, packing, quality, secrets, simhash, suffix, toxicity
+from lodestrata.llm import chat, embedding, language, media, mixing, negatives, oracle, packing, quality, secrets, simhash, suffix, toxicity, trie
 from lodestrata.llm.common import table, written
 
 
@@ -75,6 +75,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), key=F.col("doc_id"), text=F.col("text"), tokenizer=packing.public_tokenizer)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), key=F.col("vec_id"), label=label, vector=F.col("embedding"), anchor=F.col("vec_id") % 100 == 0)
+
+
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     detector = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -82,6 +87,13 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.build(
+        table(spark, sf_dir, "conversations"), conv=F.col("conv_id"), turn=F.col("turn"), role=F.col("role"), text=F.col("text"), most=5,
+        base=lambda c: c - c % 100, taken=lambda c: (F.crc32(c.cast("string").cast("binary")) % 6).cast("int"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
