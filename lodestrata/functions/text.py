@@ -1,6 +1,6 @@
 """Text functions over columns: diffs, fences, markers, JSON, paths, chat rendering, token counts.
 
-Everything runs in the JVM but the two functions that need Python's difflib. White space is ASCII white space."""
+Everything runs in the JVM but the exact similarity, which needs Python's difflib. White space is ASCII white space."""
 
 from __future__ import annotations
 
@@ -211,20 +211,53 @@ def similarity(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
+#: Line ends of a text: carriage return and line feed are one.
+LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+CONTEXT = 3
+
+
+def lines(text: Column) -> Column:
+    """A text's lines without their ends; a last line end begins no line."""
+    parts = F.split(text, LINE_END, -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
+def _differ_at(a: Column, b: Column) -> Column:
+    """How many items two arrays share at their start."""
+    unlike = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True)
+    return F.when(unlike > 0, unlike - 1).otherwise(F.size(a)).cast("int")
+
+
+def _range(start: Column, length: Column) -> Column:
+    """Where a side of a hunk starts and how many lines it has; an empty side names the line before."""
+    return F.when(length == 1, (start + 1).cast("string")).otherwise(F.concat_ws(",", F.when(length == 0, start).otherwise(start + 1), length))
+
+
 def line_diff(path: Column, old: Column, new: Column) -> Column:
-    """Unified diff with three lines of context and no times, by difflib."""
-
-    @F.pandas_udf("string")
-    def diff(paths: pd.Series, olds: pd.Series, news: pd.Series) -> pd.Series:
-        from difflib import unified_diff as differ
-
-        out = []
-        for p, a, b in zip(paths, olds, news, strict=True):
-            if p is None or a is None or b is None:
-                out.append(None)
-                continue
-            body = "\n".join(differ(a.splitlines(), b.splitlines(), fromfile=f"a/{p}", tofile=f"b/{p}", lineterm=""))
-            out.append(f"diff --git a/{p} b/{p}\n" + (body if not body or body.endswith("\n") else body + "\n"))
-        return pd.Series(out)
-
-    return diff(path, old, new)
+    """Unified diff of one edit with three lines of context and no times.
+
+    The lines before and after the edit are what both texts share at their start and end, so hunk bounds are line numbers and nothing is
+    searched; the edit's old lines all come before its new ones. Texts with equal lines have the header alone."""
+    was, now = lines(old), lines(new)
+    both = F.struct(was.alias("was"), now.alias("now"), _differ_at(was, now).alias("head"))
+
+    def tailed(t: Column) -> Column:
+        was, now, head = t["was"], t["now"], t["head"]
+        rest = lambda a: F.reverse(F.slice(a, head + 1, F.size(a) - head))
+        tail = F.least(_differ_at(rest(was), rest(now)), F.size(was) - head, F.size(now) - head)
+        return F.struct(was.alias("was"), now.alias("now"), head.alias("head"), tail.alias("tail"))
+
+    def hunk(t: Column) -> Column:
+        was, now, head, tail = t["was"], t["now"], t["head"], t["tail"]
+        low, after = F.greatest(head - CONTEXT, F.lit(0)), F.least(tail, F.lit(CONTEXT))
+        marked = lambda mark, a, start, n: F.transform(F.slice(a, start + 1, n), lambda x: F.concat(F.lit(mark), x))
+        n_old, n_new = F.size(was) - tail - head, F.size(now) - tail - head
+        header = F.concat(F.lit("@@ -"), _range(low, head - low + n_old + after), F.lit(" +"), _range(low, head - low + n_new + after), F.lit(" @@"))
+        names = [F.concat(F.lit("--- a/"), path), F.concat(F.lit("+++ b/"), path)]
+        body = F.concat(F.array(*names, header), marked(" ", was, low, head - low), marked("-", was, head, n_old), marked("+", now, head, n_new), marked(" ", was, head + n_old, after))
+        same = (F.size(was) == F.size(now)) & (head == F.size(was))
+        return F.when(same, "").otherwise(F.concat(F.array_join(body, "\n"), F.lit("\n")))
+
+    # arrays of one element, so that lines and bounds are made once
+    made = F.element_at(F.transform(F.transform(F.array(both), tailed), hunk), 1)
+    return F.when(path.isNotNull() & old.isNotNull() & new.isNotNull(), F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n"), made))

@@ -1,13 +1,15 @@
 """Ordered attempts of a task: carry-forward, stop at first success, best so far, ranking, hold-out.
 
-Inputs have task_id, iteration and what each function names; every order is total and explicit. A task's attempts
-are one ordered sequence, so windows are partitioned by task."""
+Inputs have task_id, iteration and what each function names; every order is total and explicit. Values that run over all of a task's attempts
+come from :mod:`scan`, so that a task of any size is spread; windows by task are used only where few attempts of each task are left."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from lodestrata.operators import scan
+
 
 def _task() -> WindowSpec:
     return Window.partitionBy("task_id").orderBy("iteration")
@@ -17,14 +19,11 @@ def _before() -> WindowSpec:
     return _task().rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _upto() -> WindowSpec:
-    return _task().rowsBetween(Window.unboundedPreceding, 0)
-
-
 def carry_failure(attempts: DataFrame) -> DataFrame:
     """Adds previous_failure_stderr: that of the latest failed attempt before; a failure without one resets it."""
     failed = F.when(~F.coalesce("post_tests_passed", F.lit(False)), F.coalesce("stderr", F.lit("")))
-    return attempts.withColumn("previous_failure_stderr", F.coalesce(F.last(failed, ignorenulls=True).over(_before()), F.lit("")))
+    found = scan.running(attempts, "task_id", ["iteration"], {"previous_failure_stderr": scan.latest_before(failed, ["iteration"])})
+    return found.withColumn("previous_failure_stderr", F.coalesce("previous_failure_stderr", F.lit("")))
 
 
 def until_success(attempts: DataFrame, most: int) -> DataFrame:
@@ -48,15 +47,16 @@ def up_to_success(attempts: DataFrame, order: list[str], salts: int = 16) -> Dat
 
 def best_so_far(attempts: DataFrame) -> DataFrame:
     """Adds best_reward and best_patch_id: the earliest of equal rewards wins."""
-    best = F.max(F.struct("reward", (-F.col("iteration")).alias("order"), "patch_id")).over(_upto())
-    return attempts.withColumns({"best_reward": best["reward"], "best_patch_id": best["patch_id"]})
+    best = F.struct("reward", (-F.col("iteration")).alias("order"), "patch_id")
+    found = scan.running(attempts, "task_id", ["iteration"], {"_best": scan.largest(best)})
+    return found.withColumns({"best_reward": F.col("_best.reward"), "best_patch_id": F.col("_best.patch_id")}).drop("_best")
 
 
 def loop_state(attempts: DataFrame, most: int, threshold: float = 0.9) -> DataFrame:
     """Adds is_contiguous, solved (a reward above the threshold so far) and should_continue."""
-    place = F.row_number().over(_task())
-    solved = F.max(F.col("reward") > threshold).over(_upto())
-    return attempts.withColumns({"is_contiguous": F.col("iteration") == place - 1, "solved": solved, "should_continue": ~solved & (place < most)})
+    found = scan.running(attempts, "task_id", ["iteration"], {"_place": scan.place(), "solved": scan.largest(F.col("reward") > threshold)})
+    place = F.col("_place")
+    return found.withColumns({"is_contiguous": F.col("iteration") == place - 1, "should_continue": ~F.col("solved") & (place < most)}).drop("_place")
 
 
 def summarize(attempts: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -84,8 +84,8 @@ def repair_result(attempts: DataFrame, most: int) -> DataFrame:
 
 def ranked(candidates: DataFrame, ties: list[str]) -> DataFrame:
     """Adds place: by reward, tests passed, applied, least time; then ``ties``."""
-    order = Window.partitionBy("task_id").orderBy(F.desc("reward"), F.desc("post_tests_passed"), F.desc("patch_applied"), "elapsed_seconds", *ties)
-    return candidates.withColumn("place", F.row_number().over(order))
+    order = [F.desc("reward"), F.desc("post_tests_passed"), F.desc("patch_applied"), "elapsed_seconds", *ties]
+    return scan.running(candidates, "task_id", order, {"place": scan.place()})
 
 
 def selected(candidates: DataFrame, ties: list[str]) -> DataFrame:

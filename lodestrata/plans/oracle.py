@@ -53,6 +53,23 @@ def _validated(source: str, name: str) -> str:
 {name} as (select *, error is null as valid from (select *, case when escapes then 'file_path_escapes_repo' when not file_exists then 'file_missing' when edits_tests then 'test_file_edit_forbidden' when occurrences = 0 then 'find_text_not_found' when occurrences > 1 then 'find_text_not_unique' when coalesce(replace_text, '') = '' then 'empty_replace_text' end as error from {name}2))"""
 
 
+_LINE_END = r"'\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'"
+_SHARED = "coalesce(nullif(list_position(list_transform(range(1, greatest(len({0}), len({1})) + 1), lambda i: {0}[i] is distinct from {1}[i]), true), 0) - 1, len({0}))".format
+_RANGE = "case when {1} = 1 then cast({0} + 1 as varchar) else cast(case when {1} = 0 then {0} else {0} + 1 end as varchar) || ',' || ({1}) end".format
+_MARKED = "list_transform(list_slice({1}, {2} + 1, {2} + {3}), lambda x: '{0}' || x)".format
+#: The patch of the one edit: what both texts share at their start and end is left out, but for three lines.
+PATCHES = f"""split0 as (select task_id, file_path, regexp_split_to_array(file_text, {_LINE_END}) as was, regexp_split_to_array(left(file_text, cast(pos - 1 as bigint)) || replace_text || substr(file_text, pos + length(find_text)), {_LINE_END}) as now
+  from (select *, greatest(strpos(file_text, find_text), 1) as pos from checked where valid)),
+split1 as (select task_id, file_path, case when was[len(was)] = '' then list_slice(was, 1, len(was) - 1) else was end as was, case when now[len(now)] = '' then list_slice(now, 1, len(now) - 1) else now end as now from split0),
+split2 as (select *, {_SHARED("was", "now")} as head from split1),
+split3 as (select *, list_reverse(list_slice(was, head + 1, len(was))) as r_was, list_reverse(list_slice(now, head + 1, len(now))) as r_now from split2),
+split4 as (select *, least({_SHARED("r_was", "r_now")}, len(r_was), len(r_now)) as tail from split3),
+split5 as (select *, greatest(head - 3, 0) as low, least(tail, 3) as after, len(r_was) - tail as n_old, len(r_now) - tail as n_new from split4),
+patches as (select task_id, file_path, 'diff --git a/' || file_path || ' b/' || file_path || {NL} || case when was = now then '' else array_to_string(flatten([
+    ['--- a/' || file_path, '+++ b/' || file_path, '@@ -' || {_RANGE("low", "head - low + n_old + after")} || ' +' || {_RANGE("low", "head - low + n_new + after")} || ' @@'],
+    {_MARKED(" ", "was", "low", "head - low")}, {_MARKED("-", "was", "head", "n_old")}, {_MARKED("+", "now", "head", "n_new")}, {_MARKED(" ", "was", "head + n_old", "after")}]), {NL}) || {NL} end as patch_text from split5)"""
+
+
 def _ended(x: str) -> str:
     return f"case when ends_with({x}, {NL}) then {x} else {x} || {NL} end"
 
@@ -133,6 +150,7 @@ SQL: dict[str, str] = {
     "safe_names": r"select p_partkey, translate(uri, '/:', '__') as name, regexp_extract(uri, '^s3://([^/]+)/?(.*)$', 1) as bucket, regexp_extract(uri, '^s3://([^/]+)/?(.*)$', 2) as key from (select p_partkey, 's3://' || lower(replace(p_brand, '#', '-')) || '/' || p_name as uri from part)",
     "intent_validation": f"with {I}, {_validated('intents', 'checked')} select task_id, file_exists, edits_tests, occurrences, error, valid from checked",
     "intent_repair": f"with {I}, {REPAIR} select task_id, original_error, file_path, replace_text, repair_actions, valid as repaired, error as repair_error from after1",
+    "canonical_patch": f"with {I}, {_validated('intents', 'checked')}, {PATCHES} select task_id, file_path, patch_text from patches",
     "failure_histogram": f"with {I}, {_validated('intents', 'checked')} select case when error = 'find_text_not_found' and {STRIP('find_text')} = '' then 'empty_find_text' when error = 'find_text_not_found' and contains(find_text, '```') then 'markdown_contaminated_find_text' when error = 'find_text_not_found' and not contains(find_text, 'def ') then 'non_code_find_text' when error = 'find_text_not_found' then 'wrong_or_hallucinated_find_text' when error = 'file_missing' then 'wrong_file_path' when error = 'find_text_not_unique' then 'ambiguous_find_text' when error = 'test_file_edit_forbidden' then 'attempted_test_edit' when error is not null then error else 'valid' end as category, coalesce(error, 'None') as error, count(*) as n from checked group by all",
     "chat_validation": f"with {H} select task_id, cast(len(messages) as bigint) as n_messages, cast(len(list_filter(messages, lambda m: m.role not in ('system', 'user', 'assistant', 'tool'))) as bigint) as n_issues from chats",
     "sft_row_validation": f"with {H}, {views.SFT_SQL}, {ISSUES} select task_id, cast(len(issues) as bigint) as n_issues, len(issues) = 0 as valid from issues",

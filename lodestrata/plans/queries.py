@@ -47,7 +47,7 @@ def batch_failed_tasks(spark, sf_dir):
 
 @query
 def patch_attempts(spark, sf_dir):
-    return datasets.attempt_rows(trajectory.carry_failure(views.attempts(spark, sf_dir)))
+    return datasets.attempt_rows(trajectory.carry_failure(views.attempt_parts(spark, sf_dir)))
 
 
 @query
@@ -68,12 +68,12 @@ def self_repair_loop(spark, sf_dir):
 
 @query
 def best_so_far(spark, sf_dir):
-    return trajectory.best_so_far(views.attempts(spark, sf_dir)).select("task_id", "iteration", "reward", "best_reward", "best_patch_id")
+    return trajectory.best_so_far(views.attempt_parts(spark, sf_dir)).select("task_id", "iteration", "reward", "best_reward", "best_patch_id")
 
 
 @query
 def loop_state_check(spark, sf_dir):
-    return trajectory.loop_state(views.attempts(spark, sf_dir), MOST).select("task_id", "iteration", "is_contiguous", "solved", "should_continue")
+    return trajectory.loop_state(views.attempt_parts(spark, sf_dir), MOST).select("task_id", "iteration", "is_contiguous", "solved", "should_continue")
 
 
 # --- candidates ---

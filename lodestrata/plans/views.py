@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scoring
-from lodestrata.operators import datasets
+from lodestrata.operators import datasets, scan
 from lodestrata.sources.files import table
 
 ATTEMPTS_SQL = """attempts as (
@@ -39,6 +39,13 @@ def attempts(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataF
     return rows.withColumn("iteration", F.col("place") - 1).drop("place", "ts")
 
 
+def attempt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts as of :func:`attempts`, dealt in parts of tasks by their order, so that no task's attempts meet in one place."""
+    dealt = scan.parted(events(spark, sf_dir), "task_id", ATTEMPT_ORDER)
+    placed = scan.running(dealt, "task_id", ATTEMPT_ORDER, {"iteration": scan.place()})
+    return placed.withColumn("iteration", F.col("iteration") - 1).drop("ts")
+
+
 CANDIDATES_SQL = """candidates as (
   select *, (case when patch_applied then cast(0.25 as double) else -1.0 end) + (case when post_tests_passed then cast(1.0 as double) else -0.5 end) as reward from (
     select l_orderkey as task_id, l_linestatus = 'F' as patch_applied, l_returnflag = 'N' and l_linestatus = 'F' as post_tests_passed, l_extendedprice as elapsed_seconds, l_partkey as part, l_suppkey as supp, l_linenumber as line from lineitem))"""

@@ -148,6 +148,53 @@ def test_difflib_functions(spark):
     assert diff == "diff --git a/f.py b/f.py\n--- a/f.py\n+++ b/f.py\n@@ -1,3 +1,3 @@\n a\n-b\n+B\n c\n"
 
 
+def applied(old, patch):
+    """A patch of one hunk, applied to lines by its line numbers."""
+    lines = patch.split("\n")[:-1]
+    if len(lines) == 1:
+        return old
+    assert lines[1].startswith("--- a/") and lines[2].startswith("+++ b/")
+    first, n = [int(x) for x in (lines[3].split(" ")[1][1:] + ",1").split(",")[:2]]
+    at = first if n == 0 else first - 1
+    body = lines[4:]
+    taken = [x[1:] for x in body if x[0] in " -"]
+    assert old[at : at + n] == taken and sum(x[0] == "-" for x in body) + sum(x[0] == " " for x in body) == n
+    return old[:at] + [x[1:] for x in body if x[0] in " +"] + old[at + n :]
+
+
+def test_patches_of_one_edit_equal_difflib(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        old = [f"line {j} {rng.random()}" for j in range(rng.choice([0, 1, 2, 5, 9, 30]))]
+        low = rng.randrange(len(old) + 1)
+        high = min(len(old), low + rng.choice([0, 0, 1, 2, 4]))
+        new = old[:low] + [f"new {i} {j}" for j in range(rng.choice([0, 1, 1, 3]))] + old[high:]
+        end = rng.choice(["\n", "\r\n", "\u2028", "\x0b"]) if i % 4 == 0 else "\n"
+        rows.append((f"p{i}.py", end.join(old) + end * rng.randrange(2), end.join(new) + end * rng.randrange(2)))
+    rows += [("e.py", "", ""), ("e.py", "", "x"), ("e.py", "x", ""), ("e.py", "x\n", "x"), ("e.py", "\n", "\n\n"), (None, "a", "b"), ("n.py", None, "b")]
+    df = spark.createDataFrame(rows, "p string, a string, b string")
+    for (p, a, b), r in zip(rows, df.select(text.line_diff(F.col("p"), F.col("a"), F.col("b")).alias("x")).collect(), strict=True):
+        if None in (p, a, b):
+            assert r.x is None
+            continue
+        body = "\n".join(difflib.unified_diff(a.splitlines(), b.splitlines(), f"a/{p}", f"b/{p}", lineterm=""))
+        assert r.x == f"diff --git a/{p} b/{p}\n" + (body + "\n" if body else "")
+        assert applied(a.splitlines(), r.x) == b.splitlines()
+
+
+def test_patches_among_repeated_lines_apply(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(300):
+        old = [rng.choice("ab") for _ in range(rng.randrange(12))]
+        low, high = sorted((rng.randrange(len(old) + 1), rng.randrange(len(old) + 1)))
+        rows.append(("\n".join(old), "\n".join(old[:low] + [rng.choice("abc") for _ in range(rng.randrange(4))] + old[high:])))
+    found = spark.createDataFrame(rows, "a string, b string").select(text.line_diff(F.lit("p"), F.col("a"), F.col("b")).alias("x")).collect()
+    for (a, b), r in zip(rows, found, strict=True):
+        assert applied(a.splitlines(), r.x) == b.splitlines()
+
+
 def test_curricula(spark):
     rows = datasets.curriculum(spark).collect()
     assert len(rows) == 192 and len({r.task_id for r in rows}) == 192 and sum(r.split == "eval" for r in rows) == 32
