@@ -112,14 +112,18 @@ def _rows(made: DataFrame, v: int, prompt: Column, extra: Column, prohibited: Co
     )
 
 
-def second_rows(spark: SparkSession) -> DataFrame:
-    """12 categories by 16 cases."""
-    cases = [(i, *c, f"test_{c[0]}{datasets.TEST_SUFFIX.get(c[0], '')}") for i, c in enumerate(datasets.CASES)]
-    case = spark.createDataFrame(cases, "case_pos long, name string, module string, bug string, expected string, edge string, test_symbol string")
+def _with_case(rows: DataFrame, case: DataFrame) -> DataFrame:
+    """Each row's case again, by the index."""
+    return datasets.with_count(rows, case).withColumn("case_pos", F.pmod("index", "n_cases")).drop("n_cases").join(case, "case_pos")
+
+
+def second_rows(spark: SparkSession, cases: DataFrame | None = None) -> DataFrame:
+    """12 categories by the cases; without ``cases`` by those of the literal table."""
+    case = datasets.literal_cases(spark) if cases is None else cases
     operations = spark.createDataFrame(OPERATIONS, "category string, place string, named boolean, template string")
     extras = spark.createDataFrame(datasets.EXTRAS, "category string, extra string, risk string")
-    rows = datasets.curriculum(spark).select("index", "task_id", "split", "category", "prompt").withColumn("case_pos", F.col("index") % len(cases))
-    made = rows.join(case, "case_pos").join(extras, "category", "left").join(operations, "category", "left").withColumns({
+    rows = datasets.curriculum(spark, case).select("index", "task_id", "split", "category", "prompt")
+    made = _with_case(rows, case).join(extras, "category", "left").join(operations, "category", "left").withColumns({
         "file": F.concat(F.lit("app/"), F.col("module"), F.lit(".py")), "test_file": F.concat(F.lit("tests/test_"), F.col("module"), F.lit(".py")),
     })
     file, symbol, intent = _extra(F.col("place"), F.col("named"), F.col("template"))
@@ -132,15 +136,14 @@ def second_rows(spark: SparkSession) -> DataFrame:
     return _rows(made, 1, F.col("prompt"), extra, _array(barred), _array(F.col("risk")), checks, datasets.difficulty(F.col("category")))
 
 
-def first_rows(spark: SparkSession) -> DataFrame:
-    """8 categories by 6 cases."""
-    cases = [(i, *c) for i, c in enumerate(datasets.FIRST_CASES)]
-    case = spark.createDataFrame(cases, "case_pos long, name string, module string, bug string, expected string, test_symbol string")
+def first_rows(spark: SparkSession, cases: DataFrame | None = None) -> DataFrame:
+    """8 categories by the cases; without ``cases`` by those of the literal table."""
+    case = datasets.literal_first_cases(spark) if cases is None else cases
     additions = spark.createDataFrame(FIRST_ADDITIONS, "category string, addition string")
     operations = spark.createDataFrame(FIRST_OPERATIONS, "category string, extra string, place string, named boolean, template string")
-    rows = datasets.first_curriculum(spark).select("index", "task_id", "split", "category", "risk_flags").withColumn("case_pos", F.col("index") % len(cases))
-    made = rows.join(case, "case_pos").join(additions, "category", "left").join(operations, "category", "left").withColumns({
-        "file": F.concat(F.lit("app/"), F.col("module"), F.lit(".py")), "test_file": F.concat(F.lit("tests/test_"), F.col("module"), F.lit(".py")), "edge": F.lit(""),
+    rows = datasets.first_curriculum(spark, case).select("index", "task_id", "split", "category", "risk_flags")
+    made = _with_case(rows, case.withColumn("edge", F.lit(""))).join(additions, "category", "left").join(operations, "category", "left").withColumns({
+        "file": F.concat(F.lit("app/"), F.col("module"), F.lit(".py")), "test_file": F.concat(F.lit("tests/test_"), F.col("module"), F.lit(".py")),
     })
     file, symbol, intent = _extra(F.col("place"), F.col("named"), F.col("template"))
     extra = F.when(F.col("extra").isNotNull(), _operation(F.col("extra"), file, intent, symbol, F.lit(None).cast("string")))

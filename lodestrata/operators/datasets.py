@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from lodestrata.functions import rules, text
 
 NAMESPACE = "lodestrata"
+# What attempt and supervised rows say.
+ATTEMPT_INSTRUCTION = "Generate a unified diff patch that fixes the repository task and makes tests pass."
 INSTRUCTION = "You are an expert software engineering agent that edits repositories using unified diff patches."
+POSITIVE_HEAD = "You are a fullstack software engineering agent.\nFix the repository by producing a unified diff patch.\n\nTask ID: "
+POSITIVE_PARTS = ("\n\nPre-test failure:\n", "\n\nPrevious failed attempt feedback:\n", "\n\nReturn only the patch.")
+SOURCES = ("self_repair_trajectory", "self_repair_positive_attempt")
 
 
 def chats(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -30,20 +35,28 @@ def first_response(rows: DataFrame, conversation: str = "conv_id", turn: str = "
 
 
 def attempt_rows(attempts: DataFrame) -> DataFrame:
-    """Attempts with carried failures as dataset rows."""
+    """Attempts with carried failures as dataset rows: what the model was given (input), what it gave (output) and where that lies (metadata).
+
+    What an attempt lacks is empty; a patch that has not been recorded is an empty patch."""
     ok = F.coalesce("post_tests_passed", F.lit(False))
+    said = lambda c, name=None: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name or c)
+    given = F.struct(F.lit(ATTEMPT_INSTRUCTION).alias("instruction"), said("pre_test_command"), said("pre_test_stderr"), said("previous_failure_stderr"))
+    meta = F.struct(F.lit(SOURCES[0]).alias("source"), said("work_dir"), said("patch_path"))
     return attempts.select(
         F.lit(f"{NAMESPACE}.patch_attempt.v0").alias("schema_version"), F.format_string("%s::iter_%s::%s", "task_id", "iteration", "patch_id").alias("example_id"),
-        "task_id", "iteration", "patch_id", "patch_applied", ok.alias("post_tests_passed"), "reward", F.when(ok, "positive").otherwise("negative").alias("label"), "previous_failure_stderr",
+        "task_id", "iteration", "patch_id", F.coalesce("patch_applied", F.lit(False)).alias("patch_applied"), ok.alias("post_tests_passed"), F.coalesce("reward", F.lit(0.0)).alias("reward"),
+        F.when(ok, "positive").otherwise("negative").alias("label"), given.alias("input"), F.struct(said("patch_text", "patch")).alias("output"), meta.alias("metadata"),
     )
 
 
 def positive_rows(rows: DataFrame) -> DataFrame:
-    """Positive attempts as chats of system, user, assistant."""
-    user = F.concat(F.lit("Fix the repository by producing a unified diff patch.\n\nTask ID: "), F.col("task_id").cast("string"), F.lit("\n\nPrevious failed attempt feedback:\n"), F.col("previous_failure_stderr"), F.lit("\n\nReturn only the patch."))
+    """Positive attempt rows as chats of system, user, assistant."""
+    before, feedback, end = map(F.lit, POSITIVE_PARTS)
+    user = F.concat(F.lit(POSITIVE_HEAD), F.col("task_id").cast("string"), before, F.col("input.pre_test_stderr"), feedback, F.col("input.previous_failure_stderr"), end)
     say = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    messages = F.array(say("system", F.lit(INSTRUCTION)), say("user", user), say("assistant", F.col("patch_id").cast("string")))
-    return rows.filter("label = 'positive'").select(F.lit(f"{NAMESPACE}.sft_positive.v0").alias("schema_version"), "example_id", "task_id", messages.alias("messages"), "reward")
+    messages = F.array(say("system", F.lit(INSTRUCTION)), say("user", user), say("assistant", F.col("output.patch")))
+    meta = F.struct(F.lit(SOURCES[1]).alias("source"), F.col("patch_id").cast("string").alias("patch_id"))
+    return rows.filter("label = 'positive'").select(F.lit(f"{NAMESPACE}.sft_positive.v0").alias("schema_version"), "example_id", "task_id", messages.alias("messages"), "reward", meta.alias("metadata"))
 
 
 # Fixed values: (needles in the file, needles in the lower-cased task and behaviour, replacement), in order.
@@ -93,10 +106,10 @@ def repaired(intents: DataFrame, files: list[str], default: str) -> DataFrame:
         F.when(path != F.col("file_path"), "normalized_file_path"), F.when(lost, "replaced_find_text_with_exact_current_file_text"), F.when(make, "synthesized_replace_text_from_task_context"),
     ))
     after = before.select(
-        "task_id", "file_text", "original_error", actions.alias("repair_actions"), path.alias("file_path"), F.when(lost, current).otherwise(F.col("find_text")).alias("find_text"),
+        "task_id", "file_text", F.col("find_text").alias("original_find_text"), "original_error", actions.alias("repair_actions"), path.alias("file_path"), F.when(lost, current).otherwise(F.col("find_text")).alias("find_text"),
         text.ensure_newline(F.when(make, made).otherwise(F.col("replace_text"))).alias("replace_text"),
     )
-    return validated(after, files).select("task_id", "original_error", "file_path", "find_text", "replace_text", "repair_actions", F.col("valid").alias("repaired"), F.col("error").alias("repair_error"))
+    return validated(after, files).select("task_id", "original_error", "original_find_text", "file_path", "find_text", "replace_text", "repair_actions", F.col("valid").alias("repaired"), F.col("error").alias("repair_error"))
 
 
 def canonical_patches(intents: DataFrame) -> DataFrame:
@@ -108,14 +121,14 @@ def canonical_patches(intents: DataFrame) -> DataFrame:
 def registry(manifests: DataFrame, project: str) -> DataFrame:
     """Entries of path, project, stage, …: the last path of a stage wins; ordered by step, then stage.
 
-    A step's key is ten times its major number plus its minor one, as given."""
+    A step's key is ten times its major number plus its minor one, as given; numbers of up to 17 digits."""
     parts = F.split("path", "/")
     name = F.when(F.coalesce("stage", F.lit("")) == "", F.element_at(parts, -1)).otherwise(F.col("stage"))
     kept = manifests.filter((F.col("project") == project) & F.col("stage").isNotNull()).withColumns({"parts": parts, "_named": name})
     row = F.struct(*[F.col(c) for c in kept.columns if c not in ("stage", "parts")])
     last = kept.groupBy("stage").agg(F.max_by(row, "parts").alias("r")).select("stage", "r.*")
     major, minor = F.regexp_extract("_named", r"step(\d+)(?:[_-](\d+))?", 1), F.regexp_extract("_named", r"step(\d+)(?:[_-](\d+))?", 2)
-    number = lambda c: F.coalesce(F.try_to_number(c, F.lit("9999999")).cast("long"), F.lit(0))
+    number = lambda c: F.coalesce(F.regexp_replace(c, "^0+(?=[0-9])", "").try_cast("long"), F.lit(0))
     step = F.when(major == "", "unknown").when(minor == "", number(major).cast("string")).otherwise(F.concat_ws(".", number(major), number(minor)))
     return last.withColumns({"display_step": step, "sort_key": F.when(major == "", 999999).otherwise(number(major) * 10 + number(minor)).cast("long")}).drop("_named").orderBy("sort_key", "stage")
 
@@ -186,16 +199,37 @@ def modulo_split(index: Column, n: int = 6) -> Column:
     return F.when(index % n == n - 1, "eval").otherwise("train")
 
 
-def curriculum(spark: SparkSession) -> DataFrame:
-    """Each category with each case: 12 by 16 literals."""
-    categories = spark.createDataFrame([(i, c, a) for i, (c, a) in enumerate(CATEGORIES)], "cat_pos long, category string, addition string")
-    cases = spark.createDataFrame([(i, *c, f"test_{c[0]}{TEST_SUFFIX.get(c[0], '')}") for i, c in enumerate(CASES)], "case_pos long, name string, module string, bug string, expected string, edge string, test_symbol string")
+CASE = "case_pos long, name string, module string, bug string, expected string, edge string, test_symbol string"
+
+
+def literal_cases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, *c, f"test_{c[0]}{TEST_SUFFIX.get(c[0], '')}") for i, c in enumerate(CASES)], CASE)
+
+
+def literal_first_cases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, *c[:4], "", c[4]) for i, c in enumerate(FIRST_CASES)], CASE)
+
+
+def with_count(rows: DataFrame, cases: DataFrame) -> DataFrame:
+    """Adds n_cases: one more than the largest number of a case, to every row."""
+    held = cases.agg(F.lit(1).alias("_one"), (F.coalesce(F.max("case_pos"), F.lit(-1)) + 1).alias("n_cases"))  # one row
+    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(held), "_one").drop("_one")
+
+
+def numbered(categories: list[tuple[str, str]], cases: DataFrame) -> DataFrame:
+    """Each of a few literal categories with each case of a table of any size; index: place in category-major order. Cases are
+    numbered from 0 by case_pos, so no rows are sorted; numbers may be missing."""
+    each = F.array(*[F.struct(F.lit(i).cast("long").alias("cat_pos"), F.lit(c).alias("category"), F.lit(a).alias("addition")) for i, (c, a) in enumerate(categories)])
+    rows = cases.select("*", F.explode(each).alias("c")).select(*cases.columns, "c.*")
+    return with_count(rows, cases).withColumn("index", F.col("cat_pos") * F.col("n_cases") + F.col("case_pos"))
+
+
+def curriculum(spark: SparkSession, cases: DataFrame | None = None) -> DataFrame:
+    """Each category with each case; without ``cases`` (columns of CASE) those of the literal table. case_pos is kept."""
     extras = spark.createDataFrame(EXTRAS, "category string, extra string, risk string")
-    index = F.col("cat_pos") * len(CASES) + F.col("case_pos")
     file, test_file = F.concat(F.lit("app/"), F.col("module"), F.lit(".py")), F.concat(F.lit("tests/test_"), F.col("module"), F.lit(".py"))
-    # a product of two literal tables of fixed sizes, by an equal key
-    rows = categories.withColumn("one", F.lit(1)).join(cases.withColumn("one", F.lit(1)), "one").join(extras, "category", "left")
-    rows = rows.withColumns({"index": index, "file": file, "test_file": test_file})
+    rows = numbered(CATEGORIES, literal_cases(spark) if cases is None else cases).join(F.broadcast(extras), "category", "left")  # a literal table
+    rows = rows.withColumns({"file": file, "test_file": test_file})
     digest = F.substr(F.sha1(F.concat_ws(":", "category", "name", "index").cast("binary")), F.lit(1), F.lit(10))
     prompt = F.concat(
         F.lit("Repository task category: "), F.col("category"), F.lit("\nPrimary file: "), F.col("file"), F.lit("\nPrimary symbol: "), F.col("name"), F.lit("\nBug: "), F.col("bug"), F.lit("\nExpected behavior: "), F.col("expected"),
@@ -217,16 +251,15 @@ def curriculum_targets(rows: DataFrame) -> DataFrame:
     return rows.select("task_id", F.to_json(F.struct("category", split(F.col("operations")).alias("operations"), split(F.col("prohibited_files")).alias("prohibited_files"), split(F.col("risk_flags")).alias("risk_flags"), "task_id", F.array("first_check").alias("verification"))).alias("target_text"))
 
 
-def first_curriculum(spark: SparkSession) -> DataFrame:
-    """Each of 8 categories with each of 6 cases."""
-    categories = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(CATEGORIES[:FIRST_CATEGORIES])], "cat_pos long, category string")
-    cases = spark.createDataFrame([(i, *c) for i, c in enumerate(FIRST_CASES)], "case_pos long, name string, module string, bug string, expected string, test string")
-    rows = categories.withColumn("one", F.lit(1)).join(cases.withColumn("one", F.lit(1)), "one").withColumn("index", F.col("cat_pos") * len(FIRST_CASES) + F.col("case_pos"))
+def first_curriculum(spark: SparkSession, cases: DataFrame | None = None) -> DataFrame:
+    """Each of 8 categories with each case; without ``cases`` those of the literal table."""
+    rows = numbered(CATEGORIES[:FIRST_CATEGORIES], literal_first_cases(spark) if cases is None else cases)
+    two_digits = F.when(F.col("index") < 10, F.concat(F.lit("0"), F.col("index"))).otherwise(F.col("index").cast("string"))
     digest = F.substr(F.sha1(F.concat_ws(":", "category", "index", "name").cast("binary")), F.lit(1), F.lit(8))
     extra = F.when(F.col("category") == "missing_test_addition", "add_or_update_test").when(F.col("category") == "small_multifile_edit", "maybe_update_export")
     risk = F.when(F.col("category").isin("invalid_patch_repair", "semantic_patch_repair"), "previous_failed_attempt_available").when(F.col("category") == "wrong_file_guard", "wrong_file_target_risk").when(F.col("category") == "missing_test_addition", "test_quality_risk")
     return rows.select(
-        "index", F.concat_ws("-", F.lit("sft"), "category", F.lpad(F.col("index").cast("string"), 2, "0"), digest).alias("task_id"), modulo_split(F.col("index")).alias("split"), "category",
+        "index", F.concat_ws("-", F.lit("sft"), "category", two_digits, digest).alias("task_id"), modulo_split(F.col("index")).alias("split"), "category",
         F.array_join(F.array_compact(F.array(F.lit("modify_function"), extra)), ",").alias("operations"), F.coalesce(risk, F.lit("")).alias("risk_flags"),
-        F.concat(F.lit("run tests/test_"), F.col("module"), F.lit(".py::"), F.col("test")).alias("first_check"),
+        F.concat(F.lit("run tests/test_"), F.col("module"), F.lit(".py::"), F.col("test_symbol")).alias("first_check"),
     )

@@ -49,9 +49,9 @@ ENTRY_COUNT = 12
 ENTRY = "pos long, step long, name string, category string, manifest string, artifact string, results array<string>, metrics array<struct<k:string,v:string>>"
 
 
-def entries(spark: SparkSession, bucket: str, commit: str) -> DataFrame:
-    """One row for each of the literal runs, with its places below the bucket."""
-    rows = spark.createDataFrame([(i, *e) for i, e in enumerate(ENTRIES)], ENTRY)
+def entries(spark: SparkSession, bucket: str, commit: str, rows: DataFrame | None = None) -> DataFrame:
+    """One row for each run (columns of ENTRY; without ``rows`` the literal ones), with its places below the bucket."""
+    rows = spark.createDataFrame([(i, *e) for i, e in enumerate(ENTRIES)], ENTRY) if rows is None else rows
     at = lambda key: F.concat(F.lit(f"s3://{bucket}/"), key)
     return rows.select(
         "pos", "step", "name", F.lit("ok").alias("status"), "category", F.lit(commit).alias("git_commit"),

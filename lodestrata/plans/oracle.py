@@ -115,9 +115,9 @@ def _values(rows: list[tuple]) -> str:
 
 
 CURRICULUM = f"""categories(cat_pos, category, addition) as (values {_values([(i, *c) for i, c in enumerate(datasets.CATEGORIES)])}),
-cases(case_pos, name, module, bug, expected, edge, test_symbol) as (values {_values([(i, *c, f"test_{c[0]}{datasets.TEST_SUFFIX.get(c[0], '')}") for i, c in enumerate(datasets.CASES)])}),
+{views.CASES_SQL},
 extras(category, extra, risk) as (values {_values(datasets.EXTRAS)}),
-both_ as (select c.*, k.*, e.extra, e.risk, cast(cat_pos * {len(datasets.CASES)} + case_pos as bigint) as idx, 'app/' || module || '.py' as file, 'tests/test_' || module || '.py' as test_file from categories c cross join cases k left join extras e on c.category = e.category),
+both_ as (select c.*, k.*, e.extra, e.risk, cast(cat_pos * (select max(case_pos) + 1 from cases) + case_pos as bigint) as idx, 'app/' || module || '.py' as file, 'tests/test_' || module || '.py' as test_file from categories c cross join cases k left join extras e on c.category = e.category),
 curriculum as (select idx as "index", 'sft-v1-' || category || '-' || name || '-' || left(sha1(category || ':' || name || ':' || idx), 10) as task_id, case when idx % 6 = 5 then 'eval' else 'train' end as split, category,
   case when category in ('small_multifile_edit', 'semantic_patch_repair', 'dependency_api_migration') then 'medium' when category in ('invalid_patch_repair', 'wrong_file_guard', 'config_behavior_fix') then 'easy_medium' else 'easy' end as difficulty,
   'Repository task category: ' || category || {NL} || 'Primary file: ' || file || {NL} || 'Primary symbol: ' || name || {NL} || 'Bug: ' || bug || {NL} || 'Expected behavior: ' || expected || {NL} || 'Known test file: ' || test_file || {NL} || 'Known test symbol: ' || test_symbol || {NL} || 'Important edge case: ' || edge || {NL} || 'Return structured JSON edit intent only. Do not return a patch.' || {NL} || addition as prompt,
@@ -127,8 +127,8 @@ SQL: dict[str, str] = {
     "patch_reward": f"with {A} select task_id, patch_id, reward from attempts",
     "batch_summary": f"with {A} select count(*) as total_tasks, count(*) filter (post_tests_passed) as solved_tasks, count(*) filter (not post_tests_passed) as failed_tasks, round(count(*) filter (post_tests_passed) / count(*), 6) as pass_rate, round(avg(reward), 6) as average_reward from attempts",
     "batch_failed_tasks": f"with {A} select task_id, patch_id from attempts where not post_tests_passed",
-    "patch_attempts": f"with {A}, {CARRIED} select '{datasets.NAMESPACE}.patch_attempt.v0' as schema_version, {EXAMPLE} as example_id, task_id, iteration, patch_id, patch_applied, post_tests_passed, reward, case when post_tests_passed then 'positive' else 'negative' end as label, previous_failure_stderr from carried",
-    "sft_positive": f"with {A}, {CARRIED} select '{datasets.NAMESPACE}.sft_positive.v0' as schema_version, {EXAMPLE} as example_id, task_id, 'system,user,assistant' as roles, 'Fix the repository by producing a unified diff patch.' || {NL} || {NL} || 'Task ID: ' || task_id || {NL} || {NL} || 'Previous failed attempt feedback:' || {NL} || previous_failure_stderr || {NL} || {NL} || 'Return only the patch.' as user_content, reward from carried where post_tests_passed",
+    "patch_attempts": f"with {A}, {CARRIED} select '{datasets.NAMESPACE}.patch_attempt.v0' as schema_version, {EXAMPLE} as example_id, task_id, iteration, patch_id, patch_applied, post_tests_passed, reward, case when post_tests_passed then 'positive' else 'negative' end as label, {Q(datasets.ATTEMPT_INSTRUCTION)} as instruction, pre_test_command, coalesce(pre_test_stderr, '') as pre_test_stderr, previous_failure_stderr, coalesce(patch_text, '') as patch, '{datasets.SOURCES[0]}' as source, work_dir, coalesce(patch_path, '') as patch_path from carried",
+    "sft_positive": f"with {A}, {CARRIED} select '{datasets.NAMESPACE}.sft_positive.v0' as schema_version, {EXAMPLE} as example_id, task_id, 'system,user,assistant' as roles, {Q(datasets.INSTRUCTION)} as system_content, {Q(datasets.POSITIVE_HEAD)} || task_id || {Q(datasets.POSITIVE_PARTS[0])} || coalesce(pre_test_stderr, '') || {Q(datasets.POSITIVE_PARTS[1])} || previous_failure_stderr || {Q(datasets.POSITIVE_PARTS[2])} as user_content, coalesce(patch_text, '') as assistant_content, '{datasets.SOURCES[1]}' as source, cast(patch_id as varchar) as patch_id, reward from carried where post_tests_passed",
     "trajectory_summary": f"with {A}, {TRIED} select task_id, count(*) as total_attempts, count(*) filter (post_tests_passed) as positive_attempts, count(*) filter (not post_tests_passed) as negative_attempts, bool_or(post_tests_passed) as solved, {FIRST} as best_patch_id, max(reward) as best_reward from tried group by task_id",
     "self_repair_loop": f"with {A}, {TRIED} select task_id, bool_or(post_tests_passed) as solved, count(*) as iterations_used, cast({MOST} as integer) as max_iterations, max(reward) as best_reward, {FIRST} as best_patch_id from tried where place <= {MOST} group by task_id",
     "best_so_far": f"with {A} select task_id, iteration, reward, max(reward) over w as best_reward, first_value(patch_id order by reward desc, iteration) over w as best_patch_id from attempts window w as (partition by task_id order by iteration rows between unbounded preceding and current row)",
@@ -167,12 +167,12 @@ SQL: dict[str, str] = {
     "tokenization_gate": f"with {DOC_TOKENS} select count(*) as row_count, count(*) filter (tokens > {LIMIT}) as over_limit, count(*) filter (tokens >= {LIMIT}) as clipped_rows, bool_or(tokens >= {LIMIT}) as any_truncated, count(*) filter (tokens > {LIMIT}) = 0 as passed, cast(greatest(128, max(least(tokens, {LIMIT})) + 64) as bigint) as recommended_length from doc_tokens",
     "first_response": "select conv_id, first(text order by turn, text) as first_text from conversations where role = 'assistant' group by conv_id",
     "curriculum_v1": f"with {CURRICULUM} select * from curriculum",
-    "curriculum_v0": f"""with categories(cat_pos, category) as (values {_values([(i, c) for i, (c, _) in enumerate(datasets.CATEGORIES[: datasets.FIRST_CATEGORIES])])}), cases(case_pos, name, module, bug, expected, test) as (values {_values([(i, *c) for i, c in enumerate(datasets.FIRST_CASES)])}),
-      both_ as (select *, cast(cat_pos * {len(datasets.FIRST_CASES)} + case_pos as bigint) as idx from categories cross join cases)
-      select idx as "index", 'sft-' || category || '-' || lpad(cast(idx as varchar), 2, '0') || '-' || left(sha1(category || ':' || idx || ':' || name), 8) as task_id, case when idx % 6 = 5 then 'eval' else 'train' end as split, category, case category when 'missing_test_addition' then 'modify_function,add_or_update_test' when 'small_multifile_edit' then 'modify_function,maybe_update_export' else 'modify_function' end as operations,
-      case when category in ('invalid_patch_repair', 'semantic_patch_repair') then 'previous_failed_attempt_available' when category = 'wrong_file_guard' then 'wrong_file_target_risk' when category = 'missing_test_addition' then 'test_quality_risk' else '' end as risk_flags, 'run tests/test_' || module || '.py::' || test as first_check from both_""",
+    "curriculum_v0": f"""with categories(cat_pos, category) as (values {_values([(i, c) for i, (c, _) in enumerate(datasets.CATEGORIES[: datasets.FIRST_CATEGORIES])])}), {views.CASES_SQL},
+      both_ as (select *, cast(cat_pos * (select max(case_pos) + 1 from cases) + case_pos as bigint) as idx from categories cross join cases)
+      select idx as "index", 'sft-' || category || '-' || case when idx < 10 then '0' else '' end || idx || '-' || left(sha1(category || ':' || idx || ':' || name), 8) as task_id, case when idx % 6 = 5 then 'eval' else 'train' end as split, category, case category when 'missing_test_addition' then 'modify_function,add_or_update_test' when 'small_multifile_edit' then 'modify_function,maybe_update_export' else 'modify_function' end as operations,
+      case when category in ('invalid_patch_repair', 'semantic_patch_repair') then 'previous_failed_attempt_available' when category = 'wrong_file_guard' then 'wrong_file_target_risk' when category = 'missing_test_addition' then 'test_quality_risk' else '' end as risk_flags, 'run tests/test_' || module || '.py::' || test_symbol as first_check from both_""",
     "curriculum_counts": f"with {CURRICULUM} select 'category' as kind, category as value, count(*) as n from curriculum group by category union all select 'split', split, count(*) from curriculum group by split union all select 'difficulty', difficulty, count(*) from curriculum group by difficulty union all select 'unique_task_ids', 'all', count(distinct task_id) from curriculum",
-    "run_registry": f"""with manifests(path, project, stage, result) as (values {_values(views.MANIFESTS)}), kept as (select * from (select *, row_number() over (partition by stage order by string_split(path, '/') desc) as rn, case when stage = '' then string_split(path, '/')[-1] else stage end as named from manifests where project = '{views.PROJECT}' and stage is not null) where rn = 1),
+    "run_registry": f"""with {views.DOCUMENT_MANIFESTS_SQL}, kept as (select * from (select *, row_number() over (partition by stage order by string_split(path, '/') desc) as rn, case when stage = '' then string_split(path, '/')[-1] else stage end as named from manifests where project = '{views.PROJECT}' and stage is not null) where rn = 1),
       parsed as (select *, regexp_extract(named, 'step(\\d+)(?:[_-](\\d+))?', 1) as major, regexp_extract(named, 'step(\\d+)(?:[_-](\\d+))?', 2) as minor from kept)
       select stage, path, result, case when major = '' then 'unknown' when minor = '' then cast(cast(major as bigint) as varchar) else cast(major as bigint) || '.' || cast(minor as bigint) end as display_step, cast(case when major = '' then 999999 else cast(major as bigint) * 10 + coalesce(try_cast(nullif(minor, '') as bigint), 0) end as bigint) as sort_key from parsed""",
     "trajectory_records": f"with {RECORDS} select doc_id, solved, reward, case when reward > 0 then 'positive' else 'negative' end as label, left(target, 500) as preview from records",

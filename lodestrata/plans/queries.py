@@ -45,15 +45,23 @@ def batch_failed_tasks(spark, sf_dir):
     return views.attempts(spark, sf_dir).filter("not post_tests_passed").select("task_id", "patch_id")
 
 
+def _attempt_rows(spark, sf_dir):
+    return datasets.attempt_rows(trajectory.carry_failure(views.attempt_parts(spark, sf_dir)))
+
+
 @query
 def patch_attempts(spark, sf_dir):
-    return datasets.attempt_rows(trajectory.carry_failure(views.attempt_parts(spark, sf_dir)))
+    """Structs as columns of their own."""
+    rows = _attempt_rows(spark, sf_dir)
+    whole = [c for c in rows.columns if c not in ("input", "output", "metadata")]
+    return rows.select(*whole, "input.*", "output.patch", "metadata.*")
 
 
 @query
 def sft_positive(spark, sf_dir):
-    rows = datasets.positive_rows(patch_attempts(spark, sf_dir))
-    return rows.select("schema_version", "example_id", "task_id", F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"), F.element_at("messages", 2)["content"].alias("user_content"), "reward")
+    rows = datasets.positive_rows(_attempt_rows(spark, sf_dir))
+    said = lambda i, name: F.element_at("messages", i)["content"].alias(f"{name}_content")
+    return rows.select("schema_version", "example_id", "task_id", F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"), said(1, "system"), said(2, "user"), said(3, "assistant"), "reward", "metadata.*")
 
 
 @query
@@ -310,20 +318,20 @@ def first_response(spark, sf_dir):
     return datasets.first_response(table(spark, sf_dir, "conversations"))
 
 
-# --- literals ---
+# --- curricula and registries ---
 @query
 def curriculum_v1(spark, sf_dir):
-    return datasets.curriculum(spark)
+    return datasets.curriculum(spark, views.cases(spark, sf_dir))
 
 
 @query
 def curriculum_v0(spark, sf_dir):
-    return datasets.first_curriculum(spark)
+    return datasets.first_curriculum(spark, views.cases(spark, sf_dir))
 
 
 @query
 def curriculum_counts(spark, sf_dir):
-    rows = datasets.curriculum(spark)
+    rows = datasets.curriculum(spark, views.cases(spark, sf_dir))
     each = [rows.groupBy(F.lit(k).alias("kind"), F.col(k).alias("value")).agg(F.count("*").alias("n")) for k in ("category", "split", "difficulty")]
     ids = rows.agg(F.lit("unique_task_ids").alias("kind"), F.lit("all").alias("value"), F.countDistinct("task_id").alias("n"))
     return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(ids)
@@ -331,7 +339,7 @@ def curriculum_counts(spark, sf_dir):
 
 @query
 def run_registry(spark, sf_dir):
-    return datasets.registry(views.manifests(spark), views.PROJECT).select("stage", "path", "result", "display_step", "sort_key")
+    return datasets.registry(views.document_manifests(spark, sf_dir), views.PROJECT).select("stage", "path", "result", "display_step", "sort_key")
 
 
 # --- labelled documents ---
@@ -417,13 +425,14 @@ def command_records(spark, sf_dir):
 
 @query
 def curriculum_violations(spark, sf_dir):
-    return prompts.violations(datasets.curriculum(spark), 192, 32, 12)
+    """Against the figures of the literal curriculum: of another table's the counts are off."""
+    return prompts.violations(datasets.curriculum(spark, views.cases(spark, sf_dir)), 192, 32, 12)
 
 
 @query
 def check_parts(spark, sf_dir):
     whole = F.split("first_check", "::")
-    return datasets.first_curriculum(spark).select("task_id", F.element_at(whole, 1).alias("file_part"), F.element_at(whole, -1).alias("test_part"))
+    return datasets.first_curriculum(spark, views.cases(spark, sf_dir)).select("task_id", F.element_at(whole, 1).alias("file_part"), F.element_at(whole, -1).alias("test_part"))
 
 
 from lodestrata.plans import run_queries as _run_queries  # noqa: E402, F401  (registers its queries)

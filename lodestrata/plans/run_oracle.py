@@ -5,6 +5,7 @@ from __future__ import annotations
 from lodestrata.operators import curricula, datasets, prompts, runs
 from lodestrata.plans.oracle import CURRICULUM, NL, REPAIR, STRIP, TOKENS, I, Q, _validated, _values
 from lodestrata.plans.queries import LIMIT
+from lodestrata.plans import views
 from lodestrata.plans.run_queries import BUCKET, COMMIT
 
 
@@ -12,14 +13,9 @@ def _list(values: list[str]) -> str:
     return "[" + ", ".join(Q(v) for v in values) + "]"
 
 
-def _entry(i: int, e: tuple) -> str:
-    step, name, category, manifest, artifact, results, metrics = e
-    return f"""({i}, {step}, {Q(name)}, {Q(category)}, 's3://{BUCKET}/reports/{manifest}_manifest.json', 's3://{BUCKET}/configs/project_scaffold/{datasets.NAMESPACE}_{artifact}_v0.tar.gz',
-  {Q(",".join(f"s3://{BUCKET}/{r}" for r in results))}, {Q(", ".join(f"{k}={v}" for k, v in metrics))})"""
-
-
-ENTRIES = f"""entries(pos, step, name, category, manifest_uri, artifact_uri, primary_results, metrics) as (values
-  {", ".join(_entry(i, e) for i, e in enumerate(runs.ENTRIES))})"""
+ENTRIES = f"""{views.ENTRIES_SQL.replace("entries as", "given as")},
+entries as (select *, 's3://{BUCKET}/reports/' || manifest || '_manifest.json' as manifest_uri, 's3://{BUCKET}/configs/project_scaffold/{datasets.NAMESPACE}_' || artifact || '_v0.tar.gz' as artifact_uri,
+  array_to_string(list_transform(results, lambda r: 's3://{BUCKET}/' || r), ',') as primary_results from given)"""
 
 
 def _json_array(*parts: str) -> str:
@@ -63,15 +59,14 @@ second_rows as ({_rows(
     _json_array("case category when 'wrong_file_guard' then 'app/__init__.py' when 'invalid_patch_repair' then 'nonexistent.py' end"), _json_array("risk"),
     "to_json(['run ' || test_file || '::' || test_symbol, 'run all tests in ' || test_file, 'inspect diff for unrelated file changes', 'confirm no tests were deleted or weakened'])", "difficulty",
 )})"""
-_FIRST_CASES = _values([(i, *c) for i, c in enumerate(datasets.FIRST_CASES)])
 _FIRST_CATEGORIES = _values([(i, c) for i, (c, _) in enumerate(datasets.CATEGORIES[: datasets.FIRST_CATEGORIES])])
 FIRST = f"""categories(cat_pos, category) as (values {_FIRST_CATEGORIES}),
-cases(case_pos, name, module, bug, expected, test_symbol) as (values {_FIRST_CASES}),
+{views.CASES_SQL.replace("p_name || ' as input' as edge", "'' as edge")},
 additions(category, addition) as (values {_values(curricula.FIRST_ADDITIONS)}),
 operations(category, extra, place, named, template) as (values {_FIRST_OPERATIONS}),
-both_ as (select c.*, k.*, cat_pos * {len(datasets.FIRST_CASES)} + case_pos as idx, 'app/' || module || '.py' as file, 'tests/test_' || module || '.py' as test_file, '' as edge from categories c cross join cases k),
+both_ as (select c.*, k.*, cast(cat_pos * (select max(case_pos) + 1 from cases) + case_pos as bigint) as idx, 'app/' || module || '.py' as file, 'tests/test_' || module || '.py' as test_file from categories c cross join cases k),
 first_made as (select b.*, addition, extra, place, named, template, case when idx % 6 = 5 then 'eval' else 'train' end as split,
-  'sft-' || b.category || '-' || lpad(cast(idx as varchar), 2, '0') || '-' || left(sha1(b.category || ':' || idx || ':' || name), 8) as task_id
+  'sft-' || b.category || '-' || case when idx < 10 then '0' else '' end || idx || '-' || left(sha1(b.category || ':' || idx || ':' || name), 8) as task_id
   from both_ b left join additions a on b.category = a.category left join operations o on b.category = o.category),
 first_rows as ({_rows(
     0, "first_made",
@@ -130,7 +125,7 @@ _FENCE = lambda c: f"'```text' || {NL} || {c} || {NL} || '```'"
 SQL = {
     "run_entries": f"with {ENTRIES} select cast(pos as bigint) as pos, cast(step as bigint) as step, name, 'ok' as status, category, '{COMMIT}' as git_commit, manifest_uri, artifact_uri, primary_results, metrics, false as gpu_required, false as purchase_required from entries",
     "run_entry_lines": f"with {ENTRIES} select cast(pos as bigint) as pos, '| ' || step || ' | `' || name || '` | `' || category || '` | `ok` | no | ' || metrics || ' |' as line from entries",
-    "run_entry_overview": f"with {ENTRIES} select count(*) as entry_count, string_agg(step, ',' order by pos) as steps, count(*) = {runs.ENTRY_COUNT} as complete from entries",
+    "run_entry_overview": f"with {ENTRIES} select count(*) as entry_count, string_agg(cast(step as varchar), ',' order by pos) as steps, count(*) = {runs.ENTRY_COUNT} as complete from (select step, min(pos) as pos from entries group by step)",
     "curriculum_rows": f"with {SECOND} select * from second_rows",
     "first_curriculum_rows": f"with {FIRST} select * from first_rows",
     "curriculum_rules": f"with {SECOND} {_rules(1, 'second_rows')}",

@@ -15,24 +15,26 @@ BUCKET, COMMIT = "artifacts", "0000000"
 
 @query
 def run_entries(spark, sf_dir):
-    rows = runs.entries(spark, BUCKET, COMMIT)
+    rows = runs.entries(spark, BUCKET, COMMIT, views.run_rows(spark, sf_dir))
     return rows.withColumns({"primary_results": F.array_join("primary_results", ","), "metrics": runs.key_values(F.col("metrics"))})
 
 
 @query
 def run_entry_lines(spark, sf_dir):
-    return runs.registry_lines(runs.entries(spark, BUCKET, COMMIT))
+    return runs.registry_lines(runs.entries(spark, BUCKET, COMMIT, views.run_rows(spark, sf_dir)))
 
 
 @query
 def run_entry_overview(spark, sf_dir):
-    found = runs.overview(runs.entries(spark, BUCKET, COMMIT), "pos", "step")
+    """Steps of all runs, each once: their number doesn't grow with the runs."""
+    steps = runs.entries(spark, BUCKET, COMMIT, views.run_rows(spark, sf_dir)).groupBy("step").agg(F.min("pos").alias("pos"))
+    found = runs.overview(steps, "pos", "step")
     return found.withColumn("complete", F.col("entry_count") == runs.ENTRY_COUNT)
 
 
 @query
 def registry_overview(spark, sf_dir):
-    rows = datasets.registry(views.manifests(spark), views.PROJECT).withColumn("o", F.struct("sort_key", "stage"))
+    rows = datasets.registry(views.document_manifests(spark, sf_dir), views.PROJECT).withColumn("o", F.struct("sort_key", "stage"))
     return runs.overview(rows, "o", "display_step")
 
 
@@ -44,12 +46,12 @@ def _flat(rows):
 
 @query
 def curriculum_rows(spark, sf_dir):
-    return _flat(curricula.second_rows(spark))
+    return _flat(curricula.second_rows(spark, views.cases(spark, sf_dir)))
 
 
 @query
 def first_curriculum_rows(spark, sf_dir):
-    return _flat(curricula.first_rows(spark))
+    return _flat(curricula.first_rows(spark, views.cases(spark, sf_dir)))
 
 
 def _damaged(rows):
@@ -71,27 +73,27 @@ def _damaged(rows):
 @query
 def curriculum_rules(spark, sf_dir):
     """Rows as they are break no rule, damaged ones each of them."""
-    rows = curricula.second_rows(spark)
+    rows = curricula.second_rows(spark, views.cases(spark, sf_dir))
     each = [curricula.broken_rules(df, 1).withColumn("rows", F.lit(name)) for name, df in (("whole", rows), ("damaged", _damaged(rows)))]
     return each[0].unionByName(each[1])
 
 
 @query
 def first_curriculum_rules(spark, sf_dir):
-    rows = curricula.first_rows(spark)
+    rows = curricula.first_rows(spark, views.cases(spark, sf_dir))
     each = [curricula.broken_rules(df, 0).withColumn("rows", F.lit(name)) for name, df in (("whole", rows), ("damaged", _damaged(rows)))]
     return each[0].unionByName(each[1])
 
 
 @query
 def split_buckets(spark, sf_dir):
-    rows = curricula.second_rows(spark)
+    rows = curricula.second_rows(spark, views.cases(spark, sf_dir))
     return curricula.bucket_counts(rows, "split", ["train", "eval", "unset"])
 
 
 @query
 def curriculum_list_counts(spark, sf_dir):
-    return curricula.list_counts(curricula.second_rows(spark))
+    return curricula.list_counts(curricula.second_rows(spark, views.cases(spark, sf_dir)))
 
 
 def _outcomes(rows, valid):
@@ -118,8 +120,7 @@ def toy_intent_summary(spark, sf_dir):
 @query
 def repair_run_summary(spark, sf_dir):
     rows = datasets.repaired(views.intents(spark, sf_dir), views.FILES, views.DEFAULT_FILE)
-    before = views.intents(spark, sf_dir).select("task_id", F.col("find_text").alias("original"))
-    return runs.repair_run(_outcomes(rows.join(before, "task_id").drop("find_text").withColumnRenamed("original", "find_text"), F.col("repaired")))
+    return runs.repair_run(_outcomes(rows.drop("find_text").withColumnRenamed("original_find_text", "find_text"), F.col("repaired")))
 
 
 @query

@@ -14,7 +14,9 @@ from lodestrata.sources.files import table
 ATTEMPTS_SQL = """attempts as (
   select *, (case when patch_applied then cast(0.25 as double) else -1.0 end) + (case when post_tests_passed then cast(1.0 as double) else -0.5 end) + (case when pre_tests_passed then cast(-0.25 as double) else 0.0 end) as reward from (
     select user_id as task_id, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as integer) as iteration, event_id as patch_id,
-      event_type <> 'error' as patch_applied, event_type = 'purchase' as post_tests_passed, event_type = 'signup' as pre_tests_passed, value as elapsed_seconds, props as stderr from events))"""
+      event_type <> 'error' as patch_applied, event_type = 'purchase' as post_tests_passed, event_type = 'signup' as pre_tests_passed, value as elapsed_seconds, props as stderr,
+      'run ' || user_id as pre_test_command, case when event_type <> 'signup' then event_type || ' failed: ' || props end as pre_test_stderr, 'work/' || user_id as work_dir, case when event_id % 5 > 0 then 'patches/' || event_id || '.patch' end as patch_path,
+      case when event_id % 5 > 0 then '+' || props || chr(10) end as patch_text from events))"""
 
 
 #: The order of a task's attempts, from which their iteration follows.
@@ -22,11 +24,13 @@ ATTEMPT_ORDER = ["ts", "patch_id"]
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attempts with the time that orders them instead of an iteration. task: user; applied, passed: by type."""
-    kind = F.col("event_type")
+    """Attempts with the time that orders them instead of an iteration. task: user; applied, passed: by type; every fifth has no patch file."""
+    kind, has = F.col("event_type"), F.col("event_id") % 5 > 0
     rows = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("task_id"), "ts", F.col("event_id").alias("patch_id"), (kind != "error").alias("patch_applied"),
         (kind == "purchase").alias("post_tests_passed"), (kind == "signup").alias("pre_tests_passed"), F.col("value").alias("elapsed_seconds"), F.col("props").alias("stderr"),
+        F.concat(F.lit("run "), F.col("user_id")).alias("pre_test_command"), F.when(kind != "signup", F.concat(kind, F.lit(" failed: "), F.col("props"))).alias("pre_test_stderr"), F.concat(F.lit("work/"), F.col("user_id")).alias("work_dir"),
+        F.when(has, F.concat(F.lit("patches/"), F.col("event_id"), F.lit(".patch"))).alias("patch_path"), F.when(has, F.concat(F.lit("+"), F.col("props"), F.lit("\n"))).alias("patch_text"),
     )
     return rows.withColumn("reward", scoring.patch_reward(F.col("patch_applied"), F.col("post_tests_passed"), F.col("pre_tests_passed")))
 
@@ -150,3 +154,49 @@ MANIFESTS = [
 
 def manifests(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MANIFESTS, "path string, project string, stage string, result string")
+
+
+DOCUMENT_MANIFESTS_SQL = f"""manifests as (
+  select 'm/' || coalesce(source, '') || '/step' || doc_id % 40 || '/' || doc_id || '_manifest.json' as path, case when doc_id % 4 = 3 then 'other' else '{PROJECT}' end as project,
+    case doc_id % 9 when 0 then null when 1 then '' when 2 then 'governance' when 3 then 'step' || doc_id % 40 when 4 then 'step' || doc_id % 40 || '_' || doc_id % 7 when 5 then 'step' || doc_id % 40 || '-' || doc_id % 7 || '_x' else 'step' || doc_id % 1000 || '_batch' end as stage,
+    lang as result from documents)"""
+
+
+def document_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest for each document: stages of every form, other projects, none at all."""
+    d = F.col("doc_id")
+    step = F.concat(F.lit("step"), d % 40)
+    kinds = {1: F.lit(""), 2: F.lit("governance"), 3: step, 4: F.concat(step, F.lit("_"), d % 7), 5: F.concat(step, F.lit("-"), d % 7, F.lit("_x"))}
+    stage = F.when(d % 9 > 5, F.concat(F.lit("step"), d % 1000, F.lit("_batch")))
+    for k, v in kinds.items():
+        stage = stage.when(d % 9 == k, v)
+    path = F.concat(F.lit("m/"), F.coalesce("source", F.lit("")), F.lit("/"), step, F.lit("/"), d, F.lit("_manifest.json"))
+    return table(spark, sf_dir, "documents").select(path.alias("path"), F.when(d % 4 == 3, "other").otherwise(PROJECT).alias("project"), stage.alias("stage"), F.col("lang").alias("result"))
+
+
+CASES_SQL = """cases as (select p_partkey as case_pos, 'f' || p_partkey as name, lower(replace(p_brand, '#', '_')) as module, 'returns "' || p_name || '"' as bug, 'return ' || p_type as expected, p_name || ' as input' as edge, 'test_f' || p_partkey as test_symbol from part)"""
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A curriculum's case for each part, numbered by the part."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        key.alias("case_pos"), F.concat(F.lit("f"), key).alias("name"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))).alias("module"), F.concat(F.lit('returns "'), F.col("p_name"), F.lit('"')).alias("bug"),
+        F.concat(F.lit("return "), F.col("p_type")).alias("expected"), F.concat(F.col("p_name"), F.lit(" as input")).alias("edge"), F.concat(F.lit("test_f"), key).alias("test_symbol"),
+    )
+
+
+ENTRIES_SQL = """entries as (select s_suppkey as pos, s_suppkey % 40 as step, 'run_' || s_name as name, case when s_nationkey % 2 = 0 then 'evaluation' else 'training' end as category, 'step' || s_suppkey as manifest, 'step' || s_suppkey || '_bundle' as artifact,
+  ['results/' || s_suppkey || '/a.json', 'results/' || s_suppkey || '/b.json'] as results, 'nation=' || s_nationkey || ', even=' || case when s_nationkey % 2 = 0 then 'True' else 'False' end as metrics from supplier)"""
+
+
+def run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run for each supplier."""
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    result = lambda x: F.concat(F.lit("results/"), key, F.lit(f"/{x}.json"))
+    metric = lambda k, v: F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"))
+    step = F.concat(F.lit("step"), key)
+    return table(spark, sf_dir, "supplier").select(
+        key.alias("pos"), (key % 40).alias("step"), F.concat(F.lit("run_"), F.col("s_name")).alias("name"), F.when(nation % 2 == 0, "evaluation").otherwise("training").alias("category"), step.alias("manifest"),
+        F.concat(step, F.lit("_bundle")).alias("artifact"), F.array(result("a"), result("b")).alias("results"), F.array(metric("nation", nation), metric("even", F.when(nation % 2 == 0, "True").otherwise("False"))).alias("metrics"),
+    )
