@@ -217,7 +217,7 @@ def train(
     if not sizes:
         return grow(pd.DataFrame({"lang": [], "gram": [], "n": []}))
     share = F.create_map(*[x for l, (n, b) in sorted(sizes.items()) for x in (F.lit(l), F.lit(min(1.0, max_docs / n, max_bytes / max(b, 1))))])[F.col("lang")]
-    sample = labelled.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < share * (1 << 30))
+    sample = labelled.filter(F.pmod(F.xxhash64(F.lit("sample"), F.coalesce(F.col("k").cast("string"), F.lit("")), "text"), F.lit(1 << 30)) < share * (1 << 30))  # rows of one id are drawn apart
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

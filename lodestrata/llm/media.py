@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WIDTH = 64
+from lodestrata.llm.common import written
 
+WIDTH = 64
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
@@ -117,14 +118,29 @@ def _edges(table: np.ndarray, n: int) -> np.ndarray:
     return table[low] * (1 - part) + table[low + 1] * part
 
 
+#: Rows of an image whose integral is held at once.
+STRIPE = 4096
+
+
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of each target cell's area, from an integral image; whole and fractional cells alike."""
-    image = image.mean(axis=2) if image.ndim == 3 else image
-    integral = np.zeros((image.shape[0] + 1, image.shape[1] + 1))
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=integral[1:, 1:])
-    sums = np.diff(_edges(_edges(integral, height).T, width).T, axis=0)
-    cells = np.diff(sums, axis=1)
-    return cells / ((image.shape[0] / height) * (image.shape[1] / width))
+    """Mean of each target cell's area, from an integral image; whole and fractional cells alike.
+
+    The integral is taken stripe by stripe and kept only at the target's rows of cells, so that a tall image needs no table of its size."""
+    n = image.shape[0]
+    at = np.arange(height + 1) * (n / height)
+    low = np.minimum(at.astype(np.int64), n - 1)
+    rows, above = np.zeros((height + 1, image.shape[1] + 1)), np.zeros(image.shape[1] + 1)
+    for start in range(0, n, STRIPE):
+        part = image[start : start + STRIPE]
+        integral = np.zeros((len(part) + 1, image.shape[1] + 1))
+        np.cumsum(np.cumsum(part.mean(axis=2) if part.ndim == 3 else part, axis=0, dtype=np.float64), axis=1, out=integral[1:, 1:])
+        integral += above
+        own = np.flatnonzero((low >= start) & (low < start + len(part)))
+        share = (at[own] - low[own])[:, None]
+        rows[own] = integral[low[own] - start] * (1 - share) + integral[low[own] - start + 1] * share
+        above = integral[-1]
+    cells = np.diff(np.diff(_edges(rows.T, width).T, axis=0), axis=1)
+    return cells / ((n / height) * (image.shape[1] / width))
 
 
 def npy_tile(cells: np.ndarray) -> bytes:
@@ -178,20 +194,23 @@ def media_table(docs: DataFrame, *, key: Column, text: Column, with_media: bool
 
 
 def media_digest(docs: DataFrame, *, key: Column, text: Column) -> DataFrame:
-    """The contract's columns: digests of the stored form and of the payload read back from it."""
+    """The contract's columns: digests of the stored form and of the payload read back from it. Tiles are written to the shared folder as
+    NPY bytes; a row's feature is its difference hash and the digest of its tile, read back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, texts in _batches(batch.column(1), 256):
-                out: dict[str, list] = {c: [] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+                out: dict[str, list] = {c: [] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "hash", "tile")}
                 for t in texts:
-                    n, media, payload, feature, _ = media_row(t)
-                    for c, v in zip(out, (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature), strict=True):
+                    n, media, payload, feature, tile = media_row(t)
+                    for c, v in zip(out, (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature.split(":")[0], tile), strict=True):
                         out[c].append(v)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), *[pa.array(v, pa.int64() if isinstance(v[0], int) else pa.string()) for v in out.values()]], ["doc_id", *out])
+                kinds = {int: pa.int64(), str: pa.string(), bytes: pa.binary()}
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), *[pa.array(v, kinds[type(v[0])]) for v in out.values()]], ["doc_id", *out])
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(key.cast("long").alias("key"), text.cast("string").alias("text")).mapInArrow(run, schema)
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, hash string, tile binary"
+    stored = written(docs.select(key.cast("long").alias("key"), text.cast("string").alias("text")).mapInArrow(run, schema), "media-tiles")
+    return stored.withColumn("feature", F.concat_ws(":", "hash", F.substring(F.sha2("tile", 256), 1, 16))).drop("hash", "tile")
 
 
 def write_tiles(docs: DataFrame, path: str, *, text: Column) -> DataFrame:

@@ -43,12 +43,12 @@ _NAME = "case kind " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(sec
 OP1 = f"""
 with d as (select doc_id, row_number() over () as rid, coalesce(text, '') as text, coalesce(source, '') as owner, concat_ws('/', source, lang) as repo from documents),
 raw as ({" union all ".join(_spans(i) for i in range(len(secrets.KINDS)))}),
-c as (select rid, owner, kind, cast(m.gap as bigint) as start, cast(m.gap + m.size as bigint) as stop, m.value as value, cast(m.gap + m.size - length(m.value) as bigint) as v_at from raw where length(m.value) >= least),
-verdicts as (select value, count(distinct owner) as n_owners, length(value) >= 16 and regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]') and not regexp_matches(value, {_quoted(secrets.PLACEHOLDER)}) and len(list_distinct(string_split(value, ''))) >= 8 as looks from c group by value),
-judged as (select c.*, looks and n_owners < 5 as live, n_owners from c join verdicts v on c.value = v.value),
+c as (select rid, owner, repo, kind, cast(m.gap as bigint) as start, cast(m.gap + m.size as bigint) as stop, m.value as value, cast(m.gap + m.size - length(m.value) as bigint) as v_at from raw where length(m.value) >= least),
+verdicts as (select value, count(distinct owner) >= {secrets.OWNERS} or count(distinct owner || chr(1) || repo) >= {secrets.REPOS} as example, bool_or(kind <> 2) and not regexp_matches(value, {_quoted(secrets.PLACEHOLDER)}) or length(value) >= 16 and regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]') and not regexp_matches(value, {_quoted(secrets.PLACEHOLDER)}) and len(list_distinct(string_split(value, ''))) >= 8 as looks from c group by value),
+judged as (select c.*, looks and not example as live, example from c join verdicts v on c.value = v.value),
 every as (select rid, start, kind, stop from judged union all select distinct rid, v_at, {len(secrets.KINDS)}, stop from judged where live),
 sums as (select rid, string_agg({_NAME} || ':' || start || ':' || stop, ',' order by start, kind, stop) as spans, string_agg({_NAME} || ':' || start || ':' || stop, ',' order by start, kind, stop) filter (kind < 3) as base, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex, count(*) filter (kind = {len(secrets.KINDS)}) as n_live from every group by rid),
-examples as (select rid, count(*) filter (n_owners >= 5) as n_example from judged group by rid)
+examples as (select rid, count(*) filter (example) as n_example from judged group by rid)
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example
 from d left join sums on d.rid = sums.rid left join examples on d.rid = examples.rid
 """

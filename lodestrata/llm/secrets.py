@@ -1,8 +1,9 @@
 """Secret scans by corpus-wide ownership frequency, in DataFrame functions only.
 
 Every text is searched for credential-like spans. The SHA-256 of each candidate value is counted over all
-documents by distinct owners and repositories: a value that many owners share is a widely copied example,
-one that stays with few owners and looks like a real key is a live-looking credential.
+documents by distinct owners and repositories: a value that many owners or many repositories share is a widely copied
+example; one that stays with few of both and holds no placeholder word is a live-looking credential. Of bare hexadecimal
+strings, which don't say what they are, length and variety are asked as well.
 
 Spans are ``(kind, start, stop)`` in code points, end exclusive. Base kinds: ``assign``, ``access``, ``hex``
 (whole matches, leftmost and non-overlapping per kind). Added kinds: ``provider`` (keys with a vendor's prefix)
@@ -37,11 +38,10 @@ PLACEHOLDER = r"(?i)example|changeme|dummy|placeholder|your[_-]?|xxxx|0000000|12
 SPAN = "array<struct<start:int,kind:int,stop:int,at:int,value:string,looks:boolean>>"
 
 
-def _looks_live(value: Column, name: str, by_owner: bool) -> Column:
-    """Long enough, letters and digits, many distinct characters, no placeholder word.
-
-    ``by_owner``: of the kinds that say what they are (all but hex), every value without a placeholder word, so that ownership decides."""
-    if by_owner and name != "hex":
+def _looks_live(value: Column, name: str) -> Column:
+    """Of the kinds that say what they are, every value without a placeholder word, so that ownership decides; bare hex must
+    be long enough, with letters and digits and many distinct characters."""
+    if name != "hex":
         return ~value.rlike(PLACEHOLDER)
     return (
         (F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDER)
@@ -49,7 +49,7 @@ def _looks_live(value: Column, name: str, by_owner: bool) -> Column:
     )
 
 
-def _spans(text: Column, code: int, by_owner: bool) -> Column:
+def _spans(text: Column, code: int) -> Column:
     """Spans of one kind: the pieces between matches and the matches add up to positions."""
     name, pattern, group, least = KINDS[code]
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -63,47 +63,52 @@ def _spans(text: Column, code: int, by_owner: bool) -> Column:
         stop = start + F.length(part["whole"])
         return F.struct(
             start.alias("start"), F.lit(code).alias("kind"), stop.alias("stop"), (stop - F.length(part["value"])).alias("at"),
-            F.sha2(part["value"], 256).alias("value"), _looks_live(part["value"], name, by_owner).alias("looks"),
+            F.sha2(part["value"], 256).alias("value"), _looks_live(part["value"], name).alias("looks"),
         )
 
     found = F.transform(parts, span)
     return F.when(text.rlike(PRESENT.get(name, pattern)), found).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
-def candidates(text: Column, by_owner: bool = False) -> Column:
+def candidates(text: Column) -> Column:
     """All candidate spans of a text, by start, kind, stop."""
     text = F.coalesce(text, F.lit(""))
-    return F.array_sort(F.concat(*[_spans(text, i, by_owner) for i in range(len(KINDS))]))
+    return F.array_sort(F.concat(*[_spans(text, i) for i in range(len(KINDS))]))
+
+
+#: So many distinct owners, or repositories, make a value a widely copied example.
+OWNERS, REPOS = 5, 12
 
 
-def ownership(found: DataFrame, widely: int) -> DataFrame:
+def ownership(found: DataFrame, owners: int, repos: int) -> DataFrame:
     """For each candidate hash its distinct owners and repositories, and whether it is live-looking.
 
     ``found`` has owner, repo, spans. Copies within a repository are summed before any shuffle by hash."""
     each = found.filter(F.size("spans") > 0).select("owner", "repo", F.explode("spans").alias("s"))
     pairs = each.groupBy(F.col("s.value").alias("value"), "owner", "repo").agg(F.count("*").alias("n"), F.max("s.looks").alias("looks"))
-    owners = pairs.groupBy("value", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("repos"), F.max("looks").alias("looks"))
-    whole = owners.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_uses"), F.max("looks").alias("looks"))
-    return whole.withColumn("live", F.col("looks") & (F.col("n_owners") < widely))
+    each_owner = pairs.groupBy("value", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("repos"), F.max("looks").alias("looks"))
+    whole = each_owner.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_uses"), F.max("looks").alias("looks"))
+    wide = (F.col("n_owners") >= owners) | (F.col("n_repos") >= repos)
+    return whole.withColumns({"example": wide, "live": F.col("looks") & ~wide})
 
 
-def scan(docs: DataFrame, *, key: Column, text: Column, owner: Column, repo: Column, widely: int = 5, by_owner: bool = False) -> DataFrame:
+def scan(docs: DataFrame, *, key: Column, text: Column, owner: Column, repo: Column, owners: int = OWNERS, repos: int = REPOS) -> DataFrame:
     """One row for each row of ``docs``: key, row, spans (candidates), live (spans of live-looking values), n_example.
 
-    ``widely``: so many distinct owners make a value a widely copied example. ``by_owner``: see :func:`_looks_live`."""
+    ``owners``, ``repos``: so many distinct ones make a value a widely copied example."""
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     found = written(
-        docs.select(key.alias("key"), F.monotonically_increasing_id().alias("row"), name(owner).alias("owner"), name(repo).alias("repo"), candidates(text, by_owner).alias("spans")),
+        docs.select(key.alias("key"), F.monotonically_increasing_id().alias("row"), name(owner).alias("owner"), name(repo).alias("repo"), candidates(text).alias("spans")),
         "secret-spans",
     )
-    verdicts = written(ownership(found, widely), "secret-owners").select("value", "live", "n_owners")
+    verdicts = written(ownership(found, owners, repos), "secret-owners").select("value", "live", "example")
     each = found.filter(F.size("spans") > 0).select("row", F.explode("spans").alias("s"))
     judged = (
         each.join(verdicts, F.col("s.value") == F.col("value"))
         .groupBy("row")
         .agg(
             F.array_sort(F.collect_set(F.when(F.col("live"), F.struct(F.col("s.at").alias("start"), F.lit(len(KINDS)).alias("kind"), F.col("s.stop").alias("stop"))))).alias("live"),
-            F.count_if(F.col("n_owners") >= widely).alias("n_example"),
+            F.count_if("example").alias("n_example"),
         )
     )
     none = F.expr("cast(array() as array<struct<start:int,kind:int,stop:int>>)")
@@ -130,7 +135,7 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, *, text: str = "text", owner: Column, repo: Column, widely: int = 5, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, *, text: str = "text", owner: Column, repo: Column, owners: int = OWNERS, repos: int = REPOS, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each live-looking value replaced by ``mark``; texts without one stay as they are.
 
     Ownership comes first: an assigned value of any length and alphabet that few owners have is taken for live.
@@ -142,7 +147,7 @@ def redact(docs: DataFrame, *, text: str = "text", owner: Column, repo: Column,
     for k in KINDS:
         any_kind = any_kind | F.coalesce(body, F.lit("")).rlike(PRESENT.get(k[0], k[1]))
     suspects = docs.filter(any_kind)
-    live = scan(suspects, key=text_key(body), text=body, owner=owner, repo=repo, widely=widely, by_owner=True)
+    live = scan(suspects, key=text_key(body), text=body, owner=owner, repo=repo, owners=owners, repos=repos)
     live = written(live.filter(F.size("live") > 0).groupBy("key").agg(F.first("live").alias("live")), "secret-live")
     held = suspects.select(packed(docs).alias("doc"), text_key(body).alias("key")).join(live, "key", "left")
     whole = F.col("doc").getField(text)

@@ -210,3 +210,20 @@ def test_packing_of_null_and_equal_ids(spark):
     docs = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (2, None)], "doc_id long, text string")
     got = packing.pack(docs, key=F.col("doc_id"), text=F.col("text"), tokenizer=packing.public_tokenizer).collect()
     assert sorted((str(r.doc_id), r.length) for r in got) == [("1", 3), ("1", 3), ("2", 1), ("None", 3)]
+
+
+def test_many_repositories_make_an_example(spark):
+    """Of one owner, but copied through its repositories; a value of few repositories stays live, whatever its alphabet."""
+    rows = [(i, "password = hunter-two", "a", f"r{i}") for i in range(secrets.REPOS)] + [(100 + i, "password = onlyletters", "a", f"r{i}") for i in range(secrets.REPOS - 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in scan(docs).collect()}
+    assert all(got[i].n_live == 0 and got[i].n_example == 1 for i in range(secrets.REPOS))
+    assert all(got[100 + i].n_live == 1 and got[100 + i].n_example == 0 for i in range(secrets.REPOS - 1))
+
+
+def test_stripes_change_no_resize(monkeypatch):
+    rng = np.random.default_rng(1)
+    image = rng.integers(0, 256, (97, 64)).astype(np.uint8)
+    whole = media.area_resize(image, 8, 9), media.area_resize(image, 16, 16)
+    monkeypatch.setattr(media, "STRIPE", 5)
+    assert np.allclose(media.area_resize(image, 8, 9), whole[0]) and np.allclose(media.area_resize(image, 16, 16), whole[1])
