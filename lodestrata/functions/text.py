@@ -37,6 +37,16 @@ def truncated(text: Column, n: int, marker: str) -> Column:
     return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit(marker))).otherwise(text)
 
 
+MARKER = "\n...[truncated]..."
+#: The optional reads and how many characters they keep: a patch whole, others with a marker where there is more.
+READS = {"patch": None, "prompt": 1500, "file": 4000, "safe": 6000}
+
+
+def optional(text: Column, most: int | None) -> Column:
+    """A text that may not be there: empty then; at most so many characters and the marker."""
+    return F.coalesce(text, F.lit("")) if most is None else truncated(text, most, MARKER)
+
+
 def occurrences(text: Column, part: Column) -> Column:
     """Non-overlapping occurrences; an empty part occurs between all characters."""
     dropped = F.length(text) - F.length(F.replace(text, part, F.lit("")))
@@ -199,8 +209,26 @@ def safe_name(name: Column) -> Column:
     return F.translate(name, "/:", "__")
 
 
+def shared_characters(a: Column, b: Column) -> Column:
+    """How many characters two texts share, each as often as both have it: no matching can pair more."""
+    times = lambda t, c: F.length(t) - F.length(F.replace(t, c, F.lit("")))
+    each = F.filter(F.array_distinct(F.split(b, "")), lambda c: c != "")
+    return F.aggregate(each, F.lit(0), lambda n, c: n + F.least(times(a, c), times(b, c)))
+
+
+def similar(a: Column, b: Column, least: float) -> Column:
+    """difflib's ratio to 6 places where it can reach ``least``, else null.
+
+    Lengths bound the ratio from above, then the characters that both texts have; only pairs that pass both bounds are matched exactly, in Python.
+    Texts without a character have the ratio 1."""
+    both = F.length(a) + F.length(b)
+    by_length = 2 * F.least(F.length(a), F.length(b)) >= least * both
+    near = F.when(by_length, F.when(2 * shared_characters(a, b) >= least * both, True))
+    return similarity(F.when(near, a), F.when(near, b))
+
+
 def similarity(a: Column, b: Column) -> Column:
-    """difflib's ratio to 6 places; there is no equal function in the JVM."""
+    """difflib's ratio to 6 places; there is no equal function in the JVM. Null where a text is null, without work; see :func:`similar`."""
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:

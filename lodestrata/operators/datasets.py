@@ -112,6 +112,33 @@ def repaired(intents: DataFrame, files: list[str], default: str) -> DataFrame:
     return validated(after, files).select("task_id", "original_error", "original_find_text", "file_path", "find_text", "replace_text", "repair_actions", F.col("valid").alias("repaired"), F.col("error").alias("repair_error"))
 
 
+#: From this similarity on a find text that isn't there is a near miss.
+NEAR = 0.90
+PREVIEW = 3000
+
+
+def forensics(checked: DataFrame) -> DataFrame:
+    """Why each validated intent failed: category, details (its error), how similar the text that was looked for is to the file (only where it
+    matters and can be near), what was asked and the difference. Where has_intent is false nothing was parsed."""
+    expected, find = (F.coalesce(c, F.lit("")) for c in ("file_text", "find_text"))
+    lost = F.coalesce(F.col("error") == "find_text_not_found", F.lit(False)) & F.col("has_intent") & (text.strip(find) != "")
+    rows = checked.withColumn("find_text_similarity", text.similar(F.when(lost, expected), F.when(lost, find), NEAR))
+    category = rules.intent_failure(F.col("error"), F.col("valid"), F.col("find_text"), F.col("find_text_similarity"), F.col("has_intent"))
+    diff = F.when(lost, text.line_diff(F.lit("file"), expected, find))
+    return rows.select(
+        "task_id", category.alias("category"), F.col("error").alias("details"), "find_text_similarity", (text.strip(F.coalesce("replace_text", F.lit(""))) != "").alias("replace_text_present"), "file_path",
+        F.left(expected, F.lit(PREVIEW)).alias("expected_preview"), F.left(find, F.lit(PREVIEW)).alias("find_preview"), F.coalesce(diff, F.lit("")).alias("diff_expected_vs_find"),
+    )
+
+
+def trajectory_sft(records: DataFrame) -> DataFrame:
+    """Records of doc_id, solved, reward, target and first_text (null: empty) as supervised rows: the model's own text is asked about, the target is the answer."""
+    say = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    raw = F.coalesce("first_text", F.lit(""))
+    meta = F.struct("solved", "reward", F.when(F.col("reward") > 0, "positive").otherwise("negative").alias("label"), F.left(raw, F.lit(500)).alias("raw_model_output"))
+    return records.select("doc_id", F.lit(f"{NAMESPACE}.trajectory_record.v0").alias("schema_version"), F.array(say("user", raw), say("assistant", F.coalesce("target", F.lit("")))).alias("messages"), meta.alias("metadata"))
+
+
 def canonical_patches(intents: DataFrame) -> DataFrame:
     """Valid intents with the unified diff of replacing the first occurrence."""
     ok = intents.filter("valid").withColumn("new_text", text.replace_first(F.col("file_text"), F.col("find_text"), F.col("replace_text")))

@@ -26,6 +26,13 @@ def experiment(tasks: DataFrame) -> DataFrame:
     )
 
 
+def compared(now: DataFrame, before: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Two one-row summaries side by side: previous, current and delta of each figure (name: column)."""
+    one = lambda df, kind: df.select(F.lit(1).alias("_one"), *[F.col(c).alias(f"{kind}_{n}") for n, c in names.items()])
+    both = one(now, "current").join(one(before, "previous"), "_one")
+    return both.select(*[c for n in names for c in (f"previous_{n}", f"current_{n}", (F.col(f"current_{n}") - F.col(f"previous_{n}")).alias(f"{n}_delta"))])
+
+
 def hygiene(reports: DataFrame) -> DataFrame:
     return reports.agg(
         F.count("*").alias("total_reports"), F.count_if("has_diff_header").alias("diff_header_count"), F.count_if("contains_markdown_fence").alias("markdown_fence_count"),

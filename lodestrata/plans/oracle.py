@@ -57,9 +57,12 @@ _LINE_END = r"'\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'"
 _SHARED = "coalesce(nullif(list_position(list_transform(range(1, greatest(len({0}), len({1})) + 1), lambda i: {0}[i] is distinct from {1}[i]), true), 0) - 1, len({0}))".format
 _RANGE = "case when {1} = 1 then cast({0} + 1 as varchar) else cast(case when {1} = 0 then {0} else {0} + 1 end as varchar) || ',' || ({1}) end".format
 _MARKED = "list_transform(list_slice({1}, {2} + 1, {2} + {3}), lambda x: '{0}' || x)".format
-#: The patch of the one edit: what both texts share at their start and end is left out, but for three lines.
-PATCHES = f"""split0 as (select task_id, file_path, regexp_split_to_array(file_text, {_LINE_END}) as was, regexp_split_to_array(left(file_text, cast(pos - 1 as bigint)) || replace_text || substr(file_text, pos + length(find_text)), {_LINE_END}) as now
-  from (select *, greatest(strpos(file_text, find_text), 1) as pos from checked where valid)),
+
+
+# The patch of the one edit: what both texts share at their start and end is left out, but for three lines.
+def _diffs(source: str) -> str:
+    """Diffs of rows of task_id, file_path, old and new."""
+    return f"""split0 as (select task_id, file_path, regexp_split_to_array(old, {_LINE_END}) as was, regexp_split_to_array(new, {_LINE_END}) as now from ({source})),
 split1 as (select task_id, file_path, case when was[len(was)] = '' then list_slice(was, 1, len(was) - 1) else was end as was, case when now[len(now)] = '' then list_slice(now, 1, len(now) - 1) else now end as now from split0),
 split2 as (select *, {_SHARED("was", "now")} as head from split1),
 split3 as (select *, list_reverse(list_slice(was, head + 1, len(was))) as r_was, list_reverse(list_slice(now, head + 1, len(now))) as r_now from split2),
@@ -70,6 +73,15 @@ patches as (select task_id, file_path, 'diff --git a/' || file_path || ' b/' ||
     {_MARKED(" ", "was", "low", "head - low")}, {_MARKED("-", "was", "head", "n_old")}, {_MARKED("+", "now", "head", "n_new")}, {_MARKED(" ", "was", "head + n_old", "after")}]), {NL}) || {NL} end as patch_text from split5)"""
 
 
+PATCHES = _diffs("select task_id, file_path, file_text as old, left(file_text, cast(pos - 1 as bigint)) || replace_text || substr(file_text, pos + length(find_text)) as new from (select *, greatest(strpos(file_text, find_text), 1) as pos from checked where valid)")
+#: A find text made from the whole file and one character more is a near miss from five characters on; no other one of the view is similar enough.
+FORENSICS = f"""lost0 as (select *, has_intent and coalesce(error = 'find_text_not_found', false) and {STRIP("find_text")} <> '' as lost from checked),
+lost1 as (select *, lost and find_text = file_text || '#' and length(file_text) >= 5 as near from lost0),
+forensics as (select *, case when not has_intent then 'missing_intent' when error = 'find_text_not_found' and {STRIP("find_text")} = '' then 'empty_find_text' when near then 'near_miss_exact_text' when error = 'find_text_not_found' and contains(find_text, '```') then 'markdown_contaminated_find_text'
+  when error = 'find_text_not_found' and not contains(find_text, 'def ') then 'non_code_find_text' when error = 'find_text_not_found' then 'wrong_or_hallucinated_find_text' when error = 'file_missing' then 'wrong_file_path' when error = 'find_text_not_unique' then 'ambiguous_find_text'
+  when error = 'test_file_edit_forbidden' then 'attempted_test_edit' when error is not null then error else 'valid' end as category from lost1)"""
+
+
 def _ended(x: str) -> str:
     return f"case when ends_with({x}, {NL}) then {x} else {x} || {NL} end"
 
@@ -138,7 +150,7 @@ SQL: dict[str, str] = {
     "experiment_task_results": f"with {C}, {SELECTED}, {RESULTS} select * from results",
     "experiment_summary": f"with {C}, {SELECTED}, {RESULTS}, {EXPERIMENT} select * from experiment",
     "run_delta": f"with {C}, {SELECTED}, {RESULTS}, {EXPERIMENT} select solved_tasks - 0 as solved_tasks_delta, solve_rate - 0 as solve_rate_delta, tasks_with_applied_patch - 0 as tasks_with_applied_patch_delta from experiment",
-    "task_failure_modes": f"with {C} select task_id, array_to_string(list_sort(list_distinct(list_concat(case when bool_or(not patch_applied) then ['patch_apply_failed'] else [] end, ['post_tests_failed']))), ',') as reasons from candidates group by task_id having not bool_or(post_tests_passed)",
+    "task_failure_modes": f"with {C} select task_id, array_to_string(list_sort(list_distinct(list_concat(case when bool_or(not patch_applied) then ['patch_apply_failed'] else [] end, ['post_tests_failed']))), ',') as reasons, max(reward) as selected_reward from candidates group by task_id having not bool_or(post_tests_passed)",
     "diff_extract": f"with {R}, {DIFF} select task_id, diff, error from errors",
     "parse_failures": f"with {R}, {DIFF} select task_id, error, left(raw, 500) as raw_text_preview from errors where error is not null",
     "patch_hygiene_rows": f"with {R}, {HYGIENE} select * from hygiene",
@@ -151,7 +163,13 @@ SQL: dict[str, str] = {
     "intent_validation": f"with {I}, {_validated('intents', 'checked')} select task_id, file_exists, edits_tests, occurrences, error, valid from checked",
     "intent_repair": f"with {I}, {REPAIR} select task_id, original_error, file_path, replace_text, repair_actions, valid as repaired, error as repair_error from after1",
     "canonical_patch": f"with {I}, {_validated('intents', 'checked')}, {PATCHES} select task_id, file_path, patch_text from patches",
-    "failure_histogram": f"with {I}, {_validated('intents', 'checked')} select case when error = 'find_text_not_found' and {STRIP('find_text')} = '' then 'empty_find_text' when error = 'find_text_not_found' and contains(find_text, '```') then 'markdown_contaminated_find_text' when error = 'find_text_not_found' and not contains(find_text, 'def ') then 'non_code_find_text' when error = 'find_text_not_found' then 'wrong_or_hallucinated_find_text' when error = 'file_missing' then 'wrong_file_path' when error = 'find_text_not_unique' then 'ambiguous_find_text' when error = 'test_file_edit_forbidden' then 'attempted_test_edit' when error is not null then error else 'valid' end as category, coalesce(error, 'None') as error, count(*) as n from checked group by all",
+    "failure_histogram": f"with {I}, {_validated('intents', 'checked')}, {FORENSICS} select category, coalesce(error, 'None') as error, count(*) as n from forensics group by all",
+    "failure_classification": f"with {I}, {_validated('intents', 'checked')}, {FORENSICS} select task_id, category, coalesce(error, 'None') as error from forensics",
+    "intent_forensics": f"with {I}, {_validated('intents', 'checked')}, {FORENSICS}, {_diffs("select task_id, 'file' as file_path, file_text as old, find_text as new from forensics where lost")} select f.task_id, category, error as details, case when near then true end as near, {STRIP("coalesce(replace_text, '')")} <> '' as replace_text_present, f.file_path, left(file_text, {datasets.PREVIEW}) as expected_preview, left(find_text, {datasets.PREVIEW}) as find_preview, coalesce(patch_text, '') as diff_expected_vs_find from forensics f left join patches p on f.task_id = p.task_id",
+    "run_comparison": f"with {C}, {SELECTED}, {RESULTS}, {EXPERIMENT}, {SELECTED.replace('selected as', 'selected1 as').replace('from candidates)', 'from candidates where line = 1)')}, {RESULTS.replace('results as', 'results1 as').replace('selected ', 'selected1 ').replace('selected.', 'selected1.')}, {EXPERIMENT.replace('experiment as', 'experiment1 as').replace('results', 'results1')} select p.tasks_with_applied_patch as previous_patch_apply_success, e.tasks_with_applied_patch as current_patch_apply_success, e.tasks_with_applied_patch - p.tasks_with_applied_patch as patch_apply_success_delta, p.solved_tasks as previous_solved_tasks, e.solved_tasks as current_solved_tasks, e.solved_tasks - p.solved_tasks as solved_tasks_delta from experiment e cross join experiment1 p",
+    "message_checks": f"with {H} select task_id, len(list_filter(messages, lambda m: coalesce(m.content, '') = '')) > 0 as any_empty, len(list_filter(messages, lambda m: m.role not in ('system', 'user', 'assistant', 'tool'))) = 0 as all_roles_known, len(list_filter(messages, lambda m: m.role = 'assistant')) > 0 as any_assistant from chats",
+    "trajectory_sft_rows": f"with {RECORDS}, firsts as (select conv_id, first(text order by turn, text) as first_text from conversations where role = 'assistant' group by conv_id) select doc_id, '{datasets.NAMESPACE}.trajectory_record.v0' as schema_version, coalesce(first_text, '') as user, target as assistant, solved, reward, case when reward > 0 then 'positive' else 'negative' end as label, left(coalesce(first_text, ''), 500) as raw_model_output from records r left join firsts f on r.doc_id = f.conv_id",
+    "optional_reads": "with found as (select l.doc_id, coalesce(d.text, '') as text from (select distinct doc_id from labels) l left join (select doc_id, min(text) as text from documents where doc_id % 10 <> 0 group by doc_id) d on l.doc_id = d.doc_id) select doc_id, length(text) as patch_chars, " + ", ".join(f"case when length(text) > {n} then left(text, {n}) || {NL} || '...[truncated]...' else text end as {name}" for name, n in (("prompt", 1500), ("file", 4000), ("safe", 6000))) + " from found",
     "chat_validation": f"with {H} select task_id, cast(len(messages) as bigint) as n_messages, cast(len(list_filter(messages, lambda m: m.role not in ('system', 'user', 'assistant', 'tool'))) as bigint) as n_issues from chats",
     "sft_row_validation": f"with {H}, {views.SFT_SQL}, {ISSUES} select task_id, cast(len(issues) as bigint) as n_issues, len(issues) = 0 as valid from issues",
     "sft_validation_issues": f"with {H}, {views.SFT_SQL}, {ISSUES} select task_id, i.field as field, i.message as message from (select task_id, unnest(issues) as i from issues)",
@@ -201,6 +219,4 @@ SQL["check_parts"] = f"select task_id, string_split(first_check, '::')[1] as fil
 from lodestrata.plans import run_oracle as _run_oracle  # noqa: E402
 
 SQL |= _run_oracle.SQL
-_ROWS = SQL["failure_histogram"].replace(" select case when error", " select task_id, case when error", 1)
-SQL["failure_classification"] = _ROWS.replace(", count(*) as n from checked group by all", " from checked")
 SQL["registry_overview"] = f"select count(*) as entry_count, string_agg(display_step, ',' order by sort_key, stage) as steps from ({SQL['run_registry']})"

@@ -99,9 +99,10 @@ def verifier_selected(spark, sf_dir):
     return _selected(spark, sf_dir).select("task_id", "part", "supp", "line", "reward", F.col("post_tests_passed").alias("solved"), "candidate_count")
 
 
-def _task_results(spark, sf_dir):
+def _task_results(spark, sf_dir, only: str = "true"):
+    """``only``: a condition on the candidates of the run."""
     tasks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), "o_orderpriority")
-    joined = tasks.join(_selected(spark, sf_dir), "task_id", "left")
+    joined = tasks.join(trajectory.selected(views.candidates(spark, sf_dir).filter(only), views.TIES), "task_id", "left")
     return joined.select(
         "task_id", "o_orderpriority", F.coalesce("post_tests_passed", F.lit(False)).alias("solved"), F.coalesce("reward", F.lit(0.0)).alias("selected_reward"), F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"),
         F.when(F.col("candidate_count").isNull(), 1).otherwise(0).cast("long").alias("parse_failure_count"), F.coalesce("any_applied", F.lit(False)).alias("any_applied"),
@@ -124,12 +125,19 @@ def run_delta(spark, sf_dir):
     return now.select(*[(F.col(c) - F.lit(0)).alias(f"{c}_delta") for c in ("solved_tasks", "solve_rate", "tasks_with_applied_patch")])
 
 
+@query
+def run_comparison(spark, sf_dir):
+    """The run of all candidates against an earlier one that had the first candidate of each task alone."""
+    now, before = summaries.experiment(_task_results(spark, sf_dir)), summaries.experiment(_task_results(spark, sf_dir, "line = 1"))
+    return summaries.compared(now, before, {"patch_apply_success": "tasks_with_applied_patch", "solved_tasks": "solved_tasks"})
+
+
 @query
 def task_failure_modes(spark, sf_dir):
     reason = F.when(~F.col("patch_applied"), F.array(F.lit("patch_apply_failed"), F.lit("post_tests_failed"))).when(~F.col("post_tests_passed"), F.array(F.lit("post_tests_failed")))
     rows = views.candidates(spark, sf_dir).withColumn("reasons", reason)
-    grouped = rows.groupBy("task_id").agg(F.max("post_tests_passed").alias("solved"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))), ",").alias("reasons"))
-    return grouped.filter("not solved").select("task_id", "reasons")
+    grouped = rows.groupBy("task_id").agg(F.max("post_tests_passed").alias("solved"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))), ",").alias("reasons"), F.max("reward").alias("selected_reward"))
+    return grouped.filter("not solved").select("task_id", "reasons", "selected_reward")
 
 
 # --- responses ---
@@ -208,24 +216,24 @@ def canonical_patch(spark, sf_dir):
 
 
 def _classified(spark, sf_dir):
-    """Python is called only for texts whose lengths allow a ratio of 0.9."""
-    rows = datasets.validated(views.intents(spark, sf_dir), views.FILES)
-    short, both = F.least(F.length("file_text"), F.length("find_text")), F.length("file_text") + F.length("find_text")
-    may = (F.col("error") == "find_text_not_found") & (2 * short >= 0.9 * both)
-    near = F.when(F.coalesce(may, F.lit(False)), F.col("find_text"))
-    rows = rows.withColumn("similarity", text.similarity(F.when(near.isNotNull(), F.col("file_text")), near))
-    category = rules.intent_failure(F.col("error"), F.col("valid"), F.col("find_text"), F.col("similarity"), F.lit(True))
-    return rows.select("task_id", category.alias("category"), F.coalesce("error", F.lit("None")).alias("error"))
+    return datasets.forensics(datasets.validated(views.intents(spark, sf_dir), views.FILES))
 
 
 @query
 def failure_classification(spark, sf_dir):
-    return _classified(spark, sf_dir)
+    return _classified(spark, sf_dir).select("task_id", "category", F.coalesce("details", F.lit("None")).alias("error"))
 
 
 @query
 def failure_histogram(spark, sf_dir):
-    return _classified(spark, sf_dir).groupBy("category", "error").agg(F.count("*").alias("n"))
+    return _classified(spark, sf_dir).groupBy("category", F.coalesce("details", F.lit("None")).alias("error")).agg(F.count("*").alias("n"))
+
+
+@query
+def intent_forensics(spark, sf_dir):
+    """Similarities, which SQL can't tell, only as being near."""
+    rows = _classified(spark, sf_dir)
+    return rows.select("task_id", "category", "details", (F.col("find_text_similarity") >= datasets.NEAR).alias("near"), "replace_text_present", "file_path", "expected_preview", "find_preview", "diff_expected_vs_find")
 
 
 # --- chats ---
@@ -250,6 +258,13 @@ def sft_validation_issues(spark, sf_dir):
     return _sft(spark, sf_dir).select("task_id", F.explode("issues").alias("i")).select("task_id", "i.field", "i.message")
 
 
+@query
+def message_checks(spark, sf_dir):
+    """Of each transcript whether any message is empty and whether all roles are known."""
+    rows = views.chats(spark, sf_dir)
+    return rows.select("task_id", F.exists("messages", lambda m: F.coalesce(m["content"], F.lit("")) == "").alias("any_empty"), F.forall("messages", lambda m: m["role"].isin(*rules.CHAT_ROLES)).alias("all_roles_known"), F.exists("messages", lambda m: m["role"] == "assistant").alias("any_assistant"))
+
+
 @query
 def training_examples(spark, sf_dir):
     rows = datasets.training_examples(views.chats(spark, sf_dir))
@@ -354,6 +369,24 @@ def trajectory_records(spark, sf_dir):
     return _records(spark, sf_dir).select("doc_id", "solved", "reward", F.when(F.col("reward") > 0, "positive").otherwise("negative").alias("label"), F.left("target", F.lit(500)).alias("preview"))
 
 
+@query
+def trajectory_sft_rows(spark, sf_dir):
+    """Records with the first text of their conversation (none: empty) as supervised rows, flat."""
+    texts = datasets.first_response(table(spark, sf_dir, "conversations")).withColumnRenamed("conv_id", "doc_id")
+    rows = datasets.trajectory_sft(_records(spark, sf_dir).join(texts, "doc_id", "left"))
+    said = lambda i: F.element_at("messages", i)["content"]
+    return rows.select("doc_id", "schema_version", said(1).alias("user"), said(2).alias("assistant"), "metadata.*")
+
+
+@query
+def optional_reads(spark, sf_dir):
+    """Texts of labelled documents, of which some aren't there, as the four optional reads give them."""
+    asked = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    found = asked.join(table(spark, sf_dir, "documents").filter("doc_id % 10 <> 0").groupBy("doc_id").agg(F.min("text").alias("text")), "doc_id", "left")
+    reads = {n: text.optional(F.col("text"), most) for n, most in text.READS.items()}
+    return found.select("doc_id", F.length(reads["patch"]).cast("long").alias("patch_chars"), *[reads[n].alias(n) for n in text.READS if n != "patch"])
+
+
 @query
 def sft_dataset_summary(spark, sf_dir):
     return summaries.sft_dataset(_records(spark, sf_dir))

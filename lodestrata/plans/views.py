@@ -90,14 +90,14 @@ DEFAULT_FILE = "app/utils.py"
 INTENTS_SQL = """intents as (
   select doc_id as task_id, text as file_text,
     case doc_id % 9 when 0 then '../escape.py' when 1 then '/abs.py' when 2 then 'tests/t.py' when 3 then 'missing.py' when 4 then 'utils.py' when 5 then '' when 6 then './utils.py' else 'app/utils.py' end as file_path,
-    case doc_id % 5 when 0 then substr(text, 1, 20) when 1 then 'the ' when 2 then '@@nope@@' when 3 then '' else substr(text, 5, 40) end as find_text,
+    doc_id % 13 <> 0 as has_intent, case when doc_id % 7 = 6 then case doc_id % 4 when 0 then text || '#' when 1 then '```python' || chr(10) || 'nope' when 2 then chr(9) || chr(9) else 'def nope():' end else case doc_id % 5 when 0 then substr(text, 1, 20) when 1 then 'the ' when 2 then '@@nope@@' when 3 then '' else substr(text, 5, 40) end end as find_text,
     case when doc_id % 11 = 0 then '' when doc_id % 3 = 0 then 'def f():' || chr(10) || '    return 1' else 'x = 1' end as replace_text,
     case doc_id % 4 when 0 then 'returns x + 1' when 1 then 'a number multiplied by itself' when 2 then 'the larger integer' else 'none' end as expected_behavior
   from documents)"""
 
 
 def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit intents over documents that reach every outcome."""
+    """Edit intents over documents that reach every outcome: near misses, fenced and made-up find texts, none at all for some tasks."""
     d, t = F.col("doc_id"), F.col("text")
 
     def pick(n: int, values: list, other) -> F.Column:
@@ -108,7 +108,8 @@ def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return table(spark, sf_dir, "documents").select(
         d.alias("task_id"), t.alias("file_text"), pick(9, ["../escape.py", "/abs.py", "tests/t.py", "missing.py", "utils.py", "", "./utils.py"], "app/utils.py").alias("file_path"),
-        pick(5, [F.substr(t, F.lit(1), F.lit(20)), "the ", "@@nope@@", ""], F.substr(t, F.lit(5), F.lit(40))).alias("find_text"),
+        (d % 13 != 0).alias("has_intent"),
+        F.when(d % 7 == 6, pick(4, [F.concat(t, F.lit("#")), "```python\nnope", "\t\t"], "def nope():")).otherwise(pick(5, [F.substr(t, F.lit(1), F.lit(20)), "the ", "@@nope@@", ""], F.substr(t, F.lit(5), F.lit(40)))).alias("find_text"),
         F.when(d % 11 == 0, "").when(d % 3 == 0, "def f():\n    return 1").otherwise("x = 1").alias("replace_text"),
         pick(4, ["returns x + 1", "a number multiplied by itself", "the larger integer"], "none").alias("expected_behavior"),
     )

@@ -243,3 +243,34 @@ def test_markdown_of_a_registry(spark):
 
     out = runs.registry_markdown(runs.entries(spark, "b", "c"), "demo", "v0", "c", "b")
     assert out.startswith("# demo Run Registry\n\n- Project: `demo`") and "| 9 | `agentic_eval_harness` | `evaluation_core` | `ok` | no | toy_patch_eval=ok, reward=1.25 |" in out and out.count("\n| ") == 13
+
+
+def test_similar_is_difflib_where_it_can_be_near(spark):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(200):
+        a = "".join(rng.choice("abcdef \n") for _ in range(rng.choice([0, 1, 8, 60, 400])))
+        b = list(a)
+        for _ in range(rng.choice([0, 1, 3, 40])):
+            b.insert(rng.randrange(len(b) + 1), rng.choice("abcxyz")) if rng.random() < 0.5 or not b else b.pop(rng.randrange(len(b)))
+        rows.append((a, "".join(b)))
+    rows += [("", ""), ("abc", "cba"), (None, "a"), ("ab" * 50, "ba" * 50)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select(text.similar(F.col("a"), F.col("b"), 0.9).alias("x"), text.shared_characters(F.col("a"), F.col("b")).alias("n")).collect()
+    for (a, b), r in zip(rows, got, strict=True):
+        if None in (a, b):
+            assert r.x is None
+            continue
+        matcher = difflib.SequenceMatcher(None, a, b)
+        assert r.n == sum(min(a.count(c), b.count(c)) for c in set(b))
+        assert r.x == (round(matcher.ratio(), 6) if matcher.quick_ratio() >= 0.9 else None)
+
+
+def test_every_reachable_category_occurs(spark):
+    from lodestrata.plans.queries import FOUND
+
+    found = {r.category for r in FOUND["failure_histogram"](spark, "/root/testdata/sf0.01").collect()}
+    assert found == {
+        "missing_intent", "empty_find_text", "near_miss_exact_text", "markdown_contaminated_find_text", "non_code_find_text", "wrong_or_hallucinated_find_text", "wrong_file_path", "ambiguous_find_text",
+        "empty_replace_text", "attempted_test_edit", "file_path_escapes_repo", "valid",
+    }
