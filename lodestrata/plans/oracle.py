@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lodestrata.operators import datasets, prompts
 from lodestrata.plans import views
-from lodestrata.plans.queries import HELD_OUT, LIMIT, MOST
+from lodestrata.plans.queries import HELD_OUT, KS, LIMIT, MARGIN, MOST
 
 A, C, R, I, H = views.ATTEMPTS_SQL, views.CANDIDATES_SQL, views.RESPONSES_SQL, views.INTENTS_SQL, views.CHATS_SQL
 NL = "chr(10)"
@@ -151,6 +151,15 @@ SQL: dict[str, str] = {
     "experiment_summary": f"with {C}, {SELECTED}, {RESULTS}, {EXPERIMENT} select * from experiment",
     "run_delta": f"with {C}, {SELECTED}, {RESULTS}, {EXPERIMENT} select solved_tasks - 0 as solved_tasks_delta, solve_rate - 0 as solve_rate_delta, tasks_with_applied_patch - 0 as tasks_with_applied_patch_delta from experiment",
     "task_failure_modes": f"with {C} select task_id, array_to_string(list_sort(list_distinct(list_concat(case when bool_or(not patch_applied) then ['patch_apply_failed'] else [] end, ['post_tests_failed']))), ',') as reasons, max(reward) as selected_reward from candidates group by task_id having not bool_or(post_tests_passed)",
+    "pass_rates": f"""with {A}, k(k) as (values {', '.join(f'({k})' for k in KS)}),
+      each as (select count(*) as n, count(*) filter (post_tests_passed) as c, min(iteration) filter (post_tests_passed) as first from attempts group by task_id),
+      x as (select k, first, case when n >= k then 1 - list_product(list_transform(range(0, k), lambda i: greatest(n - c - i, 0) / (n - i))) end as x from each cross join k)
+      select k, count(x) as tasks, round(avg(x), 6) as pass_at_k, count(*) as all_tasks, round(count(*) filter (first < k) / count(*), 6) as repair_at_k from x group by k""",
+    "solving_cost": f"""with {A}, {TRIED}, t as (select count(*) as attempts, count(*) filter (post_tests_passed) as solved_tasks, sum(cast(elapsed_seconds as decimal(18, 6))) as spent from tried)
+      select attempts, solved_tasks, round(attempts / nullif(solved_tasks, 0), 6) as attempts_per_solved_task, round(cast(spent as double) / nullif(solved_tasks, 0), 6) as seconds_per_solved_task from t""",
+    "preference_pairs": f"""with {C}, placed as (select *, case when post_tests_passed then reward - {MARGIN} else reward end as spot from candidates),
+      paired as (select *, last_value(case when not post_tests_passed then {{'reward': reward, 'part': part, 'supp': supp, 'line': line}} end ignore nulls) over (partition by task_id order by spot, post_tests_passed, part, supp, line rows between unbounded preceding and 1 preceding) as r from placed)
+      select task_id, part, supp, line, reward, r.part as rejected_part, r.supp as rejected_supp, r.line as rejected_line, r.reward as rejected_reward from paired where post_tests_passed and r is not null""",
     "diff_extract": f"with {R}, {DIFF} select task_id, diff, error from errors",
     "parse_failures": f"with {R}, {DIFF} select task_id, error, left(raw, 500) as raw_text_preview from errors where error is not null",
     "patch_hygiene_rows": f"with {R}, {HYGIENE} select * from hygiene",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import rules, scoring, text
-from lodestrata.operators import datasets, prompts, summaries, trajectory
+from lodestrata.operators import datasets, evaluation, prompts, summaries, trajectory
 from lodestrata.plans import views
 from lodestrata.sources.files import table
 
@@ -140,6 +140,28 @@ def task_failure_modes(spark, sf_dir):
     return grouped.filter("not solved").select("task_id", "reasons", "selected_reward")
 
 
+KS = [1, 5, 20]
+MARGIN = 0.5
+
+
+@query
+def pass_rates(spark, sf_dir):
+    """pass@k and repair@k of all users' attempts."""
+    rows = evaluation.estimates(views.events(spark, sf_dir), KS).join(evaluation.repaired_within(views.attempts(spark, sf_dir, max(KS)), KS).withColumnRenamed("tasks", "all_tasks"), "k")
+    return rows.select("k", "tasks", "pass_at_k", "all_tasks", "repair_at_k")
+
+
+@query
+def solving_cost(spark, sf_dir):
+    return evaluation.cost(views.events(spark, sf_dir), views.ATTEMPT_ORDER)
+
+
+@query
+def preference_pairs(spark, sf_dir):
+    rows = evaluation.preference_pairs(views.candidates(spark, sf_dir), views.TIES, MARGIN)
+    return rows.select("task_id", *views.TIES, "reward", *[F.col(f"rejected.{c}").alias(f"rejected_{c}") for c in (*views.TIES, "reward")])
+
+
 # --- responses ---
 @query
 def diff_extract(spark, sf_dir):
