@@ -16,6 +16,26 @@ def response_ids(messages: DataFrame, adapter: str) -> DataFrame:
     return each.select("task_id", "pos", response.alias("response_id"), F.concat(response, F.lit("_candidate_"), F.col("pos")).alias("candidate_id"), F.concat_ws(":", F.lit(adapter), F.lit("model")).alias("source"))
 
 
+def first_outputs(rows: DataFrame, outputs: Column, n: int) -> DataFrame:
+    """The first n outputs of each row by position, as responses."""
+    return rows.select("task_id", F.posexplode(F.slice(outputs, 1, n)).alias("pos", "text")).withColumn("response_id", F.concat_ws("_", "task_id", F.lit("resp"), "pos"))
+
+
+def typed_tasks(rows: DataFrame, document: str, base: str) -> DataFrame:
+    """Task documents (JSON text) with their fields' types and defaults; error: what a strict reader would raise.
+
+    Numbers are read as texts and texts as whole numbers where the type asks for it; a fraction is cut. Relative folders stand below ``base``."""
+    parsed = F.try_parse_json(F.col(document))
+    said = lambda name: F.try_variant_get(parsed, f"$.{name}", "string")
+    required = ["schema_version", "task_id", "title", "repo_dir", "test_command", "timeout_seconds"]
+    missing = F.array_compact(F.array(*[F.when(said(n).isNull(), n) for n in required]))
+    seconds = F.coalesce(F.try_variant_get(parsed, "$.timeout_seconds", "double").cast("long"), said("timeout_seconds").try_cast("long"))
+    whole = F.when(F.schema_of_variant(F.try_variant_get(parsed, "$.timeout_seconds", "variant")) == "STRING", F.trim(said("timeout_seconds")).try_cast("long")).otherwise(seconds)
+    error = F.when(parsed.isNull(), "no_json").when(F.size(missing) > 0, F.concat(F.lit("missing:"), F.array_join(missing, ","))).when(whole.isNull(), "timeout_not_whole")
+    fields = {n: said(n) for n in required[:-1]} | {"repo_dir": resolved(said("repo_dir"), base), "timeout_seconds": whole, "task_type": F.coalesce(said("task_type"), F.lit("unit_bugfix")), "description": F.coalesce(said("description"), F.lit(""))}
+    return rows.withColumn("error", error).withColumns({n: F.when(F.col("error").isNull(), c) for n, c in fields.items()})
+
+
 def resolved(path: Column, base: str) -> Column:
     """Relative paths stand below their specification's folder."""
     return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), path))

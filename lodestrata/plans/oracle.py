@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lodestrata.operators import datasets, prompts
 from lodestrata.plans import views
-from lodestrata.plans.queries import HELD_OUT, KS, LIMIT, MARGIN, MOST
+from lodestrata.plans.queries import GATES, HELD_OUT, KS, LIMIT, MARGIN, MOST, RISKS
 
 A, C, R, I, H = views.ATTEMPTS_SQL, views.CANDIDATES_SQL, views.RESPONSES_SQL, views.INTENTS_SQL, views.CHATS_SQL
 NL = "chr(10)"
@@ -208,7 +208,14 @@ SQL: dict[str, str] = {
     "parameter_counts": f"with {PARAMETERS} select * from parameters",
     "generation_config_validation": "select coalesce(array_to_string(list_filter([case when l_linenumber - 2 <= 0 then 'max_new_tokens' end, case when l_discount - cast(0.05 as double) < 0 then 'temperature' end, case when not (l_quantity / 25 > 0 and l_quantity / 25 <= 1) then 'top_p' end, case when l_returnflag = 'N' then 'top_k' end, case when l_linenumber - 1 <= 0 then 'num_return_sequences' end, case when l_returnflag = 'R' and l_tax <= 0 then 'repetition_penalty' end], lambda x: x is not null), ','), '') as fields, count(*) as n from lineitem group by 1",
     "task_validation": "select c_custkey, coalesce(array_to_string(list_filter([case when c_custkey % 5 = 0 then 'schema_version:missing' end, case when c_custkey % 3 = 0 then 'repo_dir:missing' end, case when c_custkey % 5 <> 0 and c_custkey % 7 = 0 then 'schema_version:unsupported' end, case when floor(c_acctbal) <= 0 then 'timeout_seconds:must_be_positive' end], lambda x: x is not null), ','), '') as issues from customer",
-    "launch_plan": f"with {H}, {TOKEN_ROWS}, {STATS}, {PARAMETERS}, {RECORDS}, {SFT_SUMMARY} select stats.row_count, max_tokens, trainable_percent, sft_summary.row_count as dataset_rows, cast(greatest(128, max_tokens + 64) as bigint) as sequence_length from stats, parameters, sft_summary",
+    "scripted_outputs": f"with {H}, e as (select task_id, unnest(m) as m, unnest(range(0, len(m))) as pos from (select task_id, list_slice(list_filter(messages, lambda m: m.role = 'assistant'), 1, 2) as m from chats)) select task_id, cast(pos as integer) as pos, m.content as text, task_id || '_resp_' || pos as response_id from e",
+    "adapter_responses": f"with {H}, said as (select task_id, {RENDER_A} as prompt, unnest([messages[1].content, {_LAST}.content]) as text, unnest([0, 1]) as position from chats) select task_id, task_id || '_resp_' || position as response_id, cast(position as integer) as position, text, cast({TOKENS('prompt')} as bigint) as prompt_tokens, cast({TOKENS('text')} as bigint) as token_count from said",
+    "typed_tasks": """with t as (select c_custkey, c_custkey as k, c_custkey % 11 = 0 as broken, c_custkey % 7 = 0 as untitled, case c_custkey % 4 when 0 then 30 when 1 then c_custkey % 100 when 2 then 2 end as seconds, c_name, c_mktsegment from customer),
+      e as (select *, case when broken then 'no_json' when untitled then 'missing:title' when seconds is null then 'timeout_not_whole' end as error from t)
+      select c_custkey, error, case when error is null then 'v0' end as schema_version, case when error is null then cast(k as varchar) end as task_id, case when error is null then c_name end as title, case when error is null then case when k % 2 = 0 then '/abs/' else 'base/rel/' end || c_mktsegment end as repo_dir,
+        case when error is null then 'run' end as test_command, case when error is null then cast(seconds as bigint) end as timeout_seconds, case when error is null then case when k % 3 = 0 then 'refactor' else 'unit_bugfix' end end as task_type, case when error is null then '' end as description from e""",
+    "governance_plan": f"select source, current_rows, cast(place as integer) as place, gate, false as training_grade, true as requires_explicit_approval from (select source, current_rows, unnest([{', '.join(map(Q, GATES))}]) as gate, unnest(range(0, {len(GATES)})) as place from (select coalesce(source, '') as source, count(*) as current_rows from documents group by 1))",
+    "launch_plan": f"with {H}, {TOKEN_ROWS}, {STATS}, {PARAMETERS}, {RECORDS}, {SFT_SUMMARY}, {DOC_TOKENS}, gate as (select count(*) filter (tokens > {LIMIT}) as over_limit from doc_tokens) select over_limit = 0 as tokenization_passed, over_limit, '{','.join(RISKS)}' as risks, stats.row_count, max_tokens, trainable_percent, sft_summary.row_count as dataset_rows, cast(greatest(128, max_tokens + 64) as bigint) as sequence_length from stats, parameters, sft_summary, gate",
 }
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import rules, scoring, text
 from lodestrata.operators import datasets, evaluation, prompts, summaries, trajectory
 from lodestrata.plans import views
+from lodestrata.sources import responses
 from lodestrata.sources.files import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,13 @@ MOST = 5
 STOPS = ["\n", ". ", " de "]
 HELD_OUT = 10
 LIMIT = 512
+# The risks that every launch plan names.
+RISKS = ["insufficient_gpu_quota", "dataset_too_small_for_real_improvement", "training_completes_but_agentic_quality_does_not_improve", "cloudshell_runtime_limit"]
+# The gates before training.
+GATES = [
+    "dataset_lineage_gate", "license_and_terms_gate", "pii_secret_malware_filter_gate", "deduplication_gate", "benchmark_contamination_gate", "tokenization_gate", "quality_scoring_gate", "eval_holdout_gate",
+    "training_mixture_manifest_gate", "explicit_cost_approval_gate",
+]
 
 
 def query(f: Query) -> Query:
@@ -449,7 +457,16 @@ def launch_plan(spark, sf_dir):
     """One-row documents joined side by side."""
     one = lambda df: df.withColumn("one", F.lit(1))
     joined = one(token_stats(spark, sf_dir)).join(one(parameter_counts(spark, sf_dir)), "one").join(one(sft_dataset_summary(spark, sf_dir).select(F.col("row_count").alias("dataset_rows"))), "one")
-    return joined.select("row_count", "max_tokens", "trainable_percent", "dataset_rows", F.greatest(F.lit(128), F.col("max_tokens") + 64).cast("long").alias("sequence_length"))
+    joined = joined.join(one(tokenization_gate(spark, sf_dir).select("passed", "over_limit")), "one")
+    return joined.select("row_count", "max_tokens", "trainable_percent", "dataset_rows", F.col("passed").alias("tokenization_passed"), "over_limit", F.lit(",".join(RISKS)).alias("risks"), F.greatest(F.lit(128), F.col("max_tokens") + 64).cast("long").alias("sequence_length"))
+
+
+@query
+def governance_plan(spark, sf_dir):
+    """The gates before training beside the rows of each source that they stand before."""
+    sources = table(spark, sf_dir, "documents").groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("current_rows"))
+    gates = F.posexplode(F.array(*[F.lit(g) for g in GATES])).alias("place", "gate")
+    return sources.select("source", "current_rows", gates).select("source", "current_rows", "place", "gate", F.lit(False).alias("training_grade"), F.lit(True).alias("requires_explicit_approval"))
 
 
 # --- prompts, identifiers, records ---
@@ -458,6 +475,36 @@ def response_ids(spark, sf_dir):
     return prompts.response_ids(views.chats(spark, sf_dir), "scripted")
 
 
+@query
+def scripted_outputs(spark, sf_dir):
+    """Of the outputs that each transcript holds, the first two."""
+    rows = views.chats(spark, sf_dir)
+    said = F.transform(F.filter("messages", lambda m: m["role"] == "assistant"), lambda m: m["content"])
+    return prompts.first_outputs(rows, said, 2)
+
+
+def _echo():
+    """A scripted adapter: the first and the last message, again."""
+    return lambda prompt, messages: [messages[0]["content"] or "", messages[-1]["content"] or ""] if messages else []
+
+
+@query
+def adapter_responses(spark, sf_dir):
+    return responses.responses(views.chats(spark, sf_dir), _echo)
+
+
+@query
+def typed_tasks(spark, sf_dir):
+    """Task documents of customers: absolute and relative folders, numbers as texts, missing fields, no JSON at all."""
+    k = F.col("c_custkey")
+    seconds = F.when(k % 4 == 0, '"30"').when(k % 4 == 1, (k % 100).cast("string")).when(k % 4 == 2, "2.75").otherwise('"x"')
+    more = F.when(k % 3 == 0, ',"task_type":"refactor"').otherwise("")
+    title = F.when(k % 7 == 0, "").otherwise(F.concat(F.lit('"title":"'), F.col("c_name"), F.lit('",')))
+    raw = F.concat(F.lit('{"schema_version":"v0","task_id":'), k, F.lit(","), title, F.lit('"repo_dir":"'), F.when(k % 2 == 0, "/abs/").otherwise("rel/"), F.col("c_mktsegment"), F.lit('","test_command":"run","timeout_seconds":'), seconds, more, F.when(k % 11 == 0, "").otherwise("}"))
+    rows = prompts.typed_tasks(table(spark, sf_dir, "customer").select("c_custkey", raw.alias("document")), "document", "base")
+    return rows.drop("document")
+
+
 @query
 def resolved_specs(spark, sf_dir):
     k = F.col("p_partkey")

@@ -141,6 +141,7 @@ SQL = {
     "response_rows": "select turn, cast(conv_id as varchar) as response_id, case when turn % 2 = 0 then coalesce(text, '') else '' end as text, case when turn % 3 = 0 then 'role=' || role else '' end as metadata, cast(null as bigint) as token_count from conversations",
     "command_tails": "select doc_id, case when doc_id % 9 > 1 then 'run' end as command, case when doc_id % 9 > 1 then cast(doc_id % 2 as integer) end as exit_code, case doc_id % 9 when 0 then null when 1 then false else doc_id % 2 = 0 end as passed, case doc_id % 9 when 0 then null when 1 then 'patch_apply_failed' else right(text, 1600) end as stderr_tail, case doc_id % 9 when 0 then null when 1 then '' else right(text || source, 800) end as stdout_tail from documents",
     "module_targets": "select p_partkey, coalesce(array_to_string(s, ','), '') as suffixes, len(s) > 0 as targeted from (select p_partkey, list_filter(['lace', 'green', 'blue', 'khaki', 'navy', 'snow', 'sky', 'rose'], lambda w: ends_with(lower(p_name), w)) as s from part)",
+    "target_modules": "select coalesce(string_agg(distinct w, ',' order by w), '') as suffixes, count(distinct p_partkey) as targets from (select p_partkey, w from part, unnest(['lace', 'green', 'blue', 'khaki', 'navy', 'snow', 'sky', 'rose']) t(w) where ends_with(lower(p_name), w))",
     "length_report": f"with t as (select lang, cast({TOKENS('text')} as bigint) as tokens, length(text) as chars from documents), g as (select coalesce(lang, 'all') as lang, count(*) as row_count, min(tokens) as min_tokens, max(tokens) as max_tokens, round(avg(tokens), 3) as mean_tokens, list_sort(list(tokens)) as l, count(*) filter (tokens > {LIMIT}) as would_truncate_count, min(chars) as min_chars, max(chars) as max_chars, round(avg(chars), 3) as mean_chars from t group by grouping sets ((), (lang))) select * exclude (l), l[cast(round_even((row_count - 1) * 0.5, 0) as bigint) + 1] as median_tokens, l[cast(round_even((row_count - 1) * 0.95, 0) as bigint) + 1] as p95_tokens from g",
     "patch_messages": f"select cast(doc_id as varchar) as task_id, {Q(prompts.PATCH_SYSTEM)} as system, 'Task ID: ' || doc_id || {NL} || 'Title: Fix ' || source || {NL} || 'Task type: bugfix' || {NL} || {NL} || 'Description:' || {NL} || lang || {NL} || {NL} || 'Test command:' || {NL} || 'run tests' || {NL} || {NL} || 'Repository tree:' || {NL} || {_TREE} || {NL} || {NL} || 'Relevant file context:' || {NL} || case when doc_id % 10 = 0 then '' else '### File: app/a.py' || {NL} || {_FENCE(_TRUNCATED)} end || {NL} || {NL} || 'Current test failure:' || {NL} || {_FENCE('text')} || {NL} || {NL} || 'Previous failed attempt feedback:' || {NL} || {_FENCE('source')} || {NL} || {NL} || 'Output contract:' || {NL} || 'Return only a unified diff patch beginning with diff --git.' || {NL} as user from documents",
     "strict_messages": f"select cast(doc_id as varchar) as task_id, {_text(prompts.STRICT_SYSTEM)} as system, 'Task id: ' || doc_id || {NL} || 'Title: Fix ' || source || {NL} || 'Description: ' || lang || {NL} || {NL} || 'Test command:' || {NL} || 'run tests' || {NL} || {NL} || 'Failing test stderr:' || {NL} || right(text, 3000) || {NL} || {NL} || 'Allowed files to edit:' || {NL} || case when doc_id % 10 = 0 then '- <none>' else '- app/a.py' end || {NL} || {NL} || 'Repository files:' || {NL} || case when doc_id % 10 = 0 then '' else '### FILE: app/a.py' || {NL} || '```python' || {NL} || left(text, 4000) || {NL} || '```' end || {NL} || {_text(prompts.STRICT_END)} as user, {', '.join(f'{Q(v) if isinstance(v, str) else str(v).lower()} as {k}' for k, v in prompts.CONTRACT)} from documents",

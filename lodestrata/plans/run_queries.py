@@ -190,6 +190,13 @@ def module_targets(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(hit, ",").alias("suffixes"), (F.size(hit) > 0).alias("targeted"))
 
 
+@query
+def target_modules(spark, sf_dir):
+    """The suffixes that any module's name ends in, sorted, and how many names they are of."""
+    rows = module_targets(spark, sf_dir).filter("targeted").select(F.explode(F.split("suffixes", ",")).alias("suffix"), "p_partkey")
+    return rows.agg(F.array_join(F.array_sort(F.collect_set("suffix")), ",").alias("suffixes"), F.countDistinct("p_partkey").alias("targets"))
+
+
 @query
 def length_report(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("lang", F.length("text").cast("long").alias("chars"), text.tokens(F.col("text")).alias("tokens"))
