@@ -97,7 +97,7 @@ _ENTROPY = _rounds("e", "-l * tau / z + ln(z) >= most - 1e-12", "coalesce(max(i)
 _PASSES = _rounds("q", f"high / low <= {mixing.PASSES} + 1e-9", f"coalesce(min(i), {mixing.SECTIONS})").format(low="greatest(n.i - 1, 0)", high="n.i")
 #: The target and the two bisections are worked out as the operator does; rows are dealt by MD5.
 OP6 = f"""
-with d as (select doc_id, source, tokens, concat_ws('/', coalesce(cast(doc_id as varchar), ''), tokens) as name, row_number() over () as r from (
+with d as (select doc_id, source, tokens, concat_ws('/', source, coalesce(cast(doc_id as varchar), ''), tokens, row_number() over (partition by source, doc_id, tokens)) as name, row_number() over () as r from (
   select doc_id, coalesce(source, '') as source, greatest(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')), 1) as tokens from documents)),
 totals as (select source, cast(sum(tokens) as bigint) as tokens, count(*) as documents from d group by source),
 share as (select tokens / sum(tokens) over () as p from totals),

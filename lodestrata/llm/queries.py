@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import chat, embedding, language, media, mixing, negatives, oracle, packing, quality, secrets, simhash, suffix, toxicity, trie
 from lodestrata.llm.common import table, written
+from lodestrata.operators import scan
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +49,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, tokens = F.coalesce("source", F.lit("")).alias("source"), mixing.words(F.col("text")).alias("tokens")
     rows = table(spark, sf_dir, "documents").select("doc_id", source, tokens, F.monotonically_increasing_id().alias("row"))
     held = written(rows, "mixing-rows")
-    name = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "tokens").alias("name")
-    made = mixing.copies(held.select("row", "source", "tokens", name), lift=oracle.LIFT)
+    # rows that look alike are numbered, so that repeated or null ids are dealt over blocks like any others
+    alike = F.concat_ws("/", "source", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "tokens").alias("alike")
+    numbered = scan.running(held.select("row", "source", "tokens", alike), "alike", ["row"], {"copy": scan.place()})
+    made = mixing.copies(numbered.select("row", "source", "tokens", F.concat_ws("/", "alike", "copy").alias("name")), lift=oracle.LIFT)
     chosen = made.join(held.select("row", "doc_id"), "row")
     return chosen.select("doc_id", "source", F.col("tokens").alias("n_tokens"), F.round("weight", 6).alias("weight"), "block", "pass_no", "place")
 

@@ -188,3 +188,20 @@ def test_pipeline_of_awkward_rows(spark, tmp_path):
         packed = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert bool(packed) == bool(held)
         assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
+
+
+def test_rows_that_look_alike_are_spread_over_blocks(spark, tmp_path):
+    """A third of all rows have no id and one text: no block holds them all, and SQL deals them alike."""
+    import duckdb
+
+    from lodestrata.llm import oracle, queries
+
+    rows = [(None, "same", "a")] * 3000 + [(i, "w " * (i % 9), "ab"[i % 2]) for i in range(5000)] + [(7, "twice", None)] * 40
+    spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("alike", F.lit("x")).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_source_mixing(spark, str(tmp_path))
+    assert max(r["count"] for r in got.filter("doc_id is null").groupBy("source", "block", "pass_no").count().collect()) < 1200
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(oracle.SQL["op6_source_mixing"])
+    at = [[d[0] for d in want.description].index(c) for c in got.columns]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=repr)
