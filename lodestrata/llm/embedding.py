@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import Scratch, discard
+from lodestrata.llm.common import Scratch, discard, labelled_by
 from lodestrata.llm.graph import components
 
 #: Codewords of a half, at least; more are drawn for many vectors, see ``codewords_for``.
@@ -304,7 +304,8 @@ def near(rows: DataFrame, *, key: Column, vector: Column, cosine: float = 0.95,
     scratch = Scratch()
     half = float(np.arccos(cosine)) / 2
     every = rows.select(key.alias("key"), vector.alias("vector"))
-    good = every.filter(usable(F.col("vector")))
+    fit = F.coalesce(usable(F.col("vector")), F.lit(False))
+    good = every.filter(fit)
     classes = scratch.written(good.groupBy("vector").agg(F.min("key").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "vectors")
     counts = classes.groupBy(F.size("vector")).count().collect()  # a number for each length
     grain = {size: codewords_for(count, codewords, turns) for size, count in counts}
@@ -375,9 +376,9 @@ def near(rows: DataFrame, *, key: Column, vector: Column, cosine: float = 0.95,
     rooted = scratch.written(weights.join(by_ball, "ball", "left").join(roots.withColumnRenamed("node", "ball"), "ball", "left").select("ball", "weight", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "ball").alias("root")), "rooted")
     least = scratch.written(rooted.groupBy("root").agg(F.min("least").alias("component")), "least")
     summed = rooted.join(least, "root").select("ball", "component", (F.col("weight") - 1 + F.col("links")).alias("links"))
-    found = scratch.written(member.join(summed, "ball").join(by_node, "node", "left").select("vector", "component", (F.col("links") + F.coalesce("part_links", F.lit(0))).alias("n_links")), "vector-components")
+    found = scratch.written(member.join(summed, "ball").join(by_node, "node", "left").select("vector", "n", "component", (F.col("links") + F.coalesce("part_links", F.lit(0))).cast("long").alias("n_links")), "vector-components")
     scratch.drop(found)
     discard(roots)
-    joined = every.join(found, "vector", "left")
-    bad = F.col("n_links").isNull()
-    return joined.select("key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(bad, F.col("key")).otherwise(F.col("component")).alias("component"))
+    # vectors that link with nothing by rule (null ones may be a third of all rows) are in no join
+    alone = every.filter(~fit).select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component"))
+    return labelled_by(good, found, "vector", "n").select("key", "n_links", "component").unionByName(alone)

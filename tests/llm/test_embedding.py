@@ -172,3 +172,17 @@ def test_directions_grow_with_the_vectors(spark):
     df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
     got = embedding.near(df, key=F.col("vec_id"), vector=F.col("embedding"), codewords=1, turns=2, recall=1.0).collect()
     assert {(r.key, r.n_links) for r in got} == {(i, n) for i, n, _ in want}
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 50])
+def test_hot_and_null_vectors_keep_their_rows(spark, monkeypatch, hot):
+    """A third of all rows have one vector, a third none: labels are the same, whether they are broadcast or joined."""
+    from lodestrata.llm import common, embedding
+
+    monkeypatch.setattr(common.labelled_by, "__defaults__", (hot,))
+    rows = [(i, [1.0, 0.0, 0.0]) for i in range(300)] + [(1000 + i, None) for i in range(300)] + [(2000 + i, [0.0, 1.0, i / 1000.0]) for i in range(10)] + [(3000, [0.0, 0.0, -1.0]), (None, [0.0, 0.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = embedding.near(df, key=F.col("vec_id"), vector=F.col("embedding")).collect()
+    by = {r.key: (r.n_links, r.component) for r in got}
+    assert len(got) == len(rows) and all(by[i] == (299, 0) for i in range(300)) and all(by[1000 + i] == (0, 1000 + i) for i in range(300))
+    assert all(by[2000 + i] == (9, 2000) for i in range(10)) and by[3000] == (1, 3000)
