@@ -80,6 +80,11 @@ def generation_issues(c: dict[str, Column]) -> Column:
     )
 
 
+def exported_config(c: dict[str, Column], stops: Column) -> Column:
+    """A valid configuration as a struct of its fields and the list of stop sequences; null if it has an issue."""
+    return F.when(F.size(generation_issues(c)) == 0, F.struct(*[v.alias(n) for n, v in c.items()], stops.alias("stop_sequences")))
+
+
 def task_issues(c: dict[str, Column], expected_version: str) -> Column:
     """Of a task: required fields, its version, its time limit."""
     required = ["schema_version", "task_id", "title", "repo_dir", "test_command", "timeout_seconds"]

@@ -202,6 +202,9 @@ SQL: dict[str, str] = {
     "run_registry": f"""with {views.DOCUMENT_MANIFESTS_SQL}, kept as (select * from (select *, row_number() over (partition by stage order by string_split(path, '/') desc) as rn, case when stage = '' then string_split(path, '/')[-1] else stage end as named from manifests where project = '{views.PROJECT}' and stage is not null) where rn = 1),
       parsed as (select *, regexp_extract(named, 'step(\\d+)(?:[_-](\\d+))?', 1) as major, regexp_extract(named, 'step(\\d+)(?:[_-](\\d+))?', 2) as minor from kept)
       select stage, path, result, case when major = '' then 'unknown' when minor = '' then cast(cast(major as bigint) as varchar) else cast(major as bigint) || '.' || cast(minor as bigint) end as display_step, cast(case when major = '' then 999999 else cast(major as bigint) * 10 + coalesce(try_cast(nullif(minor, '') as bigint), 0) end as bigint) as sort_key from parsed""",
+    "json_documents": "select doc_id, '{' || chr(10) || '  \"doc_id\" : ' || doc_id || ',' || chr(10) || '  \"lang\" : ' || coalesce(cast(to_json(lang) as varchar), 'null') || ',' || chr(10) || '  \"source\" : ' || coalesce(cast(to_json(source) as varchar), 'null') || ',' || chr(10) || '  \"n_chars\" : ' || coalesce(cast(n_chars as varchar), 'null') || chr(10) || '}' as document from documents",
+    "generation_config_export": """select l_orderkey, l_linenumber, l_linenumber - 2 as max_new_tokens, l_discount - cast(0.05 as double) as temperature, l_quantity / 25 as top_p, cast(null as integer) as top_k, l_linenumber - 1 as num_return_sequences, case when l_returnflag = 'R' then l_tax end as repetition_penalty, chr(10) || '|###' as stop_sequences
+      from lineitem where l_linenumber - 2 > 0 and l_discount - cast(0.05 as double) >= 0 and l_quantity / 25 > 0 and l_quantity / 25 <= 1 and l_returnflag <> 'N' and l_linenumber - 1 > 0 and not (l_returnflag = 'R' and l_tax <= 0)""",
     "trajectory_records": f"with {RECORDS} select doc_id, solved, reward, case when reward > 0 then 'positive' else 'negative' end as label, left(target, 500) as preview from records",
     "sft_dataset_summary": f"with {RECORDS}, {SFT_SUMMARY} select * from sft_summary",
     "set_ops": "select 'train_and_eval' as kind, count(*) as n from documents union all select 'without_label', count(*) from documents where doc_id not in (select doc_id from labels) union all select 'repeated_texts', count(*) from (select text from documents group by text having count(*) > 1) union all select 'lang_source', count(*) from (select distinct lang, source from documents)",
@@ -235,4 +238,5 @@ SQL["check_parts"] = f"select task_id, string_split(first_check, '::')[1] as fil
 from lodestrata.plans import run_oracle as _run_oracle  # noqa: E402
 
 SQL |= _run_oracle.SQL
+SQL["registry_report"] = f"select sort_key, stage, '| ' || display_step || ' | ' || stage || ' | ' || path || ' | ' || coalesce(result, '') || ' |' as line from ({SQL['run_registry']})"
 SQL["registry_overview"] = f"select count(*) as entry_count, string_agg(display_step, ',' order by sort_key, stage) as steps from ({SQL['run_registry']})"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import rules, scoring, text
 from lodestrata.operators import datasets, evaluation, prompts, summaries, trajectory
 from lodestrata.plans import views
-from lodestrata.sources import responses
+from lodestrata.sources import files, responses
 from lodestrata.sources.files import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -387,6 +387,20 @@ def run_registry(spark, sf_dir):
     return datasets.registry(views.document_manifests(spark, sf_dir), views.PROJECT).select("stage", "path", "result", "display_step", "sort_key")
 
 
+@query
+def registry_report(spark, sf_dir):
+    """The registry's report, a line for each entry."""
+    rows = run_registry(spark, sf_dir)
+    return rows.select("sort_key", "stage", files.markdown_line(["display_step", "stage", "path", "result"]).alias("line"))
+
+
+@query
+def json_documents(spark, sf_dir):
+    """Documents' facts as indented JSON."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    return rows.select("doc_id", files.document(rows.columns).alias("document"))
+
+
 # --- labelled documents ---
 def _records(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -437,10 +451,20 @@ def parameter_counts(spark, sf_dir):
     return summaries.parameters(table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("size"), (F.col("p_size") > 25).alias("trainable")))
 
 
+def _configs():
+    return {"max_new_tokens": F.col("l_linenumber") - 2, "temperature": F.col("l_discount") - 0.05, "top_p": F.col("l_quantity") / 25, "top_k": F.when(F.col("l_returnflag") == "N", F.lit(-1)), "num_return_sequences": F.col("l_linenumber") - 1, "repetition_penalty": F.when(F.col("l_returnflag") == "R", F.col("l_tax"))}
+
+
+@query
+def generation_config_export(spark, sf_dir):
+    """The configurations without an issue, as they are stored."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rules.exported_config(_configs(), F.array(F.lit("\n"), F.lit("###"))).alias("c"))
+    return rows.filter("c is not null").select("l_orderkey", "l_linenumber", "c.*").withColumn("stop_sequences", F.array_join("stop_sequences", "|"))
+
+
 @query
 def generation_config_validation(spark, sf_dir):
-    c = {"max_new_tokens": F.col("l_linenumber") - 2, "temperature": F.col("l_discount") - 0.05, "top_p": F.col("l_quantity") / 25, "top_k": F.when(F.col("l_returnflag") == "N", F.lit(-1)), "num_return_sequences": F.col("l_linenumber") - 1, "repetition_penalty": F.when(F.col("l_returnflag") == "R", F.col("l_tax"))}
-    rows = table(spark, sf_dir, "lineitem").withColumn("issues", rules.generation_issues(c))
+    rows = table(spark, sf_dir, "lineitem").withColumn("issues", rules.generation_issues(_configs()))
     return rows.groupBy(F.array_join(F.transform("issues", lambda i: i["field"]), ",").alias("fields")).agg(F.count("*").alias("n"))
 
 

@@ -117,11 +117,38 @@ def write_by(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("overwrite").partitionBy(key).json(path)
 
 
+def markdown_line(columns: list[str]) -> Column:
+    """A row as a line of a Markdown table; nulls are empty cells."""
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(" |"))
+
+
+def _markdown_head(title: str, columns: list[str]) -> list[str]:
+    return [f"# {title}", "", "| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
+
+
 def markdown(df: DataFrame, title: str, order: list[str]) -> str:
-    """A small result as a Markdown table."""
-    head = f"# {title}\n\n| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
-    rows = df.orderBy(*order).select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), F.lit(" |")).alias("line")).collect()
-    return "\n".join([head, *[r.line for r in rows]]) + "\n"
+    """A small result as a Markdown table; of a large one :func:`write_markdown` writes the lines."""
+    rows = df.orderBy(*order).select(markdown_line(df.columns).alias("line")).collect()
+    return "\n".join([*_markdown_head(title, df.columns), *[r.line for r in rows]]) + "\n"
+
+
+def write_markdown(df: DataFrame, path: str, title: str, order: list[str]) -> None:
+    """A result of any size as text files whose names are in the report's order; no row passes through the driver."""
+    head = df.sparkSession.createDataFrame([(0, i, x) for i, x in enumerate(_markdown_head(title, df.columns))], "body int, place int, value string")
+    keys = [F.col(c).alias(f"_key{i}") for i, c in enumerate(order)]
+    lines = df.select(F.lit(1).alias("body"), F.lit(0).alias("place"), markdown_line(df.columns).alias("value"), *keys)
+    head = head.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in lines.schema.fields[3:]])
+    head.unionByName(lines).orderBy("body", "place", *[f"_key{i}" for i in range(len(order))]).select("value").write.mode("overwrite").text(path)
+
+
+def document(columns: list[str]) -> Column:
+    """A row as an indented JSON document; nulls stay."""
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"pretty": "true", "ignoreNullFields": "false"})
+
+
+def write_documents(df: DataFrame, path: str, key: str) -> None:
+    """Each row as an indented JSON document in a folder of its key."""
+    df.select(F.col(key), document(df.columns).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
 
 
 def read_patches(spark: SparkSession, path: str) -> DataFrame:
@@ -165,7 +192,7 @@ def write_text(spark: SparkSession, path: str, body: str) -> None:
 
 def write_document(df: DataFrame, path: str) -> None:
     """A one-row result as an indented JSON document."""
-    rows = df.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("j")).take(2)
+    rows = df.select(document(df.columns).alias("j")).take(2)
     if len(rows) != 1:
         raise ValueError("a document is one row")
     write_text(df.sparkSession, path, rows[0].j + "\n")

@@ -19,6 +19,18 @@ SCHEMA = "response_id string, position int, text string, prompt_tokens long, tok
 BATCH = 256
 
 
+#: A generated response as it is stored, with its adapter's name and what the runtime has measured.
+GENERATED = "response_id string, text string, source string, prompt_tokens long, token_count long, latency_seconds double, metadata map<string,string>"
+
+
+def write_generated(rows: DataFrame, path: str, source: str) -> None:
+    """Write responses as JSON lines of GENERATED: fields that ``rows`` lacks are null, others are left out."""
+    given = rows.withColumn("source", F.lit(source))
+    fields = [f.split(" ") for f in GENERATED.split(", ")]
+    kept = [(F.col(n) if n in given.columns else F.lit(None)).cast(t).alias(n) for n, t in fields]
+    given.select(*kept).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def responses(rows: DataFrame, build: Callable[[], Adapter], *, most: int | None = None, template: Callable[[list[dict]], str] | None = None, tokenize: Callable[[str], list] | None = None) -> DataFrame:
     """For rows of task_id and messages: the task_id and columns of SCHEMA for each text, the first ``most`` of a row if given.
 

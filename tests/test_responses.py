@@ -38,3 +38,10 @@ def test_typed_tasks_coerce_and_name_what_is_missing(spark):
     assert [r.timeout_seconds for r in got] == [12, 3, None, None, None, None, None, 5]
     assert [r.error for r in got] == [None, None, "timeout_not_whole", "missing:timeout_seconds", "missing:schema_version,task_id,title,repo_dir,test_command,timeout_seconds", "no_json", "no_json", None]
     assert (got[0].schema_version, got[0].task_id, got[0].repo_dir, got[0].task_type, got[0].description) == ("1", "7", "/base/r", "unit_bugfix", "")
+
+
+def test_generated_responses_are_written_with_their_schema(spark, tmp_path):
+    made = responses.responses(chats(spark, [(1, [("user", "one two")])]), lambda: lambda prompt, messages: ["a b"])
+    responses.write_generated(made, str(tmp_path / "out"), "scripted:model")
+    [row] = spark.read.schema(responses.GENERATED).json(str(tmp_path / "out")).collect()
+    assert (row.response_id, row.text, row.source, row.token_count, row.latency_seconds, row.metadata) == ("1_resp_0", "a b", "scripted:model", 2, None, None)

@@ -98,3 +98,13 @@ def test_tree_of_a_folder_without_texts(spark, tmp_path):
     (tmp_path / "a.bin").write_text("x")
     (tmp_path / "e.py").write_text("")
     assert files.read_text_tree(spark, str(tmp_path)).count() == 0
+
+
+def test_reports_and_documents_of_any_size(spark, tmp_path):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else f"v{i}") for i in range(50)], "k long, v string").repartition(7)
+    files.write_markdown(df, str(tmp_path / "report"), "T", ["k"])
+    parts = sorted((tmp_path / "report").glob("part-*"))
+    assert "".join(p.read_text() for p in parts) == files.markdown(df, "T", ["k"])
+    files.write_documents(df.limit(3), str(tmp_path / "docs"), "k")
+    found = sorted((tmp_path / "docs").glob("k=*/part-*"))
+    assert len(found) == 3 and all(json.loads(p.read_text()).keys() == {"k", "v"} for p in found)
