@@ -19,10 +19,14 @@ def _before() -> WindowSpec:
     return _task().rowsBetween(Window.unboundedPreceding, -1)
 
 
-def carry_failure(attempts: DataFrame) -> DataFrame:
-    """Adds previous_failure_stderr: that of the latest failed attempt before; a failure without one resets it."""
+def carry_failure(attempts: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Adds previous_failure_stderr: that of the latest failed attempt before; a failure without one resets it.
+
+    Attempts are in order of iteration; if another total ``order`` is given, iteration (from 0) is added in the same scan."""
     failed = F.when(~F.coalesce("post_tests_passed", F.lit(False)), F.coalesce("stderr", F.lit("")))
-    found = scan.running(attempts, "task_id", ["iteration"], {"previous_failure_stderr": scan.latest_before(failed, ["iteration"])})
+    values = {"previous_failure_stderr": scan.latest_before(failed, order or ["iteration"])} | ({"iteration": scan.place()} if order else {})
+    found = scan.running(attempts, "task_id", order or ["iteration"], values)
+    found = found.withColumn("iteration", F.col("iteration") - 1) if order else found
     return found.withColumn("previous_failure_stderr", F.coalesce("previous_failure_stderr", F.lit("")))
 
 

@@ -54,7 +54,7 @@ def batch_failed_tasks(spark, sf_dir):
 
 
 def _attempt_rows(spark, sf_dir):
-    return datasets.attempt_rows(trajectory.carry_failure(views.attempt_parts(spark, sf_dir)))
+    return datasets.attempt_rows(trajectory.carry_failure(views.events(spark, sf_dir), views.ATTEMPT_ORDER))
 
 
 @query

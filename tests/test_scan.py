@@ -64,3 +64,10 @@ def test_ranking_equals_a_window(hot, many_parts):
 
 def test_no_rows(hot, many_parts):
     assert trajectory.best_so_far(hot.limit(0)).count() == 0
+
+
+def test_iteration_and_failure_come_from_one_scan(hot, many_parts):
+    want = trajectory.carry_failure(hot)
+    got = trajectory.carry_failure(hot.drop("iteration"), ["at"])
+    columns = ["task_id", "at", "iteration", "previous_failure_stderr"]
+    assert rows(got, *columns) == rows(want, *columns) and scan.PART not in got.columns
