@@ -39,7 +39,7 @@ THRESHOLD = 0.3
 #: Most labelled ids, and bytes of their texts, that the model is fitted on.
 MAX_ROWS = 12_000
 MAX_BYTES = 48 << 20
-#: Most words and most stems that have a score of their own: those with the largest difference between the labels.
+#: Most words and most stems that have a score of their own: those of two texts or more with the largest difference between the labels.
 MAX_WORDS = 65_536
 STEM = 5
 DRIFT = 0.1
@@ -226,7 +226,7 @@ def train(
         tables.drop()
         return Detector({}, {}, constant=float(toxic > 0))
     counts = chosen.mapInArrow(_counted, "half int, label int, stem boolean, word string, n long").groupBy("stem", "word").agg(*[F.sum(F.when((F.col("half") == h) & (F.col("label") == v), F.col("n")).otherwise(0)).alias(f"n{h}{v}") for h in (0, 1) for v in (0, 1)])
-    counts = tables.written(counts, "toxicity-counts")
+    counts = tables.written(counts.filter(F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11") > 1), "toxicity-counts")  # one text tells nothing
     ratio = toxic / clean
     gap = F.abs(F.col("n01") + F.col("n11") - ratio * (F.col("n00") + F.col("n10")))
     rows = {kind: counts.filter(F.col("stem") == kind).orderBy(gap.desc(), "word").limit(MAX_WORDS).collect() for kind in (False, True)}
