@@ -29,6 +29,19 @@ def training_examples(chat_rows: DataFrame) -> DataFrame:
     return chat_rows.select("task_id", F.slice(m, F.lit(1), F.size(m) - 1).alias("prompt_messages"), F.element_at(m, -1)["content"].alias("assistant_target"), m.alias("full_messages"))
 
 
+def merged(*maps: Column) -> Column:
+    """Maps as one: of a key that several have, the last one's value counts; null maps have none."""
+    none = F.create_map().cast("map<string,string>")
+
+    def over(early: Column, late: Column) -> Column:
+        return F.map_concat(F.map_filter(early, lambda k, _: ~F.map_contains_key(late, k)), late)
+
+    out = F.coalesce(maps[0], none)
+    for m in maps[1:]:
+        out = over(out, F.coalesce(m, none))
+    return out
+
+
 def first_response(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "assistant") -> DataFrame:
     """The first text of a role, by aggregation."""
     return rows.filter(F.col("role") == role).groupBy(conversation).agg(F.min(F.struct(turn, "text"))["text"].alias("first_text"))

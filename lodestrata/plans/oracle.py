@@ -205,6 +205,7 @@ SQL: dict[str, str] = {
     "json_documents": "select doc_id, '{' || chr(10) || '  \"doc_id\" : ' || doc_id || ',' || chr(10) || '  \"lang\" : ' || coalesce(cast(to_json(lang) as varchar), 'null') || ',' || chr(10) || '  \"source\" : ' || coalesce(cast(to_json(source) as varchar), 'null') || ',' || chr(10) || '  \"n_chars\" : ' || coalesce(cast(n_chars as varchar), 'null') || chr(10) || '}' as document from documents",
     "generation_config_export": """select l_orderkey, l_linenumber, l_linenumber - 2 as max_new_tokens, l_discount - cast(0.05 as double) as temperature, l_quantity / 25 as top_p, cast(null as integer) as top_k, l_linenumber - 1 as num_return_sequences, case when l_returnflag = 'R' then l_tax end as repetition_penalty, chr(10) || '|###' as stop_sequences
       from lineitem where l_linenumber - 2 > 0 and l_discount - cast(0.05 as double) >= 0 and l_quantity / 25 > 0 and l_quantity / 25 <= 1 and l_returnflag <> 'N' and l_linenumber - 1 > 0 and not (l_returnflag = 'R' and l_tax <= 0)""",
+    "enriched_records": "select doc_id, 'kind=document,lang=' || case when doc_id % 3 > 0 then coalesce(lang, 'und') else 'und' end || case when doc_id % 3 > 0 and n_chars is not null then ',n_chars=' || n_chars else '' end || ',source=' || case when doc_id % 3 > 0 then coalesce(source, 'unknown') else 'unknown' end || ',task_id=' || doc_id as record from documents",
     "trajectory_records": f"with {RECORDS} select doc_id, solved, reward, case when reward > 0 then 'positive' else 'negative' end as label, left(target, 500) as preview from records",
     "sft_dataset_summary": f"with {RECORDS}, {SFT_SUMMARY} select * from sft_summary",
     "set_ops": "select 'train_and_eval' as kind, count(*) as n from documents union all select 'without_label', count(*) from documents where doc_id not in (select doc_id from labels) union all select 'repeated_texts', count(*) from (select text from documents group by text having count(*) > 1) union all select 'lang_source', count(*) from (select distinct lang, source from documents)",

@@ -431,6 +431,16 @@ def optional_reads(spark, sf_dir):
     return found.select("doc_id", F.length(reads["patch"]).cast("long").alias("patch_chars"), *[reads[n].alias(n) for n in text.READS if n != "patch"])
 
 
+@query
+def enriched_records(spark, sf_dir):
+    """Defaults of a task under what its document says: keys in order, the document's values win where it has them."""
+    of = lambda **named: F.create_map(*[x for k, v in named.items() for x in (F.lit(k), v)])
+    default = of(task_id=F.col("doc_id").cast("string"), source=F.lit("unknown"), lang=F.lit("und"), kind=F.lit("document"))
+    own = F.map_filter(of(source=F.col("source"), lang=F.col("lang"), n_chars=F.col("n_chars").cast("string")), lambda k, v: v.isNotNull())
+    entries = F.array_sort(F.map_entries(datasets.merged(default, F.when(F.col("doc_id") % 3 > 0, own))))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("record"))
+
+
 @query
 def sft_dataset_summary(spark, sf_dir):
     return summaries.sft_dataset(_records(spark, sf_dir))
