@@ -80,7 +80,7 @@ def test_equals_brute_force(spark, tmp_path, seed, parts):
 
 def test_awkward_conversations(spark, tmp_path):
     rows = [(None, 1, "user", "lost"), (5, None, None, None), (5, None, None, None), (7, 3, "user", "x" * 100_000), (100, 0, "user", "hi"), (107, 0, "user", "hi"), (107, 0, "user", "hi"), (-7, 0, "é", "𝄞𝄞")]
-    rows += [(200 + i, t, "user", "same") for i in range(60) for t in range(4)] + [(301, t, "user", f"turn {t}") for t in range(3000)]
+    rows += [(200 + i, t, "user", "same") for i in range(60) for t in range(4)] + [(301, t, "user", f"turn {t}") for t in range(150)]
     write(spark, rows, tmp_path)
     assert got(queries.op13_prefix_trie(spark, str(tmp_path))) == brute(rows)
 
