@@ -258,9 +258,11 @@ def with_count(rows: DataFrame, cases: DataFrame) -> DataFrame:
 
 def numbered(categories: list[tuple[str, str]], cases: DataFrame) -> DataFrame:
     """Each of a few literal categories with each case of a table of any size; index: place in category-major order. Cases are
-    numbered from 0 by case_pos, so no rows are sorted; numbers may be missing."""
+    numbered from 0 by case_pos, so no rows are sorted; numbers may be missing. The cases are dealt first: a small file is read
+    by one task, and what it becomes is much larger. The count is named, since small partitions would be put together again."""
     each = F.array(*[F.struct(F.lit(i).cast("long").alias("cat_pos"), F.lit(c).alias("category"), F.lit(a).alias("addition")) for i, (c, a) in enumerate(categories)])
-    rows = cases.select("*", F.explode(each).alias("c")).select(*cases.columns, "c.*")
+    dealt = cases.repartition(int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions")), "case_pos")
+    rows = dealt.select("*", F.explode(each).alias("c")).select(*cases.columns, "c.*")
     return with_count(rows, cases).withColumn("index", F.col("cat_pos") * F.col("n_cases") + F.col("case_pos"))
 
 

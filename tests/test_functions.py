@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import rules, scoring, text
-from lodestrata.operators import datasets, summaries, trajectory
+from lodestrata.operators import datasets, prompts, summaries, trajectory
 from lodestrata.plans import views
 
 
@@ -204,6 +204,36 @@ def test_curricula(spark):
     assert datasets.curriculum_targets(datasets.curriculum(spark)).filter("try_parse_json(target_text) is null").count() == 0
 
 
+def _cases_of_one_task(spark, n=40):
+    texts = {c: F.concat(F.lit(c), "case_pos") for c in ("name", "module", "bug", "expected", "edge", "test_symbol")}
+    return spark.range(0, n, 1, 1).select(F.col("id").alias("case_pos")).withColumns(texts)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cases_that_one_task_reads_are_dealt_before_they_become_rows(spark):
+    cases = _cases_of_one_task(spark)
+    for made in (datasets.curriculum, datasets.first_curriculum):
+        sizes = made(spark, cases).groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in sizes) % 40 == 0 and len(sizes) == 4
+
+
+def test_ids_of_a_curriculum_are_counted_apart_from_its_other_counts(spark):
+    rows = datasets.curriculum(spark, _cases_of_one_task(spark))
+    rows = rows.unionByName(rows.filter("index < 3").withColumn("split", F.lit("unset"))).withColumn("category", F.when(F.col("index") > 1, F.col("category")).otherwise("other"))
+    found = prompts.violations(rows, 480, 80, 12)
+    assert found.first().asDict() == {
+        "rows_off": 3, "eval_rows_off": 0, "repeated_ids": 3, "unknown_splits": 3, "unknown_categories": 4, "without_operations": 0, "uneven_categories": 2, "categories_off": 1,
+    }
+    assert prompts.violations(rows.limit(0), 480, 80, 12).first().asDict() == {
+        "rows_off": -480, "eval_rows_off": -80, "repeated_ids": 0, "unknown_splits": 0, "unknown_categories": 0, "without_operations": 0, "uneven_categories": 0, "categories_off": -12,
+    }
+    grouped = [line for line in _plan(found).splitlines() if "keys=[task_id#" in line]
+    assert grouped and not any("count(1)" in line for line in grouped)
+
+
 def test_registry_orders_paths_by_parts_and_keeps_the_last(spark):
     rows = datasets.registry(views.manifests(spark), views.PROJECT).collect()
     assert [(r.stage, r.display_step, r.sort_key) for r in rows] == [("step2-7", "2.7", 27), ("step10_batch", "10", 100), ("", "29.1", 291), ("step29_10_x", "29.10", 300), ("step30", "30", 300), ("governance", "unknown", 999999)]
