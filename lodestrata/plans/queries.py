@@ -377,9 +377,11 @@ def curriculum_v0(spark, sf_dir):
 @query
 def curriculum_counts(spark, sf_dir):
     rows = datasets.curriculum(spark, views.cases(spark, sf_dir))
-    each = [rows.groupBy(F.lit(k).alias("kind"), F.col(k).alias("value")).agg(F.count("*").alias("n")) for k in ("category", "split", "difficulty")]
+    kinds = ["category", "split", "difficulty"]
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in kinds]))
+    counts = rows.groupBy(*kinds).agg(F.count("*").alias("rows")).select(each, "rows").groupBy("kind", "value").agg(F.sum("rows").alias("n"))
     ids = rows.agg(F.lit("unique_task_ids").alias("kind"), F.lit("all").alias("value"), F.countDistinct("task_id").alias("n"))
-    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(ids)
+    return counts.unionByName(ids)
 
 
 @query

@@ -220,6 +220,12 @@ def test_cases_that_one_task_reads_are_dealt_before_they_become_rows(spark):
         assert sum(r["count"] for r in sizes) % 40 == 0 and len(sizes) == 4
 
 
+def test_counts_of_a_curriculum_make_its_rows_twice_at_most(spark):
+    from lodestrata.plans.queries import curriculum_counts
+
+    assert _plan(curriculum_counts(spark, "/root/testdata/sf0.001")).count("Generate explode") == 2
+
+
 def test_ids_of_a_curriculum_are_counted_apart_from_its_other_counts(spark):
     rows = datasets.curriculum(spark, _cases_of_one_task(spark))
     rows = rows.unionByName(rows.filter("index < 3").withColumn("split", F.lit("unset"))).withColumn("category", F.when(F.col("index") > 1, F.col("category")).otherwise("other"))
