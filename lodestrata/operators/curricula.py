@@ -112,20 +112,10 @@ def _rows(made: DataFrame, v: int, prompt: Column, extra: Column, prohibited: Co
     )
 
 
-def _with_case(rows: DataFrame, case: DataFrame) -> DataFrame:
-    """Each row's case again, by the index."""
-    return datasets.with_count(rows, case).withColumn("case_pos", F.pmod("index", "n_cases")).drop("n_cases").join(case, "case_pos")
-
-
 def second_rows(spark: SparkSession, cases: DataFrame | None = None) -> DataFrame:
     """12 categories by the cases; without ``cases`` by those of the literal table."""
-    case = datasets.literal_cases(spark) if cases is None else cases
     operations = spark.createDataFrame(OPERATIONS, "category string, place string, named boolean, template string")
-    extras = spark.createDataFrame(datasets.EXTRAS, "category string, extra string, risk string")
-    rows = datasets.curriculum(spark, case).select("index", "task_id", "split", "category", "prompt")
-    made = _with_case(rows, case).join(extras, "category", "left").join(operations, "category", "left").withColumns({
-        "file": F.concat(F.lit("app/"), F.col("module"), F.lit(".py")), "test_file": F.concat(F.lit("tests/test_"), F.col("module"), F.lit(".py")),
-    })
+    made = datasets.with_cases(spark, cases).join(F.broadcast(operations), "category", "left")  # a literal table
     file, symbol, intent = _extra(F.col("place"), F.col("named"), F.col("template"))
     extra = F.when(F.col("extra").isNotNull(), _operation(F.col("extra"), file, intent, symbol, F.lit(None).cast("string")))
     barred = F.when(F.col("category") == "wrong_file_guard", "app/__init__.py").when(F.col("category") == "invalid_patch_repair", "nonexistent.py")
@@ -136,6 +126,11 @@ def second_rows(spark: SparkSession, cases: DataFrame | None = None) -> DataFram
     return _rows(made, 1, F.col("prompt"), extra, _array(barred), _array(F.col("risk")), checks, datasets.difficulty(F.col("category")))
 
 
+def _with_case(rows: DataFrame, case: DataFrame) -> DataFrame:
+    """Each row's case again, by the index."""
+    return datasets.with_count(rows, case).withColumn("case_pos", F.pmod("index", "n_cases")).drop("n_cases").join(case, "case_pos")
+
+
 def first_rows(spark: SparkSession, cases: DataFrame | None = None) -> DataFrame:
     """8 categories by the cases; without ``cases`` by those of the literal table."""
     case = datasets.literal_first_cases(spark) if cases is None else cases
@@ -164,19 +159,25 @@ def first_rows(spark: SparkSession, cases: DataFrame | None = None) -> DataFrame
 ARRAYS = {1: ["target_files", "test_files", "operations", "constraints", "verification", "acceptance_criteria"], 0: ["target_files", "operations", "verification"]}
 
 
-def broken_rules(rows: DataFrame, v: int) -> DataFrame:
-    """How many rows break each rule; every rule has a count, 0 if none does. What can't be told counts as broken."""
-    field = lambda path: F.get_json_object("target_text", f"$.{path}")
+def broken_rules(rows: DataFrame, v: int, *by: str) -> DataFrame:
+    """How many rows (of each group) break each rule; every rule has a count, 0 if none does. What can't be told counts as broken.
+    A target is parsed once, of repeated keys the last counts; ids, nearly all different, are grouped without the other counts."""
     role = lambda i: F.try_element_at("messages", F.lit(i))["role"]
     known = [c for c, _ in (datasets.CATEGORIES if v else datasets.CATEGORIES[: datasets.FIRST_CATEGORIES])]
+    fields = ", ".join(["schema_version string", "task_id string", "category string", *[f"{name} {NO_TEXTS}" for name in ARRAYS[v]]])
+    field = lambda name: F.col(f"_target.{name}")
     rules = {
         "schema_version": F.col("schema_version") == f"{datasets.NAMESPACE}.sft_row.v{v}", "split": F.col("split").isin("train", "eval"), "category": F.col("category").isin(known),
-        "messages": (F.size("messages") == 2) & (role(1) == "system") & (role(2) == "user"), "target_text": text.strip(F.col("target_text")) != "",
+        "messages": (F.size("messages") == 2) & (role(1) == "system") & (role(2) == "user"), "target_text": F.col("target_text").rlike(r"\S"),
         "target_schema_version": field("schema_version") == f"{datasets.NAMESPACE}.structured_intent.v{v}",
         "target_task_id": field("task_id") == F.col("task_id"), "target_category": field("category") == F.col("category"),
-    } | {f"target_{name}": field(f"{name}[0]").isNotNull() for name in ARRAYS[v]}
-    counts = [F.count_if(~F.coalesce(holds, F.lit(False))).alias(name) for name, holds in rules.items()]
-    return rows.agg(F.count("*").alias("row_count"), (F.count("*") - F.countDistinct("task_id")).alias("repeated_task_ids"), *counts)
+    } | {f"target_{name}": F.try_element_at(field(name), F.lit(1)).isNotNull() for name in ARRAYS[v]}
+    each = [F.count_if(~F.coalesce(holds, F.lit(False))).alias(name) for name, holds in rules.items()]
+    target = F.when(F.col("target_text").rlike(r"^\s*\{"), F.from_json("target_text", fields))  # an array of objects is none
+    counts = rows.withColumn("_target", target).groupBy(*by).agg(F.count("*").alias("row_count"), *each)
+    ids = rows.groupBy(*by).agg(F.countDistinct("task_id").alias("_ids"))
+    both = counts.join(ids, list(by)) if by else counts.crossJoin(ids)
+    return both.select("row_count", (F.col("row_count") - F.col("_ids")).alias("repeated_task_ids"), *rules, *by)
 
 
 def bucket_counts(rows: DataFrame, column: str, domain: list[str]) -> DataFrame:

@@ -266,23 +266,28 @@ def numbered(categories: list[tuple[str, str]], cases: DataFrame) -> DataFrame:
     return with_count(rows, cases).withColumn("index", F.col("cat_pos") * F.col("n_cases") + F.col("case_pos"))
 
 
-def curriculum(spark: SparkSession, cases: DataFrame | None = None) -> DataFrame:
-    """Each category with each case; without ``cases`` (columns of CASE) those of the literal table. case_pos is kept."""
+def with_cases(spark: SparkSession, cases: DataFrame | None = None) -> DataFrame:
+    """Each category with each case; without ``cases`` (columns of CASE) those of the literal table. The case's columns are kept."""
     extras = spark.createDataFrame(EXTRAS, "category string, extra string, risk string")
     file, test_file = F.concat(F.lit("app/"), F.col("module"), F.lit(".py")), F.concat(F.lit("tests/test_"), F.col("module"), F.lit(".py"))
     rows = numbered(CATEGORIES, literal_cases(spark) if cases is None else cases).join(F.broadcast(extras), "category", "left")  # a literal table
-    rows = rows.withColumns({"file": file, "test_file": test_file})
+    rows = rows.withColumns({"file": file, "test_file": test_file, "split": modulo_split(F.col("index"))})
     digest = F.substr(F.sha1(F.concat_ws(":", "category", "name", "index").cast("binary")), F.lit(1), F.lit(10))
     prompt = F.concat(
         F.lit("Repository task category: "), F.col("category"), F.lit("\nPrimary file: "), F.col("file"), F.lit("\nPrimary symbol: "), F.col("name"), F.lit("\nBug: "), F.col("bug"), F.lit("\nExpected behavior: "), F.col("expected"),
         F.lit("\nKnown test file: "), F.col("test_file"), F.lit("\nKnown test symbol: "), F.col("test_symbol"), F.lit("\nImportant edge case: "), F.col("edge"),
         F.lit("\nReturn structured JSON edit intent only. Do not return a patch.\n"), F.col("addition"),
     )
+    return rows.withColumns({"task_id": F.concat_ws("-", F.lit("sft-v1"), "category", "name", digest), "prompt": prompt})
+
+
+def curriculum(spark: SparkSession, cases: DataFrame | None = None) -> DataFrame:
+    """Rows of :func:`with_cases` with what their category asks for."""
     operations = F.array_compact(F.array(F.lit("modify_function"), F.col("extra")))
     prohibited = F.array_compact(F.array(F.when(F.col("category") == "wrong_file_guard", "app/__init__.py"), F.when(F.col("category") == "invalid_patch_repair", "nonexistent.py")))
-    return rows.select(
-        "index", F.concat_ws("-", F.lit("sft-v1"), "category", "name", digest).alias("task_id"), modulo_split(F.col("index")).alias("split"), "category", difficulty(F.col("category")).alias("difficulty"),
-        prompt.alias("prompt"), F.array_join(operations, ",").alias("operations"), F.array_join(prohibited, ",").alias("prohibited_files"), F.array_join(F.array_compact(F.array("risk")), ",").alias("risk_flags"),
+    return with_cases(spark, cases).select(
+        "index", "task_id", "split", "category", difficulty(F.col("category")).alias("difficulty"),
+        "prompt", F.array_join(operations, ",").alias("operations"), F.array_join(prohibited, ",").alias("prohibited_files"), F.array_join(F.array_compact(F.array("risk")), ",").alias("risk_flags"),
         F.concat(F.lit("run "), F.col("test_file"), F.lit("::"), F.col("test_symbol")).alias("first_check"),
     )
 

@@ -54,9 +54,10 @@ def first_curriculum_rows(spark, sf_dir):
     return _flat(curricula.first_rows(spark, views.cases(spark, sf_dir)))
 
 
-def _damaged(rows):
-    """Rows of which some break each rule."""
-    i = F.col("index") % 10
+def _with_damaged(rows):
+    """Each row as it is and damaged, so that some of the damaged ones break each rule; made once for both."""
+    rows = rows.withColumn("rows", F.explode(F.array(F.lit("whole"), F.lit("damaged"))))
+    i = F.when(F.col("rows") == "damaged", F.col("index") % 10)
     target = F.col("target_text")
     return rows.withColumns({
         "schema_version": F.when(i == 1, "x").otherwise(F.col("schema_version")),
@@ -73,16 +74,12 @@ def _damaged(rows):
 @query
 def curriculum_rules(spark, sf_dir):
     """Rows as they are break no rule, damaged ones each of them."""
-    rows = curricula.second_rows(spark, views.cases(spark, sf_dir))
-    each = [curricula.broken_rules(df, 1).withColumn("rows", F.lit(name)) for name, df in (("whole", rows), ("damaged", _damaged(rows)))]
-    return each[0].unionByName(each[1])
+    return curricula.broken_rules(_with_damaged(curricula.second_rows(spark, views.cases(spark, sf_dir))), 1, "rows")
 
 
 @query
 def first_curriculum_rules(spark, sf_dir):
-    rows = curricula.first_rows(spark, views.cases(spark, sf_dir))
-    each = [curricula.broken_rules(df, 0).withColumn("rows", F.lit(name)) for name, df in (("whole", rows), ("damaged", _damaged(rows)))]
-    return each[0].unionByName(each[1])
+    return curricula.broken_rules(_with_damaged(curricula.first_rows(spark, views.cases(spark, sf_dir))), 0, "rows")
 
 
 @query

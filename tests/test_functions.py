@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import rules, scoring, text
-from lodestrata.operators import datasets, prompts, summaries, trajectory
+from lodestrata.operators import curricula, datasets, prompts, summaries, trajectory
 from lodestrata.plans import views
 
 
@@ -240,6 +240,27 @@ def test_ids_of_a_curriculum_are_counted_apart_from_its_other_counts(spark):
     assert grouped and not any("count(1)" in line for line in grouped)
 
 
+@pytest.mark.parametrize("made", [curricula.second_rows])
+def test_whole_rows_keep_their_case_without_a_join(spark, made):
+    plan = _plan(made(spark, _cases_of_one_task(spark)))
+    assert plan.count("Exchange hashpartitioning(") == 1 and "SortMergeJoin" not in plan
+
+
+def test_rules_of_targets_that_are_cut_or_of_other_types(spark):
+    rows = curricula.second_rows(spark, _cases_of_one_task(spark))
+    target, i = F.col("target_text"), F.col("index")
+    odd = rows.withColumn("target_text", F.when(i == 0, F.substr(target, F.lit(1), F.length(target) - 1)).when(i == 1, F.regexp_replace(target, '"operations":.*?],', '"operations":"x",'))
+        .when(i == 2, F.regexp_replace(target, '"operations":.*?],', '"operations":[null],')).when(i == 3, "\t\n ").when(i == 4, "[]").when(i == 5, None)
+        .when(i == 6, F.concat(F.lit("["), target, F.lit("]"))).otherwise(target))
+    found = curricula.broken_rules(odd, 1).first().asDict()
+    cut = ["target_schema_version", "target_task_id", "target_category", *[f"target_{a}" for a in curricula.ARRAYS[1]]]
+    want = dict.fromkeys(found, 0) | dict.fromkeys(cut, 5) | {"row_count": 480, "target_text": 2, "target_operations": 7}
+    assert found == want
+    by = curricula.broken_rules(odd.withColumn("part", i % 2), 1, "part").collect()
+    assert sorted((r.part, r.row_count, r.target_text, r.target_operations) for r in by) == [(0, 240, 0, 4), (1, 240, 2, 3)]
+    assert set(curricula.broken_rules(odd.limit(0), 1).first()) == {0}
+
+
 def test_registry_orders_paths_by_parts_and_keeps_the_last(spark):
     rows = datasets.registry(views.manifests(spark), views.PROJECT).collect()
     assert [(r.stage, r.display_step, r.sort_key) for r in rows] == [("step2-7", "2.7", 27), ("step10_batch", "10", 100), ("", "29.1", 291), ("step29_10_x", "29.10", 300), ("step30", "30", 300), ("governance", "unknown", 999999)]
