@@ -126,18 +126,12 @@ def second_rows(spark: SparkSession, cases: DataFrame | None = None) -> DataFram
     return _rows(made, 1, F.col("prompt"), extra, _array(barred), _array(F.col("risk")), checks, datasets.difficulty(F.col("category")))
 
 
-def _with_case(rows: DataFrame, case: DataFrame) -> DataFrame:
-    """Each row's case again, by the index."""
-    return datasets.with_count(rows, case).withColumn("case_pos", F.pmod("index", "n_cases")).drop("n_cases").join(case, "case_pos")
-
-
 def first_rows(spark: SparkSession, cases: DataFrame | None = None) -> DataFrame:
     """8 categories by the cases; without ``cases`` by those of the literal table."""
-    case = datasets.literal_first_cases(spark) if cases is None else cases
     additions = spark.createDataFrame(FIRST_ADDITIONS, "category string, addition string")
     operations = spark.createDataFrame(FIRST_OPERATIONS, "category string, extra string, place string, named boolean, template string")
-    rows = datasets.first_curriculum(spark, case).select("index", "task_id", "split", "category", "risk_flags")
-    made = _with_case(rows, case.withColumn("edge", F.lit(""))).join(additions, "category", "left").join(operations, "category", "left").withColumns({
+    rows = datasets.with_first_cases(spark, cases).drop("addition").withColumn("edge", F.lit(""))
+    made = rows.join(F.broadcast(additions), "category", "left").join(F.broadcast(operations), "category", "left").withColumns({
         "file": F.concat(F.lit("app/"), F.col("module"), F.lit(".py")), "test_file": F.concat(F.lit("tests/test_"), F.col("module"), F.lit(".py")),
     })
     file, symbol, intent = _extra(F.col("place"), F.col("named"), F.col("template"))

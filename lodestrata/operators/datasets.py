@@ -298,15 +298,21 @@ def curriculum_targets(rows: DataFrame) -> DataFrame:
     return rows.select("task_id", F.to_json(F.struct("category", split(F.col("operations")).alias("operations"), split(F.col("prohibited_files")).alias("prohibited_files"), split(F.col("risk_flags")).alias("risk_flags"), "task_id", F.array("first_check").alias("verification"))).alias("target_text"))
 
 
-def first_curriculum(spark: SparkSession, cases: DataFrame | None = None) -> DataFrame:
-    """Each of 8 categories with each case; without ``cases`` those of the literal table."""
+def with_first_cases(spark: SparkSession, cases: DataFrame | None = None) -> DataFrame:
+    """Each of 8 categories with each case; without ``cases`` those of the literal table. The case's columns are kept."""
     rows = numbered(CATEGORIES[:FIRST_CATEGORIES], literal_first_cases(spark) if cases is None else cases)
     two_digits = F.when(F.col("index") < 10, F.concat(F.lit("0"), F.col("index"))).otherwise(F.col("index").cast("string"))
     digest = F.substr(F.sha1(F.concat_ws(":", "category", "index", "name").cast("binary")), F.lit(1), F.lit(8))
-    extra = F.when(F.col("category") == "missing_test_addition", "add_or_update_test").when(F.col("category") == "small_multifile_edit", "maybe_update_export")
     risk = F.when(F.col("category").isin("invalid_patch_repair", "semantic_patch_repair"), "previous_failed_attempt_available").when(F.col("category") == "wrong_file_guard", "wrong_file_target_risk").when(F.col("category") == "missing_test_addition", "test_quality_risk")
-    return rows.select(
-        "index", F.concat_ws("-", F.lit("sft"), "category", two_digits, digest).alias("task_id"), modulo_split(F.col("index")).alias("split"), "category",
-        F.array_join(F.array_compact(F.array(F.lit("modify_function"), extra)), ",").alias("operations"), F.coalesce(risk, F.lit("")).alias("risk_flags"),
+    return rows.withColumns({
+        "task_id": F.concat_ws("-", F.lit("sft"), "category", two_digits, digest), "split": modulo_split(F.col("index")), "risk_flags": F.coalesce(risk, F.lit("")),
+    })
+
+
+def first_curriculum(spark: SparkSession, cases: DataFrame | None = None) -> DataFrame:
+    """Rows of :func:`with_first_cases` with what their category asks for."""
+    extra = F.when(F.col("category") == "missing_test_addition", "add_or_update_test").when(F.col("category") == "small_multifile_edit", "maybe_update_export")
+    return with_first_cases(spark, cases).select(
+        "index", "task_id", "split", "category", F.array_join(F.array_compact(F.array(F.lit("modify_function"), extra)), ",").alias("operations"), "risk_flags",
         F.concat(F.lit("run tests/test_"), F.col("module"), F.lit(".py::"), F.col("test_symbol")).alias("first_check"),
     )

@@ -240,7 +240,7 @@ def test_ids_of_a_curriculum_are_counted_apart_from_its_other_counts(spark):
     assert grouped and not any("count(1)" in line for line in grouped)
 
 
-@pytest.mark.parametrize("made", [curricula.second_rows])
+@pytest.mark.parametrize("made", [curricula.second_rows, curricula.first_rows])
 def test_whole_rows_keep_their_case_without_a_join(spark, made):
     plan = _plan(made(spark, _cases_of_one_task(spark)))
     assert plan.count("Exchange hashpartitioning(") == 1 and "SortMergeJoin" not in plan
