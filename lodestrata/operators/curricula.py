@@ -115,7 +115,7 @@ def _rows(made: DataFrame, v: int, prompt: Column, extra: Column, prohibited: Co
 def second_rows(spark: SparkSession, cases: DataFrame | None = None) -> DataFrame:
     """12 categories by the cases; without ``cases`` by those of the literal table."""
     operations = spark.createDataFrame(OPERATIONS, "category string, place string, named boolean, template string")
-    made = datasets.with_cases(spark, cases).join(F.broadcast(operations), "category", "left")  # a literal table
+    made = datasets.with_cases(spark, cases).filter("index is not null").join(F.broadcast(operations), "category", "left")  # a literal table
     file, symbol, intent = _extra(F.col("place"), F.col("named"), F.col("template"))
     extra = F.when(F.col("extra").isNotNull(), _operation(F.col("extra"), file, intent, symbol, F.lit(None).cast("string")))
     barred = F.when(F.col("category") == "wrong_file_guard", "app/__init__.py").when(F.col("category") == "invalid_patch_repair", "nonexistent.py")

@@ -246,6 +246,11 @@ def test_whole_rows_keep_their_case_without_a_join(spark, made):
     assert plan.count("Exchange hashpartitioning(") == 1 and "SortMergeJoin" not in plan
 
 
+def test_second_rows_leave_out_cases_without_a_number(spark):
+    cases = _cases_of_one_task(spark).withColumn("case_pos", F.when(F.col("case_pos") != 3, F.col("case_pos")))
+    assert curricula.second_rows(spark, cases).count() == 39 * 12
+
+
 def test_rules_of_targets_that_are_cut_or_of_other_types(spark):
     rows = curricula.second_rows(spark, _cases_of_one_task(spark))
     target, i = F.col("target_text"), F.col("index")
